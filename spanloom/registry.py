@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import data, detection, scoring
+
+QUERIES: dict = detection.QUERIES | scoring.QUERIES | data.QUERIES
+ORACLE_SQL: dict[str, str] = detection.ORACLE_SQL | scoring.ORACLE_SQL | data.ORACLE_SQL

@@ -1 +1,144 @@
+"""Readers and writers with declared schemas, and the adapter for external scorers."""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..config import CLASSES, FOLDER_CLASS
+from ..functions import class_of_path
+
+VIDEO = "struct<video_id:string,level:int,domain:string,duration_sec:double,filename:string,file:string>"
+RUNTIME = "struct<model_name:string,call_count:bigint,total_time_ms:double,average_time_ms:double,p50_time_ms:double,p95_time_ms:double,max_time_ms:double>"
+EVENT = "struct<class_name:string,start_time_sec:double,end_time_sec:double,explanation:string>"
+PREDICTION = f"struct<video_id:string,events:array<{EVENT}>,runtime_metadata:struct<frames_processed:bigint,chunks_processed:bigint,end_to_end_internal_time_ms:double,model_runtimes:array<{RUNTIME}>>>"
+SHEET = f"struct<schema_version:string,submission_id:string,model_name:string,run_metadata:struct<total_wall_time_ms:double,max_parallel_videos:int,hardware:string>,predictions:array<{PREDICTION}>>"
+TRUTH = "video_id string, level int, is_anomaly string, class_name string, start_time_sec double, end_time_sec double"
+REPLY = "struct<choices:array<struct<logprobs:struct<content:array<struct<top_logprobs:array<struct<token:string,logprob:double>>>>>>>>"
+
+
+# ------------------------------------------------------------------ manifest
+def parse_manifest(documents: DataFrame, text: str = "value") -> DataFrame:
+    """Videos of manifest documents: {"videos": [...]} or a bare list; the last of a repeated id wins.
+
+    video_id, level (default 1), filename (filename, else file, else id.mp4), domain, duration_sec.
+    """
+    body = F.ltrim(F.col(text))
+    videos = F.when(body.startswith("["), F.from_json(text, f"array<{VIDEO}>")).otherwise(F.from_json(text, f"struct<videos:array<{VIDEO}>>")["videos"])
+    rows = documents.select(F.posexplode(videos).alias("pos", "v")).where("v.video_id IS NOT NULL")
+    last = rows.groupBy("v.video_id").agg(F.max_by("v", "pos").alias("v"))
+    return last.select("video_id", F.coalesce("v.level", F.lit(1)).alias("level"), F.coalesce("v.filename", "v.file", F.concat("video_id", F.lit(".mp4"))).alias("filename"), F.coalesce("v.domain", F.lit("")).alias("domain"), "v.duration_sec")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return parse_manifest(spark.read.text(path, wholetext=True))
+
+
+def select_videos(videos: DataFrame, levels: list[int], only: list[str] | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Videos of the levels, of the ids if any are named, and, given a listing (filename), with a file that exists."""
+    out = videos.where(F.col("level").isin(*levels))
+    out = out.where(F.col("video_id").isin(*only)) if only else out
+    return out if files is None else out.join(files.select("filename").distinct(), "filename", "left_semi")
+
+
+def probe_defaults(fps: Column, frames: Column) -> tuple[Column, Column, Column]:
+    """(fps, frames, duration): a missing or zero rate is 25, missing frames are 0."""
+    rate, n = F.coalesce(F.nullif(fps, F.lit(0.0)), F.lit(25.0)), F.coalesce(frames, F.lit(0)).cast("long")
+    return rate, n, n / rate
+
+
+# ------------------------------------------------------------------ truths and answers
+def read_truths(spark: SparkSession, path: str) -> DataFrame:
+    """Ground-truth rows with gt_ord, their order in the file, which matching depends on."""
+    rows = spark.read.schema(TRUTH).csv(path, header=True)
+    where = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
+    order = F.row_number().over(W.partitionBy("video_id").orderBy("_at")) - 1
+    return rows.withColumn("_at", where).withColumns({"is_anomaly": F.lower(F.trim("is_anomaly")) == "true", "gt_ord": order}).drop("_at")
+
+
+def timed_truths(truths: DataFrame, upload: str) -> DataFrame:
+    """Anomalous truths with times for an uploaded file, found by its upper-cased stem."""
+    stem = upload.rsplit("/", 1)[-1].rsplit(".", 1)[0].upper()
+    return truths.where((F.col("video_id") == stem) & F.col("is_anomaly") & F.col("start_time_sec").isNotNull() & F.col("end_time_sec").isNotNull())
+
+
+def parse_sheet(documents: DataFrame, text: str = "value") -> DataFrame:
+    """Answers of sheet documents, the last of a repeated id: video_id, events, runtime_metadata."""
+    rows = documents.select(F.posexplode(F.from_json(text, SHEET)["predictions"]).alias("pos", "p"))
+    return rows.groupBy("p.video_id").agg(F.max_by("p", "pos").alias("p")).select("video_id", F.coalesce("p.events", F.array().cast(f"array<{EVENT}>")).alias("events"), "p.runtime_metadata")
+
+
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    return parse_sheet(spark.read.text(path, wholetext=True))
+
+
+def sheet_events(answers: DataFrame) -> DataFrame:
+    """(video_id, pred_ord, class_name, start_sec, end_sec, explanation)"""
+    e = answers.select("video_id", F.posexplode("events").alias("pred_ord", "e"))
+    return e.select("video_id", "pred_ord", "e.class_name", F.col("e.start_time_sec").alias("start_sec"), F.col("e.end_time_sec").alias("end_sec"), "e.explanation")
+
+
+def sheet_json(answers: DataFrame, submission_id: str, model_name: str, wall_ms: float, hardware: str, schema_version: str = "1.0", parallel: int = 1) -> DataFrame:
+    """One row (value): the whole sheet as JSON, answers by id, nulls written out. A sheet is one document by definition."""
+    body = F.sort_array(F.collect_list(F.struct("video_id", "events", "runtime_metadata")))
+    run = F.struct(F.lit(wall_ms).alias("total_wall_time_ms"), F.lit(parallel).alias("max_parallel_videos"), F.lit(hardware).alias("hardware"))
+    sheet = F.struct(F.lit(schema_version).alias("schema_version"), F.lit(submission_id).alias("submission_id"), F.lit(model_name).alias("model_name"), run.alias("run_metadata"), F.col("predictions"))
+    return answers.agg(body.alias("predictions")).select(F.to_json(sheet, {"ignoreNullFields": "false"}).alias("value"))
+
+
+# ------------------------------------------------------------------ training rows
+def chat_rows(samples: DataFrame, prompt: str, letter: str = "letter", images: str = "images") -> DataFrame:
+    """One row (value) per sample: user turn of image marks and the prompt, assistant turn of the letter, image paths."""
+    user = F.concat(F.repeat(F.lit("<image>"), F.size(images)), F.lit("\n" + prompt))
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return samples.select(F.to_json(F.struct(F.array(turn("user", user), turn("assistant", F.col(letter))).alias("messages"), F.col(images).alias("images"))).alias("value"))
+
+
+def labelled_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """(path, class_name) of files that match; files of no known class are left out."""
+    paths = spark.read.format("binaryFile").load(patterns).select(F.col("path"))
+    return paths.withColumn("class_name", class_of_path(F.col("path"), CLASSES, FOLDER_CLASS)).where("class_name IS NOT NULL")
+
+
+# ------------------------------------------------------------------ external scorers
+def reply_tokens(reply: Column) -> Column:
+    """array<struct<token, logprob>> of a model's JSON reply; null where it has none."""
+    return F.from_json(reply, REPLY)["choices"][0]["logprobs"]["content"][0]["top_logprobs"]
+
+
+def score_chunks(chunks: DataFrame, scorer: Callable[[list[bytes]], str | None], images: str = "images", retries: int = 2) -> DataFrame:
+    """chunks plus reply, ms and scorer_failed; ``scorer`` turns a chunk's images into a JSON reply.
+
+    Failures are tried again, then flagged. Materialise the result before branching, so that no call is repeated.
+    """
+    import time
+
+    schema = chunks.drop(images).schema.add("reply", "string").add("ms", "double").add("scorer_failed", "boolean")
+    names = [f.name for f in chunks.schema if f.name != images]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            replies, times, failed = [], [], []
+            for own in batch.column(batch.schema.get_field_index(images)).to_pylist():
+                began, reply = time.perf_counter(), None
+                for _ in range(retries + 1):
+                    try:
+                        reply = scorer(own)
+                        break
+                    except Exception:  # noqa: BLE001  any failure of the outside model counts
+                        continue
+                replies.append(reply)
+                failed.append(reply is None)
+                times.append((time.perf_counter() - began) * 1000)
+            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(replies, pa.string()), pa.array(times, pa.float64()), pa.array(failed, pa.bool_())], [*names, "reply", "ms", "scorer_failed"])
+
+    return chunks.mapInArrow(run, schema)
+
+
+def teacher_letter(answer: Column) -> Column:
+    """The first letter A-L of an upper-cased answer, else null."""
+    return F.nullif(F.regexp_extract(F.upper(answer), "[A-L]", 0), F.lit(""))

@@ -1 +1,131 @@
+"""The ordered progress stream: chunk results that arrive in any order leave in order, then events, done and eof.
 
+Input rows: (job, kind, idx, total, p_anom, class_name, start_sec, end_sec, message) with kind ``chunk`` or ``error``.
+A job's ``total`` comes with every row. Output rows: (job, seq, type, body), body as JSON. Chunks wait in state until all
+before them have come; after the last one the job's events are found by the same rules as in batch, once, at the end.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..config import Settings
+
+OUTPUT = "job string, seq long, type string, body string"
+
+
+def median3(xs: list[float]) -> list[float]:
+    """As the batch operator of width 3."""
+    if len(xs) < 3:
+        return xs
+    inner = [sorted(xs[i - 1 : i + 2])[1] for i in range(1, len(xs) - 1)]
+    return [(xs[0] + xs[1]) / 2, *inner, (xs[-2] + xs[-1]) / 2]
+
+
+def job_events(chunks: list[tuple], s: Settings) -> list[dict]:
+    """Events of one finished job; chunks: (p_anom, class_name, start, end) in order, each with one class."""
+    xs = median3([c[0] for c in chunks])
+    n, k = len(xs), s.t_open_chunks
+    if not xs or max(xs) < s.t_video:
+        return []
+    merged: list[dict] = []
+    at = 0
+    while at < n:
+        if xs[at] < s.t_low:
+            at += 1
+            continue
+        stop = at
+        while stop < n and xs[stop] >= s.t_low:
+            stop += 1
+        ahead = [i for i in range(at, stop) if (i + k <= n and min(xs[i : i + k]) >= s.t_high) or (n < k and xs[i] >= s.t_high)]
+        if ahead:
+            votes: dict[str, float] = {}
+            for p, name, _, _ in chunks[ahead[0] : stop]:
+                if name is not None:
+                    votes[name] = votes.get(name, 0.0) + p
+            if votes:
+                name = min(votes, key=lambda c: (-votes[c], c))
+                event = {"class_name": name, "start_time_sec": round(chunks[ahead[0]][2], 2), "end_time_sec": round(chunks[stop - 1][3], 2), "confidence": max(xs[ahead[0] : stop])}
+                last = merged[-1] if merged else None
+                if last and last["class_name"] == name and event["start_time_sec"] - last["end_time_sec"] <= s.merge_gap_sec:
+                    last |= {"end_time_sec": max(last["end_time_sec"], event["end_time_sec"]), "confidence": max(last["confidence"], event["confidence"])}
+                else:
+                    merged.append(event)
+        at = stop
+    good = [e for e in merged if e["end_time_sec"] - e["start_time_sec"] >= s.min_duration.get(e["class_name"], s.default_duration)]
+    best = sorted(good, key=lambda e: (-e["confidence"], e["start_time_sec"]))[: s.max_events]
+    return sorted(best, key=lambda e: e["start_time_sec"])
+
+
+class OrderedProgress(StatefulProcessor):
+    """State of a job: how many messages have left, chunks by index, whether it has ended."""
+
+    settings = Settings()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place = handle.getValueState("place", "seq long, next long, ended boolean")
+        self.chunks = handle.getMapState("chunks", "idx long", "p_anom double, class_name string, start_sec double, end_sec double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        seq, after, ended = self.place.get() if self.place.exists() else (0, 0, False)
+        out: list[tuple] = []
+
+        def say(kind: str, body: dict) -> None:
+            nonlocal seq
+            out.append((key[0], seq, kind, json.dumps(body)))
+            seq += 1
+
+        for frame in rows:
+            for r in frame.itertuples(index=False):
+                if ended:
+                    continue
+                if not seq:
+                    say("meta", {"chunks": int(r.total)})
+                if r.kind == "error":
+                    say("error", {"message": r.message})
+                    say("eof", {})
+                    ended = True
+                    continue
+                self.chunks.updateValue((int(r.idx),), (float(r.p_anom), r.class_name, float(r.start_sec), float(r.end_sec)))
+                while after < r.total and self.chunks.containsKey((after,)):
+                    p, name, a, b = self.chunks.getValue((after,))
+                    say("chunk", {"idx": after, "start": a, "end": b, "p_anom": round(p, 4), "cls": name})
+                    after += 1
+                if after >= r.total:
+                    every = [tuple(self.chunks.getValue((i,))) for i in range(after)]
+                    say("events", {"events": job_events(every, self.settings)})
+                    say("done", {"calls": after})
+                    say("eof", {})
+                    ended = True
+        if ended and self.chunks.exists():
+            self.chunks.clear()
+        self.place.update((seq, after, ended))
+        yield pd.DataFrame(out, columns=["job", "seq", "type", "body"])
+
+    def close(self) -> None:
+        pass
+
+
+def processor(settings: Settings) -> StatefulProcessor:
+    own = OrderedProgress()
+    own.settings = settings
+    return own
+
+
+def ordered_progress(stream: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Messages in order for each job of a streaming frame (needs the RocksDB state store)."""
+    return stream.groupBy("job").transformWithStateInPandas(processor(settings or Settings()), OUTPUT, "append", "none")
+
+
+def server_sent(messages: DataFrame) -> DataFrame:
+    """Messages framed for an event stream."""
+    from pyspark.sql import functions as F
+
+    plain = F.concat(F.lit("data: "), "body", F.lit("\n\n"))
+    return messages.withColumn("frame", F.when(F.col("type") == "eof", F.lit("event: eof\ndata: {}\n\n")).otherwise(plain))
