@@ -5,9 +5,14 @@ the bin that its own probe sequence first finds filled, which keeps every bin's
 Each band of ``ROWS`` bins names a bucket, so two sets of resemblance 0.8 share one of 24 buckets but for 3 in a million.
 
 Equal sets are one class from the start. In a bucket the classes form a star around the member with the most bucket
-mates, and star edges are confirmed on the full sets. Buckets whose members are then in one component are settled: no
-pair in them can change the components. Others get stars from further centres while that leaves many pairs, and at last
-all pairs of members of different components, so no link between different texts is lost to the star shape.
+mates (the centre), and star edges are confirmed on the full sets. A star bounds the number of pairs but may miss a link
+between two members of which one is not linked with the centre. Those are found through what the sets have besides the
+centre's: with a = centre less set and b = set less centre (sizes of A and B), x and y can only be linked if
+d |B_x & B_y| >= 100 (a_x + a_y) + c (b_x + b_y) - (100 - c) n - d min(a_x, a_y), where c is the percentage, d = 100 + c
+and n the centre's size. So an index of each centre's group on the shingles that the centre lacks, rarest first and only
+as far as the least such number demands (prefix filter), finds all candidates, and edited copies of one text share none
+of their own edits. Pairs for which the bound is not positive are joined directly. No link between different texts is
+lost to the star shape, and copies of one text are never paired with each other.
 """
 
 from __future__ import annotations
@@ -27,8 +32,6 @@ from .textkit import Words, chunks, distinct, list_array, mix, shingles, text_by
 BANDS, ROWS = 24, 4
 BINS = BANDS * ROWS
 PROBES = 64
-#: Stars tried before the remaining pairs are listed; they are listed earlier once there are fewer than four for each class.
-STARS = 6
 
 
 def one_permutation(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -93,12 +96,48 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, hashes array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the resemblance."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) with the sizes n_u, n_v of their full sets, ``common``, and ``besides``: what v has and u lacks."""
     left = sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b"))
-    both = pairs.join(right, "v").join(left, "u").withColumn("common", F.size(F.array_intersect("a", "b")))
-    return both.where(F.col("common") * 100 >= percent * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
+    both = pairs.join(right, "v").join(left, "u").withColumn("besides", F.array_except("b", "a"))
+    return both.select("u", "v", F.size("a").alias("n_u"), F.size("b").alias("n_v"), (F.size("b") - F.size("besides")).alias("common"), "besides")
+
+
+def _linked(percent: int):
+    return F.col("common") * (100 + percent) >= percent * (F.col("n_u") + F.col("n_v"))
+
+
+def _open_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components in one star's group that may be linked though one is not with the centre."""
+    c, d = percent, 100 + percent
+    named = labels.select(F.col("node").alias("x"), "component")
+    rows = stars.select(F.col("u").alias("p"), F.col("v").alias("x"), F.col("n_u").alias("n"), F.col("n_v").alias("size"), (F.col("n_u") - F.col("common")).alias("a"), F.size("besides").alias("b"), "besides", _linked(percent).alias("near"))
+    rows = rows.join(named, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    rows = rows.withColumns({"high": 100 * F.col("a") + c * F.col("b") - (100 - c) * F.col("n"), "low": c * (F.col("a") - F.col("b"))})
+    group = rows.groupBy("p").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("high").alias("high0"), F.max("low").alias("low1"))
+    rows = materialize(rows.join(group.where("c0 != c1").drop("c0", "c1"), "p"))
+    least = F.ceil(((100 - c) * F.col("a") + c * F.col("b") - (100 - c) * F.col("n")) / 100)
+    tokens = rows.where("b > 0").select("p", "x", "component", "size", "n", "a", "b", "near", F.greatest(F.lit(1), least).alias("least"), F.explode("besides").alias("token"))
+    often = tokens.groupBy("p", "token").agg(F.count("*").alias("often"))
+    tokens = tokens.join(often, ["p", "token"]).withColumn("rank", F.row_number().over(W.partitionBy("p", "x").orderBy("often", "token")))
+    tokens = materialize(tokens.where("rank <= b - least + 1 AND often > 1").drop("rank", "often", "n"))
+
+    def side(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        return df.select(*keys, *[F.col(x).alias(f"{name}_{x}") for x in df.columns if x not in keys])
+
+    apart = (F.col("u_component") != F.col("v_component")) & ~(F.col("u_near") & F.col("v_near"))
+    close = F.least("u_size", "v_size") * 100 >= c * F.greatest("u_size", "v_size")
+    met = side(tokens, "u", ["p", "token"]).join(side(tokens, "v", ["p", "token"]), ["p", "token"]).where((F.col("u_x") < F.col("v_x")) & apart & close)
+    met = met.groupBy("p", "u_x", "v_x", "u_a", "u_b", "v_a", "v_b", F.greatest("u_least", "v_least").alias("least")).agg(F.count("*").alias("shared"))
+    sizes = rows.select("p", "n").distinct()
+    bound = 100 * (F.col("u_a") + F.col("v_a")) + c * (F.col("u_b") + F.col("v_b")) - (100 - c) * F.col("n") - d * F.least("u_a", "v_a")
+    met = met.join(sizes, "p").where((F.col("shared") + F.col("least") - 1) * d >= bound).select(F.col("u_x").alias("u"), F.col("v_x").alias("v"))
+    # the bound asks for nothing besides the centre: high of the one with the larger a is at most low of the other
+    thin = rows.drop("besides", "n")
+    far = thin.where("NOT near AND (high <= low1 OR low >= high0)")
+    plain = side(far, "u", ["p"]).join(side(thin, "v", ["p"]), "p").where((F.col("u_x") != F.col("v_x")) & apart & close & F.when(F.col("u_a") >= F.col("v_a"), F.col("u_high") <= F.col("v_low")).otherwise(F.col("v_high") <= F.col("u_low")))
+    return met.unionByName(plain.select(F.least("u_x", "v_x").alias("u"), F.greatest("u_x", "v_x").alias("v"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,36 +157,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     shared = cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(cells.join(shared, "key"))
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    members = materialize(members.join(degree, "node"))
-    wanted = members.select(F.col("node").alias("doc_id"), "n").distinct()
-    sets = materialize(shingle_sets(base.join(wanted.select("doc_id"), "doc_id", "left_semi"), k))
-    close = F.least("u_n", "v_n") * 100 >= percent * F.greatest("u_n", "v_n")
-    limit = 4 * classes.count()
-    edges, labels = None, None
-    for star in range(STARS + 1):
-        own = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        own = own.join(open_, "key")
-        if star:
-            own = materialize(own)
-            parts = own.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-            left = parts.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0))).first()[0]
-            if not left:
-                break
-        if star and (left <= limit or star == STARS):
-            v = own.select("key", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("component").alias("v_component"))
-            u = own.select("key", F.col("node").alias("u"), F.col("n").alias("u_n"), "component")
-            pairs = u.join(v, "key").where((F.col("component") < F.col("v_component")) & close)
-        else:  # the first centre has the most mates; later ones are drawn by a hash, among the largest mate count first
-            rank = F.struct(F.col("degree") if not star else F.xxhash64("component", F.lit(star)), F.xxhash64("node", F.lit(star)), F.col("node"), F.col("n"), F.col("component"))
-            centre = own.groupBy("key").agg(F.max(rank).alias("c")).select("key", F.col("c.node").alias("u"), F.col("c.n").alias("u_n"), F.col("c.component").alias("u_component"))
-            pairs = own.select("key", F.col("node").alias("v"), F.col("n").alias("v_n"), "component").join(centre, "key").where((F.col("component") != F.col("u_component")) & close)
-        found = materialize(_confirmed(pairs.select("u", "v").distinct(), sets, percent))
-        last = star and (left <= limit or star == STARS)
-        edges = found if edges is None else edges.unionByName(found)
-        labels = materialize(connected_components(edges))
-        if last:
-            break
+    centre = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("o"))).alias("c")).select("key", (-F.col("c.o")).alias("u"))
+    pairs = members.join(centre, "key").where("u != node").select("u", F.col("node").alias("v")).distinct()
+    sets = materialize(shingle_sets(base.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), k))
+    stars = materialize(_compared(pairs, sets))
+    labels = materialize(connected_components(stars.where(_linked(percent)).select("u", "v")))
+    more = _compared(_open_pairs(stars, labels, percent), sets).where(_linked(percent)).select("u", "v")
+    name = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
+    more = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_c", "u").alias("u"), F.coalesce("v_c", "v").alias("v"))
+    over = materialize(connected_components(more))
+    joined = labels.join(over.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    labels = materialize(joined.unionByName(over.join(labels.select("node"), "node", "left_anti")))
     labels = labels.select(F.col("node").alias("label_node"), F.col("component").alias("label"))
     member = marks.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "sig_a", "sig_b").join(classes.select("sig_a", "sig_b", "node"), ["sig_a", "sig_b"])
     member = member.join(labels, F.col("node") == F.col("label_node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("component_id"))
