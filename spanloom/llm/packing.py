@@ -116,10 +116,10 @@ class Pattern:
 
 
 def _filling(room: int, counts: np.ndarray, nodes: int) -> list[int]:
-    """Lengths that fill ``room`` best. Depth first over non-increasing lengths; a branch ends when even a full
-    completion cannot beat the incumbent's waste. Of equal waste the filling with larger lengths wins, as it is met first:
-    a filling that another dominates (the same room in more, smaller parts) is never preferred. ``nodes``: steps after
-    which the incumbent, at worst the best-fit filling, is taken."""
+    """Lengths that fill ``room`` best. Depth first over non-increasing lengths, larger ones first; a branch ends when all
+    that may still be added cannot beat the incumbent's waste. A single length that fills the rest is tried before any
+    split of it, which it dominates, so dominated fillings of the same waste are never taken. ``nodes``: steps after which
+    the incumbent, at worst the best-fit filling, is taken."""
     have = np.flatnonzero(counts[: room + 1])
     best: list[int] = []
     left, at = room, room
@@ -132,7 +132,7 @@ def _filling(room: int, counts: np.ndarray, nodes: int) -> list[int]:
         best.append(int(fit[-1]))
         rest[fit[-1]] -= 1
         left, at = left - int(fit[-1]), int(fit[-1])
-    waste, steps = left, 0
+    waste, steps, mass = left, 0, np.cumsum(counts * np.arange(len(counts)))
     stack: list[tuple[int, int, tuple[int, ...]]] = [(room, room, ())]
     while stack and waste and steps < nodes:
         left, most, chosen = stack.pop()
@@ -141,6 +141,8 @@ def _filling(room: int, counts: np.ndarray, nodes: int) -> list[int]:
             best, waste = list(chosen), left
         if not left:
             break
+        if left - int(mass[min(left, most)]) >= waste:  # all that may still be added leaves no less waste
+            continue
         fit = have[: np.searchsorted(have, min(left, most), "right")]
         exact = min(left, most)
         options = [int(x) for x in fit[-24:] if counts[x] > chosen.count(int(x))]
