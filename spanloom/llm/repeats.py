@@ -8,9 +8,11 @@ each occurrence agrees with any other (not just its neighbour). An interval whos
 left than in the intervals inside it adds nothing. Right plus left agreement of ``LENGTH`` or more is a repeat, and the
 spans of one occurrence all hold its anchor, so their union is one span.
 
-Texts that are equal as a whole are one text with a number of copies. A group of more than ``CROWD`` occurrences, such
-as a passage in a third of all documents, is settled without gathering it: every ``LENGTH``-byte string around its
-anchors is counted by its hash, with map-side combination.
+Occurrences with the same bytes around the anchor, as far as strings with it reach, are one class with a representative:
+a class of two or more is repeated as a whole, and only representatives are compared with other classes. Texts that are
+equal as a whole are one text with a number of copies. A group of more than ``CROWD`` classes, which a task should not
+hold, is settled without gathering it: every ``LENGTH``-byte string around its anchors is counted by its hash, with
+map-side combination.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, materialize
-from .textkit import CHUNK, Prefix, chunks, text_bytes
+from .textkit import CHUNK, Prefix, chunks, mix, text_bytes
 
 LENGTH, GRAM = 200, 50
 WIDTH = LENGTH - GRAM + 1
+#: Classes whose contexts one task holds at once; larger groups are counted instead.
 CROWD = 4096
 
 
@@ -62,20 +65,22 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return hit, grams[hit]
 
 
-def _pieces(offsets: np.ndarray, i: int, j: int) -> list[tuple[int, int, int]]:
-    """(row, from, to) of rows i..j; texts over a chunk in overlapping parts that hold each of their strings."""
+def _pieces(offsets: np.ndarray, i: int, j: int) -> list[tuple[int, int, int, int, int]]:
+    """(row, from, to, first, last) of rows i..j: anchors at first..last count. Texts over two chunks come in parts that
+    hold every string which starts in their own chunk, and the bytes around its anchors."""
     out = []
     for r in range(i, j):
         a, b = offsets[r], offsets[r + 1]
         if b - a <= 2 * CHUNK:
-            out.append((r, a, b))
+            out.append((r, a, b, a, b))
         else:
-            out += [(r, at, min(b, at + CHUNK + LENGTH - 1)) for at in range(a, b, CHUNK)]
+            out += [(r, max(a, at - WIDTH + 1), min(b, at + CHUNK + LENGTH + WIDTH - 1), at, min(b, at + CHUNK + WIDTH - 1)) for at in range(a, b, CHUNK)]
     return out
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(h, k, pos): anchors of every text; k names the text."""
+    """(h, hull, k, pos, room): anchors of every text; k names the text, hull the bytes that strings with the anchor may
+    hold, room is how many of them follow from the anchor on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,46 +88,51 @@ def occurrences(docs: DataFrame) -> DataFrame:
             keys = batch.column("k").to_numpy()
             for i, j in chunks(offsets):
                 parts = _pieces(offsets, i, j)
-                groups = [parts] if j - i > 1 or len(parts) == 1 else [[p] for p in parts]
-                for own in groups:
-                    row, begin, end = (np.array(x) for x in zip(*own, strict=True))
+                for own in [parts] if j - i > 1 or len(parts) == 1 else [[p] for p in parts]:
+                    row, begin, end, first, last = (np.array(x) for x in zip(*own, strict=True))
+                    raw = data[begin[0] : end[-1]]
                     ends = np.cumsum(end - begin)
-                    hit, h = anchors(data[begin[0] : end[-1]], ends)
+                    hit, h = anchors(raw, ends)
                     part = np.searchsorted(ends, hit, "right")
-                    pos = hit - (ends - (end - begin))[part] + (begin - offsets[row])[part]
-                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(keys[row[part]]), pa.array(pos)], ["h", "k", "pos"])
+                    at = hit - (ends - (end - begin))[part] + begin[part]
+                    keep = (at >= first[part]) & (at < last[part])
+                    hit, h, part, at = hit[keep], h[keep], part[keep], at[keep]
+                    pos = at - offsets[row[part]]
+                    before, room = np.minimum(pos, WIDTH - 1), np.minimum(offsets[row[part] + 1] - at, LENGTH)
+                    hull = mix(Prefix(raw)(hit - before, hit + room) + (before * (LENGTH + 1) + room).astype(np.uint64))
+                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(keys[row[part]]), pa.array(pos), pa.array(room.astype(np.int32))], ["h", "hull", "k", "pos", "room"])
 
-    return docs.mapInArrow(run, "h long, k long, pos long")
+    return docs.mapInArrow(run, "h long, hull long, k long, pos long, room int")
 
 
 def contexts(texts: DataFrame) -> DataFrame:
-    """(h, k, pos, crowd, before, after) of the rows (k, text, anchors): up to WIDTH - 1 bytes before an anchor and LENGTH from it on."""
+    """(h, hull, k, pos, crowd, before, after) of the rows (k, text, anchors): up to WIDTH - 1 bytes before an anchor and LENGTH from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "k", "pos", "crowd", "before", "after"]
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            size = 0
+            cols: list[list] = [[] for _ in CONTEXT]
             for k, text, own in zip(batch.column("k").to_pylist(), batch.column("text"), batch.column("anchors").to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 for a in own:
                     pos = a["pos"]
-                    row = (a["h"], k, pos, a["crowd"], raw[max(0, pos - WIDTH + 1) : pos], raw[pos : pos + LENGTH])
+                    row = (a["h"], a["hull"], k, pos, a["crowd"], raw[max(0, pos - WIDTH + 1) : pos], raw[pos : pos + LENGTH])
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
-                size += len(own)
-                if size > 20_000:
-                    yield _contexts_batch(cols, names)
-                    cols, size = [[] for _ in names], 0
-            if size:
-                yield _contexts_batch(cols, names)
+                if len(cols[0]) > 20_000:
+                    yield _contexts_batch(cols)
+                    cols = [[] for _ in CONTEXT]
+            if cols[0]:
+                yield _contexts_batch(cols)
 
-    return texts.mapInArrow(run, "h long, k long, pos long, crowd boolean, before binary, after binary")
+    return texts.mapInArrow(run, "h long, hull long, k long, pos long, crowd boolean, before binary, after binary")
 
 
-def _contexts_batch(cols: list[list], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+CONTEXT = ("h", "hull", "k", "pos", "crowd", "before", "after")
+
+
+def _contexts_batch(cols: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], list(CONTEXT))
 
 
 def _matrix(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +216,8 @@ def _settle(h: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple[np.
     return left, right
 
 
-def tree_spans(rows: DataFrame) -> DataFrame:
-    """(k, start, stop) from contexts of groups of up to CROWD occurrences, partitioned and sorted by h."""
+def tree_extents(rows: DataFrame) -> DataFrame:
+    """(h, hull, left, right) from contexts of groups of up to CROWD classes, partitioned and sorted by h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -229,15 +239,14 @@ def tree_spans(rows: DataFrame) -> DataFrame:
             part = table.slice(at, stop - at)
             left, right = _settle(part["h"].to_numpy(), part["before"].to_pylist(), part["after"].to_pylist())
             hit = np.flatnonzero(right)
-            pos = part["pos"].to_numpy()[hit]
-            yield pa.record_batch([pa.array(part["k"].to_numpy()[hit]), pa.array(pos - left[hit]), pa.array(pos + right[hit])], ["k", "start", "stop"])
+            yield pa.record_batch([pa.array(part["h"].to_numpy()[hit]), pa.array(part["hull"].to_numpy()[hit]), pa.array(left[hit]), pa.array(right[hit])], ["h", "hull", "left", "right"])
             at = stop
 
-    return rows.mapInArrow(run, "k long, start long, stop long")
+    return rows.mapInArrow(run, "h long, hull long, left long, right long")
 
 
 def windows(rows: DataFrame) -> DataFrame:
-    """(w, k, start): every LENGTH-byte string around the anchors of crowded groups, by hash."""
+    """(w, k, start, h, hull, left): every LENGTH-byte string around the anchors of crowded groups, by hash; left: bytes before the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,10 +260,11 @@ def windows(rows: DataFrame) -> DataFrame:
                 number = np.maximum(size - LENGTH + 1, 0)
                 row = np.repeat(np.arange(len(texts)), number)
                 nth = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-                start = part.column("pos").to_numpy() - np.array([len(b.as_py()) for b in part.column("before")])
-                yield pa.record_batch([pa.array(grams[begin[row] + nth].view(np.int64)), pa.array(part.column("k").to_numpy()[row]), pa.array(start[row] + nth)], ["w", "k", "start"])
+                left = np.array([len(b) for b in part.column("before").to_pylist()])[row] - nth
+                h, hull, k, pos = (part.column(c).to_numpy()[row] for c in ("h", "hull", "k", "pos"))
+                yield pa.record_batch([pa.array(x) for x in (grams[begin[row] + nth].view(np.int64), k, pos - left, h, hull, left)], ["w", "k", "start", "h", "hull", "left"])
 
-    return rows.mapInArrow(run, "w long, k long, start long")
+    return rows.mapInArrow(run, "w long, k long, start long, h long, hull long, left long")
 
 
 def _repeated(df: DataFrame, key: str, *place: str) -> DataFrame:
@@ -284,14 +294,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     base = id_text(docs, id_col, text_col).withColumn("k", F.xxhash64("text", F.octet_length("text")))
     found = materialize(occurrences(base.select("k", "text")))
-    again = materialize(_repeated(found, "h", "k", "pos").select("h", (F.col("n") > CROWD).alias("crowd")))
-    places = found.join(again, "h").groupBy("k").agg(F.collect_set(F.struct("pos", "h", "crowd")).alias("anchors"))
+    held = materialize(found.join(_repeated(found, "h", "k", "pos").select("h"), "h"))
+    classes = held.groupBy("h", "hull").agg(F.min(F.struct("k", "pos", "room")).alias("one"), F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("pos").alias("pos0"), F.max("pos").alias("pos1"))
+    classes = materialize(classes.select("h", "hull", "one.*", (F.expr("k0 != k1") | F.expr("pos0 != pos1")).alias("many")))
+    size = classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > CROWD).alias("crowd"))
+    places = classes.join(size, "h").groupBy("k").agg(F.collect_set(F.struct("pos", "h", "hull", "crowd")).alias("anchors"))
     texts = base.groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     near = materialize(contexts(texts.join(places, "k").select("k", "text", "anchors")))
-    spans = tree_spans(near.where("NOT crowd").repartition("h").sortWithinPartitions("h"))
+    extents = tree_extents(near.where("NOT crowd").drop("crowd", "k", "pos").repartition("h").sortWithinPartitions("h"))
     crowd = windows(near.where("crowd"))
-    crowd = crowd.join(_repeated(crowd, "w", "k", "start").select("w"), "w", "left_semi").select("k", "start", (F.col("start") + LENGTH).alias("stop"))
-    spans = spans.unionByName(crowd).groupBy("k").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
+    crowd = crowd.join(_repeated(crowd, "w", "k", "start").select("w"), "w", "left_semi").groupBy("h", "hull").agg(F.max("left").alias("left"), (LENGTH - F.min("left")).alias("right"))
+    before = F.least("pos", F.lit(WIDTH - 1))
+    whole = classes.where("many").select("h", "hull", before.alias("left"), F.col("room").cast("long").alias("right")).where(F.col("left") + F.col("right") >= LENGTH)
+    extents = extents.unionByName(crowd).unionByName(whole).groupBy("h", "hull").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    spans = held.join(extents, ["h", "hull"]).select("k", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("stop"))
+    spans = spans.groupBy("k").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
