@@ -236,7 +236,13 @@ def train(docs: DataFrame) -> Model:
     for r in by_key:
         n[own[r["key"]]] += r["n"]
         v[own[r["key"]]] += r["v"]
-    top = table.orderBy(F.desc("c"), "h").select("h", "c").limit(HEAD).toArrow()  # HEAD rows at most
+    step = F.floor(F.log2("c") * 8).cast("int")
+    least, room = 1 << 30, HEAD  # whole steps of the count, from the highest down, while they fit
+    for r in sorted(table.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):  # 512 rows at most
+        if r["n"] > room:
+            break
+        least, room = r["step"], room - r["n"]
+    top = table.where(step >= least).select("h", "c").toArrow()  # HEAD rows at most
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(h)
     weights = start_weights(pairs, own)
