@@ -187,8 +187,7 @@ def answer_sheet_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.overlay(log, "user_id", "day")
 
 
-@query(
-    """WITH e AS (SELECT user_id AS video_id, CASE WHEN event_id % 11 = 0 THEN 'normal' WHEN event_id % 13 = 0 THEN 'odd' ELSE event_type END AS class_name,
+RULES = """WITH e AS (SELECT user_id AS video_id, CASE WHEN event_id % 11 = 0 THEN 'normal' WHEN event_id % 13 = 0 THEN 'odd' ELSE event_type END AS class_name,
         CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 17 = 0 THEN -1.0 ELSE value END AS start_sec, CASE WHEN event_id % 19 = 0 THEN NULL ELSE 50.0 END AS end_sec, CASE WHEN event_id % 3 = 0 THEN props END AS explanation,
         CASE WHEN user_id % 10 <> 9 THEN user_id % 3 + 1 END AS level FROM events),
     r AS (SELECT video_id, unnest([CASE WHEN class_name = 'normal' THEN 'normal_class' END, CASE WHEN class_name = 'odd' THEN 'bad_class' END,
@@ -197,10 +196,21 @@ def answer_sheet_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN explanation IS NOT NULL AND length(explanation) NOT BETWEEN 20 AND 500 THEN 'explanation_length' END]) AS rule FROM e),
     a AS (SELECT video_id, rule FROM r WHERE rule IS NOT NULL UNION ALL SELECT DISTINCT user_id, 'unknown_video' FROM events WHERE user_id % 10 = 9
         UNION ALL SELECT DISTINCT user_id, 'unknown_video' FROM events WHERE user_id % 10 = 9 AND user_id % 4 = 1 UNION ALL SELECT DISTINCT user_id, 'duplicate' FROM events WHERE user_id % 4 = 1
-        UNION ALL SELECT user_id, 'average_mismatch' FROM events GROUP BY user_id HAVING user_id % 6 = 0)
-    SELECT video_id, rule, count(*) AS n FROM a GROUP BY ALL"""
-)
+        UNION ALL SELECT user_id, 'average_mismatch' FROM events GROUP BY user_id HAVING user_id % 6 = 0)"""
+
+
+@query(f"{RULES} SELECT video_id, rule, count(*) AS n FROM a GROUP BY ALL")
 def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _violations(spark, sf_dir).groupBy("video_id", "rule").agg(F.count("*").alias("n"))
+
+
+@query(f"{RULES}, c AS (SELECT video_id, rule FROM a ORDER BY video_id, rule LIMIT 40) SELECT video_id, rule, count(*) AS n FROM c GROUP BY ALL")
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report lists the first forty breaches."""
+    return Q.first_violations(_violations(spark, sf_dir)).groupBy("video_id", "rule").agg(F.count("*").alias("n"))
+
+
+def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "events")
     i, u = F.col("event_id"), F.col("user_id")
     events = t.select(
@@ -215,8 +225,7 @@ def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = users.where("video_id % 10 != 9").select("video_id", (F.col("video_id") % 3 + 1).cast("int").alias("level"))
     times = t.groupBy(u.alias("video_id")).agg(F.sum("value").alias("total_time_ms"), F.count("*").alias("call_count"))
     times = times.withColumn("average_time_ms", F.col("total_time_ms") / F.col("call_count") * F.when(F.col("video_id") % 6 == 0, 1.5).otherwise(1.0))
-    found = Q.violations(events, answers, manifest, times, ("normal", "click", "error", "purchase", "signup", "view"))
-    return found.groupBy("video_id", "rule").agg(F.count("*").alias("n"))
+    return Q.violations(events, answers, manifest, times, ("normal", "click", "error", "purchase", "signup", "view"))
 
 
 @query(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Profile
-from ..functions import softmax, temperature, token_letter, top_classes
+from ..config import LETTERS, Profile
+from ..functions import p_anomaly, softmax, temperature, token_letter, top_classes
 from ..operators import detection as D
+from ..sources import reply_tokens
 from . import DURATIONS, SETTINGS, SMOOTH, TYPES, WINDOW, chunks, events_sql, final_sql, merged_sql, runs_sql, table
 
 S = SETTINGS
@@ -260,3 +261,33 @@ def tile_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = t.groupBy("chunk").agg(F.max(F.when(F.col("tile") == 0, F.col("full"))).alias("full_anom"))
     out = D.best_tile(t, ["chunk"]).join(full, "chunk")
     return out.select("chunk", "tile", "tile_anom", D.tile_override(F.col("full_anom") * 1.0, F.col("tile_anom"), S.verify_tile_min_conf).alias("overrides"))
+
+
+@query(
+    """WITH l AS (SELECT user_id, upper(chr((97 + k % 16)::INT)) AS letter, max(-value / 100) AS lp FROM (
+            SELECT user_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL),
+    f AS (SELECT * FROM l WHERE letter <= 'L'),
+    s AS (SELECT user_id, letter, exp(lp - max(lp) OVER (PARTITION BY user_id)) AS e FROM f),
+    p AS (SELECT user_id, letter, pow(greatest(e / sum(e) OVER (PARTITION BY user_id), 1e-12), 1.0 / 3.0) AS q FROM s),
+    n AS (SELECT user_id, letter, q / sum(q) OVER (PARTITION BY user_id) AS p FROM p)
+    SELECT user_id, round(1 - coalesce(sum(CASE WHEN letter = 'A' THEN p END), 0), 9) AS p_anom, round(max(CASE WHEN letter = 'F' THEN p END), 9) AS p_fire FROM n GROUP BY user_id"""
+)
+def reply_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's JSON reply for each user, from tokens to the softened distribution."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    token = F.struct(F.concat(F.lit(" "), F.char(97 + k % 16)).alias("token"), (-F.col("value") / 100).alias("logprob"))
+    own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(token).alias("top_logprobs"))
+    content = F.struct(F.array(F.struct("top_logprobs")).alias("content"))
+    reply = F.to_json(F.struct(F.array(F.struct(content.alias("logprobs"))).alias("choices")))
+    tokens = own.select("user_id", F.explode(reply_tokens(reply)).alias("t")).select("user_id", token_letter(F.col("t.token")).alias("letter"), "t.logprob")
+    logs = tokens.groupBy("user_id").agg(F.array(*[F.max(F.when(F.col("letter") == x, F.col("logprob"))) for x in LETTERS]).alias("logs"))
+    out = logs.select("user_id", temperature(softmax(F.col("logs")), S.temperature).alias("p"))
+    return out.select("user_id", F.round(p_anomaly(F.col("p")[0]), 9).alias("p_anom"), F.round(F.col("p")[5], 9).alias("p_fire"))
+
+
+@query(f"WITH {INFER} SELECT user_id, count(*) AS chunks, count(*) * 8 AS frames_used FROM c GROUP BY user_id")
+def frames_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images over all chunks, overlaps counted each time."""
+    c = D.sliding_chunks(durations(spark, sf_dir), WINDOW)
+    at = D.frame_indices(F.col("start_sec"), F.col("end_sec"), F.lit(25.0), F.floor(F.col("duration_sec") * 25.0).cast("long"), 8, distinct=False)
+    return c.groupBy("user_id").agg(F.count("*").alias("chunks"), F.sum(F.size(at)).alias("frames_used"))
