@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, materialize
 from .components import connected_components
-from .textkit import Words, chunks, distinct, list_array, mix, shingles, text_bytes
+from .textkit import Words, chunks, distinct, lean, list_array, mix, shingles, text_bytes
 
 BANDS, ROWS = 24, 4
 BINS = BANDS * ROWS
@@ -80,7 +80,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 bands = list_array(key.view(np.int64).ravel(), np.where(n > 0, BANDS, 0), pa.int64())
                 yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), bands], ["doc_id", "n", "sig_a", "sig_b", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, sig_a long, sig_b long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -93,7 +93,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 rows, values = distinct(*shingles(Words(data, offsets, i, j), k))
                 yield pa.record_batch([batch.column("doc_id").slice(i, j - i), list_array(values.view(np.int64), np.bincount(rows, minlength=j - i), pa.int64())], ["doc_id", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, hashes array<long>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -24,9 +24,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_text, materialize
+from .textkit import lean
 
 END_ID = 2
-CACHE = 1_000_000
+#: Words kept by a worker, some 50 MB.
+CACHE = 200_000
 _runs = re.compile(r"\s\s")
 
 
@@ -47,18 +49,26 @@ class Encoder:
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.merge = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=_ranks(self.tokenizer), special_tokens={}).encode_ordinary
+        self.path, self.tokenizer = path, None  # loaded again for the few texts that need it
+        tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.merge = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=_ranks(tokenizer), special_tokens={}).encode_ordinary
         self.words: dict[str, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
         return array("I", self.merge(word)).tobytes()
 
+    def _whole(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def __call__(self, text: str) -> bytes:
         if _runs.search(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
+            return self._whole(text) + self.end
         head, *rest = text.split(" ")
         words = self.words
         try:
@@ -106,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, id_col: s
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_text(docs, id_col, text_col).mapInArrow(lean(run), schema)
 
 
 @dataclass
@@ -214,4 +224,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, id_col: str
             yield pa.record_batch([*(batch.column(c) for c in names), *map(pa.array, made)], [*names, "sequence_id", "offset"])
 
     ranked = cut.join(before, ["task", "length"]).withColumn("rank", F.col("nth") + F.col("before"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text
-from .textkit import Prefix, Words, chunks, text_bytes
+from .textkit import Prefix, Words, chunks, lean, text_bytes
 
 BUCKETS, GRAMS, DIM, WINDOW, TOP = 1 << 17, (3, 4, 5, 6), 8, 4, 4
 
@@ -96,24 +96,26 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Distinct words as bags of buckets (offsets, values), each text's words as indices (first, index)."""
     data, offsets = text_bytes(texts)
     known: dict[int, int] = {}
-    bags: list[np.ndarray] = []
-    firsts, indices = [0], []
+    bags, sizes, firsts, indices = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [0], [np.zeros(0, np.int32)]
     for i, j in chunks(offsets):
         words = Words(data, offsets, i, j)
-        h = words.hash()
-        uniq, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        grams = {q: _bucket(words.prefix.grams(q)) for q in GRAMS}
-        ids = np.empty(len(uniq), np.int64)
-        for k, (key, w) in enumerate(zip(uniq.tolist(), at.tolist(), strict=True)):
-            if key not in known:
-                known[key] = len(bags)
-                s, e = words.start[w] - 1, words.end[w] + 1
-                bags.append(np.concatenate([_bucket(np.array([key], np.uint64)), *(grams[q][s : max(s, e - q + 1)] for q in GRAMS)]).astype(np.int32))
-            ids[k] = known[key]
-        indices.append(ids[inverse])
+        uniq, at, inverse = np.unique(words.hash(), return_index=True, return_inverse=True)
+        new = np.array([key not in known for key in uniq.tolist()], bool)
+        known.update(zip(uniq[new].tolist(), range(len(known), len(known) + int(new.sum())), strict=True))
+        start, length = words.start[at[new]] - 1, words.end[at[new]] - words.start[at[new]] + 2
+        number = np.stack([np.ones(len(start), np.int64), *(np.maximum(length - q + 1, 0) for q in GRAMS)], 1)
+        flat = np.zeros(number.sum(), np.int32)
+        to = np.cumsum(number.ravel()).reshape(number.shape) - number  # where each word's grams of each length go
+        flat[to[:, 0]] = _bucket(uniq[new])
+        for c, q in enumerate(GRAMS, 1):
+            n = number[:, c]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            flat[np.repeat(to[:, c], n) + nth] = _bucket(words.prefix.grams(q)[np.repeat(start, n) + nth])
+        bags.append(flat)
+        sizes.append(number.sum(1))
+        indices.append(np.array([known[key] for key in uniq.tolist()], np.int32)[inverse])
         firsts += (words.first[1:] + firsts[-1]).tolist()
-    sizes = np.array([len(b) for b in bags] or [0])
-    return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(bags or [np.zeros(0, np.int32)]), np.array(firsts), np.concatenate(indices or [np.zeros(0, np.int64)])
+    return np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(bags), np.array(firsts), np.concatenate(indices)
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
@@ -217,7 +219,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.record_batch([batch.column("doc_id"), pa.array(score_texts(batch.column("text"), shared.value))], ["doc_id", "score"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return id_text(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def clean_only(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -229,4 +231,4 @@ def clean_only(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             text = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array(score_texts(text, shared.value) < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
