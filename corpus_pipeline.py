@@ -28,18 +28,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say: the tokens of high-quality text stay, those expected low are halved."""
+    """Documents drawn at their rates: the tokens of high-quality text stay, those expected low are halved.
+
+    Rates end at 1, so that no copy comes back after dedup.
+    """
     model = mixing.fit_domains(documents(spark, sf_dir), mixing.labelled_domains(labels(spark, sf_dir)))
     soft = mixing.materialize(mixing.posteriors(docs, model))
     sums = soft.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("posterior")[k]), F.lit(0.0)) for k in range(len(model.domains))]).first()
     targets = [float(s) * (0.5 if d == "low" else 1.0) for s, d in zip(sums, model.domains, strict=True)]
     if not sum(targets):
         return docs
-    rates = mixing.mix(soft, targets, total=sum(targets)).where("doc_id IS NOT NULL AND copies != 1").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.first("copies").alias("mixed_copies"))
-    names = docs.columns
-    out = docs.join(rates, docs["doc_id"].cast("long") == F.col("mixed_id"), "left")
-    times = F.explode(F.expr("CASE WHEN coalesce(mixed_copies, 1) > 0 THEN sequence(1, coalesce(mixed_copies, 1)) ELSE cast(array() AS array<int>) END"))
-    return out.select(*[docs[c] for c in names], times.alias("mixed_copy")).drop("mixed_copy") if "mixed_copy" not in names else out.select(*[docs[c] for c in names], times.alias("mixed_copy_")).drop("mixed_copy_")
+    left_out = mixing.mix(soft, targets, total=sum(targets), max_rate=1.0).where("copies = 0").select(F.col("doc_id").alias("left_out")).distinct()
+    return docs.join(left_out, docs["doc_id"].cast("long") == F.col("left_out"), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

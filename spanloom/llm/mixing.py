@@ -1,8 +1,9 @@
 """Mixing sources to target weights by soft membership.
 
 A classifier fitted on a labelled table gives every document a posterior over domains. Nonnegative document rates r_d
-minimise sum_k ((E_k - T_k) / T)^2 with E_k = sum_d r_d n_d p_dk the expected tokens of domain k, T_k its target and
-T = sum_k T_k, by projected gradient steps from r = 1. A step needs only E (one number for each domain), summed by Spark
+minimise sum_k (E_k - T_k)^2 / w_k with E_k = sum_d r_d n_d p_dk the expected tokens of domain k, T_k its target and
+w_k = sum_d n_d^2 p_dk, by projected gradient steps from r = 1. These weights bound the curvature by one in every domain, so
+that scarce domains reach their targets as fast as common ones. A step needs only E (one number for each domain), summed by Spark
 over all documents; a document's rate after t steps follows from its own n_d, p_d and the t residuals, so no rate table
 is rewritten between steps.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, materialize
-from .textkit import Words, chunks, text_bytes
+from .textkit import Words, chunks, lean, text_bytes
 
 BUCKETS = 1 << 16
 
@@ -75,7 +76,7 @@ def posteriors(docs: DataFrame, model: Classifier, sharpness: float = 20.0, id_c
                 p /= p.sum(1, keepdims=True)
                 yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), size).cast(pa.list_(pa.float64()))], ["doc_id", "n_tokens", "posterior"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>")
+    return id_text(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n_tokens long, posterior array<double>")
 
 
 def _rates(tokens: np.ndarray, p: np.ndarray, steps: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -94,11 +95,10 @@ def mix(soft: DataFrame, targets: list[float], total: float | None = None, steps
     Documents without words and rows with null ids keep rate 1. An empty table gives an empty result.
     """
     spark, size = soft.sparkSession, len(targets)
-    there = soft.agg(F.sum("n_tokens").alias("n"), F.avg("n_tokens").alias("mean"), *[F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens") * F.col("posterior")[k] * F.col("posterior")[k]).alias(f"s{k}") for k in range(size)]).first()
+    there = soft.agg(F.sum("n_tokens").alias("n"), F.avg("n_tokens").alias("mean"), *[F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens") * F.col("posterior")[k]).alias(f"s{k}") for k in range(size)]).first()
     n, mean = float(there["n"] or 0), float(there["mean"] or 1) or 1.0
     wanted = np.array(targets, float) / sum(targets) * (n if total is None else total)
-    # E moves by sum_d n_d^2 p_dk p_dj / mean for a unit step: the trace bounds the largest eigenvalue
-    reach = sum(float(there[f"s{k}"] or 0) for k in range(size)) / mean or 1.0
+    reach = np.array([float(there[f"s{k}"] or 0) / mean or 1.0 for k in range(size)])
     history: list[np.ndarray] = []
 
     def apply(names: list[str]):
@@ -117,13 +117,13 @@ def mix(soft: DataFrame, targets: list[float], total: float | None = None, steps
         return run
 
     for _ in range(steps):
-        sums = soft.select("n_tokens", "posterior").mapInArrow(apply(["sums"]), ", ".join(f"e{k} double" for k in range(size)))
+        sums = soft.select("n_tokens", "posterior").mapInArrow(lean(apply(["sums"])), ", ".join(f"e{k} double" for k in range(size)))
         e = sums.agg(*[F.coalesce(F.sum(f"e{k}"), F.lit(0.0)) for k in range(size)]).first()
         residual = np.array(e) - wanted
         if np.abs(residual).sum() <= 1e-4 * max(wanted.sum(), 1):
             break
         history.append(residual / reach)
-    out = soft.mapInArrow(apply(["doc_id", "n_tokens", "posterior", "rate"]), "doc_id long, n_tokens long, posterior array<double>, rate double")
+    out = soft.mapInArrow(lean(apply(["doc_id", "n_tokens", "posterior", "rate"])), "doc_id long, n_tokens long, posterior array<double>, rate double")
     u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return out.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 
