@@ -11,18 +11,21 @@ spans of one occurrence all hold its anchor, so their union is one span.
 Occurrences with the same bytes around the anchor, as far as strings with it reach, are one class with a representative:
 a class of two or more is repeated as a whole, and only representatives are compared with other classes. Texts that are
 equal as a whole are one text with a number of copies. A group of more than ``CROWD`` classes, which a task should not
-hold, is settled without gathering it: every ``LENGTH``-byte string around its anchors is counted by its hash, with
-map-side combination.
+hold, is settled without gathering it, by narrowing: the places where its strings may begin form a range, and for each
+quarter of the range two hashes are counted, with map-side combination. If the bytes that all strings of the quarter
+share occur once, none of them is repeated; if the bytes that they cover together occur again, all are; else the quarter
+is quartered.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, materialize
@@ -30,8 +33,8 @@ from .textkit import CHUNK, Prefix, chunks, mix, text_bytes
 
 LENGTH, GRAM = 200, 50
 WIDTH = LENGTH - GRAM + 1
-#: Classes whose contexts one task holds at once; larger groups are counted instead.
-CROWD = 4096
+#: Classes that one task compares at once; larger groups are narrowed.
+CROWD = 1024
 
 
 def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -245,26 +248,57 @@ def tree_extents(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "h long, hull long, left long, right long")
 
 
-def windows(rows: DataFrame) -> DataFrame:
-    """(w, k, start, h, hull, left): every LENGTH-byte string around the anchors of crowded groups, by hash; left: bytes before the anchor."""
+def _hashed(rows: DataFrame) -> DataFrame:
+    """(h, hull, k, pos, lo, hi, core, whole) for each part lo..hi of the rows' ``parts``, strings counted by their bytes
+    before the anchor: hashes of what the part's strings share and of what they cover (null if some are not there)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                texts = [b + a for b, a in zip(part.column("before").to_pylist(), part.column("after").to_pylist(), strict=True)]
-                size = np.array([len(t) for t in texts])
-                data = np.frombuffer(b"".join(texts), np.uint8)
-                grams = Prefix(data).grams(LENGTH)
-                begin = np.cumsum(size) - size
-                number = np.maximum(size - LENGTH + 1, 0)
-                row = np.repeat(np.arange(len(texts)), number)
-                nth = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-                left = np.array([len(b) for b in part.column("before").to_pylist()])[row] - nth
-                h, hull, k, pos = (part.column(c).to_numpy()[row] for c in ("h", "hull", "k", "pos"))
-                yield pa.record_batch([pa.array(x) for x in (grams[begin[row] + nth].view(np.int64), k, pos - left, h, hull, left)], ["w", "k", "start", "h", "hull", "left"])
-
-    return rows.mapInArrow(run, "w long, k long, start long, h long, hull long, left long")
+                before, after = part.column("before").to_pylist(), part.column("after").to_pylist()
+                ahead, behind = np.array([len(b) for b in before]), np.array([len(a) for a in after])
+                prefix = Prefix(np.frombuffer(b"".join(b + a for b, a in zip(before, after, strict=True)), np.uint8))
+                anchor = np.cumsum(ahead + behind) - behind
+                parts = part.column("parts")
+                lo, hi = (parts.flatten().field(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
+                row = np.repeat(np.arange(part.num_rows), np.diff(parts.offsets.to_numpy()))
+                there = np.maximum(lo, LENGTH - behind[row]) <= np.minimum(hi, ahead[row])
+                lo, hi, row = lo[there], hi[there], row[there]
+                salt = (lo * WIDTH + hi).astype(np.uint64)
+                core = mix(prefix(anchor[row] - lo, anchor[row] - hi + LENGTH) + salt)
+                full = (hi <= ahead[row]) & (LENGTH - lo <= behind[row])
+                whole = np.zeros(len(row), np.uint64)
+                whole[full] = mix(prefix(anchor[row][full] - hi[full], anchor[row][full] - lo[full] + LENGTH) + salt[full])
+                names = ["h", "hull", "k", "pos", "lo", "hi", "core", "whole"]
+                kept = [part.column(c).to_numpy()[row] for c in names[:4]]
+                yield pa.record_batch([*map(pa.array, kept), pa.array(lo), pa.array(hi), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64), mask=~full)], names)
+
+    return rows.mapInArrow(run, "h long, hull long, k long, pos long, lo long, hi long, core long, whole long")
+
+
+def _quarters(lo: Column, hi: Column) -> Column:
+    step = F.ceil((hi - lo + 1) / 4).cast("long")
+    return F.transform(F.sequence(lo, hi, step), lambda x: F.struct(x.alias("lo"), F.least(x + step - 1, hi).alias("hi")))
+
+
+def crowd_extents(near: DataFrame) -> DataFrame:
+    """(h, hull, left, right) of the classes of crowded groups, several rows for some."""
+    found = []
+    parts = near.select("h", "hull", _quarters(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long")).alias("parts"))
+    while True:
+        nodes = materialize(_hashed(near.join(parts, ["h", "hull"])))
+        all_ = _repeated(nodes.where("whole IS NOT NULL"), "whole", "k", "pos").select("whole", F.lit(True).alias("every"))
+        live = nodes.join(_repeated(nodes, "core", "k", "pos").select("core"), "core", "left_semi").join(all_, "whole", "left")
+        live = materialize(live.select("h", "hull", "lo", "hi", "core", "whole", "every"))
+        found.append(live.where("every").select("h", "hull", F.col("hi").alias("left"), (LENGTH - F.col("lo")).alias("right")))
+        rest = live.where("every IS NULL AND lo < hi")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        # what is settled may still be what an open part agrees with: one witness for all of the same bytes goes on
+        witness = live.where("every").join(rest.select("core").distinct(), "core", "left_semi").groupBy("lo", "hi", "whole").agg(F.min(F.struct("h", "hull")).alias("one"))
+        rest = rest.select("h", "hull", "lo", "hi").unionByName(witness.select("one.*", "lo", "hi"))
+        parts = rest.groupBy("h", "hull").agg(F.flatten(F.collect_list(_quarters(F.col("lo"), F.col("hi")))).alias("parts"))
 
 
 def _repeated(df: DataFrame, key: str, *place: str) -> DataFrame:
@@ -302,8 +336,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = base.groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     near = materialize(contexts(texts.join(places, "k").select("k", "text", "anchors")))
     extents = tree_extents(near.where("NOT crowd").drop("crowd", "k", "pos").repartition("h").sortWithinPartitions("h"))
-    crowd = windows(near.where("crowd"))
-    crowd = crowd.join(_repeated(crowd, "w", "k", "start").select("w"), "w", "left_semi").groupBy("h", "hull").agg(F.max("left").alias("left"), (LENGTH - F.min("left")).alias("right"))
+    crowd = crowd_extents(near.where("crowd").drop("crowd"))
     before = F.least("pos", F.lit(WIDTH - 1))
     whole = classes.where("many").select("h", "hull", before.alias("left"), F.col("room").cast("long").alias("right")).where(F.col("left") + F.col("right") >= LENGTH)
     extents = extents.unionByName(crowd).unionByName(whole).groupBy("h", "hull").agg(F.max("left").alias("left"), F.max("right").alias("right"))
