@@ -1,13 +1,14 @@
 """License scans by conditional compression.
 
-Candidate blocks are runs of lines with licence wording. A block is compressed plainly and with each template as a raw
-zstandard dictionary; the share of its bytes that a template saves ranks the templates. The best ones are confirmed by
-the exact wording: the words of the template that the block lacks, in order, and the words it has besides.
+Candidate blocks are stretches of a document, of a template's length and some more, that hold many of the template's
+pairs of neighbouring words, wherever its lines break. A block is compressed plainly and with the template as a raw
+zstandard dictionary; the bytes saved, against the template's own compressed size, must be more than noise. Then the exact
+wording decides: the template is aligned with the block at the least cost of words that the block lacks and words that it
+has besides, and the words that tell a licence from its neighbours (version, NC, SA, ND) must be there as they are.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
@@ -31,81 +32,118 @@ TEMPLATES: dict[str, str] = {
     "Proprietary-line": "All rights reserved. No part of this work may be reproduced without permission.",
 }
 _hint = re.compile(rb"licen[sc]e|copyright|permission is hereby|redistribution|all rights reserved|spdx-", re.IGNORECASE)
-_word = re.compile(r"[\w.+-]*\w")
-#: Share of a block's compressed bytes that a template must save, and of the template's words that must be there.
+_word = re.compile(r"\w+(?:[.+-]+\w+)*")
+#: Share of a template's compressed bytes that it must save, and of its words that must be there.
 LEAST_SAVED, LEAST_WORDS = 0.3, 0.85
-#: How many of the best-ranked templates have their wording compared.
-CONFIRM = 3
+#: Cost of a template's word that is missing, in words added.
+MISS = 4
 
 
 def wording(text: str) -> list[str]:
     return _word.findall(text.lower())
 
 
-def differences(block: list[str], template: list[str]) -> tuple[int, int]:
-    """(words of the template that the block lacks in order, words between the first and last found that it adds)."""
-    spans = [m for m in difflib.SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]
-    if not spans:
-        return len(template), len(block)
-    found = sum(m.size for m in spans)
-    return len(template) - found, spans[-1].a + spans[-1].size - spans[0].a - found
-
-
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) code points of runs of lines with licence wording; up to two lines without it do not end a run."""
-    start = end = None
-    at = quiet = 0
-    for line in text.splitlines(keepends=True):
-        if _hint.search(line.encode()):
-            start, quiet = at if start is None else start, 0
-            end = at + len(line.rstrip("\n"))
-        elif start is not None:
-            quiet += 1
-            if quiet > 2:
-                yield start, end
-                start = None
-        at += len(line)
-    if start is not None:
-        yield start, end
+def align(block: list[str], template: list[str]) -> tuple[int, int, int, int]:
+    """(missing, added, first, end): the alignment in order of least MISS * missing + added, and its words block[first:end].
+
+    Words of the block before the first and after the last one found cost nothing.
+    """
+    width = len(block)
+    cost, origin = [0] * (width + 1), list(range(width + 1))
+    for word in template:
+        above, begun = cost, origin
+        cost, origin = [above[0] + MISS] + [0] * width, [begun[0]] + [0] * width
+        for i in range(width):
+            best, at = above[i + 1] + MISS, begun[i + 1]
+            if cost[i] + 1 < best:
+                best, at = cost[i] + 1, origin[i]
+            if block[i] == word and above[i] <= best:
+                best, at = above[i], begun[i]
+            cost[i + 1], origin[i + 1] = best, at
+    end = min(range(width + 1), key=cost.__getitem__)
+    first = origin[end]
+    missing = (cost[end] + len(template) - (end - first)) // (MISS + 1)
+    return missing, end - first - len(template) + missing, first, end
 
 
 class Scanner:
-    """Compressors for the templates: one plain, one for each template as a raw dictionary."""
+    """Compressors for the templates, one plain and one for each template as a raw dictionary, and their word pairs."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         import zstandard
 
-        self.names, self.words = list(templates), [wording(t) for t in templates.values()]
+        self.names, self.words = [t.removesuffix("-line") for t in templates], [wording(t) for t in templates.values()]
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        made = [zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for w in self.words]
+        self.frame = len(self.plain.compress(b""))
+        made = [zstandard.ZstdCompressionDict(" ".join(w).encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for w in self.words]
         self.conditional = [zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False) for d in made]
-        self.seen: dict[tuple[str, ...], list[tuple]] = {}
-
-    def match(self, block: str) -> list[tuple[str, float, int, int]]:
-        """(license, saved, missing words, added words) of each confirmed template; of equal licences the best."""
-        words = tuple(wording(block))
-        if words in self.seen:
-            return self.seen[words]
-        data = " ".join(words).encode()
-        alone = len(self.plain.compress(data))
-        ranked = sorted(((1 - len(c.compress(data)) / alone, k) for k, c in enumerate(self.conditional)), key=lambda x: (-x[0], x[1]))
-        out: dict[str, tuple[str, float, int, int]] = {}
-        for saved, k in ranked[:CONFIRM]:
-            missing, added = differences(list(words), self.words[k])
-            name = self.names[k].removesuffix("-line")
-            if saved >= LEAST_SAVED and missing <= (1 - LEAST_WORDS) * len(self.words[k]) and name not in out:
-                out[name] = (name, saved, missing, added)
-        if len(self.seen) > 10_000:
-            self.seen.clear()
-        self.seen[words] = list(out.values())
-        return self.seen[words]
+        self.own = [len(self.plain.compress(" ".join(w).encode())) - self.frame for w in self.words]
+        self.pairs: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        self.single = any(len(w) == 1 for w in self.words)
+        self.needed = []
+        for k, w in enumerate(self.words):
+            for b in range(max(1, len(w) - 1)):
+                self.pairs.setdefault(tuple(w[b : b + 2]), []).append((k, b))
+            self.needed.append(max(1, (len(w) - 1 - 2 * int((1 - LEAST_WORDS) * len(w))) // 2))
+        self.seen: dict[tuple[int, tuple[str, ...]], tuple | None] = {}
+
+    def confirm(self, k: int, block: list[str]) -> tuple[float, int, int, int, int] | None:
+        """(saved, missing, added, first, end) of template ``k`` in a block, if its wording is there."""
+        key = k, tuple(block)
+        if key not in self.seen:
+            if len(self.seen) > 10_000:
+                self.seen.clear()
+            data = " ".join(block).encode()
+            saved = (len(self.plain.compress(data)) - len(self.conditional[k].compress(data))) / max(1, self.own[k])
+            self.seen[key] = None
+            if saved >= LEAST_SAVED:
+                missing, added, first, end = align(block, self.words[k])
+                if missing <= (1 - LEAST_WORDS) * len(self.words[k]):
+                    self.seen[key] = saved, missing, added, first, end
+        return self.seen[key]
+
+    def match(self, words: list[str]) -> list[tuple[int, int, str, float, int, int]]:
+        """(first, end, license, saved, missing words, added words) of each licence; of overlapping ones the longest."""
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for i in range(len(words)):
+            for k, b in self.pairs.get(tuple(words[i : i + 2]), ()):
+                hits.setdefault(k, []).append((i, b))
+            if self.single:
+                for k, b in self.pairs.get((words[i],), ()):
+                    hits.setdefault(k, []).append((i, b))
+        found: list[tuple[int, int, int, tuple]] = []
+        for k, own in hits.items():
+            n = len(self.words[k])
+            slack = n // 2 + 4
+            s = e = 0
+            while s < len(own):
+                at = own[s][0]
+                e = max(e, s)
+                while e < len(own) and own[e][0] < at + n + slack:
+                    e += 1
+                after = at + 1
+                if e - s >= self.needed[k] and len({b for _, b in own[s:e]}) >= self.needed[k]:
+                    low, high = max(0, at - slack), at + n + 2 * slack
+                    after = at + max(1, n // 4)
+                    while high > low and (hit := self.confirm(k, words[low:high])):
+                        saved, missing, added, first, end = hit
+                        found.append((missing - n, low + first, low + end, (self.names[k], saved, missing, added)))
+                        after, high = max(after, low + end), low + first  # a worse copy may stand before it
+                while s < len(own) and own[s][0] < after:
+                    s += 1
+        out: list[tuple] = []
+        for _, first, end, what in sorted(found):
+            if all(end <= a or first >= b for a, b, *_ in out):
+                out.append((first, end, *what))
+        return sorted(out)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each licence found: doc_id, start, stop (code points of its block), license, saved, missing, added.
+    """One row for each licence found: doc_id, start, stop (code points of the lines with its wording), license, saved,
+    missing, added.
 
-    A block that quotes several licences is also read line by line. Null and empty texts have none; repeated rows give
-    repeated results; null ids stay null. No shuffle: a document is read where it lies.
+    Null and empty texts have none; repeated rows give repeated results; null ids stay null. No shuffle: a document is
+    read where it lies.
     """
     templates = templates or TEMPLATES
 
@@ -118,16 +156,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                 if raw is None or not _hint.search(raw):
                     continue
                 text = value.as_py()
-                for start, stop in blocks(text):
-                    hits = {h[0]: (start, stop, *h) for h in scanner.match(text[start:stop])}
-                    at = start
-                    for line in text[start:stop].splitlines(keepends=True):
-                        if len(line) < stop - start and _hint.search(line.encode()):
-                            for h in scanner.match(line):
-                                if h[0] not in hits or h[2:] < hits[h[0]][4:]:
-                                    hits[h[0]] = (at, at + len(line.rstrip("\n")), *h)
-                        at += len(line)
-                    out += [(doc, *h) for h in hits.values()]
+                words = list(_word.finditer(text))
+                for first, end, *h in scanner.match([w.group().lower() for w in words]):
+                    stop = text.find("\n", words[end - 1].end())
+                    out.append((doc, text.rfind("\n", 0, words[first].start()) + 1, len(text) if stop < 0 else stop, *h))
             cols = list(zip(*out, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "start", "stop", "license", "saved", "missing", "added"])

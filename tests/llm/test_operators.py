@@ -1,8 +1,10 @@
 """Operators of the corpus subpackage against plain versions, and on odd rows."""
 
 import hashlib
+import itertools
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -347,6 +349,38 @@ def test_licenses_whole_table(spark, documents):
     assert want <= got and len(got - want) <= 0.02 * len(want) + 1
 
 
+def licenses_of(spark, texts):
+    got = defaultdict(list)
+    for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["license"], r["missing"], texts[r["doc_id"]][r["start"] : r["stop"]]))
+    return [sorted(got[i]) for i in range(len(texts))]
+
+
+def test_licenses_wrapped(spark):
+    """Licences wrapped at 80 columns and less, plain and in comments: no word is lost, and the prose around stays out."""
+    texts, want = [], []
+    for name in ("MIT", "GPL-3.0", "Apache-2.0"):
+        for width, mark in ((80, ""), (80, " * "), (60, "# "), (35, "")):
+            body = textwrap.fill(license_scan.TEMPLATES[name], width, initial_indent=mark, subsequent_indent=mark, break_long_words=False, break_on_hyphens=False)
+            texts.append(f"A tool for the rest of us.\n\n{body}\n\nUse it at the end of the day.")
+            want.append([(name, 0, body)])
+    assert licenses_of(spark, texts) == want
+
+
+def test_license_alignment():
+    """The alignment costs as little as the best of all pairs of subsequences."""
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        block, template = (list(rng.choice(list("abc"), rng.integers(1, n))) for n in (7, 6))
+        missing, added, first, end = license_scan.align(block, template)
+        least = license_scan.MISS * len(template)
+        for r in range(1, len(template) + 1):
+            for a in itertools.combinations(range(len(block)), r):
+                if any([block[i] for i in a] == [template[j] for j in b] for b in itertools.combinations(range(len(template)), r)):
+                    least = min(least, license_scan.MISS * (len(template) - r) + a[-1] + 1 - a[0] - r)
+        assert license_scan.MISS * missing + added == least and end - first == len(template) - missing + added
+
+
 # ------------------------------------------------------------------ helpers
 def test_words_match_bytes_split():
     texts = ["A b c\td", "", None, "  x ", "É y Z\x0b1"]
