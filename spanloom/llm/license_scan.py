@@ -27,9 +27,43 @@ TEMPLATES: dict[str, str] = {
     "BSD-line": "Distributed under the BSD License.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "Apache-1.1-line": "Licensed under the Apache License, Version 1.1.",
     "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0-long-line": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0-line": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-4.0-short-line": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-short-line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-short-line": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-short-line": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-short-line": "Licensed under CC BY-NC-ND 4.0.",
     "Proprietary-line": "All rights reserved. No part of this work may be reproduced without permission.",
+    "Proprietary-short-line": "All rights reserved.",
+}
+#: What tells a licence from its neighbours, as it must stand in the words of a block (joined by blanks).
+DECIDING: dict[str, str] = {
+    "Apache-2.0": r"apache license (?:version )?2\.0",
+    "Apache-1.1": r"apache license (?:version )?1\.1",
+    "MIT": r"mit license|deal in the \S+ without restriction",
+    "BSD": r"bsd license",
+    "GPL-3.0": r"gnu general public license (?:version |v)?3(?:\.0)?|gnu general public license as published by (?:\S+ ){0,6}either version 3(?:\.0)?",
+    "GPL-2.0": r"gnu general public license (?:version |v)?2(?:\.0)?|gnu general public license as published by (?:\S+ ){0,6}either version 2(?:\.0)?",
+    "LGPL-3.0": r"gnu lesser general public license (?:version |v)?3(?:\.0)?",
+    "AGPL-3.0": r"gnu affero general public license (?:version |v)?3(?:\.0)?",
+    "CC-BY-4.0": r"(?:cc by|attribution) 4\.0",
+    "CC-BY-NC-4.0": r"(?:by-nc|attribution-noncommercial) 4\.0",
+    "CC-BY-SA-4.0": r"(?:by-sa|attribution-sharealike) 4\.0",
+    "CC-BY-ND-4.0": r"(?:by-nd|attribution-noderivatives) 4\.0",
+    "CC-BY-NC-SA-4.0": r"(?:by-nc-sa|attribution-noncommercial-sharealike) 4\.0",
+    "CC-BY-NC-ND-4.0": r"(?:by-nc-nd|attribution-noncommercial-noderivatives) 4\.0",
+    "Proprietary": r"all rights reserved",
 }
 _hint = re.compile(rb"licen[sc]e|copyright|permission is hereby|redistribution|all rights reserved|spdx-", re.IGNORECASE)
 _word = re.compile(r"\w+(?:[.+-]+\w+)*")
@@ -66,18 +100,23 @@ def align(block: list[str], template: list[str]) -> tuple[int, int, int, int]:
     return missing, end - first - len(template) + missing, first, end
 
 
+def license_of(template: str) -> str:
+    return template.removesuffix("-line").removesuffix("-long").removesuffix("-short")
+
+
 class Scanner:
     """Compressors for the templates, one plain and one for each template as a raw dictionary, and their word pairs."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         import zstandard
 
-        self.names, self.words = [t.removesuffix("-line") for t in templates], [wording(t) for t in templates.values()]
+        self.names, self.words = [license_of(t) for t in templates], [wording(t) for t in templates.values()]
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.frame = len(self.plain.compress(b""))
         made = [zstandard.ZstdCompressionDict(" ".join(w).encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for w in self.words]
         self.conditional = [zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False) for d in made]
         self.own = [len(self.plain.compress(" ".join(w).encode())) - self.frame for w in self.words]
+        self.deciding = [re.compile(rf"(?:^| )(?:{DECIDING[x]})(?: |$)") if x in DECIDING else None for x in self.names]
         self.pairs: dict[tuple[str, ...], list[tuple[int, int]]] = {}
         self.single = any(len(w) == 1 for w in self.words)
         self.needed = []
@@ -98,7 +137,8 @@ class Scanner:
             self.seen[key] = None
             if saved >= LEAST_SAVED:
                 missing, added, first, end = align(block, self.words[k])
-                if missing <= (1 - LEAST_WORDS) * len(self.words[k]):
+                rule = self.deciding[k]
+                if missing <= (1 - LEAST_WORDS) * len(self.words[k]) and (rule is None or rule.search(" ".join(block[first:end]))):
                     self.seen[key] = saved, missing, added, first, end
         return self.seen[key]
 
@@ -135,7 +175,13 @@ class Scanner:
         for _, first, end, what in sorted(found):
             if all(end <= a or first >= b for a, b, *_ in out):
                 out.append((first, end, *what))
-        return sorted(out)
+        return sorted(x for x in out if not self._heading(words, x, out))
+
+    @staticmethod
+    def _heading(words: list[str], one: tuple, every: list[tuple]) -> bool:
+        """'All rights reserved' after a copyright notice, with another licence right below: part of that one's heading."""
+        first, end, name = one[:3]
+        return name == "Proprietary" and end - first == 3 and "copyright" in words[max(0, first - 16) : first] and any(end <= a < end + 8 and x != name for a, _, x, *_ in every)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

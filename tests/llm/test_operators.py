@@ -367,6 +367,41 @@ def test_licenses_wrapped(spark):
     assert licenses_of(spark, texts) == want
 
 
+def test_licenses_deciding_words(spark):
+    """The lines of the tables and their near misses: a version or condition that differs never gives the neighbour's name."""
+    cc = "This work is licensed under a Creative Commons Attribution{} International License."
+    want = {
+        "All rights reserved.": ["Proprietary"],
+        "Licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+        "Licensed under the Apache License, Version 1.1.": ["Apache-1.1"],
+        "Licensed under the Apache License, Version 3.0.": [],
+        "Released under the MIT License.": ["MIT"],
+        "Released under the MIT-0 License.": [],
+        "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        license_scan.TEMPLATES["GPL-3.0"].replace("version 3", "version 2"): ["GPL-2.0"],
+        license_scan.TEMPLATES["GPL-3.0"].replace("General", "Lesser General"): [],
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"],
+        "Licensed under CC BY-NC 3.0.": [],
+        "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0"],
+        cc.format(" 4.0"): ["CC-BY-4.0"],
+        cc.format(" 3.0"): [],
+        cc.format("-NonCommercial 4.0"): ["CC-BY-NC-4.0"],
+        cc.format("-ShareAlike 4.0"): ["CC-BY-SA-4.0"],
+        cc.format("-NoDerivatives 4.0"): ["CC-BY-ND-4.0"],
+        f"Copyright 2001 Someone. All rights reserved.\n{license_scan.TEMPLATES['MIT']}": ["MIT"],
+        "Copyright 2001 Someone. All rights reserved.\nMore to come.": ["Proprietary"],
+    }
+    assert {t: [x for x, *_ in hits] for t, hits in zip(want, licenses_of(spark, list(want)), strict=True)} == want
+
+
+def test_licenses_every_line_of_table(spark, documents):
+    lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "All rights reserved.": "Proprietary"}
+    want = {(d, name) for d, t in documents for line, name in lines.items() if line in t}
+    assert {(r["doc_id"], r["license"]) for r in queries.op7_license_scan(spark, SF).collect()} == want
+
+
 def test_license_alignment():
     """The alignment costs as little as the best of all pairs of subsequences."""
     rng = np.random.default_rng(5)
