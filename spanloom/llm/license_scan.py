@@ -166,9 +166,15 @@ class Scanner:
                     low, high = max(0, at - slack), at + n + 2 * slack
                     after = at + max(1, n // 4)
                     while high > low and (hit := self.confirm(k, words[low:high])):
-                        saved, missing, added, first, end = hit
-                        found.append((missing - n, low + first, low + end, (self.names[k], saved, missing, added)))
-                        after, high = max(after, low + end), low + first  # a worse copy may stand before it
+                        high = low + hit[3]  # a worse copy may stand before it
+                        spots = [(low, hit)]
+                        if hit[1]:  # the block may end within the wording: once more around what was found
+                            back = max(0, high - slack)
+                            again = self.confirm(k, words[back : high + n + 2 * slack])
+                            spots += [(back, again)] if again else []
+                        for base, (saved, missing, added, first, end) in spots:
+                            found.append((missing - n, base + first, base + end, (self.names[k], saved, missing, added)))
+                        after = max(after, low + hit[4])
                 while s < len(own) and own[s][0] < after:
                     s += 1
         out: list[tuple] = []

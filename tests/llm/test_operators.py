@@ -402,6 +402,15 @@ def test_licenses_every_line_of_table(spark, documents):
     assert {(r["doc_id"], r["license"]) for r in queries.op7_license_scan(spark, SF).collect()} == want
 
 
+def test_licenses_notice_file(spark):
+    """A block of six wrapped licences gives all six; the saving is measured against each template, whatever the block's length."""
+    names = ["Apache-2.0", "MIT", "BSD-3-Clause", "GPL-3.0", "GPL-2.0", "CC-BY-4.0-line"]
+    bodies = [textwrap.fill(license_scan.TEMPLATES[n], 80, break_long_words=False, break_on_hyphens=False) for n in names]
+    got = licenses_of(spark, ["\n".join(bodies), "\n".join(bodies * 20)])
+    want = [(license_scan.license_of(n), 0, b) for n, b in zip(names, bodies, strict=True)]
+    assert got == [sorted(want), sorted(want * 20)]
+
+
 def test_license_alignment():
     """The alignment costs as little as the best of all pairs of subsequences."""
     rng = np.random.default_rng(5)
