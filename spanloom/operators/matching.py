@@ -6,7 +6,7 @@ end_sec). Orders count from 0 within a video.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import iou
@@ -45,11 +45,14 @@ def match_best(truths: DataFrame, preds: DataFrame, gate: float = GATE) -> DataF
 
 
 def match_first(truths: DataFrame, preds: DataFrame, gate: float = GATE, timed: bool = True) -> DataFrame:
-    """Truths in order take the first unused prediction over the gate; untimed: the class alone decides."""
-    if timed:
-        pairs = overlaps(truths, preds, gate)
-    else:
-        pairs = truths.select("video_id", "class_name", "gt_ord").join(preds.select("video_id", "class_name", "pred_ord"), ["video_id", "class_name"]).withColumn("iou", F.lit(None).cast("double"))
+    """Truths in order take the first unused prediction over the gate; untimed: the class alone decides, so the n-th truth
+    of a class takes its n-th prediction."""
+    if not timed:
+        own = ["video_id", "class_name"]
+        g = truths.select(*own, F.col("gt_ord").cast("int").alias("gt_ord"), F.row_number().over(Window.partitionBy(*own).orderBy("gt_ord")).alias("_turn"))
+        p = preds.select(*own, F.col("pred_ord").cast("int").alias("pred_ord"), F.row_number().over(Window.partitionBy(*own).orderBy("pred_ord")).alias("_turn"))
+        return g.join(p, [*own, "_turn"]).select("video_id", "gt_ord", "pred_ord", F.lit(None).cast("double").alias("iou"))
+    pairs = overlaps(truths, preds, gate)
     return _greedy(pairs, F.struct(F.col("gt_ord").cast("int").alias("g"), F.col("pred_ord").cast("int").alias("p"), F.col("iou")))
 
 

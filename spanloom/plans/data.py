@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sources as S
@@ -140,14 +140,24 @@ def probe_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ manifests, sheets
+#: Most entries of one document: longer manifests and sheets are written in parts.
+PART = 1000
+
+
+def _parts(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with ``first``: the position, from 0 within the key, of the first row of their part."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long") - 1
+    return rows.withColumn("first", at - at % PART)
+
+
 @query(
     """WITH v AS (SELECT 'V' || (o_orderkey % 1000) AS video_id, CASE WHEN o_orderkey % 4 = 3 THEN 1 ELSE (o_orderkey % 4 + 1)::INT END AS level,
         CASE WHEN o_orderkey % 3 = 0 THEN 'a' || o_orderkey || '.avi' WHEN o_orderkey % 3 = 1 THEN 'b' || o_orderkey || '.mkv' ELSE 'V' || (o_orderkey % 1000) || '.mp4' END AS filename, o_totalprice AS duration_sec, o_orderkey, o_custkey FROM orders)
     SELECT o_custkey, video_id, level, filename, duration_sec FROM v WHERE level IN (1, 3) QUALIFY row_number() OVER (PARTITION BY o_custkey, video_id ORDER BY o_orderkey DESC) = 1"""
 )
 def manifest_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One manifest for each customer, half of them bare lists; parsed a customer at a time in columns."""
-    o = table(spark, sf_dir, "orders")
+    """Manifests of at most PART orders of a customer, half of the customers' bare lists; parsed in columns."""
+    o = _parts(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"])
     vid = F.concat(F.lit("V"), (F.col("o_orderkey") % 1000).cast("string"))
     k = F.col("o_orderkey")
     entry = F.struct(
@@ -158,11 +168,11 @@ def manifest_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 != 2, F.concat(F.lit("b"), k.cast("string"), F.lit(".mkv"))).alias("file"),
         F.col("o_totalprice").alias("duration_sec"),
     )
-    lists = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(entry)).alias("videos"))
-    texts = lists.select("o_custkey", F.when(F.col("o_custkey") % 2 == 0, F.to_json("videos")).otherwise(F.to_json(F.struct("videos"))).alias("value"))
+    lists = o.groupBy("o_custkey", "first").agg(F.sort_array(F.collect_list(entry)).alias("videos"))
+    texts = lists.select("o_custkey", "first", F.when(F.col("o_custkey") % 2 == 0, F.to_json("videos")).otherwise(F.to_json(F.struct("videos"))).alias("value"))
     body = F.when(F.col("value").startswith("["), F.from_json("value", f"array<{S.VIDEO}>")).otherwise(F.from_json("value", f"struct<videos:array<{S.VIDEO}>>")["videos"])
-    rows = texts.select("o_custkey", F.posexplode(body).alias("pos", "v"))
-    last = rows.groupBy("o_custkey", "v.video_id").agg(F.max_by("v", "pos").alias("v"))
+    rows = texts.select("o_custkey", "first", F.posexplode(body).alias("pos", "v"))
+    last = rows.groupBy("o_custkey", "v.video_id").agg(F.max_by("v", F.col("first") + F.col("pos")).alias("v"))
     out = last.select("o_custkey", "video_id", F.coalesce("v.level", F.lit(1)).alias("level"), F.coalesce("v.filename", "v.file", F.concat("video_id", F.lit(".mp4"))).alias("filename"), "v.duration_sec")
     return S.select_videos(out, [1, 3])
 
@@ -172,12 +182,12 @@ def manifest_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS start_sec FROM events"""
 )
 def answer_sheet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers to JSON and back, one document for each user; null times survive."""
-    e = table(spark, sf_dir, "events")
+    """Answers to JSON and back, a document for at most PART events of a user; null times survive."""
+    e = _parts(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"])
     one = F.struct("ts", "event_id", F.col("event_type").alias("class_name"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("start_time_sec"), F.lit(None).cast("double").alias("end_time_sec"), F.lit(None).cast("string").alias("explanation"))
-    lists = e.groupBy(F.col("user_id").cast("string").alias("video_id")).agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: F.struct(x["class_name"].alias("class_name"), x["start_time_sec"].alias("start_time_sec"), x["end_time_sec"].alias("end_time_sec"), x["explanation"].alias("explanation"))).alias("events"))
+    lists = e.groupBy(F.col("user_id").cast("string").alias("video_id"), "first").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: F.struct(x["class_name"].alias("class_name"), x["start_time_sec"].alias("start_time_sec"), x["end_time_sec"].alias("end_time_sec"), x["explanation"].alias("explanation"))).alias("events"))
     sheet = F.to_json(F.struct(F.array(F.struct("video_id", "events")).alias("predictions")), {"ignoreNullFields": "false"})
-    back = S.sheet_events(S.parse_sheet(lists.select(sheet.alias("value"))))
+    back = S.sheet_events(S.parse_sheet(lists.select("first", sheet.alias("value")), first="first"), first="first")
     return back.select("video_id", F.col("pred_ord").cast("long").alias("pred_ord"), "class_name", "start_sec")
 
 

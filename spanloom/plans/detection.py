@@ -275,8 +275,9 @@ def tile_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reply_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's JSON reply for each user, from tokens to the softened distribution."""
     k = F.get_json_object("props", "$.k").cast("long")
-    token = F.struct(F.concat(F.lit(" "), F.char(97 + k % 16)).alias("token"), (-F.col("value") / 100).alias("logprob"))
-    own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(token).alias("top_logprobs"))
+    best = table(spark, sf_dir, "events").groupBy("user_id", (k % 16).alias("k")).agg(F.max(-F.col("value") / 100).alias("logprob"))
+    token = F.struct(F.concat(F.lit(" "), F.char(97 + F.col("k"))).alias("token"), "logprob")
+    own = best.groupBy("user_id").agg(F.collect_list(token).alias("top_logprobs"))  # a row for each letter at most
     content = F.struct(F.array(F.struct("top_logprobs")).alias("content"))
     reply = F.to_json(F.struct(F.array(F.struct(content.alias("logprobs"))).alias("choices")))
     tokens = own.select("user_id", F.explode(reply_tokens(reply)).alias("t")).select("user_id", token_letter(F.col("t.token")).alias("letter"), "t.logprob")

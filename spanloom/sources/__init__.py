@@ -66,20 +66,24 @@ def timed_truths(truths: DataFrame, upload: str) -> DataFrame:
     return truths.where((F.col("video_id") == stem) & F.col("is_anomaly") & F.col("start_time_sec").isNotNull() & F.col("end_time_sec").isNotNull())
 
 
-def parse_sheet(documents: DataFrame, text: str = "value") -> DataFrame:
-    """Answers of sheet documents, the last of a repeated id: video_id, events, runtime_metadata."""
-    rows = documents.select(F.posexplode(F.from_json(text, SHEET)["predictions"]).alias("pos", "p"))
-    return rows.groupBy("p.video_id").agg(F.max_by("p", "pos").alias("p")).select("video_id", F.coalesce("p.events", F.array().cast(f"array<{EVENT}>")).alias("events"), "p.runtime_metadata")
+def parse_sheet(documents: DataFrame, text: str = "value", first: str | None = None) -> DataFrame:
+    """Answers of sheet documents, the last of a repeated id: video_id, events, runtime_metadata.
+
+    ``first`` names a column with the position of a document's first event, for answers written in several documents.
+    """
+    part = [first] if first else []
+    rows = documents.select(*part, F.posexplode(F.from_json(text, SHEET)["predictions"]).alias("pos", "p"))
+    return rows.groupBy(*part, "p.video_id").agg(F.max_by("p", "pos").alias("p")).select(*part, "video_id", F.coalesce("p.events", F.array().cast(f"array<{EVENT}>")).alias("events"), "p.runtime_metadata")
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return parse_sheet(spark.read.text(path, wholetext=True))
 
 
-def sheet_events(answers: DataFrame) -> DataFrame:
-    """(video_id, pred_ord, class_name, start_sec, end_sec, explanation)"""
-    e = answers.select("video_id", F.posexplode("events").alias("pred_ord", "e"))
-    return e.select("video_id", "pred_ord", "e.class_name", F.col("e.start_time_sec").alias("start_sec"), F.col("e.end_time_sec").alias("end_sec"), "e.explanation")
+def sheet_events(answers: DataFrame, first: str | None = None) -> DataFrame:
+    """(video_id, pred_ord, class_name, start_sec, end_sec, explanation); ``first`` as in parse_sheet()."""
+    e = answers.select("video_id", (F.col(first) if first else F.lit(0)).alias("_first"), F.posexplode("events").alias("pred_ord", "e"))
+    return e.select("video_id", (F.col("_first") + F.col("pred_ord")).alias("pred_ord"), "e.class_name", F.col("e.start_time_sec").alias("start_sec"), F.col("e.end_time_sec").alias("end_sec"), "e.explanation")
 
 
 def sheet_json(answers: DataFrame, submission_id: str, model_name: str, wall_ms: float, hardware: str, schema_version: str = "1.0", parallel: int = 1) -> DataFrame:

@@ -1,6 +1,7 @@
 """Matching, scores, validation, sampling, sources and the ordered stream against plain versions."""
 
 import json
+import math
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from spanloom import sources as S
 from spanloom.operators import matching as M
 from spanloom.operators import quality as Q
 from spanloom.operators import sampling as B
+from spanloom.plans import data, detection
 from spanloom.streaming import ordered_progress, server_sent
 
 TRUTH = "video_id string, gt_ord int, class_name string, start_sec double, end_sec double"
@@ -176,3 +178,46 @@ def test_stream_emits_in_order(spark, tmp_path):
     assert own[9][1]["events"] == [{"class_name": "fire", "start_time_sec": 2.0, "end_time_sec": 7.0, "confidence": 0.9}]
     assert [r["type"] for r in out if r["job"] == "e"] == ["meta", "chunk", "error", "eof"]
     assert server_sent(spark.table("progress")).where("type = 'eof'").first()["frame"].startswith("event: eof")
+
+
+def test_no_array_holds_a_whole_group(spark, tmp_path, monkeypatch):
+    """One user and one customer with most rows: no gathered array grows with them, and the results are whole."""
+    n = 5000
+    spark.range(n).selectExpr("id AS event_id", "if(id % 50 = 0, 8L, 7L) AS user_id", "timestamp_seconds(id * 7919 % 5000) AS ts", "concat('t', id % 3) AS event_type", "cast(id AS double) AS value", "concat('{\"k\": ', id % 40, '}') AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(n).selectExpr("id AS o_orderkey", "if(id % 50 = 0, 8L, 7L) AS o_custkey", "cast(id AS double) AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    collect = F.collect_list
+    monkeypatch.setattr(F, "collect_list", lambda c: F.when(F.count("*") <= 1000, collect(c)).otherwise(F.raise_error(F.lit("a whole group in one array"))))
+
+    events = [(8 if i % 50 == 0 else 7, i * 7919 % 5000, i) for i in range(n)]
+    want, turn = set(), {7: 0, 8: 0}
+    for user, _, i in sorted(events):
+        want.add((str(user), turn[user], f"t{i % 3}", None if i % 5 == 0 else float(i)))
+        turn[user] += 1
+    assert {tuple(r) for r in data.answer_sheet_roundtrip(spark, str(tmp_path)).collect()} == want
+
+    last = {(8 if k % 50 == 0 else 7, f"V{k % 1000}"): k for k in range(n) if k % 4 in (0, 2, 3)}
+    got = {(r["o_custkey"], r["video_id"]): r["duration_sec"] for r in data.manifest_defaults(spark, str(tmp_path)).collect()}
+    assert got == {x: float(max(k for k in (k for k in range(int(x[1][1:]), n, 1000)) if (8 if k % 50 == 0 else 7) == x[0])) for x in last}
+
+    best = {}
+    for user, _, i in events:
+        if i % 40 % 16 < 12:
+            best[user, i % 40 % 16] = max(best.get((user, i % 40 % 16), -1e9), -i / 100)
+    for r in detection.reply_distribution(spark, str(tmp_path)).collect():
+        e = {x: math.exp(v) for (u, x), v in best.items() if u == r["user_id"]}
+        q = {x: max(v / sum(e.values()), 1e-12) ** (1 / 3) for x, v in e.items()}
+        assert abs(r["p_anom"] - (1 - q.get(0, 0) / sum(q.values()))) < 1e-8
+
+
+def test_untimed_matching_of_a_crowded_class(spark):
+    """2,000 truths and 2,100 predictions of one class are no 4.2 million candidates in one row."""
+    truths = spark.range(2000).selectExpr("'v' AS video_id", "cast(id AS int) AS gt_ord", "if(id % 500 = 3, 'b', 'a') AS class_name", "0D AS start_sec", "1D AS end_sec")
+    preds = spark.range(2100).selectExpr("'v' AS video_id", "cast(id AS int) AS pred_ord", "if(id % 700 = 5, 'b', 'a') AS class_name", "0D AS start_sec", "1D AS end_sec")
+    out = M.match_first(truths, preds, timed=False)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    want = set()
+    for name in "ab":
+        g = [i for i in range(2000) if (i % 500 == 3) == (name == "b")]
+        p = [i for i in range(2100) if (i % 700 == 5) == (name == "b")]
+        want |= set(zip(g, p))
+    assert {(r["gt_ord"], r["pred_ord"]) for r in out.collect()} == want
