@@ -2,9 +2,10 @@
 
 Strict patterns give the base spans. Looser generators propose further, overlapping spans. Every candidate has a few
 small whole-number features of format and context; Spark counts, over all documents, how many candidates of each feature
-combination (a cell of a fixed grid) are base spans. Trees are boosted on those counts, which is the same as boosting on
-all candidates, and compiled to a column expression. For each kind the lowest score at which base spans make up
-``PRECISION`` of the candidates is its threshold; candidates at or over it that touch no base span are added.
+combination (a cell of a fixed grid) are valid: strict ones if they are base spans, loose ones if they pass the kind's
+checks once their form is restored. Trees are boosted on those counts, which is the same as boosting on all candidates, and
+compiled to a column expression. For each kind and generator the lowest score at which valid ones make up ``PRECISION`` of
+the candidates is its threshold. Candidates at or over it that touch no base span, loose ones if valid, are added.
 
 Positions come from the pieces between matches: a match starts where the pieces and matches before it end.
 """
@@ -38,7 +39,7 @@ LOOSE = {
 #: What must occur in a text for a pattern to match; a cheap test before it.
 NEEDS = {"email": "[@]|[\\[({](?:at)[\\])}]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 CONTEXT = r"(?:mail|contact|write|call|phone|tel|fax|mobile|card|visa|pay|account|ip|host|server|address)[a-z.]*[:=\x20]*$"
-WIDTHS = (4, 22, 8, 3, 12)  # values of each feature: their product bounds the cells that reach the driver
+WIDTHS = (4, 22, 8, 3, 12, 2)  # values of each feature: their product bounds the cells that reach the driver
 PRECISION, TREES, RATE = 0.98, 40, 0.3
 
 
@@ -81,6 +82,28 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _restored(kind: str, value: Column) -> Column:
+    """A loose candidate in the form that the strict pattern and its checks know."""
+    if kind == "email":
+        return F.regexp_replace(F.regexp_replace(value, r"\x20?[\[({]at[\])}]\x20?|\x20?@\x20?", "@"), r"\x20?[\[({]dot[\])}]\x20?", ".")
+    if kind == "ip":
+        return F.regexp_replace(value, r"\[\.\]|\(\.\)|\x20\.\x20", ".")
+    return value
+
+
+def _loose_valid(kind: str, s: Column) -> Column:
+    """What makes a loose candidate a real item; a part of a longer number is no phone."""
+    if kind == "email":
+        return _restored(kind, s["value"]).rlike(r"^[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$")
+    valid = _valid(kind, _restored(kind, s["value"]))
+    if kind == "phone":
+        def longer(t: Column) -> Column:
+            return (t["start"] < s["stop"]) & (s["start"] < t["stop"]) & (F.length(_digits(t["value"])) > F.length(_digits(s["value"])))
+
+        return valid & ~F.exists(F.col("card_all"), longer) & ~F.exists(F.col("card_g2"), longer)
+    return valid
+
+
 def _checked(kind: str):
     return lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), s["before"].alias("before"), _valid(kind, s["value"]).alias("ok"))
 
@@ -94,15 +117,20 @@ def with_spans(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         strict = _placed(F.col("text"), STRICT[kind], F.col(f"{kind}_h"))
         columns[f"{kind}_all"] = F.transform(strict, _checked(kind))
-        columns[f"{kind}_loose"] = _placed(F.col("text"), LOOSE[kind], F.col(f"{kind}_g"))
-    return out.select("doc_id", *[c.alias(n) for n, c in columns.items()])
+        columns[f"{kind}_g2"] = _placed(F.col("text"), LOOSE[kind], F.col(f"{kind}_g"))
+    out = out.select("doc_id", *[c.alias(n) for n, c in columns.items()])
+
+    def checked(kind: str):
+        return lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), s["before"].alias("before"), _loose_valid(kind, s).alias("ok"))
+
+    return out.select("doc_id", *[f"{k}_all" for k in KINDS], *[F.transform(F.col(f"{k}_g2"), checked(k)).alias(f"{k}_loose") for k in KINDS])
 
 
-def features(kind: str, s: Column) -> list[Column]:
+def features(kind: str, s: Column, loose: bool = False) -> list[Column]:
     """Format and context without the checks that make a span a base one, each from 0 to its width less 1."""
     groups = F.size(F.split(s["value"], "[^0-9A-Za-z]+"))
     near = F.when(s["before"].rlike(CONTEXT), 2).when(s["before"].rlike("[A-Za-z0-9]$"), 1).otherwise(0)
-    raw = [F.lit(KINDS.index(kind)), F.length(_digits(s["value"])), groups, near, F.floor(F.length(s["value"]) / 4).cast("int")]
+    raw = [F.lit(KINDS.index(kind)), F.length(_digits(s["value"])), groups, near, F.floor(F.length(s["value"]) / 4).cast("int"), F.lit(int(loose))]
     return [F.least(x, F.lit(w - 1)).cast("int") for x, w in zip(raw, WIDTHS, strict=True)]
 
 
@@ -152,28 +180,31 @@ def _column(tree: Leaf | Split, own: list[Column]) -> Column:
 @dataclass
 class Model:
     trees: list[Leaf | Split]
-    thresholds: dict[str, float]  # by kind; infinity: nothing is added
+    thresholds: dict[str, float]  # of strict candidates, by kind; infinity: nothing is added
+    loose: dict[str, float]  # of the loose generators' candidates
 
 
 def boost(cells: np.ndarray, counts: np.ndarray, positives: np.ndarray) -> Model:
-    """Trees for the cells' share of positives, and each kind's threshold."""
+    """Trees for the cells' share of positives, and each kind's and generator's threshold."""
     score, trees = np.zeros(len(cells)), []
     for _ in range(TREES if len(cells) else 0):
         p = 1 / (1 + np.exp(-score))
         trees.append(_grow(cells, counts * p - positives, counts * p * (1 - p), 2))
         score += _apply(trees[-1], cells)
-    thresholds = {}
-    for k, kind in enumerate(KINDS):
-        own = np.flatnonzero(cells[:, 0] == k) if len(cells) else np.zeros(0, int)
+    from_loose = cells[:, 5] == 1 if len(cells) and cells.shape[1] > 5 else np.zeros(len(cells), bool)
+
+    def threshold(k: int, loose: bool) -> float:
+        own = np.flatnonzero((cells[:, 0] == k) & (from_loose == loose)) if len(cells) else np.zeros(0, int)
         own = own[np.argsort(-score[own], kind="stable")]
         share = np.cumsum(positives[own]) / np.maximum(np.cumsum(counts[own]), 1)
         good = np.flatnonzero(share >= PRECISION)
-        thresholds[kind] = float(score[own[good[-1]]]) - 1e-9 if len(good) else float("inf")
-    return Model(trees, thresholds)
+        return float(score[own[good[-1]]]) - 1e-9 if len(good) else float("inf")
+
+    return Model(trees, *({kind: threshold(k, loose) for k, kind in enumerate(KINDS)} for loose in (False, True)))
 
 
-def _cell(kind: str, strict: bool):
-    return lambda s: F.struct(*[x.alias(f"f{i}") for i, x in enumerate(features(kind, s))], (s["ok"] if strict else F.lit(False)).alias("base"))
+def _cell(kind: str, loose: bool):
+    return lambda s: F.struct(*[x.alias(f"f{i}") for i, x in enumerate(features(kind, s, loose))], s["ok"].alias("base"))
 
 
 def _written(kind: str):
@@ -184,8 +215,8 @@ def fit(spans: DataFrame) -> Model:
     """Counts of all candidates by cell; at most the product of WIDTHS rows reach the driver."""
     every = []
     for kind in KINDS:
-        for source, ok in ((f"{kind}_all", True), (f"{kind}_loose", False)):
-            every.append(F.transform(F.col(source), _cell(kind, ok)))
+        for source, loose in ((f"{kind}_all", False), (f"{kind}_loose", True)):
+            every.append(F.transform(F.col(source), _cell(kind, loose)))
     rows = spans.select(F.explode(F.concat(*every)).alias("c")).groupBy(*[F.col(f"c.f{i}").alias(f"f{i}") for i in range(len(WIDTHS))])
     cells = rows.agg(F.count("*").alias("n"), F.sum(F.col("c.base").cast("int")).alias("base")).orderBy(*[f"f{i}" for i in range(len(WIDTHS))]).collect()
     table = np.array([list(c) for c in cells], float).reshape(-1, len(WIDTHS) + 2)
@@ -200,28 +231,27 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     spans = with_spans(id_text(docs, id_col, text_col))
     model = fit(spans)
-    plain = "array<struct<start:int,stop:int,value:string,before:string>>"
     based = {f"{k}_base": F.transform(F.filter(F.col(f"{k}_all"), lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))) for k in KINDS}
-    others = {f"{k}_more": F.concat(F.col(f"{k}_loose"), F.transform(F.filter(F.col(f"{k}_all"), lambda s: ~s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), s["before"].alias("before"))).cast(plain)) for k in KINDS}
-    out = spans.select("doc_id", *[c.alias(n) for n, c in (based | others).items()])
-    taken = F.concat(*[F.col(f"{k}_base") for k in KINDS])
-    out = out.withColumn("taken", taken)
+    failed = {f"{k}_failed": F.filter(F.col(f"{k}_all"), lambda s: ~s["ok"]) for k in KINDS}
+    out = spans.select("doc_id", *[f"{k}_loose" for k in KINDS], *[c.alias(n) for n, c in (based | failed).items()])
+    out = out.withColumn("taken", F.concat(*[F.col(f"{k}_base") for k in KINDS]))
 
-    def chosen(kind: str) -> Column:
-        if model.thresholds[kind] == float("inf"):
+    def chosen(kind: str, source: str, loose: bool) -> Column:
+        least = (model.loose if loose else model.thresholds)[kind]
+        if least == float("inf"):
             return F.array().cast("array<struct<start:int,stop:int>>")
 
         def passes(s: Column) -> Column:
-            own = features(kind, s)
+            own = features(kind, s, loose)
             total = F.lit(0.0)
             for tree in model.trees:
                 total = total + _column(tree, own)
-            return total >= model.thresholds[kind]
+            return (s["ok"] & (total >= least)) if loose else total >= least
 
-        free = F.filter(F.col(f"{kind}_more"), lambda s: ~F.exists(F.col("taken"), lambda t: (t["start"] < s["stop"]) & (s["start"] < t["stop"])))
+        free = F.filter(F.col(source), lambda s: ~F.exists(F.col("taken"), lambda t: (t["start"] < s["stop"]) & (s["start"] < t["stop"])))
         return F.array_distinct(F.transform(F.filter(free, passes), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
 
-    out = out.withColumns({f"{k}_added": chosen(k) for k in KINDS})
+    out = out.withColumns({f"{k}_added": F.array_distinct(F.concat(chosen(k, f"{k}_loose", True), chosen(k, f"{k}_failed", False))) for k in KINDS})
 
     def written(columns: list[tuple[str, Column]]) -> Column:
         return F.array_join(F.concat(*[F.transform(c, _written(k)) for k, c in columns]), ",")

@@ -270,6 +270,21 @@ def test_pii_cases(spark, odd, empty):
     assert red[1] == "🎉 mail é[EMAIL]."
 
 
+def test_pii_adds_valid_loose_items(spark):
+    """Spelled-out and broken forms are added by their own validity, also without a strict item near; look-alikes are not."""
+    real = ["write to me [at] here [dot] org now", "call (555) 123-4567 now", "host 1[.]2[.]3[.]4 is up", "card 4111.1111.1111.1111 paid"]
+    alike = ["five @ 3.99 each", "host 999[.]2[.]3[.]4 is up", "card 4111.1111.1111.1112 paid"]
+    want = ["me [at] here [dot] org", "(555) 123-4567", "1[.]2[.]3[.]4", "4111.1111.1111.1111"]
+    for times in ((1, 0), (60, 1)):
+        texts = real * times[0] + alike * times[1]
+        got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        for i, text in enumerate(texts):
+            own = [text[int(a) : int(b)] for _, a, b in (s.split(":") for s in got[i]["spans"].split(",") if s)]
+            assert own == ([want[i % 4]] if i < len(real) * times[0] else []) and got[i]["n_added"] == len(own), text
+    few = [f"card {1000 + i}.1111.1111.{2000 + 7 * i} paid" for i in range(200)]  # numbers of which a tenth pass by chance
+    assert pii.find(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string")).where("n_added > 0").count() == 0
+
+
 def test_pii_boosting_separates_cells():
     cells = np.array([[0, a, b, 0, 0] for a in range(6) for b in range(4)])
     n = np.full(len(cells), 100.0)
