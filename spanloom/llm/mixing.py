@@ -87,11 +87,13 @@ def _rates(tokens: np.ndarray, p: np.ndarray, steps: np.ndarray, low: float, hig
     return r
 
 
-def mix(soft: DataFrame, targets: list[float], total: float | None = None, steps: int = 12, max_rate: float = 4.0) -> DataFrame:
+def mix(soft: DataFrame, targets: list[float], total: float | None = None, steps: int | None = None, max_rate: float = 4.0) -> DataFrame:
     """soft (doc_id, n_tokens, posterior) plus ``rate`` and ``copies``.
 
     targets: weight of each domain (they are normalised); total: tokens wanted, by default those there are. copies is
     the whole part of the rate plus one for the share of ids, by hash, that the fraction says, so its mean is the rate.
+    Steps go on until the domains' totals are within 1e-4 of the targets, or ten steps have not lowered the difference by a
+    hundredth (targets out of reach); ``steps`` limits them.
     Documents without words and rows with null ids keep rate 1. An empty table gives an empty result.
     """
     spark, size = soft.sparkSession, len(targets)
@@ -116,11 +118,17 @@ def mix(soft: DataFrame, targets: list[float], total: float | None = None, steps
 
         return run
 
-    for _ in range(steps):
+    best = since = None
+    while steps is None or len(history) < steps:
         sums = soft.select("n_tokens", "posterior").mapInArrow(lean(apply(["sums"])), ", ".join(f"e{k} double" for k in range(size)))
         e = sums.agg(*[F.coalesce(F.sum(f"e{k}"), F.lit(0.0)) for k in range(size)]).first()
         residual = np.array(e) - wanted
-        if np.abs(residual).sum() <= 1e-4 * max(wanted.sum(), 1):
+        gap = float(np.abs(residual).sum())
+        if gap <= 1e-4 * max(wanted.sum(), 1):
+            break
+        if best is None or gap < 0.99 * best:
+            best, since = gap, len(history)
+        elif len(history) - since >= 10:
             break
         history.append(residual / reach)
     out = soft.mapInArrow(lean(apply(["doc_id", "n_tokens", "posterior", "rate"])), "doc_id long, n_tokens long, posterior array<double>, rate double")

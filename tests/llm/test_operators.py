@@ -190,6 +190,19 @@ def test_mixing_reaches_targets(spark, odd, empty):
     assert mixing.mix_documents(odd, labels)[0].count() == len(ODD) and mixing.mix_documents(empty, labels)[0].count() == 0
 
 
+def test_mixing_reaches_targets_by_default(spark):
+    """The production parameters go on until the totals are there; targets out of reach end for lack of progress."""
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.integers(1, 200)), [float(x) for x in rng.dirichlet([1, 1, 1])]) for i in range(3000)]
+    soft = spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>")
+    total = sum(n for _, n, _ in rows)
+    out = mixing.mix(soft, [0.5, 0.3, 0.2]).toPandas()
+    expected = sum(r * n * np.array(p) for r, n, p in zip(out.rate, out.n_tokens, out.posterior))
+    assert np.allclose(expected, np.array([0.5, 0.3, 0.2]) * total, rtol=0.001)
+    same = spark.createDataFrame([(1, 10, [0.5, 0.5]), (2, 20, [0.5, 0.5])], "doc_id long, n_tokens long, posterior array<double>")
+    assert mixing.mix(same, [0.9, 0.1]).count() == 2
+
+
 # ------------------------------------------------------------------ language model
 def test_lm_counts_scores_and_probabilities(spark, documents):
     got = {r["doc_id"]: r for r in queries.op2_lm_scoring(spark, SF).collect()}
