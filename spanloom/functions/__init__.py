@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import CLASSES, FOLDER_CLASS, LETTERS
+from ..config import CLASSES, EXPLANATIONS, FOLDER_CLASS, LETTERS
 
 
 def literal_map(values: dict) -> Column:
@@ -38,6 +38,21 @@ def softmax(logs: Column) -> Column:
     return let(F.array_max(logs), lambda top: let(F.transform(logs, lambda x: F.exp(x - top)), normalised))
 
 
+def letter_logs(tokens: Column) -> Column:
+    """The greatest logprob of each class letter (null: not there) of array<struct<token, logprob>>."""
+    own = F.transform(F.coalesce(tokens, F.array().cast("array<struct<token:string,logprob:double>>")), lambda t: F.struct(token_letter(t["token"]).alias("letter"), t["logprob"].alias("logprob")))
+    best = lambda named, letter: F.array_max(F.transform(F.filter(named, lambda t: t["letter"] == letter), lambda t: t["logprob"]))
+    return let(own, lambda named: F.array(*[best(named, x) for x in LETTERS]))
+
+
+def class_distribution(logs: Column, t: float | None = None) -> Column:
+    """temperature(softmax()) over the classes. Where no class has a value (no letter in the reply, or no reply at all
+    because the call failed), the first class, normal, is sure."""
+    sure = F.array(F.lit(1.0), *[F.lit(None).cast("double")] * (len(LETTERS) - 1))
+    some = F.exists(logs, lambda x: x.isNotNull())
+    return F.when(some, temperature(softmax(logs), t)).otherwise(sure)
+
+
 def temperature(probs: Column, t: float | None) -> Column:
     """p^(1/t), renormalised; none, 0 or 1 leaves the distribution as it is."""
     if not t or t == 1.0:
@@ -45,6 +60,11 @@ def temperature(probs: Column, t: float | None) -> Column:
     return let(F.transform(probs, lambda p: F.pow(F.greatest(p, F.when(p.isNotNull(), 1e-12)), F.lit(1.0 / t))), normalised)
 
 
+def explanation(class_name: Column) -> Column:
+    """The text that an answer sheet gives for a class; null for a class without one."""
+    return F.try_element_at(literal_map(EXPLANATIONS), class_name)
+
+
 def p_anomaly(p_normal: Column) -> Column:
     return 1 - F.coalesce(p_normal, F.lit(0.0))
 

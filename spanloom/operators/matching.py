@@ -14,27 +14,50 @@ from ..functions import iou
 GATE = 0.5
 
 
+def _clusters(truths: DataFrame, preds: DataFrame) -> DataFrame:
+    """Both sides in one frame (video_id, class_name, is_truth, ord, start_sec, end_sec, cluster).
+
+    Intervals of one video and class fall into clusters between which nothing overlaps: a new one begins where a start
+    lies behind all ends before it. Null, empty and inverted intervals overlap nothing and are left out.
+    """
+    own = ["video_id", "class_name"]
+    side = lambda df, order, truth: df.select(*own, F.lit(truth).alias("is_truth"), F.col(order).cast("int").alias("ord"), "start_sec", "end_sec")
+    both = side(truths, "gt_ord", True).unionByName(side(preds, "pred_ord", False)).where("start_sec < end_sec")
+    near = Window.partitionBy(*own).orderBy("start_sec", "end_sec")
+    reach = F.max("end_sec").over(near.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.coalesce((F.col("start_sec") >= reach).cast("int"), F.lit(0))
+    return both.withColumn("_cut", cut).withColumn("cluster", F.sum("_cut").over(near)).drop("_cut")
+
+
 def overlaps(truths: DataFrame, preds: DataFrame, gate: float | None = GATE) -> DataFrame:
-    """Pairs of one video and class with their IoU, at least ``gate`` (None: over 0): an equi join with a residual."""
-    g = truths.select("video_id", "class_name", "gt_ord", F.col("start_sec").alias("g0"), F.col("end_sec").alias("g1"))
-    p = preds.select("video_id", "class_name", "pred_ord", F.col("start_sec").alias("p0"), F.col("end_sec").alias("p1"))
-    value = iou(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1"))
-    out = g.join(p, ["video_id", "class_name"]).withColumn("iou", value)
+    """Pairs of one video and class with their IoU, at least ``gate`` (None: over 0), and their ``cluster``.
+
+    An equi join on (video, class, cluster), so a long series is no quadratic join; both sides share one shuffle.
+    """
+    both = _clusters(truths, preds)
+    own = ["video_id", "class_name", "cluster"]
+    g = both.where("is_truth").select(*own, F.col("ord").alias("gt_ord"), F.col("start_sec").alias("g0"), F.col("end_sec").alias("g1"))
+    p = both.where("NOT is_truth").select(*own, F.col("ord").alias("pred_ord"), F.col("start_sec").alias("p0"), F.col("end_sec").alias("p1"))
+    out = g.join(p, own).withColumn("iou", iou(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1")))
     return out.where(F.col("iou") > 0 if gate is None else F.col("iou") >= gate)
 
 
 def _greedy(pairs: DataFrame, order: Column) -> DataFrame:
-    """Pairs taken in order if neither side is taken yet: a fold over a video's sorted candidates."""
-    kind = "struct<g:int,p:int,iou:double>"
-    rows = pairs.groupBy("video_id").agg(F.sort_array(F.collect_list(order)).alias("c"))
-    zero = F.array().cast(f"array<{kind}>")
+    """Pairs taken in order if neither side is taken yet: a fold over a cluster's sorted candidates.
+
+    ``order`` begins with the truth, so of the truths only the last one taken is kept in mind.
+    """
+    kind = "struct<g:int,used:array<int>,taken:array<struct<g:int,p:int,iou:double>>>"
+    rows = pairs.groupBy("video_id", "class_name", "cluster").agg(F.sort_array(F.collect_list(order)).alias("c"))
+    zero = F.struct(F.lit(-1).alias("g"), F.array().alias("used"), F.array().alias("taken")).cast(kind)
 
     def take(acc: Column, c: Column) -> Column:
-        free = ~F.exists(acc, lambda t: (t["g"] == c["g"]) | (t["p"] == c["p"]))
-        one = F.struct(c["g"].alias("g"), c["p"].alias("p"), c["iou"].alias("iou")).cast(kind)
-        return F.when(free, F.concat(acc, F.array(one))).otherwise(acc)
+        free = (acc["g"] != c["g"]) & ~F.array_contains(acc["used"], c["p"])
+        one = F.struct(c["g"].alias("g"), c["p"].alias("p"), c["iou"].alias("iou"))
+        more = F.struct(c["g"].alias("g"), F.concat(acc["used"], F.array(c["p"])).alias("used"), F.concat(acc["taken"], F.array(one)).alias("taken")).cast(kind)
+        return F.when(free, more).otherwise(acc)
 
-    taken = rows.select("video_id", F.explode(F.aggregate("c", zero, take)).alias("t"))
+    taken = rows.select("video_id", F.explode(F.aggregate("c", zero, take, lambda acc: acc["taken"])).alias("t"))
     return taken.select("video_id", F.col("t.g").alias("gt_ord"), F.col("t.p").alias("pred_ord"), F.col("t.iou").alias("iou"))
 
 
@@ -58,7 +81,7 @@ def match_first(truths: DataFrame, preds: DataFrame, gate: float = GATE, timed:
 
 def unmatched(preds: DataFrame, matches: DataFrame) -> DataFrame:
     """Predictions that nothing matched: false alarms and fragments."""
-    return preds.join(matches.select("video_id", "pred_ord"), ["video_id", "pred_ord"], "left_anti")
+    return missing(preds, matches, ["video_id", "pred_ord"])
 
 
 def at_time(points: DataFrame, events: DataFrame, cell: float = 60.0) -> DataFrame:
@@ -80,6 +103,22 @@ def best_overlap(truths: DataFrame, preds: DataFrame) -> DataFrame:
     return best.select("video_id", "gt_ord", "b.*")
 
 
+# ------------------------------------------------------------------ lookups
+def left_default(left: DataFrame, right: DataFrame, on: list[str], defaults: dict) -> DataFrame:
+    """left with right's columns; where right has no row (and where it is null), the defaults."""
+    return left.join(right, on, "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+
+
+def existing(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of left whose key right holds."""
+    return left.join(right.select(*on), on, "left_semi")
+
+
+def missing(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of left whose key right does not hold."""
+    return left.join(right.select(*on), on, "left_anti")
+
+
 # ------------------------------------------------------------------ scores
 # Weights of alert, matched share and timing; the fragment penalty and its limit.
 WEIGHTS = {2: (0.30, 0.45, 0.25), 3: (0.20, 0.40, 0.40)}

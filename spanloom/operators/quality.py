@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import CLASSES
+from .matching import missing
 
 
 def violations(events: DataFrame, answers: DataFrame, manifest: DataFrame, runtimes: DataFrame | None = None, classes: tuple[str, ...] = CLASSES) -> DataFrame:
@@ -19,7 +20,7 @@ def violations(events: DataFrame, answers: DataFrame, manifest: DataFrame, runti
     """
     found = answers.groupBy("video_id").agg(F.count("*").alias("n"))
     repeats = found.where("n > 1").select("video_id", F.lit("duplicate").alias("rule"), F.explode(F.transform(F.sequence(F.lit(2).cast("long"), F.col("n")), lambda x: x.cast("string"))).alias("detail"))
-    strange = answers.join(manifest.select("video_id"), "video_id", "left_anti").select("video_id", F.lit("unknown_video").alias("rule"), F.lit("").alias("detail"))
+    strange = missing(answers, manifest, ["video_id"]).select("video_id", F.lit("unknown_video").alias("rule"), F.lit("").alias("detail"))
     e = events.join(manifest.select("video_id", "level").dropDuplicates(["video_id"]), "video_id", "left")
     one = F.coalesce(F.col("level") == 1, F.lit(False))
     start_bad = F.col("start_sec").isNull() | (F.col("start_sec") < 0)
@@ -47,6 +48,11 @@ def first_violations(found: DataFrame, n: int = 40) -> DataFrame:
     return found.orderBy("video_id", "rule", "detail").limit(n)
 
 
+def passing(answers: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Answers of the sheets (``key``) without any violation: the others are not written."""
+    return missing(answers, found, [key])
+
+
 def overlay(log: DataFrame, key: str, run: str) -> DataFrame:
     """The latest run's answer for each key; keys that a later run does not mention keep their earlier answer."""
     newest = log.groupBy(key).agg(F.max(run).alias(run))
@@ -72,5 +78,12 @@ def nearest_rank(calls: DataFrame, keys: list[str], ms: str, q: float) -> DataFr
     return ranked.where(F.col("_at") == F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1)).select(*keys, F.col(ms).alias("value"))
 
 
+def running(calls: DataFrame, key: str, order: list[str], ms: str) -> DataFrame:
+    """calls with ``done``, ``mean_ms`` and ``max_ms`` so far, in order within the key."""
+    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    done = F.count("*").over(w)
+    return calls.withColumns({"done": done, "mean_ms": F.sum(ms).over(w) / done, "max_ms": F.max(ms).over(w)})
+
+
 def realtime_factor(wall_ms: Column, duration_sec: Column) -> Column:
     return F.when(duration_sec > 0, F.bround(wall_ms / 1000 / duration_sec, 3))

@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 
 
 def shuffled(seed: int, *keys: str) -> Column:
-    """A repeatable random order of rows by their keys."""
-    return F.xxhash64(F.lit(seed), *keys)
+    """A repeatable random order of rows by their keys: 60 bits of a digest, as a whole number."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def training_rows(labelled: DataFrame, taught: DataFrame) -> DataFrame:
+    """Rows (letter, images, source) of labelled files and of those that a teacher labelled; rows without a letter are left out."""
+    return labelled.unionByName(taught).where("letter IS NOT NULL")
 
 
 def cap_per_group(df: DataFrame, by: list[str], n: int, order: list) -> DataFrame:
@@ -21,13 +27,14 @@ def round_robin(df: DataFrame, label: str, source: str, order: list, target: int
     """Up to ``target`` rows of each label, one from each source in turn, so that a cap buys variety.
 
     Rows are numbered within (label, source), and those numbers, then the source, order a label's rows. Rows of the label
-    ``uncapped`` all stay.
+    ``uncapped`` all stay, unsorted. A source's rows over the target cannot be among a label's first ones, so each task
+    drops them before the shuffle, and a label sorts at most target rows of each source.
     """
+    every = F.coalesce(F.col(label) == uncapped, F.lit(False)) if uncapped is not None else F.lit(False)
     turn = F.row_number().over(W.partitionBy(label, source).orderBy(*order))
-    out = df.withColumn("_turn", turn)
-    out = out.withColumn("_rank", F.row_number().over(W.partitionBy(label).orderBy("_turn", source)))
-    keep = F.col("_rank") <= target
-    return out.where(keep if uncapped is None else keep | (F.col(label) == uncapped)).drop("_turn", "_rank")
+    out = df.where(~every).withColumn("_turn", turn).where(F.col("_turn") <= target)
+    out = out.withColumn("_rank", F.row_number().over(W.partitionBy(label).orderBy("_turn", source))).where(F.col("_rank") <= target).drop("_turn", "_rank")
+    return out if uncapped is None else out.unionByName(df.where(every))
 
 
 def stride_plan(videos: DataFrame, cls: str, target: int, per_video: int, max_videos: int, normal: str = "normal") -> DataFrame:
@@ -57,11 +64,34 @@ def balance_plan(rows: DataFrame, label: str, share: float, normal: str = "norma
     return n.select(label, "n", keep.cast("long").alias("keep"))
 
 
+#: Precision of the percentiles that bound a label's cut-off: about n / ACCURACY rows of a label are sorted.
+ACCURACY = 10_000
+
+
 def balance(rows: DataFrame, label: str, share: float, order: list, normal: str = "normal") -> DataFrame:
-    """Rows of each label as balance_plan() says, first in ``order``."""
-    plan = F.broadcast(balance_plan(rows, label, share, normal).select(label, "keep"))  # one row for each class
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(label).orderBy(*order)))
-    return ranked.join(plan, label).where(F.col("_rank") <= F.col("keep")).drop("_rank", "keep")
+    """Rows of each label as balance_plan() says, first in ``order``: a number, then what else breaks ties.
+
+    No label is sorted as a whole: approximate percentiles around the place of the last row kept bound it on both sides
+    (counts confirm the bounds, else they are the label's least and greatest number), rows outside need no rank, and only
+    the rows between are numbered. Rows whose number is null are never kept while others are there.
+    """
+    first, *ties = order
+    first = first if isinstance(first, Column) else F.col(first)
+    marked = rows.withColumn("_at", F.coalesce(first.cast("double"), F.lit(float("inf"))))
+    plan = balance_plan(rows, label, share, normal)
+    place = lambda d: F.least(F.greatest((F.col("keep") + d) / F.col("n"), F.lit(0.0)), F.lit(1.0))
+    slack = F.ceil(2 * F.col("n") / ACCURACY) + 1
+    sketch = marked.groupBy(label).agg(F.percentile_approx("_at", [i / ACCURACY for i in range(0, ACCURACY + 1, 10)], ACCURACY).alias("_q"), F.min("_at").alias("_min"), F.max("_at").alias("_max"))
+    step = ACCURACY // 10
+    own = plan.join(sketch, label).withColumns({"_a": F.element_at("_q", (F.floor(place(-slack) * step) + 1).cast("int")), "_b": F.element_at("_q", (F.ceil(place(slack) * step) + 1).cast("int"))})
+    own = own.select(label, "keep", "_a", "_b", "_min", "_max")  # one row for each class
+    n = marked.join(F.broadcast(own.select(label, "_a", "_b")), label).groupBy(label).agg(F.sum((F.col("_at") < F.col("_a")).cast("long")).alias("_under"), F.sum((F.col("_at") <= F.col("_b")).cast("long")).alias("_upto"))
+    own = own.join(n, label).withColumn("_good", (F.col("_under") <= F.col("keep")) & (F.col("_upto") >= F.col("keep")))
+    own = own.select(label, "keep", F.when(F.col("_good"), F.col("_a")).otherwise(F.col("_min")).alias("_a"), F.when(F.col("_good"), F.col("_b")).otherwise(F.col("_max")).alias("_b"), F.when(F.col("_good"), F.col("_under")).otherwise(0).alias("_under"))
+    near = marked.join(F.broadcast(own), label).where(F.col("_at") <= F.col("_b"))
+    low, between = F.col("_at") < F.col("_a"), F.col("_at") >= F.col("_a")
+    ranked = near.where(between).withColumn("_rank", F.row_number().over(W.partitionBy(label).orderBy("_at", *ties)) + F.col("_under")).where(F.col("_rank") <= F.col("keep"))
+    return near.where(low).select(*rows.columns).unionByName(ranked.select(*rows.columns))
 
 
 def agreed(df: DataFrame, first: str, second: str, out: str = "label") -> DataFrame:

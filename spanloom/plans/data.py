@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import sources as S
 from ..functions import class_of_path, clock, file_stem, fitted_side, media_kind
+from ..operators import matching as M
 from ..operators import quality as Q
 from ..operators import sampling as B
 from . import table
@@ -170,10 +171,7 @@ def manifest_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lists = o.groupBy("o_custkey", "first").agg(F.sort_array(F.collect_list(entry)).alias("videos"))
     texts = lists.select("o_custkey", "first", F.when(F.col("o_custkey") % 2 == 0, F.to_json("videos")).otherwise(F.to_json(F.struct("videos"))).alias("value"))
-    body = F.when(F.col("value").startswith("["), F.from_json("value", f"array<{S.VIDEO}>")).otherwise(F.from_json("value", f"struct<videos:array<{S.VIDEO}>>")["videos"])
-    rows = texts.select("o_custkey", "first", F.posexplode(body).alias("pos", "v"))
-    last = rows.groupBy("o_custkey", "v.video_id").agg(F.max_by("v", F.col("first") + F.col("pos")).alias("v"))
-    out = last.select("o_custkey", "video_id", F.coalesce("v.level", F.lit(1)).alias("level"), F.coalesce("v.filename", "v.file", F.concat("video_id", F.lit(".mp4"))).alias("filename"), "v.duration_sec")
+    out = S.parse_manifest(texts, keys=("o_custkey",), first="first").drop("domain")
     return S.select_videos(out, [1, 3])
 
 
@@ -246,9 +244,7 @@ def chat_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     images = F.transform(F.sequence(F.lit(0).cast("long"), F.col("turn") % 4), lambda j: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), j.cast("string"), F.lit(".jpg")))
     samples = c.select("conv_id", "turn", F.char(65 + F.col("turn") % 12).alias("letter"), images.alias("images"))
-    user = F.concat(F.repeat(F.lit("<image>"), F.size("images")), F.lit("\nWhat is shown?"))
-    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return samples.select("conv_id", "turn", F.to_json(F.struct(F.array(turn("user", user), turn("assistant", F.col("letter"))).alias("messages"), "images")).alias("value"))
+    return S.chat_rows(samples, "What is shown?", keys=("conv_id", "turn"))
 
 
 @query("SELECT conv_id, turn, nullif(regexp_extract(upper(text), '[A-L]', 0), '') AS letter FROM conversations")
@@ -256,28 +252,104 @@ def teacher_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.teacher_letter(F.col("text")).alias("letter"))
 
 
+# ------------------------------------------------------------------ truths
+LINES = """(SELECT user_id::VARCHAR AS video_id, event_id, event_type, CASE WHEN event_id % 3 = 0 THEN ' TRUE ' WHEN event_id % 3 = 1 THEN 'true' ELSE 'no' END AS flag,
+    CASE WHEN event_id % 5 <> 0 THEN event_id / 4.0::DOUBLE END AS start_time_sec, event_id / 4.0::DOUBLE + 3 AS end_time_sec FROM events)"""
+
+
+def _truths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truths from the lines of a file with one for each event."""
+    i = F.col("event_id")
+    flag = F.when(i % 3 == 0, " TRUE ").when(i % 3 == 1, "true").otherwise("no")
+    start = F.when(i % 5 != 0, (i / 4.0).cast("string")).otherwise("")
+    lines = table(spark, sf_dir, "events").select("event_id", F.concat_ws(",", F.col("user_id").cast("string"), F.lit("2"), flag, F.col("event_type"), start, (i / 4.0 + 3).cast("string")).alias("value"))
+    return S.parse_truths(lines, "event_id")
+
+
+@query(
+    f"""SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY event_id) - 1 AS gt_ord, trim(lower(flag)) = 'true' AS is_anomaly, event_type AS class_name, start_time_sec, end_time_sec FROM {LINES}"""
+)
+def truth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _truths(spark, sf_dir)
+    return t.select("video_id", F.col("gt_ord").cast("long").alias("gt_ord"), "is_anomaly", "class_name", "start_time_sec", "end_time_sec")
+
+
+@query(f"""SELECT c_custkey, video_id, start_time_sec, end_time_sec FROM customer JOIN {LINES} ON video_id = (c_custkey % 400)::VARCHAR WHERE trim(lower(flag)) = 'true' AND start_time_sec IS NOT NULL""")
+def truths_of_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads by customers, matched with the truths by their names' stems."""
+    name = F.concat(F.lit("in/"), (F.col("c_custkey") % 400).cast("string"), F.lit(".Mp4"))
+    return S.timed_truths_of(_truths(spark, sf_dir), table(spark, sf_dir, "customer").select("c_custkey", name.alias("filename"))).select("c_custkey", "video_id", "start_time_sec", "end_time_sec")
+
+
+@query(
+    """SELECT o_orderkey::VARCHAR AS video_id, (o_orderkey % 3 + 1)::INT AS level FROM orders WHERE o_orderkey % 3 <> 1
+    AND o_custkey % 500 IN (SELECT c_custkey FROM customer) AND o_orderpriority IN ('1-URGENT', '5-LOW')"""
+)
+def videos_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos of two levels whose file is in a listing."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
+    v = o.select(F.col("o_orderkey").cast("string").alias("video_id"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("level"), F.concat((F.col("o_custkey") % 500).cast("string"), F.lit(".mp4")).alias("filename"))
+    files = table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".mp4")).alias("filename"))
+    return S.select_videos(v, [1, 3], files=files).select("video_id", "level")
+
+
+@query("SELECT o_orderkey::VARCHAR AS video_id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey::VARCHAR IN ('1', '2', '3', '6', '33', '34', '96', '99', '100')")
+def videos_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos of a level that are named."""
+    v = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("video_id"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("level"))
+    return S.select_videos(v, [1], only=["1", "2", "3", "6", "33", "34", "96", "99", "100"]).select("video_id")
+
+
+@query(f"{RULES} SELECT DISTINCT user_id AS video_id FROM events WHERE user_id NOT IN (SELECT video_id FROM a)")
+def sheet_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's answers as a sheet of their own: only those without a breach are written."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id")).distinct()
+    return Q.passing(users, _violations(spark, sf_dir), "video_id")
+
+
+SHUFFLE = "('0x' || substr(md5('{seed}:' || {key}), 1, 15))::BIGINT"
+
+
+@query(f"SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY {SHUFFLE.format(seed=7, key='doc_id')}, doc_id) <= 3")
+def class_cap_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random cap for each group, by a seed."""
+    return B.cap_per_group(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["source", "lang"], 3, [B.shuffled(7, "doc_id"), "doc_id"])
+
+
+TRAIN = """(SELECT conv_id * 1000 + turn AS id, nullif(regexp_extract(upper(text), '[A-L]', 0), '') AS letter, 'taught' AS source FROM conversations
+    UNION ALL SELECT doc_id, chr((65 + doc_id % 12)::INT), source FROM documents)"""
+
+
+@query(f"SELECT id, letter, source, {SHUFFLE.format(seed=11, key='id || chr(58) || source')} AS place FROM {TRAIN} WHERE letter IS NOT NULL")
+def training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled and taught rows in one bag, in a random order by a seed."""
+    taught = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), S.teacher_letter(F.col("text")).alias("letter"), F.lit("taught").alias("source"))
+    labelled = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.char(65 + F.col("doc_id") % 12).alias("letter"), "source")
+    return B.training_rows(labelled, taught).withColumn("place", B.shuffled(11, "id", "source")).orderBy("place", "id")
+
+
 # ------------------------------------------------------------------ joins
 @query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer")
 def left_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    c = table(spark, sf_dir, "customer").select("c_custkey")
-    return c.join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return M.left_default(table(spark, sf_dir, "customer").select("c_custkey"), n, ["c_custkey"], {"n": 0})
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def semi_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return M.existing(table(spark, sf_dir, "customer").select("c_custkey"), o, ["c_custkey"])
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return M.missing(table(spark, sf_dir, "customer").select("c_custkey"), o, ["c_custkey"])
 
 
 @query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def lookup_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    out = c.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    """Dimension tables are broadcast by their size, which Spark checks against its threshold."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    out = c.join(table(spark, sf_dir, "nation"), "n_nationkey").withColumnRenamed("n_regionkey", "r_regionkey").join(table(spark, sf_dir, "region"), "r_regionkey")
     return out.select("c_custkey", "n_name", "r_name")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import LETTERS, Profile
-from ..functions import p_anomaly, softmax, temperature, token_letter, top_classes
+from ..config import CLASSES, EXPLANATIONS, LETTERS, Profile
+from ..functions import class_distribution, letter_class, letter_logs, literal_map, p_anomaly, softmax, temperature, token_letter, top_classes
 from ..operators import detection as D
-from ..sources import reply_tokens
+from ..sources import reply_tokens, score_chunks, teacher_letter
 from . import DURATIONS, SETTINGS, SMOOTH, TYPES, WINDOW, chunks, events_sql, final_sql, merged_sql, runs_sql, table
 
 S = SETTINGS
+#: Video classes that the stand-in's types go by where an answer needs one.
+NAMED = dict(zip(TYPES, ["fire", "smoke", "traffic_accident", "wrong_way_driving", "traffic_congestion"], strict=True))
+NAMED_SQL = "CASE class_name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in NAMED.items()) + " END"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -97,18 +100,23 @@ def video_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT t_high, count(*) AS n_events, count(DISTINCT user_id) AS n_users, round(sum(end_sec - start_sec), 6) AS seconds FROM fin GROUP BY t_high"""
 )
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same gated signal for each threshold."""
+    """The same gated signal for each threshold, all in one pass: (user, threshold) is the key of everything after it."""
     base = D.gate(smoothed(spark, sf_dir), "user_id", "smoothed", S.t_video)
-    outs = []
-    for high in (0.6, 0.7, 0.8):
-        out = D.hysteresis(base, "user_id", "chunk_idx", "smoothed", high, S.t_low, S.t_open_chunks)
-        out = D.merge_gaps(D.run_events(out, "user_id", "probs", "smoothed", TYPES), "user_id", S.merge_gap_sec)
-        out = D.top_events(D.long_enough(out, DURATIONS), "user_id", S.max_events)
-        outs.append(out.withColumn("t_high", F.lit(high)))
-    every = outs[0].unionByName(outs[1]).unionByName(outs[2])
+    grid = base.withColumn("t_high", F.explode(F.array(*map(F.lit, (0.6, 0.7, 0.8)))))
+    every = D.detect_smoothed(grid, ["user_id", "t_high"], TYPES, S, t_high=F.col("t_high"))
     return every.groupBy("t_high").agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"), F.round(F.sum(F.col("end_sec") - F.col("start_sec")), 6).alias("seconds"))
 
 
+@query(
+    f"""WITH {SMOOTH}{runs_sql(gate='0.65')}{events_sql()}{merged_sql()}{final_sql()} SELECT user_id, event_ord, {NAMED_SQL} AS class_name, start_sec, end_sec,
+    CASE {NAMED_SQL} {' '.join(f"WHEN '{c}' THEN '{x}'" for c, x in EXPLANATIONS.items())} END AS explanation FROM fin"""
+)
+def events_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final events as answers: each with the text of its class."""
+    out = final_events(spark, sf_dir).withColumn("class_name", F.element_at(literal_map(NAMED), F.col("class_name")))
+    return D.explained(out).select("user_id", F.col("event_ord").cast("long").alias("event_ord"), "class_name", "start_sec", "end_sec", "explanation")
+
+
 @query(
     """WITH v AS (SELECT user_id, event_type, sum(value / (value + 20.0)) AS w, sum(1 - value / (value + 20.0)) AS wn FROM events GROUP BY ALL),
     t AS (SELECT user_id, sum(w) + sum(wn) AS z, sum(wn) AS wn FROM v GROUP BY user_id)
@@ -160,7 +168,38 @@ FRAME = "greatest(least(round_even(({a} + ({b} - {a}) * (j + 0.5) / 8) * 25.0, 0
 def frame_sample_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = D.sliding_chunks(durations(spark, sf_dir), WINDOW)
     at = D.frame_indices(F.col("start_sec"), F.col("end_sec"), F.lit(25.0), F.floor(F.col("duration_sec") * 25.0).cast("long"), 8)
-    return c.select("user_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.explode(at).alias("frame")).groupBy("user_id", "chunk_idx", "frame").agg(F.count("*").alias("n"))
+    return c.select("user_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.explode(at).alias("frame"), F.lit(1).cast("long").alias("n"))
+
+
+DECODED = "(user_id * 31 + frame * 7) % 5 <> 0"
+
+
+def _window_images(spark: SparkSession, sf_dir: str, end, distinct: bool, least: int) -> DataFrame:
+    """Windows, and as decoded frames those of four fifths of the numbers, each with a name in place of its image."""
+    c = D.sliding_chunks(durations(spark, sf_dir), WINDOW)
+    at = D.frame_indices(F.col("start_sec"), end, F.lit(25.0), F.floor(F.col("duration_sec") * 25.0).cast("long"), 8, distinct)
+    c = c.withColumn("frame_idx", at)
+    image = F.concat_ws("-", F.col("user_id").cast("string"), F.col("frame").cast("string"))
+    decoded = D.wanted_frames(c, "user_id").where((F.col("user_id") * 31 + F.col("frame") * 7) % 5 != 0).withColumn("image", image)
+    out = D.window_images(c, decoded, "user_id", least=least)
+    return out.select("user_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.array_join("images", " ").alias("images"))
+
+
+def _images_sql(start: str, end: str, distinct: bool, least: int) -> str:
+    every = f"SELECT user_id, chunk_idx, j, {FRAME.format(a=start, b=end)} AS frame FROM c, unnest(range(0, 8)) AS u(j)"
+    rows = f"SELECT user_id, chunk_idx, min(j) AS j, frame FROM ({every}) GROUP BY ALL" if distinct else every
+    return f"""WITH {INFER}, f AS ({rows}) SELECT user_id, chunk_idx, string_agg(user_id || '-' || frame, ' ' ORDER BY j) AS images FROM f
+    WHERE {DECODED} GROUP BY user_id, chunk_idx HAVING count(*) >= {least}"""
+
+
+@query(_images_sql("start_sec", "end_sec", True, 1))
+def window_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _window_images(spark, sf_dir, F.col("end_sec"), True, 1)
+
+
+@query(_images_sql("start_sec", "(start_sec + 2.0)", False, 7))
+def train_window_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _window_images(spark, sf_dir, F.col("start_sec") + 2.0, False, 7)
 
 
 @query(f"WITH {INFER} SELECT DISTINCT user_id, {FRAME.format(a='start_sec', b='(start_sec + 2.0)')} AS frame FROM c, unnest(range(0, 8)) AS u(j)")
@@ -183,12 +222,12 @@ def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ distributions
-LOGS = "l AS (SELECT vec_id, i AS ord, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, 13)) AS u(i))"
+LOGS = "l AS (SELECT vec_id, i AS ord, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i))"
 SOFT = LOGS + ", s AS (SELECT vec_id, ord, exp(x - max(x) OVER w) / sum(exp(x - max_x)) OVER w AS p FROM (SELECT *, max(x) OVER (PARTITION BY vec_id) AS max_x FROM l) WINDOW w AS (PARTITION BY vec_id))"
 
 
 def _logs():
-    return F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double"))
+    return F.transform("embedding", lambda x: x.cast("double"))
 
 
 def _long(df: DataFrame) -> DataFrame:
@@ -250,42 +289,78 @@ def verify_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT vec_id // 4 AS chunk, (vec_id % 4)::BIGINT AS tile, abs(embedding[1]::DOUBLE) * 4 AS tile_anom, abs(embedding[2]::DOUBLE) AS full_anom FROM embeddings),
+    """WITH t AS (SELECT vec_id // 4 AS chunk, (vec_id % 4)::BIGINT AS tile, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) * 4 AS tile_anom, list_min(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS full_anom FROM embeddings),
     f AS (SELECT chunk, max(CASE WHEN tile = 0 THEN full_anom END) AS full_anom FROM t GROUP BY chunk),
     b AS (SELECT chunk, tile, tile_anom FROM t QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY tile_anom DESC, tile) = 1)
     SELECT chunk, tile, tile_anom, coalesce(tile_anom > full_anom AND tile_anom >= 0.9, false) AS overrides FROM b JOIN f USING (chunk)"""
 )
 def tile_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    t = e.select(F.floor(F.col("vec_id") / 4).alias("chunk"), (F.col("vec_id") % 4).alias("tile"), (F.abs(F.col("embedding")[0].cast("double")) * 4).alias("p_anom"), F.abs(F.col("embedding")[1].cast("double")).alias("full"))
+    size = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    t = e.select(F.floor(F.col("vec_id") / 4).alias("chunk"), (F.col("vec_id") % 4).alias("tile"), (F.array_max(size) * 4).alias("p_anom"), F.array_min(size).alias("full"))
     full = t.groupBy("chunk").agg(F.max(F.when(F.col("tile") == 0, F.col("full"))).alias("full_anom"))
     out = D.best_tile(t, ["chunk"]).join(full, "chunk")
     return out.select("chunk", "tile", "tile_anom", D.tile_override(F.col("full_anom") * 1.0, F.col("tile_anom"), S.verify_tile_min_conf).alias("overrides"))
 
 
+SOFTENED = """s AS (SELECT {key}, letter, exp(lp - max(lp) OVER (PARTITION BY {key})) AS e FROM f),
+    p AS (SELECT {key}, letter, pow(greatest(e / sum(e) OVER (PARTITION BY {key}), 1e-12), 1.0 / 3.0) AS q FROM s),
+    n AS (SELECT {key}, letter, q / sum(q) OVER (PARTITION BY {key}) AS p FROM p)"""
+
+
 @query(
-    """WITH l AS (SELECT user_id, upper(chr((97 + k % 16)::INT)) AS letter, max(-value / 100) AS lp FROM (
+    f"""WITH l AS (SELECT user_id, upper(chr((97 + k % 16)::INT)) AS letter, max(-value / 100) AS lp FROM (
             SELECT user_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL),
-    f AS (SELECT * FROM l WHERE letter <= 'L'),
-    s AS (SELECT user_id, letter, exp(lp - max(lp) OVER (PARTITION BY user_id)) AS e FROM f),
-    p AS (SELECT user_id, letter, pow(greatest(e / sum(e) OVER (PARTITION BY user_id), 1e-12), 1.0 / 3.0) AS q FROM s),
-    n AS (SELECT user_id, letter, q / sum(q) OVER (PARTITION BY user_id) AS p FROM p)
-    SELECT user_id, round(1 - coalesce(sum(CASE WHEN letter = 'A' THEN p END), 0), 9) AS p_anom, round(max(CASE WHEN letter = 'F' THEN p END), 9) AS p_fire FROM n GROUP BY user_id"""
+    f AS (SELECT * FROM l WHERE letter <= 'L' AND user_id % 7 <> 3),
+    {SOFTENED.format(key='user_id')}
+    SELECT user_id, CASE WHEN user_id % 7 = 3 THEN 0 ELSE round(1 - coalesce(sum(CASE WHEN letter = 'A' THEN p END), 0), 9) END AS p_anom, round(max(CASE WHEN letter = 'F' THEN p END), 9) AS p_fire
+    FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN n USING (user_id) GROUP BY user_id"""
 )
 def reply_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model's JSON reply for each user, from tokens to the softened distribution."""
+    """A model's JSON reply for each user, from tokens to the softened distribution; the replies of one user in seven hold
+    no letter of a class."""
     k = F.get_json_object("props", "$.k").cast("long")
     best = table(spark, sf_dir, "events").groupBy("user_id", (k % 16).alias("k")).agg(F.max(-F.col("value") / 100).alias("logprob"))
-    token = F.struct(F.concat(F.lit(" "), F.char(97 + F.col("k"))).alias("token"), "logprob")
-    own = best.groupBy("user_id").agg(F.collect_list(token).alias("top_logprobs"))  # a row for each letter at most
+    letter = F.when(F.col("user_id") % 7 == 3, F.concat(F.lit("?"), F.char(97 + F.col("k")))).otherwise(F.concat(F.lit(" "), F.char(97 + F.col("k"))))
+    own = best.groupBy("user_id").agg(F.collect_list(F.struct(letter.alias("token"), "logprob")).alias("top_logprobs"))  # a row for each letter at most
     content = F.struct(F.array(F.struct("top_logprobs")).alias("content"))
     reply = F.to_json(F.struct(F.array(F.struct(content.alias("logprobs"))).alias("choices")))
-    tokens = own.select("user_id", F.explode(reply_tokens(reply)).alias("t")).select("user_id", token_letter(F.col("t.token")).alias("letter"), "t.logprob")
-    logs = tokens.groupBy("user_id").agg(F.array(*[F.max(F.when(F.col("letter") == x, F.col("logprob"))) for x in LETTERS]).alias("logs"))
-    out = logs.select("user_id", temperature(softmax(F.col("logs")), S.temperature).alias("p"))
+    out = own.select("user_id", class_distribution(letter_logs(reply_tokens(reply)), S.temperature).alias("p"))
     return out.select("user_id", F.round(p_anomaly(F.col("p")[0]), 9).alias("p_anom"), F.round(F.col("p")[5], 9).alias("p_fire"))
 
 
+def _reply(images: list[bytes]) -> str | None:
+    """The stand-in of a model: logprobs of the first letters of an image's words; it fails on every seventh length."""
+    import json
+
+    if len(images[0]) % 7 == 0:
+        raise RuntimeError("no answer")
+    tokens = [{"token": w[:1].decode(errors="replace"), "logprob": -len(w) / 8} for w in images[0].split(b" ") if w]
+    return json.dumps({"choices": [{"logprobs": {"content": [{"top_logprobs": tokens}]}}]})
+
+
+@query(
+    f"""WITH d AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+    w AS (SELECT conv_id, turn, text, unnest(string_split(text, ' ')) AS word FROM d),
+    f AS (SELECT conv_id, turn, upper(word[1]) AS letter, max(-octet_length(encode(word)) / 8.0::DOUBLE) AS lp FROM w WHERE octet_length(encode(text)) % 7 <> 0 AND upper(word[1]) BETWEEN 'A' AND 'L' AND word[1] <> '' AND length(word[1]) = 1 AND ascii(word[1]) < 128 GROUP BY ALL),
+    {SOFTENED.format(key='conv_id, turn')},
+    a AS (SELECT conv_id, turn, 1 - coalesce(sum(CASE WHEN letter = 'A' THEN p END), 0) AS p_anom FROM n GROUP BY ALL)
+    SELECT d.conv_id, d.turn, octet_length(encode(text)) % 7 = 0 AS scorer_failed, round(coalesce(a.p_anom, 0), 9) AS p_anom FROM d LEFT JOIN a USING (conv_id, turn)"""
+)
+def scored_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outside scorer over all turns, its failures and replies without a letter read as normal."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("images"))
+    out = score_chunks(c, _reply, pause=0.0)
+    p = class_distribution(letter_logs(reply_tokens(F.col("reply"))), S.temperature)
+    return out.select("conv_id", "turn", "scorer_failed", F.round(p_anomaly(p[0]), 9).alias("p_anom"))
+
+
+@query(f"""SELECT conv_id, turn, {list(CLASSES)}[ascii(nullif(regexp_extract(upper(text), '[A-L]', 0), '')) - 64] AS class_name FROM conversations""")
+def taught_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class that a teacher's answer names by its letter."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", letter_class(teacher_letter(F.col("text"))).alias("class_name"))
+
+
 @query(f"WITH {INFER} SELECT user_id, count(*) AS chunks, count(*) * 8 AS frames_used FROM c GROUP BY user_id")
 def frames_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images over all chunks, overlaps counted each time."""

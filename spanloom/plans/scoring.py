@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import detection as D
 from ..operators import matching as M
 from ..operators import quality as Q
-from . import SMOOTH, events_sql, final_sql, merged_sql, runs_sql, table
-from .detection import final_events, run_events
+from . import SETTINGS, SMOOTH, TYPES, events_sql, final_sql, merged_sql, runs_sql, table
+from .detection import smoothed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,14 +26,22 @@ def query(sql: str | None):
     return add
 
 
+def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoothed signal that truths and predictions both start from, with the same filter, so that both read one
+    shuffle; a null video never matches."""
+    return smoothed(spark, sf_dir).where("user_id IS NOT NULL")
+
+
 def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = run_events(spark, sf_dir, 1)
+    runs = D.hysteresis(_signal(spark, sf_dir), "user_id", "chunk_idx", "smoothed", SETTINGS.t_high, SETTINGS.t_low, 1)
+    e = D.run_events(runs, "user_id", "probs", "smoothed", TYPES)
     order = F.row_number().over(W.partitionBy("user_id").orderBy("start_sec", "end_sec")) - 1
     return e.select(F.col("user_id").alias("video_id"), order.cast("int").alias("gt_ord"), "class_name", "start_sec", "end_sec")
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return final_events(spark, sf_dir).select(F.col("user_id").alias("video_id"), (F.col("event_ord") - 1).cast("int").alias("pred_ord"), "class_name", "start_sec", "end_sec")
+    out = D.detect_smoothed(_signal(spark, sf_dir), "user_id", TYPES, SETTINGS)
+    return out.select(F.col("user_id").alias("video_id"), (F.col("event_ord") - 1).cast("int").alias("pred_ord"), "class_name", "start_sec", "end_sec")
 
 
 def _renamed(sql: str, pairs: list[tuple[str, str]]) -> str:
@@ -217,9 +226,8 @@ def nearest_rank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, row_number() OVER w AS done, round(sum(value) OVER w / row_number() OVER w, 9) AS mean_ms, max(value) OVER w AS max_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    done = F.count("*").over(w)
-    return table(spark, sf_dir, "events").select("user_id", "event_id", done.alias("done"), F.round(F.sum("value").over(w) / done, 9).alias("mean_ms"), F.max("value").over(w).alias("max_ms"))
+    out = Q.running(table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"), "user_id", ["ts", "event_id"], "value")
+    return out.select("user_id", "event_id", "done", F.round("mean_ms", 9).alias("mean_ms"), "max_ms")
 
 
 @query("SELECT user_id, CASE WHEN count(*) > 0 THEN round_even(sum(value) / 1000 / count(*), 3) END AS rtf FROM events GROUP BY user_id")

@@ -1,8 +1,10 @@
 """The ordered progress stream: chunk results that arrive in any order leave in order, then events, done and eof.
 
-Input rows: (job, kind, idx, total, p_anom, class_name, start_sec, end_sec, message) with kind ``chunk`` or ``error``.
-A job's ``total`` comes with every row. Output rows: (job, seq, type, body), body as JSON. Chunks wait in state until all
-before them have come; after the last one the job's events are found by the same rules as in batch, once, at the end.
+Input rows (INPUT): kind is ``chunk``, ``image`` (a job of one still image) or ``error``; ``total`` chunks and the
+``duration`` come with every row of a job, ``probs`` by class ordinal (null: missing), ``began_ms`` and ``ms`` from the
+scorer's clock. Output rows: (job, seq, type, body), body as JSON. Chunks wait in state until all before them have come;
+after the last one the job's events are found by the same rules as in batch, once, at the end. A job that says nothing for
+``expiry_sec`` seconds ends with an error, and its state goes; so does the mark of an ended job.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..config import Settings
+from ..config import CLASSES, EXPLANATIONS, Settings
 
+INPUT = "job string, kind string, idx long, total long, duration double, probs array<double>, start_sec double, end_sec double, began_ms double, ms double, message string"
 OUTPUT = "job string, seq long, type string, body string"
 
 
@@ -28,9 +32,9 @@ def median3(xs: list[float]) -> list[float]:
     return [(xs[0] + xs[1]) / 2, *inner, (xs[-2] + xs[-1]) / 2]
 
 
-def job_events(chunks: list[tuple], s: Settings) -> list[dict]:
-    """Events of one finished job; chunks: (p_anom, class_name, start, end) in order, each with one class."""
-    xs = median3([c[0] for c in chunks])
+def job_events(chunks: list[tuple], s: Settings, classes: tuple[str, ...] = CLASSES) -> list[dict]:
+    """Events of one finished job; chunks: (probs by class ordinal, start, end) in order."""
+    xs = median3([1 - (c[0][0] or 0.0) for c in chunks])
     n, k = len(xs), s.t_open_chunks
     if not xs or max(xs) < s.t_video:
         return []
@@ -45,13 +49,14 @@ def job_events(chunks: list[tuple], s: Settings) -> list[dict]:
             stop += 1
         ahead = [i for i in range(at, stop) if (i + k <= n and min(xs[i : i + k]) >= s.t_high) or (n < k and xs[i] >= s.t_high)]
         if ahead:
-            votes: dict[str, float] = {}
-            for p, name, _, _ in chunks[ahead[0] : stop]:
-                if name is not None:
-                    votes[name] = votes.get(name, 0.0) + p
+            votes: dict[int, float] = {}
+            for probs, _, _ in chunks[ahead[0] : stop]:
+                for j, p in enumerate(probs):
+                    if j and p is not None:
+                        votes[j] = votes.get(j, 0.0) + p
             if votes:
-                name = min(votes, key=lambda c: (-votes[c], c))
-                event = {"class_name": name, "start_time_sec": round(chunks[ahead[0]][2], 2), "end_time_sec": round(chunks[stop - 1][3], 2), "confidence": max(xs[ahead[0] : stop])}
+                name = classes[min(votes, key=lambda j: (-votes[j], j))]
+                event = {"class_name": name, "start_time_sec": round(chunks[ahead[0]][1], 2), "end_time_sec": round(chunks[stop - 1][2], 2), "confidence": max(xs[ahead[0] : stop])}
                 last = merged[-1] if merged else None
                 if last and last["class_name"] == name and event["start_time_sec"] - last["end_time_sec"] <= s.merge_gap_sec:
                     last |= {"end_time_sec": max(last["end_time_sec"], event["end_time_sec"]), "confidence": max(last["confidence"], event["confidence"])}
@@ -63,14 +68,45 @@ def job_events(chunks: list[tuple], s: Settings) -> list[dict]:
     return sorted(best, key=lambda e: e["start_time_sec"])
 
 
+def image_events(probs: list, s: Settings, classes: tuple[str, ...] = CLASSES) -> list[dict]:
+    """The event of a still image, without times, if it is anomalous enough."""
+    if 1 - (probs[0] or 0.0) < s.t_level1 or all(p is None for p in probs[1:]):
+        return []
+    j = min(range(1, len(probs)), key=lambda j: (-(probs[j] if probs[j] is not None else -1.0), j))
+    return [{"class_name": classes[j], "start_time_sec": None, "end_time_sec": None, "confidence": probs[j]}]
+
+
+def answer(events: list[dict]) -> list[dict]:
+    """Events as a message carries them: confidence to four places, and the explanation of the class."""
+    return [e | {"confidence": round(e["confidence"], 4), "explanation": EXPLANATIONS.get(e["class_name"], "")} for e in events]
+
+
+def top_classes(probs: list, n: int = 4, classes: tuple[str, ...] = CLASSES) -> list[dict]:
+    known = sorted((-p, j) for j, p in enumerate(probs) if p is not None)[:n]
+    return [{"cls": classes[j], "p": round(-p, 4)} for p, j in known]
+
+
+def run_times(calls: list[tuple[float, float]], duration: float | None, image: bool = False) -> dict:
+    """The runtime of a finished job from (began_ms, ms) of its calls."""
+    wall = max(b + m for b, m in calls) - min(b for b, _ in calls)
+    times = [m for _, m in calls]
+    out = {"total_ms": round(wall, 1), "calls": len(calls), "p50_ms": round(float(np.percentile(times, 50)), 1)}
+    if not image:
+        out["p95_ms"] = round(float(np.percentile(times, 95)), 1)
+    return out | {"rtf": round(wall / 1000 / duration, 3) if duration and not image else None}
+
+
 class OrderedProgress(StatefulProcessor):
     """State of a job: how many messages have left, chunks by index, whether it has ended."""
 
     settings = Settings()
+    classes: tuple[str, ...] = CLASSES
+    expiry_sec = 600.0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.place = handle.getValueState("place", "seq long, next long, ended boolean")
-        self.chunks = handle.getMapState("chunks", "idx long", "p_anom double, class_name string, start_sec double, end_sec double")
+        self.chunks = handle.getMapState("chunks", "idx long", "probs array<double>, start_sec double, end_sec double, began_ms double, ms double")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         seq, after, ended = self.place.get() if self.place.exists() else (0, 0, False)
@@ -85,42 +121,62 @@ class OrderedProgress(StatefulProcessor):
             for r in frame.itertuples(index=False):
                 if ended:
                     continue
+                image = r.kind == "image"
                 if not seq:
-                    say("meta", {"chunks": int(r.total)})
+                    say("meta", {"kind": "image" if image else "video", "chunks": int(r.total), "duration": None if pd.isna(r.duration) else round(float(r.duration), 2)})
                 if r.kind == "error":
                     say("error", {"message": r.message})
                     say("eof", {})
                     ended = True
                     continue
-                self.chunks.updateValue((int(r.idx),), (float(r.p_anom), r.class_name, float(r.start_sec), float(r.end_sec)))
+                probs = [None if pd.isna(p) else float(p) for p in r.probs]
+                self.chunks.updateValue((int(r.idx),), (probs, float(r.start_sec), float(r.end_sec), float(r.began_ms), float(r.ms)))
                 while after < r.total and self.chunks.containsKey((after,)):
-                    p, name, a, b = self.chunks.getValue((after,))
-                    say("chunk", {"idx": after, "start": a, "end": b, "p_anom": round(p, 4), "cls": name})
+                    probs, a, b, _, ms = self.chunks.getValue((after,))
+                    probs = [None if pd.isna(p) else float(p) for p in probs]
+                    say("chunk", {"idx": after, "start": round(a, 2), "end": round(b, 2), "p_anom": round(1 - (probs[0] or 0.0), 4), "top": top_classes(probs, classes=self.classes), "ms": round(ms, 1)})
                     after += 1
                 if after >= r.total:
                     every = [tuple(self.chunks.getValue((i,))) for i in range(after)]
-                    say("events", {"events": job_events(every, self.settings)})
-                    say("done", {"calls": after})
+                    every = [([None if pd.isna(p) else float(p) for p in c[0]], *c[1:]) for c in every]
+                    found = image_events(every[0][0], self.settings, self.classes) if image else job_events([c[:3] for c in every], self.settings, self.classes)
+                    say("events", {"events": answer(found)})
+                    say("done", {"runtime": run_times([c[3:] for c in every], None if pd.isna(r.duration) else float(r.duration), image)})
                     say("eof", {})
                     ended = True
         if ended and self.chunks.exists():
             self.chunks.clear()
         self.place.update((seq, after, ended))
+        self._wait(timerValues)
+        yield pd.DataFrame(out, columns=["job", "seq", "type", "body"])
+
+    def _wait(self, timerValues: Any) -> None:
+        """One timer for each job, from its last row on."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.expiry_sec * 1000))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        seq, _, ended = self.place.get() if self.place.exists() else (0, 0, True)
+        out = [] if ended else [(key[0], seq, "error", json.dumps({"message": "The job has expired."})), (key[0], seq + 1, "eof", "{}")]
+        self.place.clear()
+        if self.chunks.exists():
+            self.chunks.clear()
         yield pd.DataFrame(out, columns=["job", "seq", "type", "body"])
 
     def close(self) -> None:
         pass
 
 
-def processor(settings: Settings) -> StatefulProcessor:
+def processor(settings: Settings, classes: tuple[str, ...] = CLASSES, expiry_sec: float = 600.0) -> StatefulProcessor:
     own = OrderedProgress()
-    own.settings = settings
+    own.settings, own.classes, own.expiry_sec = settings, classes, expiry_sec
     return own
 
 
-def ordered_progress(stream: DataFrame, settings: Settings | None = None) -> DataFrame:
+def ordered_progress(stream: DataFrame, settings: Settings | None = None, classes: tuple[str, ...] = CLASSES, expiry_sec: float = 600.0) -> DataFrame:
     """Messages in order for each job of a streaming frame (needs the RocksDB state store)."""
-    return stream.groupBy("job").transformWithStateInPandas(processor(settings or Settings()), OUTPUT, "append", "none")
+    return stream.groupBy("job").transformWithStateInPandas(processor(settings or Settings(), classes, expiry_sec), OUTPUT, "append", "processingTime")
 
 
 def server_sent(messages: DataFrame) -> DataFrame:

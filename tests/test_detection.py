@@ -1,13 +1,14 @@
 """Golden cases, a state machine as reference, and plan shape."""
 
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.config import Profile, Settings
-from spanloom.functions import clock, fitted_side, softmax, temperature, token_letter
+from spanloom.config import EXPLANATIONS, Profile, Settings
+from spanloom.functions import class_distribution, clock, fitted_side, letter_logs, softmax, temperature, token_letter
 from spanloom.operators import detection as D
 from spanloom.plans import TYPES, chunks
 from spanloom.streaming import job_events, median3
@@ -80,8 +81,8 @@ def test_batch_equals_stream_rules(spark):
         xs = [rng.choice([0.05, 0.3, 0.5, 0.72, 0.9]) for _ in range(rng.randrange(1, 40))]
         names = [rng.choice(CLASSES) for _ in xs]
         own = [(f"{v:03d}", i, float(i), i + 2.0, p, [p if c == n else None for c in CLASSES]) for i, (p, n) in enumerate(zip(xs, names))]
-        rows += own
-        events = job_events([(p, n, float(i), i + 2.0) for i, (p, n) in enumerate(zip(xs, names))], Settings())
+        rows += [(*r[:4], 1 - (1 - r[4]), r[5]) for r in own]
+        events = job_events([([1 - p, *(p if c == n else None for c in CLASSES)], float(i), i + 2.0) for i, (p, n) in enumerate(zip(xs, names))], Settings(), ("normal", *CLASSES))
         want += [(f"{v:03d}", k + 1, e["class_name"], e["start_time_sec"], e["end_time_sec"], e["confidence"]) for k, e in enumerate(events)]
     assert detect(spark, rows) == sorted(want)
     assert median3([1.0, 5.0, 2.0]) == [3.0, 2.0, 3.5] and median3([4.0, 1.0]) == [4.0, 1.0]
@@ -115,8 +116,6 @@ def test_tiles(spark):
 
 
 def test_distributions(spark):
-    import math
-
     df = spark.createDataFrame([([-0.1, None, -3.0],)], "x array<double>")
     row = df.select(softmax(F.col("x")).alias("p"), temperature(softmax(F.col("x")), 3.0).alias("t"), temperature(softmax(F.col("x")), None).alias("n")).first()
     z = math.exp(-0.1) + math.exp(-3.0)
@@ -148,3 +147,48 @@ def test_one_exchange_and_no_python(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(re.findall(r"\bExchange\b", plan)) == 1 and "Python" not in plan and "Arrow" not in plan
     assert re.search(r"ReadSchema: struct<(?!.*props)", plan)
+
+
+def test_reply_without_a_class_letter_is_normal(spark):
+    kind = "t array<struct<token:string,logprob:double>>"
+    rows = [([("A", -0.1), (" b", -2.0), ("b ", -1.0)],), ([("?", -0.1), ("z", -1.0)],), ([],), (None,)]
+    got = [r["p"] for r in spark.createDataFrame(rows, kind).select(class_distribution(letter_logs(F.col("t")), 3.0).alias("p")).collect()]
+    assert got[0][0] == pytest.approx(1 / (1 + math.exp(-0.3))) and got[0][1] == pytest.approx(1 - got[0][0]) and got[0][2:] == [None] * 10
+    assert got[1:] == [[1.0, *[None] * 11]] * 3
+
+
+def test_explanations(spark):
+    df = spark.createDataFrame([(c,) for c in (*EXPLANATIONS, "normal", "other", None)], "class_name string")
+    got = {r["class_name"]: r["explanation"] for r in D.explained(df).collect()}
+    assert got == EXPLANATIONS | {"normal": None, "other": None, None: None} and all(20 <= len(x) <= 500 for x in EXPLANATIONS.values())
+
+
+def test_window_images(spark):
+    chunks = spark.createDataFrame([("v", 0, [3, 3, 1]), ("v", 1, [1, 9, 9]), ("v", 2, [8, 8, 8])], "video_id string, chunk_idx int, frame_idx array<long>")
+    decoded = spark.createDataFrame([("v", 1, b"i1"), ("v", 3, b"i3"), ("v", 8, None), ("w", 9, b"no")], "video_id string, frame long, image binary")
+    got = lambda least: {r["chunk_idx"]: [bytes(x) for x in r["images"]] for r in D.window_images(chunks, decoded, least=least).collect()}
+    assert got(1) == {0: [b"i3", b"i3", b"i1"], 1: [b"i1"]} and got(2) == {0: [b"i3", b"i3", b"i1"]}
+
+
+def test_settings_from_conf(spark):
+    spark.conf.set("spark.spanloom.t_high", "0.8")
+    spark.conf.set("spark.spanloom.verify_band", "[0.1, 0.9]")
+    spark.conf.set("spark.spanloom.max_events", "2")
+    try:
+        s = Settings.from_conf(spark)
+    finally:
+        for k in ("t_high", "verify_band", "max_events"):
+            spark.conf.unset(f"spark.spanloom.{k}")
+    assert (s.t_high, s.verify_band, s.max_events, s.t_low) == (0.8, (0.1, 0.9), 2, Settings().t_low)
+
+
+def test_sweep_reads_the_series_once(spark):
+    """All thresholds in one pass: one shuffle by the series key, one for the totals, and one for the distinct users."""
+    from spanloom.plans.detection import threshold_sweep
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = threshold_sweep(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan") == 1 and len(re.findall(r"\bExchange\b", plan)) <= 3

@@ -3,16 +3,18 @@
 import json
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom import sources as S
+from spanloom.config import CLASSES, EXPLANATIONS
 from spanloom.operators import matching as M
 from spanloom.operators import quality as Q
 from spanloom.operators import sampling as B
 from spanloom.plans import data, detection
-from spanloom.streaming import ordered_progress, server_sent
+from spanloom.streaming import INPUT, ordered_progress, server_sent
 
 TRUTH = "video_id string, gt_ord int, class_name string, start_sec double, end_sec double"
 PRED = "video_id string, pred_ord int, class_name string, start_sec double, end_sec double"
@@ -151,33 +153,63 @@ def test_scorer_retries_and_flags(spark):
             raise RuntimeError
         return json.dumps({"choices": [{"logprobs": {"content": [{"top_logprobs": [{"token": "A", "logprob": -0.1}]}]}}]})
 
-    out = S.score_chunks(df, scorer)
+    out = S.score_chunks(df, scorer, pause=0.01)
     got = {r["chunk_idx"]: (r["scorer_failed"], r["t"]) for r in out.select("chunk_idx", "scorer_failed", S.reply_tokens(F.col("reply")).alias("t")).collect()}
     assert got[1] == (True, None) and got[0][1][0]["token"] == "A"
 
 
-def test_stream_emits_in_order(spark, tmp_path):
-    schema = "job string, kind string, idx long, total long, p_anom double, class_name string, start_sec double, end_sec double, message string"
-    order = [3, 0, 1, 7, 2, 4, 6, 5]
-    p = [0.1, 0.1, 0.9, 0.9, 0.9, 0.9, 0.1, 0.1]
-    rows = [("j", "chunk", i, 8, p[i], "fire", float(i), i + 2.0, None) for i in order]
-    bad = [("e", "chunk", 0, 3, 0.1, "fire", 0.0, 2.0, None), ("e", "error", 1, 3, None, None, None, None, "no frames")]
-    for k, part in enumerate((rows[:3] + bad[:1], rows[3:] + bad[1:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+def progress(spark, tmp_path, parts, ends, **options):
+    """The messages until ``ends`` jobs have ended; with timers, a query always has a next batch to wait for."""
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, INPUT).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    query = ordered_progress(stream).writeStream.format("memory").queryName("progress").option("checkpointLocation", f"{tmp_path}/check").start()
+    stream = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    name = f"progress_{tmp_path.name}".replace("-", "_")
+    query = ordered_progress(stream, **options).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/check").start()
     try:
-        query.processAllAvailable()
+        for _ in range(60):
+            if not query.isActive or spark.table(name).where("type = 'eof'").count() >= ends:
+                break
+            time.sleep(1)
     finally:
         query.stop()
-    out = spark.table("progress").orderBy("job", "seq").collect()
+    assert query.exception() is None
+    return name
+
+
+def probs(p, name="fire"):
+    return [1 - p, *(p if c == name else None for c in CLASSES[1:])]
+
+
+def test_stream_emits_in_order(spark, tmp_path):
+    order = [3, 0, 1, 7, 2, 4, 6, 5]
+    p = [0.1, 0.1, 0.9, 0.9, 0.9, 0.9, 0.1, 0.1]
+    rows = [("j", "chunk", i, 8, 9.5, probs(p[i]), float(i), i + 2.0, 100.0 * i, 50.0 + i, None) for i in order]
+    bad = [("e", "chunk", 0, 3, 3.0, probs(0.1), 0.0, 2.0, 0.0, 5.0, None), ("e", "error", 1, 3, 3.0, None, None, None, None, None, "no frames")]
+    still = [("i", "image", 0, 1, 0.0, probs(0.8, "smoke"), 0.0, 0.0, 0.0, 12.34, None)]
+    name = progress(spark, tmp_path, (rows[:3] + bad[:1], rows[3:] + bad[1:] + still), 3)
+    out = spark.table(name).orderBy("job", "seq").collect()
     own = [(r["type"], json.loads(r["body"])) for r in out if r["job"] == "j"]
     assert [t for t, _ in own] == ["meta", *["chunk"] * 8, "events", "done", "eof"]
+    assert own[0][1] == {"kind": "video", "chunks": 8, "duration": 9.5}
     assert [b["idx"] for t, b in own if t == "chunk"] == list(range(8))
-    assert own[9][1]["events"] == [{"class_name": "fire", "start_time_sec": 2.0, "end_time_sec": 7.0, "confidence": 0.9}]
+    assert own[3][1] == {"idx": 2, "start": 2.0, "end": 4.0, "p_anom": 0.9, "top": [{"cls": "fire", "p": 0.9}, {"cls": "normal", "p": 0.1}], "ms": 52.0}
+    assert own[9][1]["events"] == [{"class_name": "fire", "start_time_sec": 2.0, "end_time_sec": 7.0, "confidence": 0.9, "explanation": EXPLANATIONS["fire"]}]
+    assert own[10][1]["runtime"] == {"total_ms": 757.0, "calls": 8, "p50_ms": 53.5, "p95_ms": 56.6, "rtf": 0.08}
     assert [r["type"] for r in out if r["job"] == "e"] == ["meta", "chunk", "error", "eof"]
-    assert server_sent(spark.table("progress")).where("type = 'eof'").first()["frame"].startswith("event: eof")
+    image = {r["type"]: json.loads(r["body"]) for r in out if r["job"] == "i"}
+    assert image["events"]["events"] == [{"class_name": "smoke", "start_time_sec": None, "end_time_sec": None, "confidence": 0.8, "explanation": EXPLANATIONS["smoke"]}]
+    assert image["done"]["runtime"] == {"total_ms": 12.3, "calls": 1, "p50_ms": 12.3, "rtf": None}
+    assert server_sent(spark.table(name)).where("type = 'eof'").first()["frame"].startswith("event: eof")
+
+
+def test_stream_ends_silent_jobs(spark, tmp_path):
+    """A job whose chunks never all come ends with an error; a finished one says nothing more."""
+    rows = [("late", "chunk", 0, 3, 3.0, probs(0.1), 0.0, 2.0, 0.0, 5.0, None), ("done", "chunk", 0, 1, 1.0, probs(0.1), 0.0, 1.0, 0.0, 5.0, None)]
+    name = progress(spark, tmp_path, (rows,), 2, expiry_sec=0.5)
+    out = spark.table(name).orderBy("job", "seq").collect()
+    assert [r["type"] for r in out if r["job"] == "late"] == ["meta", "chunk", "error", "eof"]
+    assert [r["type"] for r in out if r["job"] == "done"] == ["meta", "chunk", "events", "done", "eof"]
 
 
 def test_no_array_holds_a_whole_group(spark, tmp_path, monkeypatch):
@@ -221,3 +253,60 @@ def test_untimed_matching_of_a_crowded_class(spark):
         p = [i for i in range(2100) if (i % 700 == 5) == (name == "b")]
         want |= set(zip(g, p))
     assert {(r["gt_ord"], r["pred_ord"]) for r in out.collect()} == want
+
+
+def test_slow_calls_are_given_up(spark):
+    df = spark.createDataFrame([("v", 0, [b"good"]), ("v", 1, [b"slow"])], "video_id string, chunk_idx int, images array<binary>")
+
+    def scorer(images):
+        if images[0] == b"slow":
+            time.sleep(3)
+        return "{}"
+
+    got = {r["chunk_idx"]: r["scorer_failed"] for r in S.score_chunks(df, scorer, retries=0, pause=0.0, timeout=0.5).collect()}
+    assert got == {0: False, 1: True}
+
+
+def test_sheet_is_written_only_if_valid(spark, tmp_path):
+    event = "struct<class_name:string,start_time_sec:double,end_time_sec:double,explanation:string>"
+    answers = spark.createDataFrame([("a", [("fire", 0.0, 2.0, None)], None)], f"video_id string, events array<{event}>, runtime_metadata struct<frames_processed:bigint>")
+    header = {"submission_id": "run-1", "model_name": "m", "wall_ms": 5.0, "hardware": "cpu"}
+    found = spark.createDataFrame([("a", "bad_end", "fire")] * 50, "video_id string, rule string, detail string")
+    assert S.write_sheet(answers, found, f"{tmp_path}/bad", **header).count() == 40 and not (tmp_path / "bad").exists()
+    assert S.write_sheet(answers, found.where("false"), f"{tmp_path}/good", **header).count() == 0
+    text = "".join(x.read_text() for x in (tmp_path / "good").glob("part-*"))
+    assert json.loads(text)["predictions"][0]["events"][0]["class_name"] == "fire"
+    assert [r["video_id"] for r in S.sheet_events(S.read_sheet(spark, f"{tmp_path}/good")).collect()] == ["a"]
+
+
+def test_file_discovery(spark, tmp_path):
+    for name in ("fire/videos/a.mp4", "Riot/b.mp4", "other/c.mp4"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = {r["path"].rsplit("/", 1)[-1]: r["class_name"] for r in S.labelled_files(spark, [f"{tmp_path}/*/*.mp4", f"{tmp_path}/*/videos/*.mp4", f"{tmp_path}/*/*.mp4"]).collect()}
+    assert got == {"a.mp4": "fire", "b.mp4": "fighting_or_violence"}
+    assert S.found_files(spark, [f"{tmp_path}/*/*.mp4"]).count() == 2
+
+
+def test_one_shuffle_of_the_events_for_both_sides(spark):
+    """Truths and predictions read one shuffle of the signal, and meet in one more."""
+    from spanloom.plans.scoring import match_greedy_best
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = match_greedy_best(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("ReusedExchange") >= 1 and plan.count("FileScan") == 1
+
+
+def test_balance_sorts_only_the_edge(spark):
+    """Exact counts and the least numbers, also with many rows and ties."""
+    df = spark.range(60_000).selectExpr("if(id % 3 = 0, 'normal', if(id % 3 = 1, 'x', 'y')) AS cls", "id", "cast(id % 1000 AS int) AS o")
+    for share in (0.2, 0.7):
+        plan = {r["cls"]: r["keep"] for r in B.balance_plan(df, "cls", share).collect()}
+        out = B.balance(df, "cls", share, ["o", "id"])
+        n = {r["cls"]: (r["n"], r["top"]) for r in out.groupBy("cls").agg(F.count("*").alias("n"), F.max(F.struct("o", "id")).alias("top")).collect()}
+        for c, k in plan.items():
+            own = sorted((i % 1000, i) for i in range({"normal": 0, "x": 1, "y": 2}[c], 60_000, 3))[:k]
+            assert n[c] == (k, own[-1])
