@@ -1,20 +1,19 @@
-"""Shared helpers: projecting inputs, cutting lineage, skew-safe grouping."""
+"""Shared helpers: projecting inputs, intermediate tables, folds, joins that hot keys do not skew."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see (``spark.checkpoint.dir``); a local one only where none is set, as in tests."""
+    """The folder all executors see, ``spark.checkpoint.dir``; a session without one is refused, not given a local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder
 
 
@@ -28,14 +27,50 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("spanloom-"):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id (long) and the text (null: empty), so that other columns cannot clash with an operator's own."""
+    """Only the id (long) and the text (null: empty), so that other columns cannot clash with an operator's own.
+
+    Ids are whole numbers (or null); a column of another type is refused at once.
+    """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"ids must be whole numbers, {id_col} is {docs.schema[id_col].dataType.simpleString()}")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def held_out(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text (a null id: the empty text, which is held out) leaves no remainder."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
+
+
+def join_unique(big: DataFrame, small: DataFrame, keys: list[str], rows: int, sizes: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``big`` (a table of ``rows`` rows) with ``small``, whose keys are unique, without a task per hot key.
+
+    Keys that hold more than 1/(4 * partitions) of big's rows, so at most 4 * partitions of them, are joined by a
+    broadcast of their few rows; the others by a shuffle. sizes: (keys, n) of big, if they are known.
+    """
+    parts = partitions(big.sparkSession)
+    sizes = big.groupBy(*keys).agg(F.count("*").alias("n")) if sizes is None else sizes
+    hot = sizes.where(F.col("n") > max(64, rows // (4 * parts))).select(*keys)
+    own = materialize(small.join(F.broadcast(hot), keys, "left_semi"))  # at most 4 * partitions rows
+    if own.isEmpty():
+        return big.join(small, keys)
+    names = F.broadcast(own.select(*keys))
+    return big.join(F.broadcast(own), keys).unionByName(big.join(names, keys, "left_anti").join(small, keys))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -117,7 +117,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The next document is the following one by doc_id (null ids first, repeated ids by text), after the last the first; a
-    lone row is its own next. Null texts are empty. An empty table gives an empty result.
+    lone row is its own next. Null texts are empty; very long ones are read whole, in one task; other columns are ignored,
+    whatever their names. An empty table gives an empty result.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 

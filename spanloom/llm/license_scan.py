@@ -65,7 +65,6 @@ DECIDING: dict[str, str] = {
     "CC-BY-NC-ND-4.0": r"(?:by-nc-nd|attribution-noncommercial-noderivatives) 4\.0",
     "Proprietary": r"all rights reserved",
 }
-_hint = re.compile(rb"licen[sc]e|copyright|permission is hereby|redistribution|all rights reserved|spdx-", re.IGNORECASE)
 _word = re.compile(r"\w+(?:[.+-]+\w+)*")
 #: Share of a template's compressed bytes that it must save, and of its words that must be there.
 LEAST_SAVED, LEAST_WORDS = 0.3, 0.85
@@ -145,12 +144,14 @@ class Scanner:
     def match(self, words: list[str]) -> list[tuple[int, int, str, float, int, int]]:
         """(first, end, license, saved, missing words, added words) of each licence; of overlapping ones the longest."""
         hits: dict[int, list[tuple[int, int]]] = {}
-        for i in range(len(words)):
-            for k, b in self.pairs.get(tuple(words[i : i + 2]), ()):
-                hits.setdefault(k, []).append((i, b))
-            if self.single:
-                for k, b in self.pairs.get((words[i],), ()):
+        known = self.pairs
+        for i, pair in enumerate(zip(words, words[1:])):
+            if pair in known:
+                for k, b in known[pair]:
                     hits.setdefault(k, []).append((i, b))
+        for i in range(len(words)) if self.single else ():
+            for k, b in known.get((words[i],), ()):
+                hits.setdefault(k, []).append((i, b))
         found: list[tuple[int, int, int, tuple]] = []
         for k, own in hits.items():
             n = len(self.words[k])
@@ -194,8 +195,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     """One row for each licence found: doc_id, start, stop (code points of the lines with its wording), license, saved,
     missing, added.
 
-    Null and empty texts have none; repeated rows give repeated results; null ids stay null. No shuffle: a document is
-    read where it lies.
+    Null and empty texts have none; repeated rows give repeated results; null ids stay null; of overlapping wordings that
+    match equally well the first stands; other columns are ignored, whatever their names; an empty table gives an empty
+    result. Very long texts are read whole, in one task. No shuffle: a document is read where it lies.
     """
     templates = templates or TEMPLATES
 
@@ -204,9 +206,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         for batch in batches:
             out: list[tuple] = []
             for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                raw = value.as_buffer()
-                if raw is None or not _hint.search(raw):
-                    continue
                 text = value.as_py()
                 words = list(_word.finditer(text))
                 for first, end, *h in scanner.match([w.group().lower() for w in words]):

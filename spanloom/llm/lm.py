@@ -19,10 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, partitions
+from .common import held_out, id_text, materialize, partitions
 from .textkit import Prefix, Words, chunks, mix, text_bytes
 
 KEYS, CLASSES, HEAD = 1024, 16, 1 << 18
@@ -35,11 +35,6 @@ END, END_KEY = np.uint64(0x5851F42D4C957F2D), 0
 ADD = 0.1
 
 
-def held_out(doc_id: Column, folds: int = 10) -> Column:
-    """crc32 of the id as text (a null id: the empty text) leaves no remainder."""
-    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
-
-
 class Tokens:
     """Words of rows i..j, each row followed by its end: hash, ending key, and where each row starts."""
 
@@ -297,9 +292,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """score() of every row, learning from those not held out, with ``held_out`` and ``train_tokens``.
 
     Null and empty texts are one end token. Rows with null ids are held out; repeated rows are scored each, and learnt
-    from each. An empty table gives an empty result.
+    from each. Very long texts are read whole, in one task; other columns are ignored, whatever their names. An empty table
+    gives an empty result.
     """
     base = id_text(docs, id_col, text_col)
-    model = train(base.where(~held_out(F.col("doc_id"))))
+    model = train(base.where(~held_out(F.col("doc_id"), 10)))
     out = score(base, model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", held_out(F.col("doc_id"), 10).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

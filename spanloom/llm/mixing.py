@@ -39,12 +39,13 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_by
     """Naive Bayes over hashed words, its logs averaged per word so that long texts stay soft.
 
     labels: (doc_id, domain). About ``max_rows`` labelled rows of up to ``max_bytes`` bytes are used: a bounded sample
-    drawn by a hash of the id. With no labelled row there is one domain, "all".
+    drawn by a hash of the id, first in the order of that hash, so that runs agree. An id with several labels counts as
+    the least of them. With no labelled row there is one domain, "all".
     """
     labels = labels.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain"))
     total = labels.count()
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(max_rows / max(1, total) * (1 << 20))).limit(2 * max_rows)
-    rows = id_text(docs).where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").select("text", "domain").limit(4 * max_rows).toArrow()
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(max_rows / max(1, total) * (1 << 20))).orderBy(F.xxhash64("doc_id")).limit(2 * max_rows)
+    rows = id_text(docs).where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "domain").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(4 * max_rows).toArrow()
     names = sorted(set(rows["domain"].to_pylist())) or ["all"]
     y = np.array([names.index(x) for x in rows["domain"].to_pylist()], np.int64)
     counts = np.full((BUCKETS, len(names)), 0.1)
@@ -57,7 +58,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_by
 
 
 def posteriors(docs: DataFrame, model: Classifier, sharpness: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens (words), posterior array<double> in the order of ``model.domains``; texts without words get the prior."""
+    """doc_id, n_tokens (words), posterior array<double> in the order of ``model.domains``, for every row.
+
+    Null and empty texts and those without words get the prior; null and repeated ids are rows like others; other columns
+    are ignored, whatever their names; a very long text is read whole, in one task.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * domains floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,24 +84,41 @@ def posteriors(docs: DataFrame, model: Classifier, sharpness: float = 20.0, id_c
     return id_text(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n_tokens long, posterior array<double>")
 
 
-def _rates(tokens: np.ndarray, p: np.ndarray, steps: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Rates after the given residual steps: r <- clip(r - (n / mean n) * p . step)."""
+def _rates(tokens: np.ndarray, p: np.ndarray, free: np.ndarray, steps: np.ndarray, high: float | None) -> np.ndarray:
+    """Rates after the given residual steps: r <- max(0, r - (n / mean n) * p . step), at most ``high``; those not free stay 1."""
     r = np.ones(len(tokens))
     for step in steps:
-        r = np.clip(r - tokens * (p @ step), low, high)
-    return r
+        r = np.clip(r - tokens * (p @ step), 0.0, high)
+    return np.where(free, r, 1.0)
+
+
+@dataclass
+class Fit:
+    """How mix() ended: the steps taken, each domain's expected total and target, and whether they agree."""
+
+    steps: int
+    totals: list[float]
+    targets: list[float]
+    reached: bool
+
+
+def mix(soft: DataFrame, targets: list[float], total: float | None = None, steps: int | None = None, max_rate: float | None = None) -> DataFrame:
+    """The rows of fit_rates(), without its account."""
+    return fit_rates(soft, targets, total, steps, max_rate)[0]
 
 
-def mix(soft: DataFrame, targets: list[float], total: float | None = None, steps: int | None = None, max_rate: float = 4.0) -> DataFrame:
-    """soft (doc_id, n_tokens, posterior) plus ``rate`` and ``copies``.
+def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None, steps: int | None = None, max_rate: float | None = None) -> tuple[DataFrame, Fit]:
+    """soft (doc_id, n_tokens, posterior) plus ``rate`` and ``copies``, and how close the totals came.
 
     targets: weight of each domain (they are normalised); total: tokens wanted, by default those there are. copies is
     the whole part of the rate plus one for the share of ids, by hash, that the fraction says, so its mean is the rate.
     Steps go on until the domains' totals are within 1e-4 of the targets, or ten steps have not lowered the difference by a
-    hundredth (targets out of reach); ``steps`` limits them.
-    Documents without words and rows with null ids keep rate 1. An empty table gives an empty result.
+    hundredth (targets out of reach); ``steps`` limits them. Rates are only held at 0 or more, unless ``max_rate`` is given.
+    Documents without words keep rate 1; so do rows with null ids, which count into the totals and get one copy. Rows that
+    share an id share the draw. An empty table gives an empty result.
     """
-    spark, size = soft.sparkSession, len(targets)
+    size = len(targets)
+    soft = soft.select("doc_id", "n_tokens", "posterior", F.col("doc_id").isNotNull().alias("known"))
     there = soft.agg(F.sum("n_tokens").alias("n"), F.avg("n_tokens").alias("mean"), *[F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens") * F.col("posterior")[k]).alias(f"s{k}") for k in range(size)]).first()
     n, mean = float(there["n"] or 0), float(there["mean"] or 1) or 1.0
     wanted = np.array(targets, float) / sum(targets) * (n if total is None else total)
@@ -104,13 +126,13 @@ def mix(soft: DataFrame, targets: list[float], total: float | None = None, steps
     history: list[np.ndarray] = []
 
     def apply(names: list[str]):
-        taken, low, high = np.array(history).reshape(-1, size), 0.0, max_rate
+        taken, high = np.array(history).reshape(-1, size), max_rate
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 tokens = batch.column("n_tokens").to_numpy()
                 p = batch.column("posterior").flatten().to_numpy().reshape(-1, size)
-                rate = _rates(tokens / mean, p, taken, low, high)
+                rate = _rates(tokens / mean, p, batch.column("known").to_numpy(zero_copy_only=False), taken, high)
                 if names == ["sums"]:
                     yield pa.record_batch([pa.array([float(x)]) for x in ((rate * tokens) @ p)], [f"e{k}" for k in range(size)])
                 else:
@@ -119,12 +141,13 @@ def mix(soft: DataFrame, targets: list[float], total: float | None = None, steps
         return run
 
     best = since = None
-    while steps is None or len(history) < steps:
-        sums = soft.select("n_tokens", "posterior").mapInArrow(lean(apply(["sums"])), ", ".join(f"e{k} double" for k in range(size)))
+    while True:
+        sums = soft.select("n_tokens", "posterior", "known").mapInArrow(lean(apply(["sums"])), ", ".join(f"e{k} double" for k in range(size)))
         e = sums.agg(*[F.coalesce(F.sum(f"e{k}"), F.lit(0.0)) for k in range(size)]).first()
         residual = np.array(e) - wanted
         gap = float(np.abs(residual).sum())
-        if gap <= 1e-4 * max(wanted.sum(), 1):
+        reached = gap <= 1e-4 * max(wanted.sum(), 1)
+        if reached or len(history) == steps:
             break
         if best is None or gap < 0.99 * best:
             best, since = gap, len(history)
@@ -133,7 +156,8 @@ def mix(soft: DataFrame, targets: list[float], total: float | None = None, steps
         history.append(residual / reach)
     out = soft.mapInArrow(lean(apply(["doc_id", "n_tokens", "posterior", "rate"])), "doc_id long, n_tokens long, posterior array<double>, rate double")
     u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return out.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    copies = F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return out.withColumn("copies", copies.cast("int")), Fit(len(history), [float(x) for x in e], wanted.tolist(), reached)
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:

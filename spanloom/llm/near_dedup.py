@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import id_text, join_unique, materialize
 from .components import connected_components
 from .textkit import Words, chunks, distinct, lean, list_array, mix, shingles, text_bytes
 
@@ -116,7 +116,9 @@ def _open_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     rows = rows.join(named, "x", "left").withColumn("component", F.coalesce("component", "x"))
     rows = rows.withColumns({"high": 100 * F.col("a") + c * F.col("b") - (100 - c) * F.col("n"), "low": c * (F.col("a") - F.col("b"))})
     group = rows.groupBy("p").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("high").alias("high0"), F.max("low").alias("low1"))
-    rows = materialize(rows.join(group.where("c0 != c1").drop("c0", "c1"), "p"))
+    rows = materialize(rows)
+    sizes = materialize(rows.groupBy("p").agg(F.count("*").alias("n")))
+    rows = materialize(join_unique(rows, group.where("c0 != c1").drop("c0", "c1"), ["p"], rows.count(), sizes))
     least = F.ceil(((100 - c) * F.col("a") + c * F.col("b") - (100 - c) * F.col("n")) / 100)
     tokens = rows.where("b > 0").select("p", "x", "component", "size", "n", "a", "b", "near", F.greatest(F.lit(1), least).alias("least"), F.explode("besides").alias("token"))
     often = tokens.groupBy("p", "token").agg(F.count("*").alias("often"))
@@ -130,9 +132,9 @@ def _open_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     close = F.least("u_size", "v_size") * 100 >= c * F.greatest("u_size", "v_size")
     met = side(tokens, "u", ["p", "token"]).join(side(tokens, "v", ["p", "token"]), ["p", "token"]).where((F.col("u_x") < F.col("v_x")) & apart & close)
     met = met.groupBy("p", "u_x", "v_x", "u_a", "u_b", "v_a", "v_b", F.greatest("u_least", "v_least").alias("least")).agg(F.count("*").alias("shared"))
-    sizes = rows.select("p", "n").distinct()
+    centres = rows.select("p", "n").distinct()
     bound = 100 * (F.col("u_a") + F.col("v_a")) + c * (F.col("u_b") + F.col("v_b")) - (100 - c) * F.col("n") - d * F.least("u_a", "v_a")
-    met = met.join(sizes, "p").where((F.col("shared") + F.col("least") - 1) * d >= bound).select(F.col("u_x").alias("u"), F.col("v_x").alias("v"))
+    met = met.join(centres, "p").where((F.col("shared") + F.col("least") - 1) * d >= bound).select(F.col("u_x").alias("u"), F.col("v_x").alias("v"))
     # the bound asks for nothing besides the centre: high of the one with the larger a is at most low of the other
     thin = rows.drop("besides", "n")
     far = thin.where("NOT near AND (high <= low1 OR low >= high0)")
@@ -143,10 +145,10 @@ def _open_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
-    docs: any DataFrame with an id and a text; other columns are ignored. Two documents are linked if their shingle sets'
+    docs: any DataFrame with a whole-number id and a text; other columns are ignored, whatever their names. Two documents are linked if their shingle sets'
     resemblance is at least ``percent`` / 100; component_id is the smallest doc_id that links reach, kept says that it is
     the document's own. Null and empty texts and those without words have the empty set and are linked with nothing.
-    Rows that share a doc_id count as one document. A null id is linked with nothing: component_id null, kept true.
+    Very long texts are shingled whole, each in one task. Rows that share a doc_id count as one document. A null id is linked with nothing: component_id null, kept true.
     An empty table gives an empty result.
     """
     base = id_text(docs, id_col, text_col)
@@ -177,6 +179,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates() keeps, with all their columns."""
+    """The rows of ``docs`` that near_duplicates() keeps, with all their columns; rows with a null id all stay."""
     dropped = near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("dropped_id"), "left_anti")
+    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["dropped_id"], "left_anti")

@@ -194,7 +194,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, id_col: str
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row.
 
     Every document ends with the end id, so null and empty texts are pieces of one token; rows with a null or repeated id
-    are packed like others. An empty table gives an empty result. Sequences are gapless from offset 0.
+    are packed like others, and so are repeated rows; other columns are ignored, whatever their names. Very long texts are
+    encoded whole and cut into pieces. An empty table gives an empty result. Sequences are gapless from offset 0.
     """
     spark = docs.sparkSession
     cut = materialize(pieces(docs, tokenizer_path, capacity, id_col, text_col))

@@ -227,7 +227,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added for every row.
 
     Spans are ``kind:start:end`` in code points, by kind, then start, comma-joined. Null and empty texts have none (the
-    hash is that of the empty string); null and repeated ids are ordinary rows; an empty table gives an empty result.
+    hash is that of the empty string); null and repeated ids are ordinary rows; spans of several kinds may overlap, and of
+    two with equal kind and place one stays; very long texts are read whole, as single rows; other columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     spans = with_spans(id_text(docs, id_col, text_col))
     model = fit(spans)

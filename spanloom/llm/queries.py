@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, fingerprint, license_scan, lm, mixing, near_dedup, packing, pii, repeats, toxicity
-from .common import documents
+from .common import documents, held_out
 
 PACK_TOKENIZER = "byte_bpe_50k.json"
 
@@ -19,11 +19,6 @@ def tokenizer_path(name: str = PACK_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def held_out(folds: int):
-    """crc32 of the id as text leaves no remainder."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == 0
-
-
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -59,9 +54,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = toxicity.train(docs, labels(spark, sf_dir).where(~held_out(5)))
+    model = toxicity.train(docs, labels(spark, sf_dir).where(~held_out(F.col("doc_id"), 5)))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

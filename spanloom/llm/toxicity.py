@@ -194,16 +194,17 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 6, rate: float = 0.5,
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> tuple[pa.Array, np.ndarray]:
-    """About ``max_rows`` documents of each label, chosen by a hash of their id, as texts and labels.
+    """About ``max_rows`` documents of each label, first in the order of a hash of their id, as texts and labels.
 
+    Rows with a null id or another label than 0 or 1 are left out; an id with both labels counts as toxic.
     At most 2 * max_rows * max_bytes bytes reach the driver, whatever the size of the tables.
     """
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(max_rows / max(1, counts.get(1, 0)))).otherwise(F.lit(max_rows / max(1, counts.get(0, 0))))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64("doc_id")).limit(2 * max_rows)
-    rows = id_text(docs).where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").limit(3 * max_rows)
-    table = rows.toArrow().sort_by("doc_id")
+    rows = id_text(docs).where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(3 * max_rows)
+    table = rows.toArrow()
     return table["text"].combine_chunks(), table["toxic"].to_numpy().astype(int)
 
 
@@ -212,7 +213,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_bytes: i
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score for every row of ``docs``; null texts score as empty ones, null ids stay null."""
+    """doc_id, score for every row of ``docs``.
+
+    Null texts score as empty ones, null ids stay null, repeated rows are scored each, equal texts alike; a very long text
+    is read whole, in one task; other columns are ignored, whatever their names; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
