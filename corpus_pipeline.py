@@ -1,14 +1,17 @@
-"""A training corpus from raw documents: toxicity, exact dedup, near dedup, mixing, packing."""
+"""A training corpus from raw documents: toxicity, exact dedup, near dedup, mixing, packing.
 
-from __future__ import annotations
+In every stage null texts count as empty, null ids and repeated rows are rows like others (rows with a null id are never
+near copies nor left out by mixing), texts of any length are read whole, further columns stay as they are whatever their
+names, and an empty table gives an empty result. Ties go to the smallest doc_id.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from spanloom.llm.common import documents, shared_folder
+from spanloom.llm.common import discard, documents, materialize
 from spanloom.llm.queries import labels, tokenizer_path
 
 
@@ -39,7 +42,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not sum(targets):
         return docs
     left_out = mixing.mix(soft, targets, total=sum(targets), max_rate=1.0).where("copies = 0").select(F.col("doc_id").alias("left_out")).distinct()
-    return docs.join(left_out, docs["doc_id"].cast("long") == F.col("left_out"), "left_anti")
+    return docs.join(left_out, docs["doc_id"].cast("long") == left_out["left_out"], "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +58,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written and read again as the next one's input."""
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs, before = documents(spark, sf_dir), None
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
