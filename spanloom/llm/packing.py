@@ -2,8 +2,8 @@
 
 Lengths are whole numbers up to the capacity, so the histogram of lengths (at most ``capacity`` numbers, whatever the
 corpus) is the whole packing problem. The driver solves it by bin completion: for the largest length left it enumerates
-undominated fillings of the remaining room, depth first, prunes branches whose waste already exceeds the best filling's
-(the incumbent, at first the best-fit one), and applies the winner as often as the histogram allows. The result is a
+undominated fillings of the remaining room, least waste first, with bit sets of reachable sums as exact waste bounds; the
+best-fit descent is the incumbent, and where it misses the lower bound, a branch-and-bound over the sequences goes on. The result is a
 list of patterns. Pieces are numbered within their length in a distributed way (a count per task and length, then prefix
 sums), and a piece's number in its length decides its pattern, sequence and offset.
 """
@@ -125,69 +125,149 @@ class Pattern:
     times: int
 
 
-def _filling(room: int, counts: np.ndarray, nodes: int) -> list[int]:
-    """Lengths that fill ``room`` best. Depth first over non-increasing lengths, larger ones first; a branch ends when all
-    that may still be added cannot beat the incumbent's waste. A single length that fills the rest is tried before any
-    split of it, which it dominates, so dominated fillings of the same waste are never taken. ``nodes``: steps after which
-    the incumbent, at worst the best-fit filling, is taken."""
+@dataclass
+class Packing:
+    patterns: list[Pattern]
+    sequences: int
+    bound: int  # no packing has fewer sequences
+    optimal: bool  # the bound is met, or the search has seen that nothing less exists
+
+
+def _sums(have: np.ndarray, counts: np.ndarray, room: int, most: int) -> list[list[int]]:
+    """Bit sets: [k][j] holds the sums up to ``room`` of at most j of the first k lengths of ``have``, each at most as often
+    as it is there."""
+    mask, out = (1 << (room + 1)) - 1, [[1] * (most + 1)]
+    for x in have.tolist():
+        own = list(out[-1])
+        for _ in range(min(int(counts[x]), room // x, most)):
+            more = [own[0], *((own[j] | own[j - 1] << x) & mask for j in range(1, most + 1))]
+            if more == own:
+                break
+            own = more
+        out.append(own)
+    return out
+
+
+def fillings(room: int, counts: np.ndarray, allowed: int, most: int | None = None) -> Iterator[list[int]]:
+    """The undominated fillings of ``room`` that waste at most ``allowed``, least waste first, then larger lengths first.
+
+    Every filling (of at most ``most`` lengths) is found: bit sets of reachable sums say which branches lead to one, so
+    none ends in vain. A filling is dominated, and left out, if two of its lengths could give way to a single one of their
+    sum that is there as well.
+    """
     have = np.flatnonzero(counts[: room + 1])
-    best: list[int] = []
-    left, at = room, room
-    rest = counts.copy()
-    while left:  # the incumbent: best fit, largest first
-        fit = have[: np.searchsorted(have, min(left, at), "right")]
-        fit = fit[rest[fit] > 0]
-        if not len(fit):
-            break
-        best.append(int(fit[-1]))
-        rest[fit[-1]] -= 1
-        left, at = left - int(fit[-1]), int(fit[-1])
-    waste, steps, mass = left, 0, np.cumsum(counts * np.arange(len(counts)))
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(room, room, ())]
-    while stack and waste and steps < nodes:
-        left, most, chosen = stack.pop()
-        steps += 1
-        if left < waste:
-            best, waste = list(chosen), left
-        if not left:
-            break
-        if left - int(mass[min(left, most)]) >= waste:  # all that may still be added leaves no less waste
-            continue
-        fit = have[: np.searchsorted(have, min(left, most), "right")]
-        exact = min(left, most)
-        options = [int(x) for x in fit[-24:] if counts[x] > chosen.count(int(x))]
-        if exact == left and counts[exact] > chosen.count(exact) and exact not in options:
-            options.append(exact)
-        for x in options:
-            stack.append((left - x, x, (*chosen, x)))
-    return best
-
-
-def solve(histogram: dict[int, int], capacity: int, nodes: int = 3000) -> list[Pattern]:
-    """Patterns that use every length exactly as often as the histogram says."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        counts[length] = n
-    found: list[Pattern] = []
+    if most is None:
+        most = room // int(have[0]) if len(have) else 0
+    reach = _sums(have, counts, room, most)
+
+    def below(k: int, rest: int, chosen: tuple[int, ...]) -> Iterator[list[int]]:
+        """Fillings of exactly ``rest`` by the first k lengths."""
+        if not rest:
+            yield list(chosen)
+            return
+        while k and have[k - 1] > rest:
+            k -= 1
+        free = most - len(chosen)
+        if not k or not reach[k][free] >> rest & 1:
+            return
+        x = int(have[k - 1])
+        for times in range(min(int(counts[x]), rest // x, free), -1, -1):
+            if reach[k - 1][free - times] >> (rest - times * x) & 1:
+                yield from below(k - 1, rest - times * x, chosen + (x,) * times)
+
+    for waste in range(min(allowed, room) + 1):
+        if reach[-1][most] >> (room - waste) & 1:
+            for own in below(len(have), room - waste, ()):
+                used = {x: own.count(x) for x in own}
+                pairs = {x + y for i, x in enumerate(own) for y in own[i + 1 :]}
+                if all(z > room or counts[z] <= used.get(z, 0) for z in pairs):
+                    yield own
+
+
+def least_sequences(histogram: dict[int, int], capacity: int) -> int:
+    """The bound that waste cannot undercut: all tokens over the capacity, and all lengths over half of it."""
+    return max(-(-sum(x * n for x, n in histogram.items()) // capacity), sum(n for x, n in histogram.items() if 2 * x > capacity))
+
+
+def _step(counts: np.ndarray, capacity: int, filling: list[int], top: int, whole: bool) -> Pattern:
+    """The pattern of the largest length and a filling, used as often as it lasts, less a part for others; ``whole``: once."""
+    own = [top, *filling]
+    lengths = {x: own.count(x) for x in own}
+    times = 1 if whole else max(1, min(int(counts[x]) // c for x, c in lengths.items()))
+    return Pattern(lengths, times // 2 if top < capacity and times > 8 else times)
+
+
+def _descent(counts: np.ndarray, capacity: int, most: int) -> list[Pattern]:
+    """For the largest length left its filling of least waste by at most ``most`` lengths, over and over; 0: the best-fit
+    one, the largest length that fits, over and over."""
+    counts, found = counts.copy(), []
     while counts.any():
         top = int(np.flatnonzero(counts)[-1])
         counts[top] -= 1
-        own = [top, *_filling(capacity - top, counts, nodes)]
+        if most:
+            best = next(fillings(capacity - top, counts, capacity - top, most))
+        else:
+            best, left, rest = [], capacity - top, counts.copy()
+            while len(fit := np.flatnonzero(rest[: left + 1])):
+                best.append(int(fit[-1]))
+                rest[fit[-1]] -= 1
+                left -= int(fit[-1])
         counts[top] += 1
-        lengths = {x: own.count(x) for x in own}
-        # a pattern of scarce lengths is used once and sought again; else as often as it lasts, less a part for others
-        times = max(1, min(int(counts[x]) // c for x, c in lengths.items()))
-        if top < capacity and times > 8:
-            times = times // 2
-        for x, c in lengths.items():
-            counts[x] -= c * times
-        found.append(Pattern(lengths, times))
+        p = _step(counts, capacity, best, top, False)
+        for x, c in p.lengths.items():
+            counts[x] -= c * p.times
+        found.append(p)
     return found
 
 
-def least_sequences(histogram: dict[int, int], capacity: int) -> int:
-    """The bound that waste cannot undercut: all tokens over the capacity, and all lengths over half of it."""
-    return max(-(-sum(x * n for x, n in histogram.items()) // capacity), sum(n for x, n in histogram.items() if 2 * x > capacity))
+def solve(histogram: dict[int, int], capacity: int, nodes: int = 20_000) -> Packing:
+    """Patterns that use every length exactly as often as the histogram says, by bin completion.
+
+    The incumbent is the best of some descents, that by best fit and those that take for the largest length left the filling
+    of least waste by up to 1, 2, ... lengths, as few lengths keep the short ones for later. If it needs more sequences than
+    the bound, the search branches: over all undominated fillings of the largest length, sequence by sequence, each branch
+    cut when what it has wasted leaves no packing below the incumbent. ``nodes`` limits this search, for which no bounded
+    method is known; ``optimal`` says whether the result is proven.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        counts[length] = n
+    bound, best, used = least_sequences(histogram, capacity), [], None
+    for most in range(9):
+        found = _descent(counts, capacity, most)
+        n = sum(p.times for p in found)
+        if used is None or n < used:
+            best, used = found, n
+        if used == bound:
+            break
+    total = int(counts @ np.arange(capacity + 1))
+
+    def branches(counts: np.ndarray, wasted: int) -> Iterator[tuple[np.ndarray, int, Pattern]]:
+        top = int(np.flatnonzero(counts)[-1])
+        rest = counts.copy()
+        rest[top] -= 1
+        for own in fillings(capacity - top, rest, (used - 1) * capacity - total - wasted):
+            p = _step(counts, capacity, own, top, True)
+            after = rest.copy()
+            for x in own:
+                after[x] -= 1
+            yield after, wasted + capacity - top - sum(own), p
+
+    steps, stack = 0, [(branches(counts, 0), None)] if used > bound and total else []
+    while stack and used > bound and steps < nodes:
+        steps += 1
+        step = next(stack[-1][0], None)
+        if step is None:
+            stack.pop()
+            continue
+        after, wasted, p = step
+        if wasted > (used - 1) * capacity - total:
+            continue
+        stack.append((branches(after, wasted) if after.any() else iter(()), p))
+        if not after.any() and len(stack) - 1 < used:
+            best = [q for _, q in stack[1:]]
+            used = len(best)
+    return Packing(best, used, bound, used == bound or not stack)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +282,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, id_col: str
     per_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     ranges, base, used = [], 0, {}
-    for p in solve(histogram, capacity):
+    for p in solve(histogram, capacity).patterns:
         offset = 0
         for length, c in sorted(p.lengths.items(), reverse=True):
             ranges.append((length, used.get(length, 0), c, base, offset))

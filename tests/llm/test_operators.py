@@ -144,7 +144,7 @@ def test_packing_patterns_and_odd(spark, odd, empty):
     for _ in range(20):
         histogram = Counter(rng.integers(1, 65, rng.integers(1, 400)).tolist())
         used, n = Counter(), 0
-        for p in packing.solve(histogram, 64):
+        for p in packing.solve(histogram, 64).patterns:
             assert sum(x * c for x, c in p.lengths.items()) <= 64
             n += p.times
             for x, c in p.lengths.items():
@@ -155,6 +155,67 @@ def test_packing_patterns_and_odd(spark, odd, empty):
     assert packing.pack(empty, queries.tokenizer_path()).count() == 0
 
 
+def brute_fillings(room, counts):
+    """All multisets of lengths that fit, by their waste, without those where a pair gives way to one length."""
+    out = []
+
+    def go(left, most, own):
+        used = Counter(own)
+        pairs = {own[i] + own[j] for i in range(len(own)) for j in range(i + 1, len(own))}
+        if all(z > room or counts[z] <= used[z] for z in pairs):
+            out.append((left, tuple(own)))
+        for x in range(min(left, most), 0, -1):
+            if counts[x] > used[x]:
+                go(left - x, x, [*own, x])
+
+    go(room, room, [])
+    return out
+
+
+def brute_bins(items, capacity):
+    """The least number of bins, by trying every bin for every item."""
+    best = [len(items)]
+
+    def go(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] >= items[k] and bins[i] not in bins[:i]:
+                go(k + 1, [*bins[:i], bins[i] - items[k], *bins[i + 1 :]])
+        go(k + 1, [*bins, capacity - items[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_fillings_equal_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        counts = np.zeros(31, np.int64)
+        np.add.at(counts, rng.integers(1, 16, 9), 1)
+        room = int(rng.integers(1, 24))
+        got = [(room - sum(own), tuple(own)) for own in packing.fillings(room, counts, room)]
+        assert sorted(got) == sorted(brute_fillings(room, counts)) and [w for w, _ in got] == sorted(w for w, _ in got)
+
+
+def test_packing_is_optimal_where_it_says_so():
+    """Against all packings; without nodes the incumbent stays and is not called optimal."""
+    rng = np.random.default_rng(8)
+    missed = 0
+    for k in range(80):
+        items = sorted((int(x) for x in rng.integers(4, 26, 11)), reverse=True)
+        want = brute_bins(items, 40)
+        found = packing.solve(Counter(items), 40)
+        assert found.optimal and found.sequences == want == sum(p.times for p in found.patterns)
+        first = packing.solve(Counter(items), 40, nodes=0)
+        assert first.sequences >= want and first.optimal == (first.sequences == first.bound)
+        missed += first.sequences > want
+    assert missed < 10
+
+
 # ------------------------------------------------------------------ toxicity
 def test_toxicity_held_out(spark):
     rows = queries.op8_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").toPandas()
