@@ -1,13 +1,17 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | before) = P(class | before) * P(word | class). Words fall into ``CLASSES`` classes by their ending, endings being
-clustered by the company they keep. P(class | before) is a softmax over hashed features of the words before: the last
-word's ending, the last word, the last two endings (n-gram) and the ending before the last (skip). P(word | class) is a
-maximum-entropy model with word features only, which is the smoothed relative frequency; words never seen are one event
-in each class, so all probabilities sum to one.
+P(word | before) = P(class | before) * P(word | class, before), both factors softmaxes over hashed features. Words fall
+into ``CLASSES`` classes by their ending, endings being clustered by the company they keep. P(class | before) reads the last
+word's ending, the last word, the last two endings (n-gram) and the ending before the last (skip). P(word | class, before)
+is log-linear: the word's count, a weight for its hashed bucket with the class of the last word (n-gram) and one with the
+class of the word before that (skip). As these contexts are few, the sum over all words of a class is a product of two
+small matrices for all contexts at once, so probabilities are normalised exactly. Words never seen are one event in each
+class, without features, so all probabilities sum to one.
 
 Counts are gathered by Spark over all training documents. The weights start from the class bigram counts and are trained
-in rounds: each round's tasks run Adagrad on their share of the documents, and their changes are averaged by feature.
+in rounds: each round's tasks run Adagrad on their share of the documents, and their changes are averaged by feature. The
+same tasks count what the within-class gradient needs (bucket by context, and contexts); after each round the weights take
+gradient steps, scaled by the expected counts, on the sums of all tasks.
 Scoring reads head words from a broadcast table of fixed size and joins the others' counts.
 """
 
@@ -30,7 +34,11 @@ WORD_BUCKETS, PAIR_BUCKETS = 4096, 8192
 #: Rows of the weight matrix: bias, last ending, last word, last two endings, ending before the last.
 AT = np.cumsum([0, 1, KEYS, WORD_BUCKETS, PAIR_BUCKETS, KEYS])
 FEATURES = int(AT[-1])
+#: Buckets of words in each class, and cells of the counts that the within-class gradient needs.
+WITHIN = 4096
+CELLS = CLASSES * WITHIN * CLASSES
 BATCH, ROUNDS, RATE, BLOCK = 1 << 15, 3, 0.15, 256
+PART, PRIOR, STEPS = 1 << 15, 4.0, 20  # cells sent together; of the within-class weights: strength of the prior, steps a round
 END, END_KEY = np.uint64(0x5851F42D4C957F2D), 0
 ADD = 0.1
 
@@ -60,6 +68,16 @@ class Tokens:
         return np.stack([AT[1] + key1, AT[2] + (last >> np.uint64(52)).astype(np.int64) % WORD_BUCKETS, AT[3] + (pair % np.uint64(PAIR_BUCKETS)).astype(np.int64), AT[4] + key2])
 
 
+def contexts(f: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the last word and of the one before it, from Tokens.features()."""
+    return own[f[0] - AT[1]], own[f[3] - AT[4]]
+
+
+def cells(hashes: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The bucket of each word in its class, over all classes."""
+    return target * WITHIN + (hashes & np.uint64(WITHIN - 1)).astype(np.int64)
+
+
 def _batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Tokens]]:
     data, offsets = text_bytes(batch.column("text"))
     for i, j in chunks(offsets):
@@ -168,40 +186,88 @@ def _local(w: np.ndarray, square: np.ndarray, seen: np.ndarray, f: np.ndarray, t
         seen[hit] += size
 
 
-def _round(train: DataFrame, shared, own: np.ndarray, parts: int) -> np.ndarray:
-    """The weights after one round: every task's changes, averaged by feature over the tokens that had it."""
+@dataclass
+class Within:
+    """P(word | class, before): masses of the buckets (CLASSES, WITHIN) and of the unseen word (CLASSES), and weights
+    (CLASSES, WITHIN, CLASSES) for the class of the last word and of the one before it."""
+
+    mass: np.ndarray
+    unseen: np.ndarray
+    last: np.ndarray
+    skip: np.ndarray
+
+    def totals(self) -> np.ndarray:
+        """(class, class of the last word, class before it): the sum over all words."""
+        return np.matmul((np.exp(self.last) * self.mass[:, :, None]).transpose(0, 2, 1), np.exp(self.skip)) + self.unseen[:, None, None]
+
+    def climb(self, counts: np.ndarray, steps: int) -> None:
+        """Gradient steps on the log-likelihood of ``counts`` (bucket by last class, by class before it, and contexts)."""
+        seen1, seen2 = (counts[k * CELLS : (k + 1) * CELLS].reshape(self.last.shape) for k in (0, 1))
+        n = counts[2 * CELLS :].reshape(CLASSES, CLASSES, CLASSES)
+        for _ in range(steps):
+            for weights, seen in ((self.last, seen1), (self.skip, seen2)):
+                ea, eb = np.exp(self.last) * self.mass[:, :, None], np.exp(self.skip)
+                share = n / self.totals()
+                expected = ea * np.matmul(eb, share.transpose(0, 2, 1)) if weights is self.last else eb * np.matmul(ea, share)
+                weights += np.clip((seen - expected - PRIOR * weights) / (expected + PRIOR), -1, 1)
+
+
+def _round(train: DataFrame, shared, own: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class weights after one round (every task's changes, averaged by feature over the tokens that had it), and the
+    counts for Within.climb()."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
         w, square, seen = start.copy(), np.zeros_like(start), np.zeros(FEATURES)
+        counts = np.zeros(2 * CELLS + CLASSES**3, np.uint32)
         for batch in batches:
             for _, _, t in _batches(batch):
                 f, target = t.features(), own[t.key]
+                c1, c2 = contexts(f, own)
+                cell = cells(t.hash, target) * CLASSES
+                for at in (cell + c1, CELLS + cell + c2, 2 * CELLS + (target * CLASSES + c1) * CLASSES + c2):
+                    hit, times = np.unique(at, return_counts=True)
+                    counts[hit] += times.astype(np.uint32)
                 for k in range(0, len(target), BATCH):
                     _local(w, square, seen, f[:, k : k + BATCH], target[k : k + BATCH])
         for b in range(0, FEATURES, BLOCK):
             n = seen[b : b + BLOCK]
             if n.any():
-                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([((w - start)[b : b + BLOCK] ).astype(np.float16).tobytes()]), pa.array([n.astype(np.float32).tobytes()])], ["block", "change", "seen"])
+                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([(w - start)[b : b + BLOCK].astype(np.float16).tobytes()]), pa.array([n.astype(np.float32).tobytes()])], ["block", "change", "seen"])
+        for b in range(0, len(counts), PART):
+            part = counts[b : b + PART]
+            if part.any():
+                yield pa.record_batch([pa.array([-1 - b], pa.int32()), pa.array([part.tobytes()]), pa.array([b""])], ["block", "change", "seen"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list[np.ndarray]] = {}
+        counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, change, n in zip(*(batch.column(c).to_pylist() for c in ("block", "change", "seen")), strict=True):
+                if b < 0:
+                    part = np.frombuffer(change, np.uint32).astype(np.int64)
+                    counts[b] = counts[b] + part if b in counts else part
+                    continue
                 n = np.frombuffer(n, np.float32).astype(float)
                 change = np.frombuffer(change, np.float16).astype(float).reshape(-1, CLASSES) * n[:, None]
                 old = sums.setdefault(b, [np.zeros_like(change), np.zeros_like(n)])
                 old[0] += change
                 old[1] += n
+        for b, part in counts.items():
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([part.tobytes()])], ["block", "change"])
         for b, (change, n) in sums.items():
             yield pa.record_batch([pa.array([b], pa.int32()), pa.array([(change / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()])], ["block", "change"])
 
     changes = train.mapInArrow(learn, "block int, change binary, seen binary").repartition(min(parts, -(-FEATURES // BLOCK)), "block")
-    out = shared.value.copy()
-    for r in changes.mapInArrow(add, "block int, change binary").collect():  # FEATURES * CLASSES floats
+    out, counts = shared.value.copy(), np.zeros(2 * CELLS + CLASSES**3, np.int64)
+    for r in changes.mapInArrow(add, "block int, change binary").collect():  # FEATURES * CLASSES floats and the counts, of fixed size
+        if r["block"] < 0:
+            part = np.frombuffer(r["change"], np.int64)
+            counts[-1 - r["block"] :][: len(part)] = part
+            continue
         change = np.frombuffer(r["change"], np.float32).reshape(-1, CLASSES)
         out[r["block"] : r["block"] + len(change)] += change
-    return out
+    return out, counts
 
 
 @dataclass
@@ -212,6 +278,7 @@ class Model:
     own: np.ndarray  # class of each ending
     normal: np.ndarray  # log10 of each class's total
     weights: np.ndarray
+    within: Within
     head: tuple[np.ndarray, np.ndarray]  # hashes ascending, log10(c + ADD)
 
 
@@ -241,22 +308,33 @@ def train(docs: DataFrame) -> Model:
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(h)
     weights = start_weights(pairs, own)
+    owner = F.element_at(F.lit(own.tolist()), F.col("key") + 1)
+    mass, seen = np.zeros((CLASSES, WITHIN)), np.zeros(2 * CELLS + CLASSES**3)
+    buckets = table.groupBy(owner.alias("class"), F.pmod("h", F.lit(WITHIN)).alias("low")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # CLASSES * WITHIN rows at most
+    for r in buckets:
+        mass[r["class"], r["low"]] = r["n"] + ADD * r["v"]
+    room = n + ADD * (v + 1)
+    within = Within(mass / room[:, None], ADD / room, np.zeros((CLASSES, WITHIN, CLASSES)), np.zeros((CLASSES, WITHIN, CLASSES)))
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast(weights)
         share = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(ROUNDS)) == k)
-        weights = _round(share, shared, own, parts)
+        weights, counts_of_round = _round(share, shared, own, parts)
         shared.unpersist()
-    return Model(table.select("h", "c"), int(n.sum()), int(v.sum()), own, np.log10(n + ADD * (v + 1)), weights, (h[order], np.log10(c[order] + ADD)))
+        seen += counts_of_round
+        within.climb(seen, STEPS)
+    return Model(table.select("h", "c"), int(n.sum()), int(v.sum()), own, np.log10(room), weights, within, (h[order], np.log10(c[order] + ADD)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for every row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.own, model.normal, model.weights, *model.head))  # all of fixed size
+    inside = model.within
+    flat = [np.ascontiguousarray(x.reshape(-1), np.float32) for x in (inside.last, inside.skip, np.log(inside.totals()))]
+    shared = docs.sparkSession.sparkContext.broadcast((model.own, model.normal, model.weights, *flat, *model.head))  # all of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, normal, w, head, logs = shared.value
+        own, normal, w, last, skip, total, head, logs = shared.value
         row = TaskContext.get().partitionId() << 40
-        names = ["row", "doc_id", "n_tokens", "n_known", "head", "model", "h", "c"]
+        names = ["row", "doc_id", "n_tokens", "n_known", "head", "model", "h", "c", "near"]
         for batch in batches:
             for i, j, t in _batches(batch):
                 m, f, target = j - i, t.features(), own[t.key]
@@ -264,28 +342,32 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 for k in range(0, len(target), BATCH):
                     z = _logits(w, f[:, k : k + BATCH])
                     cond[k : k + BATCH] = z[np.arange(len(z)), target[k : k + BATCH]] - np.log(np.exp(z).sum(1))
+                c1, c2 = contexts(f, own)
+                cell = cells(t.hash, target) * CLASSES
+                near = (last[cell + c1] + skip[cell + c2]).astype(float)
+                cond -= total[(target * CLASSES + c1) * CLASSES + c2]
                 at = np.minimum(np.searchsorted(head, t.hash), max(0, len(head) - 1))
                 known = head[at] == t.hash if len(head) else np.zeros(len(t.hash), bool)
-                sums = np.add.reduceat(np.stack([known, np.where(known, logs[at] if len(logs) else 0.0, 0.0), cond / np.log(10) - normal[target]]), t.first[:-1], axis=1)
+                sums = np.add.reduceat(np.stack([known, np.where(known, logs[at] if len(logs) else 0.0, 0.0), (cond + np.where(known, near, 0.0)) / np.log(10) - normal[target]]), t.first[:-1], axis=1)
                 rows = row + np.arange(m)
                 row += m
                 empty = pa.nulls(m, pa.int64())
-                yield pa.record_batch([pa.array(rows), batch.column("doc_id").slice(i, m), pa.array(np.diff(t.first)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), empty, empty], names)
+                yield pa.record_batch([pa.array(rows), batch.column("doc_id").slice(i, m), pa.array(np.diff(t.first)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), empty, empty, pa.nulls(m, pa.float64())], names)
                 doc = np.repeat(np.arange(m), np.diff(t.first))[~known]
-                rest = t.hash[~known]
+                rest, near = t.hash[~known], near[~known] / np.log(10)
                 order = np.lexsort((rest, doc))
                 doc, rest = doc[order], rest[order]
                 edge = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
                 none, number = pa.nulls(len(edge), pa.int64()), np.diff(np.append(edge, len(doc)))
-                yield pa.record_batch([pa.array(rows[doc[edge]]), none, none, none, pa.nulls(len(edge), pa.float64()), pa.nulls(len(edge), pa.float64()), pa.array(rest[edge].view(np.int64)), pa.array(number)], names)
+                yield pa.record_batch([pa.array(rows[doc[edge]]), none, none, none, pa.nulls(len(edge), pa.float64()), pa.nulls(len(edge), pa.float64()), pa.array(rest[edge].view(np.int64)), pa.array(number), pa.array(np.add.reduceat(near[order], edge) if len(edge) else near)], names)
 
-    both = materialize(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, head double, model double, h long, c long"))
-    tail = both.where("h IS NOT NULL").select("row", "h", F.col("c").alias("times"))
-    tail = tail.join(model.table, "h", "left").groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("tail_known"), F.sum(F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(ADD))).alias("tail"))
-    out = both.where("h IS NULL").drop("h", "c").join(tail, "row", "left")
+    both = materialize(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, head double, model double, h long, c long, near double"))
+    tail = both.where("h IS NOT NULL").select("row", "h", F.col("c").alias("times"), "near")
+    tail = tail.join(model.table, "h", "left").groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("tail_known"), F.sum(F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(ADD))).alias("tail"), F.sum(F.when(F.col("c").isNotNull(), F.col("near")).otherwise(0.0)).alias("tail_near"))
+    out = both.where("h IS NULL").drop("h", "c", "near").join(tail, "row", "left")
     logs = F.col("head") + F.coalesce("tail", F.lit(0.0))
     whole = float(np.log10(model.tokens + ADD * (model.words + 1)))
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), (logs - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (logs + F.col("model")).alias("score"))
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), (logs - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (logs + F.col("model") + F.coalesce("tail_near", F.lit(0.0))).alias("score"))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -280,12 +280,58 @@ def test_lm_counts_scores_and_probabilities(spark, documents):
     assert sum(got[d]["score"] for d in out) > sum(got[d]["base_score"] for d in out)
 
 
-def test_lm_sums_to_one():
-    w = np.random.default_rng(0).normal(0, 1, (lm.FEATURES, lm.CLASSES)).astype(np.float32)
-    data, offsets = textkit.text_bytes(pa.array(["the quick brown fox", "", "jumps"]))
-    t = lm.Tokens(data, offsets, 0, 3)
-    p = np.exp(lm._logits(w, t.features()))
-    assert np.allclose((p / p.sum(1, keepdims=True)).sum(1), 1, atol=1e-5) and np.diff(t.first).tolist() == [5, 1, 2]
+def plain_lm(model, counts, key, before):
+    """{word: probability} of every training word, and the probability of any unseen word, after the two words before."""
+    names = [lm.END_KEY if w is None else key[w] for w in before]  # the last word, and the one before it
+    last = int(lm.END) if before[0] is None else before[0]
+    pair = int(textkit.mix(np.array([names[0] * lm.KEYS + names[1]], np.uint64))[0])
+    rows = [0, lm.AT[1] + names[0], lm.AT[2] + (last >> 52) % lm.WORD_BUCKETS, lm.AT[3] + pair % lm.PAIR_BUCKETS, lm.AT[4] + names[1]]
+    z = sum(model.weights[r].astype(float) for r in rows)
+    p_class = [math.exp(x) for x in z - z.max()]
+    p_class = [x / sum(p_class) for x in p_class]
+    c1, c2 = (int(model.own[k]) for k in names)
+    weight, total = {}, defaultdict(float)
+    size, kinds = Counter(), Counter()
+    for w, c in counts.items():
+        size[int(model.own[key[w]])] += c
+        kinds[int(model.own[key[w]])] += 1
+    for w, c in counts.items():
+        k = int(model.own[key[w]])
+        near = model.within.last[k, w % lm.WITHIN, c1] + model.within.skip[k, w % lm.WITHIN, c2]
+        weight[w] = k, (c + 0.1) / (size[k] + 0.1 * (kinds[k] + 1)) * math.exp(near)
+        total[k] += weight[w][1]
+    for k in range(lm.CLASSES):
+        total[k] += 0.1 / (size[k] + 0.1 * (kinds[k] + 1))
+    unseen = {k: p_class[k] * 0.1 / (size[k] + 0.1 * (kinds[k] + 1)) / total[k] for k in range(lm.CLASSES)}
+    return {w: p_class[k] * x / total[k] for w, (k, x) in weight.items()}, unseen
+
+
+@pytest.mark.parametrize("head", [lm.HEAD, 40])
+def test_lm_score_equals_plain_probabilities(spark, monkeypatch, head):
+    """Every token's probability from first principles: they sum to one over the vocabulary, and their logs to the score."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    rng = np.random.default_rng(3)
+    nouns, verbs = [f"noun{i}er" for i in range(30)], [f"verb{i}ing" for i in range(20)]
+    say = lambda: " ".join(f"the {nouns[i % 30]} {verbs[(i * 7 + j) % 20]}" for i, j in rng.integers(0, 60, (12, 2)))
+    rows = [(i, say()) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.train(docs)
+    tests = [(1, "the noun3er verb1ing the other noun5er"), (2, ""), (3, "verb2ing strange the the"), *rows[:2]]
+    data, offsets = textkit.text_bytes(pa.array([t for _, t in rows + tests]))
+    t = lm.Tokens(data, offsets, 0, len(rows + tests))
+    key = dict(zip(t.hash.tolist(), t.key.tolist()))
+    first = t.first.tolist()
+    counts = Counter(t.hash[: first[len(rows)]].tolist())
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(tests[:3], "doc_id long, text string"), model).collect()}
+    for i, (doc, _) in enumerate(tests[:3], len(rows)):
+        own, want = t.hash[first[i] : first[i + 1]].tolist(), 0.0
+        for j, w in enumerate(own):
+            p, unseen = plain_lm(model, counts, key, [own[j - 1] if j else None, own[j - 2] if j > 1 else None])
+            assert abs(sum(p.values()) + sum(unseen.values()) - 1) < 1e-6
+            want += math.log10(p[w] if w in p else unseen[int(model.own[key[w]])])
+        assert abs(got[doc] - want) < 1e-4 * max(1, abs(want))
+    context = [model.within.last, model.within.skip]
+    assert all(np.abs(x).max() > 0.1 for x in context)  # the words of a class do differ by context
 
 
 def test_lm_odd(spark, odd, empty):
