@@ -10,9 +10,9 @@ spans of one occurrence all hold its anchor, so their union is one span.
 
 Occurrences with the same bytes around the anchor, as far as strings with it reach, are one class with a representative:
 a class of two or more is repeated as a whole, and only representatives are compared with other classes. Texts that are
-equal as a whole are one text with a number of copies. A group of more than ``CROWD`` classes, which a task should not
+equal as a whole are one text with a number of copies, named by a digest of 128 bits. A group of more than ``CROWD`` classes, which a task should not
 hold, is settled without gathering it, by narrowing: the places where its strings may begin form a range, and for each
-quarter of the range two hashes are counted, with map-side combination. If the bytes that all strings of the quarter
+quarter of the range two hashes of 128 bits are counted, with map-side combination. If the bytes that all strings of the quarter
 share occur once, none of them is repeated; if the bytes that they cover together occur again, all are; else the quarter
 is quartered.
 """
@@ -26,15 +26,18 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import discard, id_text, join_unique, materialize
 from .textkit import CHUNK, Prefix, chunks, mix, text_bytes
 
 LENGTH, GRAM = 200, 50
 WIDTH = LENGTH - GRAM + 1
 #: Classes that one task compares at once; larger groups are narrowed.
 CROWD = 1024
+#: Bytes of a text whose anchors are gathered together, so at most as many.
+SPAN = 1 << 16
 
 
 def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -88,7 +91,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            keys = batch.column("k").to_numpy()
+            keys = batch.column("k")
             for i, j in chunks(offsets):
                 parts = _pieces(offsets, i, j)
                 for own in [parts] if j - i > 1 or len(parts) == 1 else [[p] for p in parts]:
@@ -103,22 +106,23 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     pos = at - offsets[row[part]]
                     before, room = np.minimum(pos, WIDTH - 1), np.minimum(offsets[row[part] + 1] - at, LENGTH)
                     hull = mix(Prefix(raw)(hit - before, hit + room) + (before * (LENGTH + 1) + room).astype(np.uint64))
-                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(keys[row[part]]), pa.array(pos), pa.array(room.astype(np.int32))], ["h", "hull", "k", "pos", "room"])
+                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(hull.view(np.int64)), keys.take(pa.array(row[part])), pa.array(pos), pa.array(room.astype(np.int32))], ["h", "hull", "k", "pos", "room"])
 
-    return docs.mapInArrow(run, "h long, hull long, k long, pos long, room int")
+    return docs.mapInArrow(run, "h long, hull long, k binary, pos long, room int")
 
 
 def contexts(texts: DataFrame) -> DataFrame:
-    """(h, hull, k, pos, crowd, before, after) of the rows (k, text, anchors): up to WIDTH - 1 bytes before an anchor and LENGTH from it on."""
+    """(h, hull, k, pos, crowd, before, after) of the rows (k, begin, text, anchors), text being the bytes from ``begin`` on:
+    up to WIDTH - 1 bytes before an anchor and LENGTH from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in CONTEXT]
-            for k, text, own in zip(batch.column("k").to_pylist(), batch.column("text"), batch.column("anchors").to_pylist(), strict=True):
+            for k, begin, text, own in zip(batch.column("k").to_pylist(), batch.column("begin").to_pylist(), batch.column("text"), batch.column("anchors").to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 for a in own:
-                    pos = a["pos"]
-                    row = (a["h"], a["hull"], k, pos, a["crowd"], raw[max(0, pos - WIDTH + 1) : pos], raw[pos : pos + LENGTH])
+                    pos = a["pos"] - begin
+                    row = (a["h"], a["hull"], k, a["pos"], a["crowd"], raw[max(0, pos - WIDTH + 1) : pos], raw[pos : pos + LENGTH])
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 if len(cols[0]) > 20_000:
@@ -127,14 +131,14 @@ def contexts(texts: DataFrame) -> DataFrame:
             if cols[0]:
                 yield _contexts_batch(cols)
 
-    return texts.mapInArrow(run, "h long, hull long, k long, pos long, crowd boolean, before binary, after binary")
+    return texts.mapInArrow(run, "h long, hull long, k binary, pos long, crowd boolean, before binary, after binary")
 
 
 CONTEXT = ("h", "hull", "k", "pos", "crowd", "before", "after")
 
 
 def _contexts_batch(cols: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
     return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], list(CONTEXT))
 
 
@@ -249,8 +253,9 @@ def tree_extents(rows: DataFrame) -> DataFrame:
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
-    """(h, hull, k, pos, lo, hi, core, whole) for each part lo..hi of the rows' ``parts``, strings counted by their bytes
-    before the anchor: hashes of what the part's strings share and of what they cover (null if some are not there)."""
+    """(h, hull, k, pos, lo, hi, core, core2, whole, whole2) for each part lo..hi of the rows' ``parts``, strings counted by
+    their bytes before the anchor: two hashes each of what the part's strings share and of what they cover (null if some
+    are not there)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +263,7 @@ def _hashed(rows: DataFrame) -> DataFrame:
                 part = batch.slice(at, 2000)
                 before, after = part.column("before").to_pylist(), part.column("after").to_pylist()
                 ahead, behind = np.array([len(b) for b in before]), np.array([len(a) for a in after])
-                prefix = Prefix(np.frombuffer(b"".join(b + a for b, a in zip(before, after, strict=True)), np.uint8))
+                raw = np.frombuffer(b"".join(b + a for b, a in zip(before, after, strict=True)), np.uint8)
                 anchor = np.cumsum(ahead + behind) - behind
                 parts = part.column("parts")
                 lo, hi = (parts.flatten().field(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
@@ -266,15 +271,18 @@ def _hashed(rows: DataFrame) -> DataFrame:
                 there = np.maximum(lo, LENGTH - behind[row]) <= np.minimum(hi, ahead[row])
                 lo, hi, row = lo[there], hi[there], row[there]
                 salt = (lo * WIDTH + hi).astype(np.uint64)
-                core = mix(prefix(anchor[row] - lo, anchor[row] - hi + LENGTH) + salt)
                 full = (hi <= ahead[row]) & (LENGTH - lo <= behind[row])
-                whole = np.zeros(len(row), np.uint64)
-                whole[full] = mix(prefix(anchor[row][full] - hi[full], anchor[row][full] - lo[full] + LENGTH) + salt[full])
-                names = ["h", "hull", "k", "pos", "lo", "hi", "core", "whole"]
-                kept = [part.column(c).to_numpy()[row] for c in names[:4]]
-                yield pa.record_batch([*map(pa.array, kept), pa.array(lo), pa.array(hi), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64), mask=~full)], names)
+                hashes = []
+                for prefix in (Prefix(raw), Prefix(raw, second=True)):
+                    whole = np.zeros(len(row), np.uint64)
+                    whole[full] = mix(prefix(anchor[row][full] - hi[full], anchor[row][full] - lo[full] + LENGTH) + salt[full])
+                    core = mix(prefix(anchor[row] - lo, anchor[row] - hi + LENGTH) + salt)
+                    hashes += [pa.array(core.view(np.int64)), pa.array(whole.view(np.int64), mask=~full)]
+                names = ["h", "hull", "k", "pos"]
+                kept = [part.column(c).take(pa.array(row)) for c in names]
+                yield pa.record_batch([*kept, pa.array(lo), pa.array(hi), *hashes], [*names, "lo", "hi", "core", "whole", "core2", "whole2"])
 
-    return rows.mapInArrow(run, "h long, hull long, k long, pos long, lo long, hi long, core long, whole long")
+    return rows.mapInArrow(run, "h long, hull long, k binary, pos long, lo long, hi long, core long, whole long, core2 long, whole2 long")
 
 
 def _quarters(lo: Column, hi: Column) -> Column:
@@ -285,27 +293,41 @@ def _quarters(lo: Column, hi: Column) -> Column:
 def crowd_extents(near: DataFrame) -> DataFrame:
     """(h, hull, left, right) of the classes of crowded groups, several rows for some."""
     found = []
+    core, whole = ["core", "core2"], ["whole", "whole2"]
     parts = near.select("h", "hull", _quarters(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long")).alias("parts"))
     while True:
         nodes = materialize(_hashed(near.join(parts, ["h", "hull"])))
-        all_ = _repeated(nodes.where("whole IS NOT NULL"), "whole", "k", "pos").select("whole", F.lit(True).alias("every"))
-        live = nodes.join(_repeated(nodes, "core", "k", "pos").select("core"), "core", "left_semi").join(all_, "whole", "left")
-        live = materialize(live.select("h", "hull", "lo", "hi", "core", "whole", "every"))
+        all_ = _repeated(nodes.where("whole IS NOT NULL"), whole, "k", "pos").select(*whole, F.lit(True).alias("every"))
+        live = nodes.join(_repeated(nodes, core, "k", "pos").select(*core), core, "left_semi").join(all_, whole, "left")
+        live = materialize(live.select("h", "hull", "lo", "hi", *core, *whole, "every"))
+        discard(nodes)
         found.append(live.where("every").select("h", "hull", F.col("hi").alias("left"), (LENGTH - F.col("lo")).alias("right")))
         rest = live.where("every IS NULL AND lo < hi")
         if rest.isEmpty():
             return reduce(DataFrame.unionByName, found)
         # what is settled may still be what an open part agrees with: one witness for all of the same bytes goes on
-        witness = live.where("every").join(rest.select("core").distinct(), "core", "left_semi").groupBy("lo", "hi", "whole").agg(F.min(F.struct("h", "hull")).alias("one"))
+        witness = live.where("every").join(rest.select(*core).distinct(), core, "left_semi").groupBy("lo", "hi", *whole).agg(F.min(F.struct("h", "hull")).alias("one"))
         rest = rest.select("h", "hull", "lo", "hi").unionByName(witness.select("one.*", "lo", "hi"))
-        parts = rest.groupBy("h", "hull").agg(F.flatten(F.collect_list(_quarters(F.col("lo"), F.col("hi")))).alias("parts"))
+        parts = rest.groupBy("h", "hull").agg(F.flatten(F.collect_list(_quarters(F.col("lo"), F.col("hi")))).alias("parts"))  # WIDTH at most
 
 
-def _repeated(df: DataFrame, key: str, *place: str) -> DataFrame:
+def _repeated(df: DataFrame, keys: list[str], *place: str) -> DataFrame:
     """Keys at more than one place, with how many rows they have."""
     sides = [f(c).alias(f"{n}_{c}") for c in place for f, n in ((F.min, "lo"), (F.max, "hi"))]
     differ = " OR ".join(f"lo_{c} != hi_{c}" for c in place)
-    return df.groupBy(key).agg(F.count("*").alias("n"), *sides).where(differ).select(key, "n")
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), *sides).where(differ).select(*keys, "n")
+
+
+def _runs(spans: DataFrame) -> DataFrame:
+    """(k, found): the maximal runs that the spans (k, start, stop) cover, ascending.
+
+    Spans are merged where they start, SPAN bytes together, before a text's runs, at most one for LENGTH bytes, are gathered.
+    """
+    near = W.partitionBy("k", "part").orderBy("start")
+    cut = F.coalesce((F.col("start") > F.max("stop").over(near.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(0))
+    spans = spans.distinct().withColumn("part", F.floor(F.col("start") / SPAN)).withColumn("cut", cut).withColumn("run", F.sum("cut").over(near))
+    runs = spans.groupBy("k", "part", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return runs.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("found"))
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -323,25 +345,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Bytes that a string of LENGTH bytes covers which also starts elsewhere, in any row or at another place of the same
     one, are removed; spans are the maximal removed runs of bytes. Null texts are empty; null and repeated ids are rows
-    like others; an empty table gives an empty result. Whole texts are named by a 64-bit hash and strings compared as bytes
-    (in crowded groups, by a 64-bit hash).
+    like others; other columns are ignored, whatever their names; an empty table gives an empty result. Very long texts are
+    searched in parts and put together again whole, in one task. Strings are compared as bytes (in crowded groups, by two
+    hashes of 64 bits).
     """
-    base = id_text(docs, id_col, text_col).withColumn("k", F.xxhash64("text", F.octet_length("text")))
+    base = id_text(docs, id_col, text_col).withColumn("k", F.unhex(F.md5(F.encode("text", "utf-8"))))
     found = materialize(occurrences(base.select("k", "text")))
-    held = materialize(found.join(_repeated(found, "h", "k", "pos").select("h"), "h"))
-    classes = held.groupBy("h", "hull").agg(F.min(F.struct("k", "pos", "room")).alias("one"), F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("pos").alias("pos0"), F.max("pos").alias("pos1"))
-    classes = materialize(classes.select("h", "hull", "one.*", (F.expr("k0 != k1") | F.expr("pos0 != pos1")).alias("many")))
-    size = classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > CROWD).alias("crowd"))
-    places = classes.join(size, "h").groupBy("k").agg(F.collect_set(F.struct("pos", "h", "hull", "crowd")).alias("anchors"))
-    texts = base.groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    near = materialize(contexts(texts.join(places, "k").select("k", "text", "anchors")))
+    often = materialize(_repeated(found, ["h"], "k", "pos"))
+    held = materialize(join_unique(found, often.select("h"), ["h"], found.count(), often))
+    discard(found, often)
+    classes = held.groupBy("h", "hull").agg(F.count("*").alias("times"), F.min(F.struct("k", "pos", "room")).alias("one"), F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("pos").alias("pos0"), F.max("pos").alias("pos1"))
+    classes = materialize(classes.select("h", "hull", "times", "one.*", (F.expr("k0 != k1") | F.expr("pos0 != pos1")).alias("many")))
+    size = materialize(classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    places = join_unique(classes.drop("many", "times", "room"), size.select("h", (F.col("n") > CROWD).alias("crowd")), ["h"], classes.count(), size)
+    # a text's anchors are gathered for SPAN bytes at a time, beside those bytes and the ones around that strings may reach
+    places = places.groupBy("k", F.floor(F.col("pos") / SPAN).alias("part")).agg(F.collect_list(F.struct("pos", "h", "hull", "crowd")).alias("anchors"))
+    length = F.octet_length("text")
+    cuts = base.where(length >= LENGTH).select("k", F.encode("text", "utf-8").alias("bytes"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((length - 1) / SPAN))).alias("part"))
+    begin = F.greatest(F.lit(0).cast("long"), F.col("part") * SPAN - WIDTH + 1)
+    cuts = cuts.select("k", "part", begin.alias("begin"), F.substr("bytes", (begin + 1).cast("int"), ((F.col("part") + 1) * SPAN + LENGTH - begin).cast("int")).alias("text"))
+    cuts = cuts.groupBy("k", "part").agg(F.first("begin").alias("begin"), F.first("text").alias("text"))
+    near = materialize(contexts(cuts.join(places, ["k", "part"]).select("k", "begin", "text", "anchors")))
     extents = tree_extents(near.where("NOT crowd").drop("crowd", "k", "pos").repartition("h").sortWithinPartitions("h"))
     crowd = crowd_extents(near.where("crowd").drop("crowd"))
     before = F.least("pos", F.lit(WIDTH - 1))
     whole = classes.where("many").select("h", "hull", before.alias("left"), F.col("room").cast("long").alias("right")).where(F.col("left") + F.col("right") >= LENGTH)
     extents = extents.unionByName(crowd).unionByName(whole).groupBy("h", "hull").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    spans = held.join(extents, ["h", "hull"]).select("k", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("stop"))
-    spans = spans.groupBy("k").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
+    extents = materialize(extents)
+    spans = join_unique(held, extents, ["h", "hull"], held.count(), classes.select("h", "hull", F.col("times").alias("n")))
+    spans = materialize(_runs(spans.select("k", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("stop"))))
+    discard(held, classes, size, near, extents)
+    texts = base.groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,8 +393,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.update(raw[at:])
                 rows.append((k, len(raw), sum(b - a for a, b in runs), len(runs), kept.hexdigest(), [{"start": a, "stop": b} for a, b in runs]))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    done = texts.join(spans, "k", "left").select("k", "text", "copies", "found").mapInArrow(cut, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>")
+    done = texts.join(spans, "k", "left").select("k", "text", "copies", "found").mapInArrow(cut, "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>")
     return base.select("doc_id", "k").join(done, "k").drop("k")

@@ -19,6 +19,9 @@ _rng = np.random.default_rng(20240229)
 _CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_CODE2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE2 = 0xC2B2AE3D27D4EB4F | 1
+_INVERSE2 = pow(_BASE2, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -84,12 +87,14 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
 
 
 class Prefix:
-    """Prefix polynomial of a byte string: the hash of any [start, end) in constant time."""
+    """Prefix polynomial of a byte string: the hash of any [start, end) in constant time. ``second``: by another base and
+    other codes, for two hashes of which both must agree."""
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, second: bool = False) -> None:
+        code, base, inverse = (_CODE2, _BASE2, _INVERSE2) if second else (_CODE, _BASE, _INVERSE)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_CODE[data] * _power(_BASE, len(data)), out=self.sums[1:])
-        self.inverse = _power(_INVERSE, len(data) + 1)
+        np.cumsum(code[data] * _power(base, len(data)), out=self.sums[1:])
+        self.inverse = _power(inverse, len(data) + 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
