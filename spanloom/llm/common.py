@@ -56,20 +56,21 @@ def held_out(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def join_unique(big: DataFrame, small: DataFrame, keys: list[str], rows: int, sizes: DataFrame | None = None) -> DataFrame:
-    """Inner join of ``big`` (a table of ``rows`` rows) with ``small``, whose keys are unique, without a task per hot key.
+def join_unique(big: DataFrame, small: DataFrame, keys: list[str], rows: int, sizes: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``big`` (a table of ``rows`` rows) joined with ``small``, whose keys are unique, without a task per hot key.
 
     Keys that hold more than 1/(4 * partitions) of big's rows, so at most 4 * partitions of them, are joined by a
-    broadcast of their few rows; the others by a shuffle. sizes: (keys, n) of big, if they are known.
+    broadcast of their few rows; the others by a shuffle. sizes: (keys, n) of big, if they are known; keys that small does
+    not hold may be left out of it. how: ``inner`` or ``left``.
     """
     parts = partitions(big.sparkSession)
     sizes = big.groupBy(*keys).agg(F.count("*").alias("n")) if sizes is None else sizes
     hot = sizes.where(F.col("n") > max(64, rows // (4 * parts))).select(*keys)
     own = materialize(small.join(F.broadcast(hot), keys, "left_semi"))  # at most 4 * partitions rows
     if own.isEmpty():
-        return big.join(small, keys)
+        return big.join(small, keys, how)
     names = F.broadcast(own.select(*keys))
-    return big.join(F.broadcast(own), keys).unionByName(big.join(names, keys, "left_anti").join(small, keys))
+    return big.join(F.broadcast(own), keys).unionByName(big.join(names, keys, "left_anti").join(small, keys, how))
 
 
 def partitions(spark: SparkSession) -> int:

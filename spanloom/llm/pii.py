@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import let
 from .common import id_text
 
 KINDS = ("email", "ip", "card", "phone")
@@ -39,6 +40,7 @@ LOOSE = {
 #: What must occur in a text for a pattern to match; a cheap test before it.
 NEEDS = {"email": "[@]|[\\[({](?:at)[\\])}]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 CONTEXT = r"(?:mail|contact|write|call|phone|tel|fax|mobile|card|visa|pay|account|ip|host|server|address)[a-z.]*[:=\x20]*$"
+_LOOSE, _FAR = "struct<start:int,stop:int,value:string,before:string,ok:boolean>", 2**31 - 1
 WIDTHS = (4, 22, 8, 3, 12, 2)  # values of each feature: their product bounds the cells that reach the driver
 PRECISION, TREES, RATE = 0.98, 40, 0.3
 
@@ -48,20 +50,97 @@ def _found(text: Column, pattern: str, needs: str) -> Column:
     return F.when(text.rlike(needs), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _running(values: Column, zero: Column, step, levels: int = 3) -> Column:
+    """array<int>: the fold of ``values`` after each of them. Arrays grow by copying, so the fold goes in blocks, then over
+    the blocks' ends, ``levels`` deep: a block has about the ``levels``-th root of their number. ``step`` must be associative."""
+
+    def scan(xs: Column) -> Column:
+        def grow(acc: Column, x: Column) -> Column:
+            at = step(acc["at"], x)
+            return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+        start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, start, grow, lambda acc: acc["out"])
+
+    if levels == 1:
+        return scan(values)
+
+    def blocks(xs: Column) -> Column:
+        width = F.ceil(F.pow(F.size(xs), F.lit(1 / levels))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(xs), width), lambda at: scan(F.slice(xs, at, width)))
+
+    def joined(parts: Column) -> Column:
+        ends = _running(F.transform(parts, lambda p: F.element_at(p, -1)), zero, step, levels - 1)
+        ahead = let(ends, lambda e: F.concat(F.array(zero), F.slice(e, F.lit(1), F.size(e) - 1)))
+        return F.flatten(F.zip_with(parts, ahead, lambda p, a: F.transform(p, lambda x: step(a, x))))
+
+    return F.when(F.size(values) > 0, let(let(values, blocks), joined)).otherwise(F.array().cast("array<int>"))
+
+
 def _placed(text: Column, pattern: str, hits: Column) -> Column:
     """array<struct<start, stop, value, before>> of the matches ``hits``; before: up to 24 code points ahead of them."""
-    nothing = F.lit(None).cast("array<struct<start:int,stop:int,value:string,before:string>>")
+    nothing = F.array().cast("array<struct<start:int,stop:int,value:string,before:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        stop = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), x["hit"].alias("value"), F.lower(F.substring(x["piece"], -24, 24)).alias("before"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(zipped: Column) -> Column:
+        ends = _running(F.transform(zipped, lambda x: F.length(x["piece"]) + F.length(x["hit"])), F.lit(0), lambda a, x: a + x)
+
+        def one(x: Column, stop: Column) -> Column:
+            start = stop - F.length(x["hit"])
+            return F.struct(start.alias("start"), stop.alias("stop"), x["hit"].alias("value"), F.lower(F.substring(x["piece"], -24, 24)).alias("before"))
+
+        return F.zip_with(zipped, ends, one)
 
     pieces = F.split(text, pattern, -1)
     zipped = F.zip_with(hits, F.slice(pieces, F.lit(1), F.size(hits)), lambda h, p: F.struct(h.alias("hit"), p.alias("piece")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string,before:string>>").alias("out"))
-    return F.when(F.size(hits) > 0, F.aggregate(zipped, zero, step)["out"]).otherwise(F.coalesce(nothing, F.array().cast("array<struct<start:int,stop:int,value:string,before:string>>")))
+    return F.when(F.size(hits) > 0, let(zipped, placed)).otherwise(nothing)
+
+
+def _free(spans: Column, taken: Column) -> Column:
+    """The structs of ``spans`` that overlap none of ``taken`` (start, stop): both are put in order of their starts, and a span
+    is free if no taken one before it ends behind its start and the next taken one begins at or behind its end."""
+    mark = lambda s, own: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(own).alias("own"), (s if own else F.lit(None).cast(_LOOSE)).alias("span"))
+
+    def settled(line: Column) -> Column:
+        reach = _running(F.transform(line, lambda x: F.when(x["own"], F.lit(0)).otherwise(x["stop"])), F.lit(0), lambda a, x: F.greatest(a, x))
+        behind = F.reverse(_running(F.transform(F.reverse(line), lambda x: F.when(~x["own"], x["start"]).otherwise(F.lit(_FAR))), F.lit(_FAR), lambda a, x: F.least(a, x)))
+        both = F.zip_with(F.zip_with(line, reach, lambda x, r: F.struct(x.alias("x"), r.alias("reach"))), behind, lambda y, n: F.struct(y["x"].alias("x"), y["reach"].alias("reach"), n.alias("next")))
+        good = F.filter(both, lambda y: y["x"]["own"] & (y["reach"] <= y["x"]["start"]) & (y["next"] >= y["x"]["stop"]))
+        return F.transform(good, lambda y: y["x"]["span"])
+
+    line = F.array_sort(F.concat(F.transform(spans, lambda s: mark(s, True)), F.transform(taken, lambda s: mark(s, False))))
+    return F.when((F.size(spans) > 0) & (F.size(taken) > 0), let(line, settled)).otherwise(spans)
+
+
+def _last(points: Column, starts: Column) -> Column:
+    """For each of the ascending ``points``, how many of the ascending ``starts`` lie before it."""
+    mark = lambda xs, kind: F.transform(xs, lambda x, i: F.struct(x.alias("at"), F.lit(kind).alias("kind"), (i + 1).alias("n")))
+
+    def counted(line: Column) -> Column:
+        seen = _running(F.transform(line, lambda x: F.when(x["kind"] == 1, x["n"]).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
+        both = F.zip_with(line, seen, lambda x, n: F.struct(x["kind"].alias("kind"), n.alias("n")))
+        return F.transform(F.filter(both, lambda x: x["kind"] == 0), lambda x: x["n"])
+
+    return let(F.array_sort(F.concat(mark(points, 0), mark(starts, 1))), counted)
+
+
+def _inside(spans: Column, longer: list[Column]) -> Column:
+    """array<boolean>: whether a span overlaps one of another list (in order, not overlapping each other) that has more digits.
+
+    Such a one begins before the span or ends behind it, so it is the last to begin before the span's start or its end.
+    """
+    flags = F.transform(spans, lambda s: F.lit(False))
+    for other in longer:
+        starts = F.transform(other, lambda t: t["start"])
+        for point in (lambda s: s["start"] + 1, lambda s: s["stop"]):
+            at = _last(F.transform(spans, point), starts)
+
+            def hit(s: Column, n: Column, other: Column = other) -> Column:
+                t = F.try_element_at(other, n)
+                return F.coalesce((n > 0) & (t["start"] < s["stop"]) & (s["start"] < t["stop"]) & (F.length(_digits(t["value"])) > F.length(_digits(s["value"]))), F.lit(False))
+
+            one = F.zip_with(spans, at, lambda s, n: hit(s, F.nullif(n, F.lit(0))))
+            flags = F.zip_with(flags, one, lambda a, b: a | b)
+    return F.when(F.size(spans) > 0, flags).otherwise(F.array().cast("array<boolean>"))
 
 
 def _digits(value: Column) -> Column:
@@ -91,16 +170,13 @@ def _restored(kind: str, value: Column) -> Column:
     return value
 
 
-def _loose_valid(kind: str, s: Column) -> Column:
-    """What makes a loose candidate a real item; a part of a longer number is no phone."""
+def _loose_valid(kind: str, s: Column, inside: Column) -> Column:
+    """What makes a loose candidate a real item; a part of a longer number (``inside``) is no phone."""
     if kind == "email":
         return _restored(kind, s["value"]).rlike(r"^[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$")
     valid = _valid(kind, _restored(kind, s["value"]))
     if kind == "phone":
-        def longer(t: Column) -> Column:
-            return (t["start"] < s["stop"]) & (s["start"] < t["stop"]) & (F.length(_digits(t["value"])) > F.length(_digits(s["value"])))
-
-        return valid & ~F.exists(F.col("card_all"), longer) & ~F.exists(F.col("card_g2"), longer)
+        return valid & ~inside
     return valid
 
 
@@ -120,10 +196,16 @@ def with_spans(docs: DataFrame) -> DataFrame:
         columns[f"{kind}_g2"] = _placed(F.col("text"), LOOSE[kind], F.col(f"{kind}_g"))
     out = out.select("doc_id", *[c.alias(n) for n, c in columns.items()])
 
-    def checked(kind: str):
-        return lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), s["before"].alias("before"), _loose_valid(kind, s).alias("ok"))
+    def checked(kind: str) -> Column:
+        found = F.col(f"{kind}_g2")
+        inside = _inside(found, [F.col("card_all"), F.col("card_g2")]) if kind == "phone" else F.transform(found, lambda s: F.lit(False))
+
+        def one(s: Column, part: Column) -> Column:
+            return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), s["before"].alias("before"), _loose_valid(kind, s, part).alias("ok"))
+
+        return let(inside, lambda parts: F.zip_with(found, parts, one))
 
-    return out.select("doc_id", *[f"{k}_all" for k in KINDS], *[F.transform(F.col(f"{k}_g2"), checked(k)).alias(f"{k}_loose") for k in KINDS])
+    return out.select("doc_id", *[f"{k}_all" for k in KINDS], *[checked(k).alias(f"{k}_loose") for k in KINDS])
 
 
 def features(kind: str, s: Column, loose: bool = False) -> list[Column]:
@@ -243,14 +325,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if least == float("inf"):
             return F.array().cast("array<struct<start:int,stop:int>>")
 
-        def passes(s: Column) -> Column:
+        def read(s: Column) -> Column:
             own = features(kind, s, loose)
+            return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["ok"].alias("ok"), *[x.alias(f"f{i}") for i, x in enumerate(own)])
+
+        def passes(s: Column) -> Column:
+            own = [s[f"f{i}"] for i in range(len(WIDTHS))]
             total = F.lit(0.0)
             for tree in model.trees:
                 total = total + _column(tree, own)
             return (s["ok"] & (total >= least)) if loose else total >= least
 
-        free = F.filter(F.col(source), lambda s: ~F.exists(F.col("taken"), lambda t: (t["start"] < s["stop"]) & (s["start"] < t["stop"])))
+        free = F.transform(_free(F.col(source), F.col("taken")), read)  # a candidate's features are read once for all trees
         return F.array_distinct(F.transform(F.filter(free, passes), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
 
     out = out.withColumns({f"{k}_added": F.array_distinct(F.concat(chosen(k, f"{k}_loose", True), chosen(k, f"{k}_failed", False))) for k in KINDS})

@@ -297,10 +297,12 @@ def crowd_extents(near: DataFrame) -> DataFrame:
     parts = near.select("h", "hull", _quarters(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long")).alias("parts"))
     while True:
         nodes = materialize(_hashed(near.join(parts, ["h", "hull"])))
-        all_ = _repeated(nodes.where("whole IS NOT NULL"), whole, "k", "pos").select(*whole, F.lit(True).alias("every"))
-        live = nodes.join(_repeated(nodes, core, "k", "pos").select(*core), core, "left_semi").join(all_, whole, "left")
+        again, all_ = (materialize(_repeated(nodes.where(F.col(x[0]).isNotNull()), x, "k", "pos")) for x in (core, whole))
+        rows = nodes.count()
+        live = join_unique(nodes, again.select(*core), core, rows, again)
+        live = join_unique(live, all_.select(*whole, F.lit(True).alias("every")), whole, rows, all_, "left")
         live = materialize(live.select("h", "hull", "lo", "hi", *core, *whole, "every"))
-        discard(nodes)
+        discard(nodes, again, all_)
         found.append(live.where("every").select("h", "hull", F.col("hi").alias("left"), (LENGTH - F.col("lo")).alias("right")))
         rest = live.where("every IS NULL AND lo < hi")
         if rest.isEmpty():

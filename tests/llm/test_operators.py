@@ -405,6 +405,44 @@ def test_pii_adds_valid_loose_items(spark):
     assert pii.find(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string")).where("n_added > 0").count() == 0
 
 
+def test_pii_many_matches_in_one_text(spark):
+    """Places come from sums over blocks: a text with a hundred thousand matches takes seconds, and every place is right."""
+    import time
+
+    text = "".join(f"a{i}@b.io " for i in range(100_000))
+    began = time.perf_counter()
+    r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.perf_counter() - began < 60
+    own = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"a[0-9]+@b\.io", text))
+    assert r["n_email"] == 100_000 and r["base_sha256"] == hashlib.sha256(own.encode()).hexdigest() and r["spans"] == own
+
+
+def test_pii_added_spans_equal_plain_rules(spark):
+    """Which loose candidates touch a base span or lie inside a longer number, against plain loops."""
+    rng = np.random.default_rng(7)
+    bits = ["me [at] here [dot] org", "(555) 123-4567", "a@b.io", "4111 1111 1111 1111", "1234 5678 9012 345", "555 123 4567", "10.0.0.1", "1[.]2[.]3[.]4", "word", "0049 555 123 4567", "4111.1111.1111.1111", "x", "12-34"]
+    texts = [" ".join(rng.choice(bits, 12)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r for r in pii.with_spans(docs).collect()}
+    got = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    digits = lambda s: len(re.sub("[^0-9]", "", s["value"]))
+    meet = lambda a, b: a["start"] < b["stop"] and b["start"] < a["stop"]
+    some = 0
+    for i, text in enumerate(texts):
+        r = spans[i]
+        assert [(s["start"], s["stop"]) for s in r["email_all"]] == [m.span() for m in re.finditer(PATTERNS["email"], text)]
+        cards = [*r["card_all"], *r["card_loose"]]
+        for s in r["phone_loose"]:
+            inside = any(meet(s, c) and digits(c) > digits(s) for c in cards)
+            assert s["ok"] == (8 <= digits(s) <= 15 and not inside)
+        base = [s for k in PATTERNS for s in r[f"{k}_all"] if s["ok"]]
+        added = {tuple(x.split(":")) for x in got[i]["spans"].split(",") if x} - {(k, str(s["start"]), str(s["stop"])) for k in PATTERNS for s in r[f"{k}_all"] if s["ok"]}
+        free = {(k, str(s["start"]), str(s["stop"])) for k in PATTERNS for s in r[f"{k}_loose"] if s["ok"] and not any(meet(s, b) for b in base)}
+        assert added <= free
+        some += len(added)
+    assert some > 100
+
+
 def test_pii_boosting_separates_cells():
     cells = np.array([[0, a, b, 0, 0] for a in range(6) for b in range(4)])
     n = np.full(len(cells), 100.0)
