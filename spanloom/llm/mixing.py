@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, materialize
-from .textkit import Words, chunks, lean, text_bytes
+from .textkit import Words, chunks, lean, release, text_bytes
 
 BUCKETS = 1 << 16
 
@@ -54,6 +54,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_by
         words = Words(data, offsets, i, j)
         np.add.at(counts, (_bucket(words), y[i + words.doc]), 1)
     prior = np.log(np.bincount(y, minlength=len(names)) + 1.0)
+    release()
     return Classifier(names, np.log(counts / counts.sum(0)).astype(np.float32), prior - np.log(np.exp(prior).sum()))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_text, materialize
-from .textkit import lean
+from .textkit import lean, release
 
 END_ID = 2
 #: Words kept by a worker, some 50 MB.
@@ -133,14 +133,18 @@ class Packing:
     optimal: bool  # the bound is met, or the search has seen that nothing less exists
 
 
-def _sums(have: np.ndarray, counts: np.ndarray, room: int, most: int) -> list[list[int]]:
+def _sums(have: np.ndarray, counts: np.ndarray, room: int, most: int | None) -> list[list[int]]:
     """Bit sets: [k][j] holds the sums up to ``room`` of at most j of the first k lengths of ``have``, each at most as often
-    as it is there."""
-    mask, out = (1 << (room + 1)) - 1, [[1] * (most + 1)]
+    as it is there; without ``most``, [k][0] those of any number."""
+    mask = (1 << (room + 1)) - 1
+    out = [[1] * (1 if most is None else most + 1)]
     for x in have.tolist():
         own = list(out[-1])
-        for _ in range(min(int(counts[x]), room // x, most)):
-            more = [own[0], *((own[j] | own[j - 1] << x) & mask for j in range(1, most + 1))]
+        for _ in range(min(int(counts[x]), room // x) if most is None else min(int(counts[x]), room // x, most)):
+            if most is None:
+                more = [(own[0] | own[0] << x) & mask]
+            else:
+                more = [own[0], *((own[j] | own[j - 1] << x) & mask for j in range(1, most + 1))]
             if more == own:
                 break
             own = more
@@ -156,8 +160,6 @@ def fillings(room: int, counts: np.ndarray, allowed: int, most: int | None = Non
     sum that is there as well.
     """
     have = np.flatnonzero(counts[: room + 1])
-    if most is None:
-        most = room // int(have[0]) if len(have) else 0
     reach = _sums(have, counts, room, most)
 
     def below(k: int, rest: int, chosen: tuple[int, ...]) -> Iterator[list[int]]:
@@ -167,16 +169,16 @@ def fillings(room: int, counts: np.ndarray, allowed: int, most: int | None = Non
             return
         while k and have[k - 1] > rest:
             k -= 1
-        free = most - len(chosen)
-        if not k or not reach[k][free] >> rest & 1:
+        free = rest if most is None else most - len(chosen)
+        if not k or not reach[k][0 if most is None else free] >> rest & 1:
             return
         x = int(have[k - 1])
         for times in range(min(int(counts[x]), rest // x, free), -1, -1):
-            if reach[k - 1][free - times] >> (rest - times * x) & 1:
+            if reach[k - 1][0 if most is None else free - times] >> (rest - times * x) & 1:
                 yield from below(k - 1, rest - times * x, chosen + (x,) * times)
 
     for waste in range(min(allowed, room) + 1):
-        if reach[-1][most] >> (room - waste) & 1:
+        if reach[-1][-1] >> (room - waste) & 1:
             for own in below(len(have), room - waste, ()):
                 used = {x: own.count(x) for x in own}
                 pairs = {x + y for i, x in enumerate(own) for y in own[i + 1 :]}
@@ -220,7 +222,7 @@ def _descent(counts: np.ndarray, capacity: int, most: int) -> list[Pattern]:
     return found
 
 
-def solve(histogram: dict[int, int], capacity: int, nodes: int = 20_000) -> Packing:
+def solve(histogram: dict[int, int], capacity: int, nodes: int = 500) -> Packing:
     """Patterns that use every length exactly as often as the histogram says, by bin completion.
 
     The incumbent is the best of some descents, that by best fit and those that take for the largest length left the filling
@@ -233,7 +235,7 @@ def solve(histogram: dict[int, int], capacity: int, nodes: int = 20_000) -> Pack
     for length, n in histogram.items():
         counts[length] = n
     bound, best, used = least_sequences(histogram, capacity), [], None
-    for most in range(9):
+    for most in range(7):
         found = _descent(counts, capacity, most)
         n = sum(p.times for p in found)
         if used is None or n < used:
@@ -282,7 +284,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, id_col: str
     per_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     ranges, base, used = [], 0, {}
-    for p in solve(histogram, capacity).patterns:
+    found = solve(histogram, capacity)
+    release()
+    for p in found.patterns:
         offset = 0
         for length, c in sorted(p.lengths.items(), reverse=True):
             ranges.append((length, used.get(length, 0), c, base, offset))

@@ -42,15 +42,20 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python processes live on beside a JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, giving freed memory back to the system at its end: workers live on after a task, beside the JVM's heap."""
+    """``run``, with release() at its end."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim:
-            trim(0)
+        release()
 
     return task
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text
-from .textkit import Prefix, Words, chunks, lean, text_bytes
+from .textkit import Prefix, Words, chunks, lean, release, text_bytes
 
 BUCKETS, GRAMS, DIM, WINDOW, TOP = 1 << 17, (3, 4, 5, 6), 8, 4, 4
 
@@ -95,27 +95,35 @@ def score_texts(column: pa.Array, model: Model) -> np.ndarray:
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words as bags of buckets (offsets, values), each text's words as indices (first, index)."""
     data, offsets = text_bytes(texts)
-    known: dict[int, int] = {}
-    bags, sizes, firsts, indices = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [0], [np.zeros(0, np.int32)]
-    for i, j in chunks(offsets):
+    parts = list(chunks(offsets))
+    hashes, firsts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for i, j in parts:
+        words = Words(data, offsets, i, j)
+        hashes.append(words.hash())
+        firsts.append(words.first[1:] + firsts[-1][-1])
+    uniq, seen, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    order = np.argsort(seen)  # words are numbered as they come
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    seen = seen[order]
+    bags, sizes, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    for i, j in parts:
         words = Words(data, offsets, i, j)
-        uniq, at, inverse = np.unique(words.hash(), return_index=True, return_inverse=True)
-        new = np.array([key not in known for key in uniq.tolist()], bool)
-        known.update(zip(uniq[new].tolist(), range(len(known), len(known) + int(new.sum())), strict=True))
-        start, length = words.start[at[new]] - 1, words.end[at[new]] - words.start[at[new]] + 2
+        own = words.hash()
+        new = seen[np.searchsorted(seen, base) : np.searchsorted(seen, base + len(own))] - base
+        base += len(own)
+        start, length = words.start[new] - 1, words.end[new] - words.start[new] + 2
         number = np.stack([np.ones(len(start), np.int64), *(np.maximum(length - q + 1, 0) for q in GRAMS)], 1)
         flat = np.zeros(number.sum(), np.int32)
         to = np.cumsum(number.ravel()).reshape(number.shape) - number  # where each word's grams of each length go
-        flat[to[:, 0]] = _bucket(uniq[new])
+        flat[to[:, 0]] = _bucket(own[new])
         for c, q in enumerate(GRAMS, 1):
             n = number[:, c]
             nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             flat[np.repeat(to[:, c], n) + nth] = _bucket(words.prefix.grams(q)[np.repeat(start, n) + nth])
         bags.append(flat)
         sizes.append(number.sum(1))
-        indices.append(np.array([known[key] for key in uniq.tolist()], np.int32)[inverse])
-        firsts += (words.first[1:] + firsts[-1]).tolist()
-    return np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(bags), np.array(firsts), np.concatenate(indices)
+    return np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(bags), np.concatenate(firsts), rank[inverse.ravel()]
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
@@ -141,8 +149,11 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 6, rate: float = 0.5,
 
     def word_scores() -> np.ndarray:
         s = vectors @ (soft[:, 1] - soft[:, 0])
-        sums = np.concatenate([[0.0], np.cumsum(s[bag], dtype=float)])
-        return (sums[bag_off[1:]] - sums[bag_off[:-1]]) / np.maximum(size, 1)
+        out = np.zeros(len(size))
+        for k in range(0, len(size), 1 << 14):  # a part of the words at a time: their grams are many
+            own = bag_off[k : k + (1 << 14) + 1]
+            out[k : k + len(own) - 1] = np.add.reduceat(s[bag[own[0] : own[-1]]].astype(float), own[:-1] - own[0])
+        return out / np.maximum(size, 1)
 
     for epoch in range(epochs):
         _, which = _best(word_scores()[index], first, 0.0)
@@ -209,7 +220,9 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_bytes: int = 12_000) -> Model:
-    return fit(*sample(docs, labels, max_rows, max_bytes))
+    model = fit(*sample(docs, labels, max_rows, max_bytes))
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
