@@ -62,3 +62,19 @@ def test_null_ids_and_empty_table(spark):
     got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, 2).collect())
     assert got == [(0, None, True), (4, 4, True), (4, 4, True), (9, 4, False)]
     assert near_dedup.near_duplicates(docs.where(F.lit(False)), 2).count() == 0
+
+
+def test_stages_with_clashing_names(spark):
+    """Columns named like the operators' own stay, values and all, and only the copies go; other ids than numbers are refused."""
+    import pytest
+
+    from spanloom.llm import exact_dedup
+
+    rows = [(3, "a b c d e f g", 1, "x", 9), (5, "a b c d e f g", 2, None, 8), (6, None, 3, "y", 7), (7, "", 4, "z", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped_id int, dropped_text string, row int")
+    for stage in (exact_dedup.keep_first, near_dedup.representatives):
+        out = stage(docs)
+        want = [rows[0], rows[2]] if stage is exact_dedup.keep_first else [rows[0], rows[2], rows[3]]
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == want
+    with pytest.raises(TypeError):
+        exact_dedup.exact_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
