@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (u, v); loops and nulls are ignored.
 
     Each step aggregates by node with map-side combination and rewrites the edges as stars; the edge table is cut to the
-    shared folder after each round, and the rounds end when the edges no longer change.
+    shared folder after each round, and the rounds end when the edges no longer change. The result is such a table, too.
     """
     e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, before = materialize(e), None
     while True:
         found = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")).first()
         if before == (found["n"], found["sum"]) or not found["n"]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = materialize(nodes)
+            discard(e)
+            return out
         before = (found["n"], found["sum"])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        after = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(e)
+        e = after

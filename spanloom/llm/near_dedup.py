@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_text, join_unique, materialize
+from .common import discard, id_text, join_unique, materialize
 from .components import connected_components
 from .textkit import Words, chunks, distinct, lean, list_array, mix, shingles, text_bytes
 
@@ -108,17 +108,19 @@ def _linked(percent: int):
     return F.col("common") * (100 + percent) >= percent * (F.col("n_u") + F.col("n_v"))
 
 
-def _open_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components in one star's group that may be linked though one is not with the centre."""
+def _open_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (u, v) of different components in one star's group that may be linked though one is not with the centre; and
+    the tables that they are read from."""
     c, d = percent, 100 + percent
     named = labels.select(F.col("node").alias("x"), "component")
     rows = stars.select(F.col("u").alias("p"), F.col("v").alias("x"), F.col("n_u").alias("n"), F.col("n_v").alias("size"), (F.col("n_u") - F.col("common")).alias("a"), F.size("besides").alias("b"), "besides", _linked(percent).alias("near"))
     rows = rows.join(named, "x", "left").withColumn("component", F.coalesce("component", "x"))
     rows = rows.withColumns({"high": 100 * F.col("a") + c * F.col("b") - (100 - c) * F.col("n"), "low": c * (F.col("a") - F.col("b"))})
-    group = rows.groupBy("p").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("high").alias("high0"), F.max("low").alias("low1"))
-    rows = materialize(rows)
-    sizes = materialize(rows.groupBy("p").agg(F.count("*").alias("n")))
-    rows = materialize(join_unique(rows, group.where("c0 != c1").drop("c0", "c1"), ["p"], rows.count(), sizes))
+    every = materialize(rows)
+    group = every.groupBy("p").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("high").alias("high0"), F.max("low").alias("low1"))
+    sizes = materialize(every.groupBy("p").agg(F.count("*").alias("n")))
+    rows = materialize(join_unique(every, group.where("c0 != c1").drop("c0", "c1"), ["p"], every.count(), sizes))
+    discard(every, sizes)
     least = F.ceil(((100 - c) * F.col("a") + c * F.col("b") - (100 - c) * F.col("n")) / 100)
     tokens = rows.where("b > 0").select("p", "x", "component", "size", "n", "a", "b", "near", F.greatest(F.lit(1), least).alias("least"), F.explode("besides").alias("token"))
     often = tokens.groupBy("p", "token").agg(F.count("*").alias("often"))
@@ -139,7 +141,7 @@ def _open_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     thin = rows.drop("besides", "n")
     far = thin.where("NOT near AND (high <= low1 OR low >= high0)")
     plain = side(far, "u", ["p"]).join(side(thin, "v", ["p"]), "p").where((F.col("u_x") != F.col("v_x")) & apart & close & F.when(F.col("u_a") >= F.col("v_a"), F.col("u_high") <= F.col("v_low")).otherwise(F.col("v_high") <= F.col("u_low")))
-    return met.unionByName(plain.select(F.least("u_x", "v_x").alias("u"), F.greatest("u_x", "v_x").alias("v"))).distinct()
+    return met.unionByName(plain.select(F.least("u_x", "v_x").alias("u"), F.greatest("u_x", "v_x").alias("v"))).distinct(), [rows, tokens]
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,13 +165,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pairs = members.join(centre, "key").where("u != node").select("u", F.col("node").alias("v")).distinct()
     sets = materialize(shingle_sets(base.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), k))
     stars = materialize(_compared(pairs, sets))
-    labels = materialize(connected_components(stars.where(_linked(percent)).select("u", "v")))
-    more = _compared(_open_pairs(stars, labels, percent), sets).where(_linked(percent)).select("u", "v")
+    first = labels = connected_components(stars.where(_linked(percent)).select("u", "v"))
+    candidates, tables = _open_pairs(stars, labels, percent)
+    more = _compared(candidates, sets).where(_linked(percent)).select("u", "v")
     name = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
     more = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_c", "u").alias("u"), F.coalesce("v_c", "v").alias("v"))
-    over = materialize(connected_components(more))
+    over = connected_components(more)
+    discard(members, sets, stars, *tables)
     joined = labels.join(over.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     labels = materialize(joined.unionByName(over.join(labels.select("node"), "node", "left_anti")))
+    discard(first, over)
     labels = labels.select(F.col("node").alias("label_node"), F.col("component").alias("label"))
     member = marks.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "sig_a", "sig_b").join(classes.select("sig_a", "sig_b", "node"), ["sig_a", "sig_b"])
     member = member.join(labels, F.col("node") == F.col("label_node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("component_id"))
