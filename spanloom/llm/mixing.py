@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,20 +41,34 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_by
 
     labels: (doc_id, domain). About ``max_rows`` labelled rows of up to ``max_bytes`` bytes are used: a bounded sample
     drawn by a hash of the id, first in the order of that hash, so that runs agree. An id with several labels counts as
-    the least of them. With no labelled row there is one domain, "all".
+    the least of them. With no labelled row there is one domain, "all". Words are counted in the task that holds the
+    sample; the driver gets the counts.
     """
     labels = labels.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain"))
     total = labels.count()
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(max_rows / max(1, total) * (1 << 20))).orderBy(F.xxhash64("doc_id")).limit(2 * max_rows)
-    rows = id_text(docs).where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "domain").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(4 * max_rows).toArrow()
-    names = sorted(set(rows["domain"].to_pylist())) or ["all"]
-    y = np.array([names.index(x) for x in rows["domain"].to_pylist()], np.int64)
-    counts = np.full((BUCKETS, len(names)), 0.1)
-    data, offsets = text_bytes(rows["text"])
-    for i, j in chunks(offsets):
-        words = Words(data, offsets, i, j)
-        np.add.at(counts, (_bucket(words), y[i + words.doc]), 1)
-    prior = np.log(np.bincount(y, minlength=len(names)) + 1.0)
+    rows = id_text(docs).where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "domain").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(4 * max_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of each domain, counted by bucket; one row for each domain of a batch."""
+        for batch in batches:
+            own = pc.dictionary_encode(batch.column("domain"))
+            y = own.indices.to_numpy()
+            counts = np.zeros((len(own.dictionary), BUCKETS), np.int64)
+            data, offsets = text_bytes(batch.column("text"))
+            for i, j in chunks(offsets):
+                words = Words(data, offsets, i, j)
+                np.add.at(counts, (y[i + words.doc], _bucket(words)), 1)
+            number = np.bincount(y, minlength=len(counts))
+            yield pa.record_batch([own.dictionary, pa.array(number), pa.array([c.tobytes() for c in counts], pa.binary())], ["domain", "n", "counts"])
+
+    seen: dict[str, tuple[int, np.ndarray]] = {}
+    for row in rows.select("text", "domain").mapInArrow(lean(run), "domain string, n long, counts binary").toLocalIterator():
+        n, counts = seen.get(row["domain"], (0, np.zeros(BUCKETS, np.int64)))
+        seen[row["domain"]] = n + row["n"], counts + np.frombuffer(row["counts"], np.int64)
+    names = sorted(seen) or ["all"]
+    counts = np.stack([seen[d][1] if d in seen else np.zeros(BUCKETS) for d in names], 1) + 0.1
+    prior = np.log(np.array([seen[d][0] if d in seen else 0 for d in names]) + 1.0)
     release()
     return Classifier(names, np.log(counts / counts.sum(0)).astype(np.float32), prior - np.log(np.exp(prior).sum()))
 

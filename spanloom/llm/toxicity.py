@@ -12,6 +12,7 @@ The classifier is fitted on a bounded sample of labelled rows (``max_rows`` of e
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text
-from .textkit import Prefix, Words, chunks, lean, release, text_bytes
+from .textkit import Prefix, Words, chunks, lean, text_bytes
 
 BUCKETS, GRAMS, DIM, WINDOW, TOP = 1 << 17, (3, 4, 5, 6), 8, 4, 4
 
@@ -204,25 +205,31 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 6, rate: float = 0.5,
     return Model(weight, shift, w[:TOP], float(w[TOP]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> tuple[pa.Array, np.ndarray]:
-    """About ``max_rows`` documents of each label, first in the order of a hash of their id, as texts and labels.
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
+    """(text, toxic) of about ``max_rows`` documents of each label, first in the order of a hash of their id, in one partition.
 
     Rows with a null id or another label than 0 or 1 are left out; an id with both labels counts as toxic.
-    At most 2 * max_rows * max_bytes bytes reach the driver, whatever the size of the tables.
+    These are at most 3 * max_rows * max_bytes bytes, whatever the size of the tables.
     """
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(max_rows / max(1, counts.get(1, 0)))).otherwise(F.lit(max_rows / max(1, counts.get(0, 0))))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64("doc_id")).limit(2 * max_rows)
     rows = id_text(docs).where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(3 * max_rows)
-    table = rows.toArrow()
-    return table["text"].combine_chunks(), table["toxic"].to_numpy().astype(int)
+    return rows.select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_bytes: int = 12_000) -> Model:
-    model = fit(*sample(docs, labels, max_rows, max_bytes))
-    release()
-    return model
+    """fit() on the sample, in one task: what is bounded fits there, and only the model reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = list(batches)
+        texts = pa.chunked_array([b.column("text") for b in own], pa.string()).combine_chunks()
+        toxic = np.concatenate([np.zeros(0, np.int64), *(b.column("toxic").to_numpy().astype(np.int64) for b in own)])
+        yield pa.record_batch([pa.array([pickle.dumps(fit(texts, toxic))], pa.binary())], ["model"])
+
+    row = sample(docs, labels, max_rows, max_bytes).mapInArrow(lean(run), "model binary").first()
+    return pickle.loads(row["model"]) if row else fit(pa.array([], pa.string()), np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
