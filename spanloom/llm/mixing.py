@@ -3,8 +3,8 @@
 A classifier fitted on a labelled table gives every document a posterior over domains. Nonnegative document rates r_d
 minimise sum_k (E_k - T_k)^2 / w_k with E_k = sum_d r_d n_d p_dk the expected tokens of domain k, T_k its target and
 w_k = sum_d n_d^2 p_dk, by projected gradient steps from r = 1. These weights bound the curvature by one in every domain, so
-that scarce domains reach their targets as fast as common ones. A step needs only E (one number for each domain), summed by Spark
-over all documents; a document's rate after t steps follows from its own n_d, p_d and the t residuals, so no rate table
+that scarce domains reach their targets as fast as common ones; a line search lengthens the steps where soft posteriors would make
+them slow. A step needs only E (one number for each domain and length tried), summed by Spark over all documents; a document's rate after t steps follows from its own n_d, p_d and the t residuals, so no rate table
 is rewritten between steps.
 """
 
@@ -23,6 +23,9 @@ from .common import id_text, materialize
 from .textkit import Words, chunks, lean, release, text_bytes
 
 BUCKETS = 1 << 16
+#: Lengths of a gradient step that are tried together, the first one safe for any data.
+SCALES = [float(1 << i) for i in range(8)]
+PATIENCE = 5
 
 
 @dataclass
@@ -100,12 +103,12 @@ def posteriors(docs: DataFrame, model: Classifier, sharpness: float = 20.0, id_c
     return id_text(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n_tokens long, posterior array<double>")
 
 
-def _rates(tokens: np.ndarray, p: np.ndarray, free: np.ndarray, steps: np.ndarray, high: float | None) -> np.ndarray:
-    """Rates after the given residual steps: r <- max(0, r - (n / mean n) * p . step), at most ``high``; those not free stay 1."""
+def _rates(tokens: np.ndarray, p: np.ndarray, steps: np.ndarray, high: float | None) -> np.ndarray:
+    """Rates after the given residual steps: r <- max(0, r - (n / mean n) * p . step), at most ``high``."""
     r = np.ones(len(tokens))
     for step in steps:
         r = np.clip(r - tokens * (p @ step), 0.0, high)
-    return np.where(free, r, 1.0)
+    return r
 
 
 @dataclass
@@ -128,8 +131,9 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
 
     targets: weight of each domain (they are normalised); total: tokens wanted, by default those there are. copies is
     the whole part of the rate plus one for the share of ids, by hash, that the fraction says, so its mean is the rate.
-    Steps go on until the domains' totals are within 1e-4 of the targets, or ten steps have not lowered the difference by a
-    hundredth (targets out of reach); ``steps`` limits them. Rates are only held at 0 or more, unless ``max_rate`` is given.
+    Each step tries the gradient times each of ``SCALES`` in one pass and takes the one with the least objective; as the
+    first is within the curvature, the objective never grows. Steps go on until the domains' totals are within 1e-4 of the
+    targets, or ``PATIENCE`` steps have not lowered the objective by a hundredth (targets out of reach); ``steps`` limits them. Rates are only held at 0 or more, unless ``max_rate`` is given.
     Documents without words keep rate 1; so do rows with null ids, which count into the totals and get one copy. Rows that
     share an id share the draw. An empty table gives an empty result.
     """
@@ -141,36 +145,43 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
     reach = np.array([float(there[f"s{k}"] or 0) / mean or 1.0 for k in range(size)])
     history: list[np.ndarray] = []
 
-    def apply(names: list[str]):
+    def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return batch.column("n_tokens").to_numpy(), batch.column("posterior").flatten().to_numpy().reshape(-1, size), batch.column("known").to_numpy(zero_copy_only=False)
+
+    def totals(last: list[np.ndarray]) -> np.ndarray:
+        """The domains' totals after the steps so far and each of ``last``, summed in one pass."""
         taken, high = np.array(history).reshape(-1, size), max_rate
+        names = [f"e{i}" for i in range(len(last) * size)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                tokens = batch.column("n_tokens").to_numpy()
-                p = batch.column("posterior").flatten().to_numpy().reshape(-1, size)
-                rate = _rates(tokens / mean, p, batch.column("known").to_numpy(zero_copy_only=False), taken, high)
-                if names == ["sums"]:
-                    yield pa.record_batch([pa.array([float(x)]) for x in ((rate * tokens) @ p)], [f"e{k}" for k in range(size)])
-                else:
-                    yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "n_tokens", "posterior")), pa.array(rate)], names)
+                tokens, p, free = columns(batch)
+                r = _rates(tokens / mean, p, taken, high)
+                e = [(np.where(free, np.clip(r - tokens / mean * (p @ x), 0.0, high) if x.any() else r, 1.0) * tokens) @ p for x in last]
+                yield pa.record_batch([pa.array([float(x)]) for x in np.concatenate(e)], names)
+
+        sums = soft.select("n_tokens", "posterior", "known").mapInArrow(lean(run), ", ".join(f"{x} double" for x in names))
+        return np.array(sums.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in names]).first(), float).reshape(-1, size)
 
-        return run
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, p, free = columns(batch)
+            rate = np.where(free, _rates(tokens / mean, p, np.array(history).reshape(-1, size), max_rate), 1.0)
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "n_tokens", "posterior")), pa.array(rate)], ["doc_id", "n_tokens", "posterior", "rate"])
 
-    best = since = None
+    e = totals([np.zeros(size)])[0]
+    ways = [float(((e - wanted) ** 2 / reach).sum())]  # the objective after each step
     while True:
-        sums = soft.select("n_tokens", "posterior", "known").mapInArrow(lean(apply(["sums"])), ", ".join(f"e{k} double" for k in range(size)))
-        e = sums.agg(*[F.coalesce(F.sum(f"e{k}"), F.lit(0.0)) for k in range(size)]).first()
-        residual = np.array(e) - wanted
-        gap = float(np.abs(residual).sum())
-        reached = gap <= 1e-4 * max(wanted.sum(), 1)
-        if reached or len(history) == steps:
-            break
-        if best is None or gap < 0.99 * best:
-            best, since = gap, len(history)
-        elif len(history) - since >= 10:
+        reached = float(np.abs(e - wanted).sum()) <= 1e-4 * max(wanted.sum(), 1)
+        if reached or len(history) == steps or (len(ways) > PATIENCE and ways[-1] > 0.99 * ways[-1 - PATIENCE]):
             break
-        history.append(residual / reach)
-    out = soft.mapInArrow(lean(apply(["doc_id", "n_tokens", "posterior", "rate"])), "doc_id long, n_tokens long, posterior array<double>, rate double")
+        tries = [scale * (e - wanted) / reach for scale in SCALES]
+        after = totals(tries)
+        best = int((((after - wanted) ** 2) / reach).sum(1).argmin())
+        history.append(tries[best])
+        e = after[best]
+        ways.append(float(((e - wanted) ** 2 / reach).sum()))
+    out = soft.mapInArrow(lean(rated), "doc_id long, n_tokens long, posterior array<double>, rate double")
     u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return out.withColumn("copies", copies.cast("int")), Fit(len(history), [float(x) for x in e], wanted.tolist(), reached)

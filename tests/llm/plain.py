@@ -80,12 +80,14 @@ class Domains:
 
 
 def rates(tokens, posteriors, wanted, high):
-    """Projected gradient steps from 1 over all documents at once, until the totals are there or stay."""
+    """Projected gradient steps from 1 over all documents at once, until the totals are there or the objective stays."""
     n, p, wanted = np.array(tokens, float), np.array(posteriors), np.array(wanted)
-    weight, r, gaps = (n * n) @ p, np.ones(len(n)), []
+    weight, r = (n * n) @ p, np.ones(len(n))
+    objective = lambda r: float((((r * n) @ p - wanted) ** 2 / weight).sum())
+    values = [objective(r)]
     while True:
         off = (r * n) @ p - wanted
-        gaps.append(np.abs(off).sum())
-        if gaps[-1] <= 1e-4 * wanted.sum() or len(gaps) > 10 and min(gaps[-10:]) >= 0.99 * min(gaps[:-10]):
+        if np.abs(off).sum() <= 1e-4 * wanted.sum() or len(values) > mixing.PATIENCE and values[-1] > 0.99 * values[-1 - mixing.PATIENCE]:
             return r
-        r = np.clip(r - n * (p @ (off / weight)), 0, high)
+        r = min((np.clip(r - scale * n * (p @ (off / weight)), 0, high) for scale in mixing.SCALES), key=objective)
+        values.append(objective(r))
