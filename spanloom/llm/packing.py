@@ -3,7 +3,7 @@
 Lengths are whole numbers up to the capacity, so the histogram of lengths (at most ``capacity`` numbers, whatever the
 corpus) is the whole packing problem. The driver solves it by bin completion: for the largest length left it enumerates
 undominated fillings of the remaining room, least waste first, with bit sets of reachable sums as exact waste bounds; the
-best-fit descent is the incumbent, and where it misses the lower bound, a branch-and-bound over the sequences goes on. The result is a
+best-fit descent is the incumbent, and where it misses the lower bound, a branch-and-bound over patterns goes on. The result is a
 list of patterns. Pieces are numbered within their length in a distributed way (a count per task and length, then prefix
 sums), and a piece's number in its length decides its pattern, sequence and offset.
 """
@@ -191,52 +191,60 @@ def least_sequences(histogram: dict[int, int], capacity: int) -> int:
     return max(-(-sum(x * n for x, n in histogram.items()) // capacity), sum(n for x, n in histogram.items() if 2 * x > capacity))
 
 
-def _step(counts: np.ndarray, capacity: int, filling: list[int], top: int, whole: bool) -> Pattern:
-    """The pattern of the largest length and a filling, used as often as it lasts, less a part for others; ``whole``: once."""
+def _pattern(counts: np.ndarray, filling: list[int], top: int) -> Pattern:
+    """The pattern of the largest length and a filling, used as often as it lasts."""
     own = [top, *filling]
     lengths = {x: own.count(x) for x in own}
-    times = 1 if whole else max(1, min(int(counts[x]) // c for x, c in lengths.items()))
-    return Pattern(lengths, times // 2 if top < capacity and times > 8 else times)
+    return Pattern(lengths, max(1, min(int(counts[x]) // c for x, c in lengths.items())))
 
 
-def _descent(counts: np.ndarray, capacity: int, most: int) -> list[Pattern]:
+def _descent(counts: np.ndarray, capacity: int, most: int, slack: int | None = None) -> list[Pattern]:
     """For the largest length left its filling of least waste by at most ``most`` lengths, over and over; 0: the best-fit
-    one, the largest length that fits, over and over."""
+    one, the largest length that fits, over and over. With ``slack``, the filling of the fewest lengths that wastes no more
+    than that goes first, so that short lengths are kept for later."""
     counts, found = counts.copy(), []
     while counts.any():
         top = int(np.flatnonzero(counts)[-1])
         counts[top] -= 1
-        if most:
-            best = next(fillings(capacity - top, counts, capacity - top, most))
+        left = capacity - top
+        if slack is not None:
+            few = (next(fillings(left, counts, min(slack, left), m), None) for m in range(most))
+            best = next((f for f in few if f is not None), None)
+            best = next(fillings(left, counts, left, most)) if best is None else best
+        elif most:
+            best = next(fillings(left, counts, left, most))
         else:
-            best, left, rest = [], capacity - top, counts.copy()
+            best, rest = [], counts.copy()
             while len(fit := np.flatnonzero(rest[: left + 1])):
                 best.append(int(fit[-1]))
                 rest[fit[-1]] -= 1
                 left -= int(fit[-1])
         counts[top] += 1
-        p = _step(counts, capacity, best, top, False)
+        p = _pattern(counts, best, top)
+        if top < capacity and p.times > 8:
+            p.times //= 2  # a part is left for other fillings
         for x, c in p.lengths.items():
             counts[x] -= c * p.times
         found.append(p)
     return found
 
 
-def solve(histogram: dict[int, int], capacity: int, nodes: int = 500) -> Packing:
+def solve(histogram: dict[int, int], capacity: int, nodes: int = 20_000) -> Packing:
     """Patterns that use every length exactly as often as the histogram says, by bin completion.
 
-    The incumbent is the best of some descents, that by best fit and those that take for the largest length left the filling
-    of least waste by up to 1, 2, ... lengths, as few lengths keep the short ones for later. If it needs more sequences than
-    the bound, the search branches: over all undominated fillings of the largest length, sequence by sequence, each branch
-    cut when what it has wasted leaves no packing below the incumbent. ``nodes`` limits this search, for which no bounded
-    method is known; ``optimal`` says whether the result is proven.
+    The incumbent is the best of some descents: that by best fit, those that take for the largest length left the filling of
+    least waste by up to 1, 2, ... lengths, and those that allow a little waste for fewer lengths. If it needs more sequences
+    than the bound, the search branches: over all undominated fillings of the largest length, each used as often as it lasts
+    or once, so that a leaf is only as many steps away as there are patterns; a branch is cut when what it has wasted leaves
+    no packing below the incumbent. ``nodes`` limits this search, for which no bounded method is known; ``optimal`` says
+    whether the result is proven.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
     bound, best, used = least_sequences(histogram, capacity), [], None
-    for most in range(7):
-        found = _descent(counts, capacity, most)
+    for most, slack in [(m, None) for m in range(7)] + [(7, s) for s in range(1, 17)]:
+        found = _descent(counts, capacity, most, slack)
         n = sum(p.times for p in found)
         if used is None or n < used:
             best, used = found, n
@@ -249,11 +257,12 @@ def solve(histogram: dict[int, int], capacity: int, nodes: int = 500) -> Packing
         rest = counts.copy()
         rest[top] -= 1
         for own in fillings(capacity - top, rest, (used - 1) * capacity - total - wasted):
-            p = _step(counts, capacity, own, top, True)
-            after = rest.copy()
-            for x in own:
-                after[x] -= 1
-            yield after, wasted + capacity - top - sum(own), p
+            p = _pattern(counts, own, top)
+            for times in sorted({p.times, 1}, reverse=True):
+                after = counts.copy()
+                for x, c in p.lengths.items():
+                    after[x] -= c * times
+                yield after, wasted + times * (capacity - top - sum(own)), Pattern(p.lengths, times)
 
     steps, stack = 0, [(branches(counts, 0), None)] if used > bound and total else []
     while stack and used > bound and steps < nodes:
@@ -266,9 +275,9 @@ def solve(histogram: dict[int, int], capacity: int, nodes: int = 500) -> Packing
         if wasted > (used - 1) * capacity - total:
             continue
         stack.append((branches(after, wasted) if after.any() else iter(()), p))
-        if not after.any() and len(stack) - 1 < used:
+        if not after.any():
             best = [q for _, q in stack[1:]]
-            used = len(best)
+            used = sum(q.times for q in best)
     return Packing(best, used, bound, used == bound or not stack)
 
 
