@@ -1,17 +1,20 @@
 """A training corpus from raw documents: toxicity, exact dedup, near dedup, mixing, packing.
 
 In every stage null texts count as empty, null ids and repeated rows are rows like others (rows with a null id are never
-near copies nor left out by mixing), texts of any length are read whole, further columns stay as they are whatever their
-names, and an empty table gives an empty result. Ties go to the smallest doc_id.
+near copies nor left out by mixing), rows of one id with different texts are decided each for itself, texts of any length are
+read whole, further columns stay as they are whatever their names, and an empty table gives an empty result. Ties go to the
+smallest doc_id, then to the text of the smallest hash.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from spanloom.llm.common import discard, documents, materialize
+from spanloom.llm.common import discard, documents, materialize, without
 from spanloom.llm.queries import labels, tokenizer_path
 
 
@@ -41,8 +44,10 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     targets = [float(s) * (0.5 if d == "low" else 1.0) for s, d in zip(sums, model.domains, strict=True)]
     if not sum(targets):
         return docs
-    left_out = mixing.mix(soft, targets, total=sum(targets), max_rate=1.0).where("copies = 0").select(F.col("doc_id").alias("left_out")).distinct()
-    return docs.join(left_out, docs["doc_id"].cast("long") == left_out["left_out"], "left_anti")
+    mixed, fit = mixing.fit_rates(soft, targets, total=sum(targets), max_rate=1.0)
+    if not fit.reached:
+        warnings.warn(f"mixing: targets {fit.targets}, totals {fit.totals} after {fit.steps} steps", stacklevel=2)
+    return without(docs, mixed.where("copies = 0"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

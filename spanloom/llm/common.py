@@ -51,6 +51,18 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def text_hash(text: Column) -> Column:
+    """Names a text (null: empty) beside its id, where rows of one id have different texts."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, but those whose id and text ``gone`` (doc_id, text_hash) names. A null id
+    names nothing; other columns may have any names."""
+    names = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    return docs.join(names, (docs[id_col].cast("long") == names["gone_id"]) & (text_hash(docs[text_col]) == names["gone_hash"]), "left_anti")
+
+
 def held_out(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text (a null id: the empty text, which is held out) leaves no remainder."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import id_text, materialize, text_hash
 from .textkit import Words, chunks, lean, release, text_bytes
 
 BUCKETS = 1 << 16
@@ -77,7 +77,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_by
 
 
 def posteriors(docs: DataFrame, model: Classifier, sharpness: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens (words), posterior array<double> in the order of ``model.domains``, for every row.
+    """doc_id, text_hash, n_tokens (words), posterior array<double> in the order of ``model.domains``, for every row.
 
     Null and empty texts and those without words get the prior; null and repeated ids are rows like others; other columns
     are ignored, whatever their names; a very long text is read whole, in one task.
@@ -98,9 +98,10 @@ def posteriors(docs: DataFrame, model: Classifier, sharpness: float = 20.0, id_c
                     logit[:, d] = model.prior[d] + (sums[words.first[1:]] - sums[words.first[:-1]]) * np.minimum(1, sharpness / np.maximum(n, 1))
                 p = np.exp(logit - logit.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), size).cast(pa.list_(pa.float64()))], ["doc_id", "n_tokens", "posterior"])
+                yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "text_hash")), pa.array(n.astype(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), size).cast(pa.list_(pa.float64()))], ["doc_id", "text_hash", "n_tokens", "posterior"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n_tokens long, posterior array<double>")
+    base = id_text(docs, id_col, text_col).withColumn("text_hash", text_hash(F.col("text")))
+    return base.mapInArrow(lean(run), "doc_id long, text_hash long, n_tokens long, posterior array<double>")
 
 
 def _rates(tokens: np.ndarray, p: np.ndarray, steps: np.ndarray, high: float | None) -> np.ndarray:
@@ -127,7 +128,7 @@ def mix(soft: DataFrame, targets: list[float], total: float | None = None, steps
 
 
 def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None, steps: int | None = None, max_rate: float | None = None) -> tuple[DataFrame, Fit]:
-    """soft (doc_id, n_tokens, posterior) plus ``rate`` and ``copies``, and how close the totals came.
+    """soft (doc_id, n_tokens, posterior, and text_hash if it is there) plus ``rate`` and ``copies``, and how close the totals came.
 
     targets: weight of each domain (they are normalised); total: tokens wanted, by default those there are. copies is
     the whole part of the rate plus one for the share of ids, by hash, that the fraction says, so its mean is the rate.
@@ -135,10 +136,11 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
     first is within the curvature, the objective never grows. Steps go on until the domains' totals are within 1e-4 of the
     targets, or ``PATIENCE`` steps have not lowered the objective by a hundredth (targets out of reach); ``steps`` limits them. Rates are only held at 0 or more, unless ``max_rate`` is given.
     Documents without words keep rate 1; so do rows with null ids, which count into the totals and get one copy. Rows that
-    share an id share the draw. An empty table gives an empty result.
+    share an id share the draw, each with its own rate. An empty table gives an empty result.
     """
     size = len(targets)
-    soft = soft.select("doc_id", "n_tokens", "posterior", F.col("doc_id").isNotNull().alias("known"))
+    names = {"doc_id": "long", **({"text_hash": "long"} if "text_hash" in soft.columns else {}), "n_tokens": "long", "posterior": "array<double>"}
+    soft = soft.select(*names, F.col("doc_id").isNotNull().alias("known"))
     there = soft.agg(F.sum("n_tokens").alias("n"), F.avg("n_tokens").alias("mean"), *[F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens") * F.col("posterior")[k]).alias(f"s{k}") for k in range(size)]).first()
     n, mean = float(there["n"] or 0), float(there["mean"] or 1) or 1.0
     wanted = np.array(targets, float) / sum(targets) * (n if total is None else total)
@@ -151,23 +153,23 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
     def totals(last: list[np.ndarray]) -> np.ndarray:
         """The domains' totals after the steps so far and each of ``last``, summed in one pass."""
         taken, high = np.array(history).reshape(-1, size), max_rate
-        names = [f"e{i}" for i in range(len(last) * size)]
+        sums_of = [f"e{i}" for i in range(len(last) * size)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 tokens, p, free = columns(batch)
                 r = _rates(tokens / mean, p, taken, high)
                 e = [(np.where(free, np.clip(r - tokens / mean * (p @ x), 0.0, high) if x.any() else r, 1.0) * tokens) @ p for x in last]
-                yield pa.record_batch([pa.array([float(x)]) for x in np.concatenate(e)], names)
+                yield pa.record_batch([pa.array([float(x)]) for x in np.concatenate(e)], sums_of)
 
-        sums = soft.select("n_tokens", "posterior", "known").mapInArrow(lean(run), ", ".join(f"{x} double" for x in names))
-        return np.array(sums.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in names]).first(), float).reshape(-1, size)
+        sums = soft.select("n_tokens", "posterior", "known").mapInArrow(lean(run), ", ".join(f"{x} double" for x in sums_of))
+        return np.array(sums.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in sums_of]).first(), float).reshape(-1, size)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, p, free = columns(batch)
             rate = np.where(free, _rates(tokens / mean, p, np.array(history).reshape(-1, size), max_rate), 1.0)
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "n_tokens", "posterior")), pa.array(rate)], ["doc_id", "n_tokens", "posterior", "rate"])
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(rate)], [*names, "rate"])
 
     e = totals([np.zeros(size)])[0]
     ways = [float(((e - wanted) ** 2 / reach).sum())]  # the objective after each step
@@ -181,7 +183,7 @@ def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None,
         history.append(tries[best])
         e = after[best]
         ways.append(float(((e - wanted) ** 2 / reach).sum()))
-    out = soft.mapInArrow(lean(rated), "doc_id long, n_tokens long, posterior array<double>, rate double")
+    out = soft.mapInArrow(lean(rated), ", ".join(f"{n} {t}" for n, t in names.items()) + ", rate double")
     u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return out.withColumn("copies", copies.cast("int")), Fit(len(history), [float(x) for x in e], wanted.tolist(), reached)
@@ -192,10 +194,11 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
     return labels.where("quality IS NOT NULL").select("doc_id", F.when(F.col("quality") == 1, "high").otherwise("low").alias("domain"))
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, **options) -> tuple[DataFrame, Classifier]:
-    """mix() of ``docs`` with the domains of ``labels``; weights: by domain, others keep 0; None: equal weights."""
+def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, **options) -> tuple[DataFrame, Classifier, Fit]:
+    """fit_rates() of ``docs`` with the domains of ``labels``, and their classifier; weights: by domain, others keep 0; None: equal weights."""
     model = fit_domains(docs, labels)
     soft = materialize(posteriors(docs, model))
     weights = weights or dict.fromkeys(model.domains, 1.0)
     targets = [weights.get(d, 0.0) for d in model.domains]
-    return mix(soft, targets if sum(targets) else [1.0] * len(targets), **options), model
+    mixed, fit = fit_rates(soft, targets if sum(targets) else [1.0] * len(targets), **options)
+    return mixed, model, fit

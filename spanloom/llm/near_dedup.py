@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, id_text, join_unique, materialize
+from .common import discard, id_text, join_unique, materialize, text_hash, without
 from .components import connected_components
 from .textkit import Words, chunks, distinct, lean, list_array, mix, shingles, text_bytes
 
@@ -58,7 +58,7 @@ def one_permutation(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), sig_a, sig_b (the set's signature), bands (null for empty sets)."""
+    """doc_id, text_hash, n (set size), sig_a, sig_b (the set's signature), bands (null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,9 +78,9 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 for r in range(ROWS):
                     key = mix(key * np.uint64(0xD6E8FEB86659FD93) + bins[:, :, r])
                 bands = list_array(key.view(np.int64).ravel(), np.where(n > 0, BANDS, 0), pa.int64())
-                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), bands], ["doc_id", "n", "sig_a", "sig_b", "bands"])
+                yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "text_hash")), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), bands], ["doc_id", "text_hash", "n", "sig_a", "sig_b", "bands"])
 
-    return docs.mapInArrow(lean(run), "doc_id long, n long, sig_a long, sig_b long, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, text_hash long, n long, sig_a long, sig_b long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -144,26 +144,22 @@ def _open_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> tuple[Data
     return met.unionByName(plain.select(F.least("u_x", "v_x").alias("u"), F.greatest("u_x", "v_x").alias("v"))).distinct(), [rows, tokens]
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    docs: any DataFrame with a whole-number id and a text; other columns are ignored, whatever their names. Two documents are linked if their shingle sets'
-    resemblance is at least ``percent`` / 100; component_id is the smallest doc_id that links reach, kept says that it is
-    the document's own. Null and empty texts and those without words have the empty set and are linked with nothing.
-    Very long texts are shingled whole, each in one task. Rows that share a doc_id count as one document. A null id is linked with nothing: component_id null, kept true.
-    An empty table gives an empty result.
-    """
-    base = id_text(docs, id_col, text_col)
+def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept for every row. A node of the graph is a class of equal sets."""
+    base = id_text(docs, id_col, text_col).withColumn("text_hash", text_hash(F.col("text")))
     marks = materialize(sketch(base, k))
-    classes = marks.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = materialize(classes)
+    classes = marks.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
     cells = classes.select(F.explode("bands").alias("key"), "node", "n")
     shared = cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(cells.join(shared, "key"))
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     centre = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("o"))).alias("c")).select("key", (-F.col("c.o")).alias("u"))
     pairs = members.join(centre, "key").where("u != node").select("u", F.col("node").alias("v")).distinct()
-    sets = materialize(shingle_sets(base.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), k))
+    # one row stands for each class; only rows that repeat id and text come more than once
+    stand = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "least.doc_id", "least.text_hash")
+    texts = base.join(stand, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    sets = materialize(shingle_sets(texts.select(F.col("node").alias("doc_id"), "text"), k))
     stars = materialize(_compared(pairs, sets))
     first = labels = connected_components(stars.where(_linked(percent)).select("u", "v"))
     candidates, tables = _open_pairs(stars, labels, percent)
@@ -173,17 +169,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     over = connected_components(more)
     discard(members, sets, stars, *tables)
     joined = labels.join(over.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    labels = materialize(joined.unionByName(over.join(labels.select("node"), "node", "left_anti")))
-    discard(first, over)
-    labels = labels.select(F.col("node").alias("label_node"), F.col("component").alias("label"))
-    member = marks.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "sig_a", "sig_b").join(classes.select("sig_a", "sig_b", "node"), ["sig_a", "sig_b"])
-    member = member.join(labels, F.col("node") == F.col("label_node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("component_id"))
-    out = marks.select("doc_id", F.col("n").alias("n_shingles")).join(member, "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    labels = joined.unionByName(over.join(labels.select("node"), "node", "left_anti"))
+    named = materialize(classes.drop("bands").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    discard(first, over, classes)
+    winners = named.groupBy("component").agg(F.min("least").alias("winner"))
+    named = named.join(winners, "component").select("sig_a", "sig_b", "n", "winner")
+    out = marks.drop("bands").join(named, ["sig_a", "sig_b", "n"], "left").withColumn("winner", F.when(F.col("doc_id").isNotNull(), F.col("winner")))
+    kept = F.col("winner").isNull() | ((F.col("doc_id") == F.col("winner.doc_id")) & (F.col("text_hash") == F.col("winner.text_hash")))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("winner.doc_id", "doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    docs: any DataFrame with a whole-number id and a text; other columns are ignored, whatever their names. Two documents are linked if their shingle sets'
+    resemblance is at least ``percent`` / 100; component_id is the smallest doc_id that links reach, kept says that it is
+    the document's own (of rows with that id and different texts, the one whose text has the smallest hash). Null and empty
+    texts and those without words have the empty set and are linked with nothing. Very long texts are shingled whole, each in
+    one task. Rows that share a doc_id are documents of their own if their texts differ, and share their fate if not. A null
+    id is linked with nothing: component_id null, kept true. An empty table gives an empty result.
+    """
+    return _components(docs, k, percent, id_col, text_col).drop("text_hash")
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that near_duplicates() keeps, with all their columns; rows with a null id all stay."""
-    dropped = near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["dropped_id"], "left_anti")
+    return without(docs, _components(docs, k, percent, "doc_id", "text").where(~F.col("kept")))

@@ -24,8 +24,8 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, model = mixing.mix_documents(documents(spark, sf_dir), mixing.labelled_domains(labels(spark, sf_dir)), {"high": 0.8, "low": 0.2})
-    return mixed.select("doc_id", "n_tokens", *[F.round(F.col("posterior")[k], 9).alias(f"p_{d}") for k, d in enumerate(model.domains)], F.round("rate", 9).alias("rate"), "copies")
+    mixed, model, fit = mixing.mix_documents(documents(spark, sf_dir), mixing.labelled_domains(labels(spark, sf_dir)), {"high": 0.8, "low": 0.2})
+    return mixed.select("doc_id", "n_tokens", *[F.round(F.col("posterior")[k], 9).alias(f"p_{d}") for k, d in enumerate(model.domains)], F.round("rate", 9).alias("rate"), "copies", F.lit(fit.reached).alias("reached"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
