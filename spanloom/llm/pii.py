@@ -3,9 +3,10 @@
 Strict patterns give the base spans. Looser generators propose further, overlapping spans. Every candidate has a few
 small whole-number features of format and context; Spark counts, over all documents, how many candidates of each feature
 combination (a cell of a fixed grid) are valid: strict ones if they are base spans, loose ones if they pass the kind's
-checks once their form is restored. Trees are boosted on those counts, which is the same as boosting on all candidates, and
-compiled to a column expression. For each kind and generator the lowest score at which valid ones make up ``PRECISION`` of
-the candidates is its threshold. Candidates at or over it that touch no base span, loose ones if valid, are added.
+checks once their form is restored. Trees are boosted on the counts of one half of the documents, which is the same as boosting
+on all candidates there, and compiled to a column expression. For each kind and generator the scores are calibrated on the other
+half: from the highest score down, the threshold goes as far as valid ones make up ``PRECISION`` of the candidates of every single
+score. Valid loose candidates at or over it that touch no base span are added; what fails its checks never is.
 
 Positions come from the pieces between matches: a match starts where the pieces and matches before it end.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import let
-from .common import id_text
+from .common import held_out, id_text, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # The strict patterns. Possessive repeats and the look-behind only save steps: a longer run of the same
@@ -185,7 +186,8 @@ def _checked(kind: str):
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and, for each kind, ``<kind>_all`` (strict matches with their checks' result in ``ok``) and ``<kind>_loose``."""
+    """doc_id, ``held`` (the documents that calibrate) and, for each kind, ``<kind>_all`` (strict matches with their checks'
+    result in ``ok``) and ``<kind>_loose``."""
     out = docs
     for kind in KINDS:
         out = out.withColumns({f"{kind}_h": _found(F.col("text"), STRICT[kind], NEEDS[kind]), f"{kind}_g": _found(F.col("text"), LOOSE[kind], NEEDS[kind])})
@@ -205,7 +207,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
         return let(inside, lambda parts: F.zip_with(found, parts, one))
 
-    return out.select("doc_id", *[f"{k}_all" for k in KINDS], *[checked(k).alias(f"{k}_loose") for k in KINDS])
+    return out.select("doc_id", held_out(F.col("doc_id"), 2).alias("held"), *[f"{k}_all" for k in KINDS], *[checked(k).alias(f"{k}_loose") for k in KINDS])
 
 
 def features(kind: str, s: Column, loose: bool = False) -> list[Column]:
@@ -266,21 +268,29 @@ class Model:
     loose: dict[str, float]  # of the loose generators' candidates
 
 
-def boost(cells: np.ndarray, counts: np.ndarray, positives: np.ndarray) -> Model:
-    """Trees for the cells' share of positives, and each kind's and generator's threshold."""
+def boost(cells: np.ndarray, counts: np.ndarray, positives: np.ndarray, held: np.ndarray | None = None, held_positives: np.ndarray | None = None) -> Model:
+    """Trees for the cells' share of positives, and each kind's and generator's threshold.
+
+    held, held_positives: counts of the calibrating half; a score that has no candidate there is judged by the other half.
+    """
     score, trees = np.zeros(len(cells)), []
     for _ in range(TREES if len(cells) else 0):
         p = 1 / (1 + np.exp(-score))
         trees.append(_grow(cells, counts * p - positives, counts * p * (1 - p), 2))
         score += _apply(trees[-1], cells)
     from_loose = cells[:, 5] == 1 if len(cells) and cells.shape[1] > 5 else np.zeros(len(cells), bool)
+    held, held_positives = (np.zeros(len(cells)), np.zeros(len(cells))) if held is None else (held, held_positives)
 
     def threshold(k: int, loose: bool) -> float:
         own = np.flatnonzero((cells[:, 0] == k) & (from_loose == loose)) if len(cells) else np.zeros(0, int)
-        own = own[np.argsort(-score[own], kind="stable")]
-        share = np.cumsum(positives[own]) / np.maximum(np.cumsum(counts[own]), 1)
-        good = np.flatnonzero(share >= PRECISION)
-        return float(score[own[good[-1]]]) - 1e-9 if len(good) else float("inf")
+        least = float("inf")
+        for at in np.unique(np.round(score[own], 9))[::-1]:
+            same = own[np.round(score[own], 9) == at]
+            n, good = (held, held_positives) if held[same].sum() else (counts, positives)
+            if good[same].sum() < PRECISION * n[same].sum():
+                break
+            least = float(at) - 1e-8
+        return least
 
     return Model(trees, *({kind: threshold(k, loose) for k, kind in enumerate(KINDS)} for loose in (False, True)))
 
@@ -294,15 +304,18 @@ def _written(kind: str):
 
 
 def fit(spans: DataFrame) -> Model:
-    """Counts of all candidates by cell; at most the product of WIDTHS rows reach the driver."""
+    """Counts of all candidates by cell and half; at most twice the product of WIDTHS rows reach the driver."""
     every = []
     for kind in KINDS:
         for source, loose in ((f"{kind}_all", False), (f"{kind}_loose", True)):
             every.append(F.transform(F.col(source), _cell(kind, loose)))
-    rows = spans.select(F.explode(F.concat(*every)).alias("c")).groupBy(*[F.col(f"c.f{i}").alias(f"f{i}") for i in range(len(WIDTHS))])
-    cells = rows.agg(F.count("*").alias("n"), F.sum(F.col("c.base").cast("int")).alias("base")).orderBy(*[f"f{i}" for i in range(len(WIDTHS))]).collect()
-    table = np.array([list(c) for c in cells], float).reshape(-1, len(WIDTHS) + 2)
-    return boost(table[:, : len(WIDTHS)].astype(int), table[:, -2], table[:, -1])
+    names = [f"f{i}" for i in range(len(WIDTHS))]
+    rows = spans.select("held", F.explode(F.concat(*every)).alias("c")).groupBy(*[F.col(f"c.{x}").alias(x) for x in names])
+    half = lambda held, what: F.sum(F.when(F.col("held") == held, what).otherwise(0))
+    valid = F.col("c.base").cast("int")
+    cells = rows.agg(half(False, F.lit(1)).alias("n"), half(False, valid).alias("good"), half(True, F.lit(1)).alias("held_n"), half(True, valid).alias("held_good")).orderBy(*names).collect()
+    table = np.array([list(c) for c in cells], float).reshape(-1, len(WIDTHS) + 4)
+    return boost(table[:, : len(WIDTHS)].astype(int), *table[:, len(WIDTHS) :].T)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,33 +326,29 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     two with equal kind and place one stays; very long texts are read whole, as single rows; other columns are ignored,
     whatever their names; an empty table gives an empty result.
     """
-    spans = with_spans(id_text(docs, id_col, text_col))
+    spans = materialize(with_spans(id_text(docs, id_col, text_col)))  # places and values only, no texts
     model = fit(spans)
     based = {f"{k}_base": F.transform(F.filter(F.col(f"{k}_all"), lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))) for k in KINDS}
-    failed = {f"{k}_failed": F.filter(F.col(f"{k}_all"), lambda s: ~s["ok"]) for k in KINDS}
-    out = spans.select("doc_id", *[f"{k}_loose" for k in KINDS], *[c.alias(n) for n, c in (based | failed).items()])
+    out = spans.select("doc_id", *[f"{k}_loose" for k in KINDS], *[c.alias(n) for n, c in based.items()])
     out = out.withColumn("taken", F.concat(*[F.col(f"{k}_base") for k in KINDS]))
 
-    def chosen(kind: str, source: str, loose: bool) -> Column:
-        least = (model.loose if loose else model.thresholds)[kind]
+    def chosen(kind: str) -> Column:
+        least = model.loose[kind]
         if least == float("inf"):
             return F.array().cast("array<struct<start:int,stop:int>>")
 
         def read(s: Column) -> Column:
-            own = features(kind, s, loose)
-            return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["ok"].alias("ok"), *[x.alias(f"f{i}") for i, x in enumerate(own)])
+            return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), *[x.alias(f"f{i}") for i, x in enumerate(features(kind, s, True))])
 
         def passes(s: Column) -> Column:
             own = [s[f"f{i}"] for i in range(len(WIDTHS))]
-            total = F.lit(0.0)
-            for tree in model.trees:
-                total = total + _column(tree, own)
-            return (s["ok"] & (total >= least)) if loose else total >= least
+            return sum((_column(tree, own) for tree in model.trees), F.lit(0.0)) >= least
 
-        free = F.transform(_free(F.col(source), F.col("taken")), read)  # a candidate's features are read once for all trees
-        return F.array_distinct(F.transform(F.filter(free, passes), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
+        free = _free(F.filter(F.col(f"{kind}_loose"), lambda s: s["ok"]), F.col("taken"))
+        scored = F.transform(free, read)  # a candidate's features are read once for all trees
+        return F.array_distinct(F.transform(F.filter(scored, passes), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
 
-    out = out.withColumns({f"{k}_added": F.array_distinct(F.concat(chosen(k, f"{k}_loose", True), chosen(k, f"{k}_failed", False))) for k in KINDS})
+    out = out.withColumns({f"{k}_added": chosen(k) for k in KINDS})
 
     def written(columns: list[tuple[str, Column]]) -> Column:
         return F.array_join(F.concat(*[F.transform(c, _written(k)) for k, c in columns]), ",")
@@ -353,8 +362,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, text with the spans of ``found`` (find()'s result) replaced by [KIND]; overlapping spans merge under the first's kind.
 
-    Ids must be unique and not null.
+    Ids must be unique and not null, as spans are matched with texts by them; other tables are refused.
     """
+    ids = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known"), F.count_distinct("doc_id").alias("unique")).first()
+    if not ids["n"] == ids["known"] == ids["unique"]:
+        raise ValueError("ids must be unique and not null")
+
     def parsed(x: Column) -> Column:
         part = F.split(x, ":")
         return F.struct(part[1].cast("int").alias("start"), part[2].cast("int").alias("stop"), part[0].alias("kind"))
