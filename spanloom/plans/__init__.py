@@ -23,15 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, chunk_idx, start_sec, end_sec, event_type, p_anom and probs (an array by TYPES)."""
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    idx = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    out = e.withColumn("chunk_idx", idx).withColumn("p_anom", F.col("value") / (F.col("value") + 20.0))
+def with_probs(events: DataFrame) -> DataFrame:
+    """Placed events (chunk_idx) as chunks: user_id, chunk_idx, start_sec, end_sec, event_type, p_anom and probs (an array by TYPES)."""
+    out = events.withColumn("p_anom", F.col("value") / (F.col("value") + 20.0))
     probs = F.array(*[F.when(F.col("event_type") == t, F.col("p_anom")) for t in TYPES])
     return out.select("user_id", "chunk_idx", F.col("chunk_idx").cast("double").alias("start_sec"), (F.col("chunk_idx") + 2.0).alias("end_sec"), "event_type", "p_anom", probs.alias("probs"))
 
 
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as chunks, numbered in time order."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    return with_probs(e.withColumn("chunk_idx", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1))
+
+
 # ------------------------------------------------------------------ the same in SQL
 SIG = """
 sig AS (SELECT user_id, event_type, value / (value + 20.0) AS p,

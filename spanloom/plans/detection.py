@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..config import CLASSES, EXPLANATIONS, LETTERS, Profile
 from ..functions import class_distribution, letter_class, letter_logs, literal_map, p_anomaly, softmax, temperature, token_letter, top_classes
 from ..operators import detection as D
+from ..operators import segments as G
 from ..sources import reply_tokens, score_chunks, teacher_letter
-from . import DURATIONS, SETTINGS, SMOOTH, TYPES, WINDOW, chunks, events_sql, final_sql, merged_sql, runs_sql, table
+from . import DURATIONS, SETTINGS, SMOOTH, TYPES, WINDOW, chunks, events_sql, final_sql, merged_sql, runs_sql, table, with_probs
 
 S = SETTINGS
 #: Video classes that the stand-in's types go by where an answer needs one.
@@ -90,6 +91,15 @@ def events_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final_events(spark, sf_dir).select("user_id", "class_name", "start_sec", "end_sec", "score", F.col("event_ord").cast("long").alias("event_ord"))
 
 
+@query(f"WITH {SMOOTH}{runs_sql(gate='0.65')}{events_sql()}{merged_sql()}{final_sql()} SELECT * FROM fin WHERE user_id IS NOT NULL")
+def events_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final events from series cut into segments of 16 chunks, without a task for a whole series."""
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id", "ts", "event_id", "event_type", "value")
+    placed = with_probs(G.numbered(e, "user_id", ["ts", "event_id"], "chunk_idx"))
+    out = G.detect_segments(placed, "user_id", TYPES, S, 16)
+    return out.select("user_id", "class_name", "start_sec", "end_sec", "score", F.col("event_ord").cast("long").alias("event_ord"))
+
+
 @query(f"WITH {SMOOTH} SELECT user_id, count(*) AS n FROM (SELECT *, max(s) OVER (PARTITION BY user_id) AS top FROM sm) WHERE top >= 0.88 GROUP BY user_id")
 def video_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.gate(smoothed(spark, sf_dir), "user_id", "smoothed", 0.88).groupBy("user_id").agg(F.count("*").alias("n"))

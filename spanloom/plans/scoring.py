@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import detection as D
 from ..operators import matching as M
 from ..operators import quality as Q
+from ..operators import segments as G
 from . import SETTINGS, SMOOTH, TYPES, events_sql, final_sql, merged_sql, runs_sql, table
 from .detection import smoothed
 
@@ -230,6 +231,17 @@ def running_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", "done", F.round("mean_ms", 9).alias("mean_ms"), "max_ms")
 
 
+@query(
+    """WITH r AS (SELECT user_id, event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS so_far FROM events WHERE value IS NOT NULL)
+    SELECT user_id, event_id, so_far[floor(len(so_far) * 0.5::DOUBLE)::BIGINT + 1] AS p50_ms, so_far[floor(len(so_far) * 0.95::DOUBLE)::BIGINT + 1] AS p95_ms FROM r
+    UNION ALL SELECT user_id, event_id, NULL, NULL FROM events WHERE value IS NULL"""
+)
+def running_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles after each call, by segments of 16 calls or more (the library's default is 4,096)."""
+    calls = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    return G.running_percentiles(calls, "user_id", ["ts", "event_id"], "value", {"p50_ms": 0.5, "p95_ms": 0.95}, 16).select("user_id", "event_id", "p50_ms", "p95_ms")
+
+
 @query("SELECT user_id, CASE WHEN count(*) > 0 THEN round_even(sum(value) / 1000 / count(*), 3) END AS rtf FROM events GROUP BY user_id")
 def realtime_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("value").alias("ms"), F.count("*").alias("n")).select("user_id", Q.realtime_factor(F.col("ms"), F.col("n").cast("double")).alias("rtf"))
