@@ -6,10 +6,15 @@ end_sec). Orders count from 0 within a video.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import iou
+from ..tables import discard, materialize
+from .segments import numbered
 
 GATE = 0.5
 
@@ -29,25 +34,54 @@ def _clusters(truths: DataFrame, preds: DataFrame) -> DataFrame:
     return both.withColumn("_cut", cut).withColumn("cluster", F.sum("_cut").over(near)).drop("_cut")
 
 
+def _cells(both: DataFrame, gate: float) -> tuple[DataFrame, DataFrame]:
+    """Truths and predictions (with their ends as g0, g1 and p0, p1) with the ``level`` and ``cell`` in which they meet.
+
+    Two intervals whose IoU reaches the gate differ in length by 1 / gate at most. A level holds lengths up to ``base``
+    times its least, so their levels are neighbours. A truth has the cell of its start, in cells as long as its level's
+    intervals; a prediction goes to the few cells of three levels in which a truth could begin, whatever its length.
+    """
+    own = ["video_id", "class_name", "cluster"]
+    base = max(2.0, 1 / gate) * 1.001  # so that rounding cannot part levels
+    level = F.floor(F.log(F.col("end_sec") - F.col("start_sec")) / F.log(F.lit(base)))
+    length = lambda at: F.pow(F.lit(base), at + 1)
+    g = both.where("is_truth").withColumn("level", level).withColumn("cell", F.floor(F.col("start_sec") / length(F.col("level"))))
+    p = both.where("NOT is_truth").withColumn("level", F.explode(F.sequence(level - 1, level + 1)))
+    first, last = (F.floor(F.col("start_sec") / length(F.col("level"))) - 1, F.floor(F.col("end_sec") / length(F.col("level"))))
+    p = p.withColumn("cell", F.explode(F.sequence(first, last)))
+    return tuple(df.select(*own, "level", "cell", F.col("ord").alias(f"{name}_ord"), F.col("start_sec").alias(f"{side}0"), F.col("end_sec").alias(f"{side}1")) for df, name, side in ((g, "gt", "g"), (p, "pred", "p")))
+
+
 def overlaps(truths: DataFrame, preds: DataFrame, gate: float | None = GATE) -> DataFrame:
     """Pairs of one video and class with their IoU, at least ``gate`` (None: over 0), and their ``cluster``.
 
-    An equi join on (video, class, cluster), so a long series is no quadratic join; both sides share one shuffle.
+    An equi join, so a long series is no quadratic join: on (video, class, cluster) and, with a gate, on cells of like
+    length and place, so that neither is a large cluster. Both sides share one shuffle.
     """
     both = _clusters(truths, preds)
     own = ["video_id", "class_name", "cluster"]
-    g = both.where("is_truth").select(*own, F.col("ord").alias("gt_ord"), F.col("start_sec").alias("g0"), F.col("end_sec").alias("g1"))
-    p = both.where("NOT is_truth").select(*own, F.col("ord").alias("pred_ord"), F.col("start_sec").alias("p0"), F.col("end_sec").alias("p1"))
-    out = g.join(p, own).withColumn("iou", iou(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1")))
+    if gate:
+        g, p = _cells(both, gate)
+        pairs = g.join(p, [*own, "level", "cell"]).drop("level", "cell")
+    else:
+        g = both.where("is_truth").select(*own, F.col("ord").alias("gt_ord"), F.col("start_sec").alias("g0"), F.col("end_sec").alias("g1"))
+        p = both.where("NOT is_truth").select(*own, F.col("ord").alias("pred_ord"), F.col("start_sec").alias("p0"), F.col("end_sec").alias("p1"))
+        pairs = g.join(p, own)
+    out = pairs.withColumn("iou", iou(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1")))
     return out.where(F.col("iou") > 0 if gate is None else F.col("iou") >= gate)
 
 
-def _greedy(pairs: DataFrame, order: Column) -> DataFrame:
-    """Pairs taken in order if neither side is taken yet: a fold over a cluster's sorted candidates.
+#: Candidates of a cluster that are folded in one row, and of a block of a larger cluster.
+FOLD, BLOCK = 200, 50_000
+
+
+def _fold(pairs: DataFrame) -> DataFrame:
+    """Pairs taken in order (truth, ``_o``, prediction) if neither side is taken yet, cluster by cluster in one row each.
 
-    ``order`` begins with the truth, so of the truths only the last one taken is kept in mind.
+    The order begins with the truth, so of the truths only the last one taken is kept in mind.
     """
     kind = "struct<g:int,used:array<int>,taken:array<struct<g:int,p:int,iou:double>>>"
+    order = F.struct(F.col("gt_ord").alias("g"), F.col("_o").alias("o"), F.col("pred_ord").alias("p"), F.col("iou").alias("iou"))
     rows = pairs.groupBy("video_id", "class_name", "cluster").agg(F.sort_array(F.collect_list(order)).alias("c"))
     zero = F.struct(F.lit(-1).alias("g"), F.array().alias("used"), F.array().alias("taken")).cast(kind)
 
@@ -61,13 +95,91 @@ def _greedy(pairs: DataFrame, order: Column) -> DataFrame:
     return taken.select("video_id", F.col("t.g").alias("gt_ord"), F.col("t.p").alias("pred_ord"), F.col("t.iou").alias("iou"))
 
 
-def match_best(truths: DataFrame, preds: DataFrame, gate: float = GATE) -> DataFrame:
-    """Truths in order take their unused prediction of greatest IoU (ties: the first)."""
-    pairs = overlaps(truths, preds, gate)
-    return _greedy(pairs, F.struct(F.col("gt_ord").cast("int").alias("g"), (-F.col("iou")).alias("o"), F.col("pred_ord").cast("int").alias("p"), F.col("iou")))
+def _pass(block: pd.DataFrame) -> pd.DataFrame:
+    """What is sure in a block: truths in order, each with its best free prediction, unless an earlier truth may want that.
+
+    ``rival``: the earliest open truth of other blocks that the prediction is a candidate of. A truth that must wait may
+    take any of its candidates later, so later truths wait for those, too. Settled truths come out, -1 for no prediction.
+    """
+    block = block.sort_values(["gt_ord", "_o", "pred_ord"], kind="stable")
+    truths, preds, rivals, ious = (block[c].tolist() for c in ("gt_ord", "pred_ord", "rival", "iou"))
+    used: set[int] = set()
+    awaited: set[int] = set()
+    out: list[tuple[int, int, float]] = []
+    at = 0
+    while at < len(truths):
+        end = at
+        while end < len(truths) and truths[end] == truths[at]:
+            end += 1
+        best = next((k for k in range(at, end) if preds[k] not in used), None)
+        if best is None:
+            out.append((truths[at], -1, 0.0))
+        elif preds[best] in awaited or rivals[best] < truths[at]:
+            awaited.update(preds[k] for k in range(at, end) if preds[k] not in used)
+        else:
+            used.add(preds[best])
+            out.append((truths[at], preds[best], ious[best]))
+        at = end
+    made = pd.DataFrame(out, columns=["gt_ord", "pred_ord", "iou"])
+    made.insert(0, "video_id", block["video_id"].iloc[0])
+    return made
+
+
+def _rounds(pairs: DataFrame, block: int) -> DataFrame:
+    """The same for clusters of any size: blocks of about ``block`` candidates settle what they can, round by round.
+
+    A block holds truths that are near in time, with all their candidates. A truth can settle when no earlier open truth
+    wants its best free prediction, so the earliest open truth of a cluster always does, and a chain of dependent truths
+    goes through a whole block in one round.
+    """
+    own = ["video_id", "class_name", "cluster"]
+    rows = numbered(pairs.withColumn("_key", F.struct(*own)), "_key", ["g0", "gt_ord", "pred_ord"], "_place")
+    least = F.min("_place").over(Window.partitionBy("video_id", "gt_ord"))
+    rows = materialize(rows.withColumn("_block", F.floor(least / F.lit(block))).select(*own, "_block", "gt_ord", "pred_ord", "iou", "_o"))
+    settled = []
+    while True:
+        pred = ["video_id", "pred_ord"]
+        wants = rows.groupBy(*pred, "_block").agg(F.min("gt_ord").alias("w"))
+        first = wants.groupBy(*pred).agg(F.min(F.struct("w", "_block")).alias("a"))
+        second = wants.join(first, pred).where(F.col("_block") != F.col("a._block")).groupBy(*pred).agg(F.min("w").alias("b"))
+        rival = first.join(second, pred, "left").select(*pred, "a", "b")
+        far = F.lit(2**31 - 1)
+        asked = rows.join(rival, pred).withColumn("rival", F.coalesce(F.when(F.col("a._block") != F.col("_block"), F.col("a.w")).otherwise(F.col("b")), far)).drop("a", "b")
+        kind = rows.schema["video_id"].dataType.simpleString()
+        done = materialize(asked.groupBy(*own, "_block").applyInPandas(_pass, f"video_id {kind}, gt_ord int, pred_ord int, iou double"))
+        settled.append(done)
+        left = missing(missing(rows, done, ["video_id", "gt_ord"]), done.where("pred_ord >= 0"), pred)
+        rows, before = materialize(left), rows
+        discard(before)
+        if rows.isEmpty():
+            discard(rows)
+            return reduce(DataFrame.unionByName, settled).where("pred_ord >= 0")
+
+
+def _greedy(pairs: DataFrame, best: bool, rounds: bool, fold: int, block: int) -> DataFrame:
+    """Truths in order take a free prediction: the one of greatest IoU (``best``), else the first; ties: the first.
+
+    Each cluster's candidates are folded in a row, and nothing runs until the result is read. With ``rounds``, the candidates
+    are written once, clusters of up to ``fold`` of them are folded, and larger ones go by rounds.
+    """
+    own = ["video_id", "class_name", "cluster"]
+    columns = [F.col("gt_ord").cast("int").alias("gt_ord"), F.col("pred_ord").cast("int").alias("pred_ord"), "iou", (-F.col("iou") if best else F.lit(0.0)).alias("_o"), "g0"]
+    if not rounds:
+        return _fold(pairs.select(*own, *columns))
+    pairs = materialize(pairs.select(*own, *columns))
+    large = pairs.groupBy(*own).agg(F.count("*").alias("n")).where(F.col("n") > fold).select(*own)
+    if large.isEmpty():
+        return _fold(pairs)
+    return _fold(missing(pairs, large, own)).unionByName(_rounds(existing(pairs, large, own), block))
+
+
+def match_best(truths: DataFrame, preds: DataFrame, gate: float = GATE, rounds: bool = False, fold: int = FOLD, block: int = BLOCK) -> DataFrame:
+    """Truths in order take their unused prediction of greatest IoU (ties: the first). rounds: for series in which thousands of
+    intervals overlap each other in one cluster, so that none is a row."""
+    return _greedy(overlaps(truths, preds, gate), True, rounds, fold, block)
 
 
-def match_first(truths: DataFrame, preds: DataFrame, gate: float = GATE, timed: bool = True) -> DataFrame:
+def match_first(truths: DataFrame, preds: DataFrame, gate: float = GATE, timed: bool = True, rounds: bool = False, fold: int = FOLD, block: int = BLOCK) -> DataFrame:
     """Truths in order take the first unused prediction over the gate; untimed: the class alone decides, so the n-th truth
     of a class takes its n-th prediction."""
     if not timed:
@@ -75,8 +187,7 @@ def match_first(truths: DataFrame, preds: DataFrame, gate: float = GATE, timed:
         g = truths.select(*own, F.col("gt_ord").cast("int").alias("gt_ord"), F.row_number().over(Window.partitionBy(*own).orderBy("gt_ord")).alias("_turn"))
         p = preds.select(*own, F.col("pred_ord").cast("int").alias("pred_ord"), F.row_number().over(Window.partitionBy(*own).orderBy("pred_ord")).alias("_turn"))
         return g.join(p, [*own, "_turn"]).select("video_id", "gt_ord", "pred_ord", F.lit(None).cast("double").alias("iou"))
-    pairs = overlaps(truths, preds, gate)
-    return _greedy(pairs, F.struct(F.col("gt_ord").cast("int").alias("g"), F.col("pred_ord").cast("int").alias("p"), F.col("iou")))
+    return _greedy(overlaps(truths, preds, gate), False, rounds, fold, block)
 
 
 def unmatched(preds: DataFrame, matches: DataFrame) -> DataFrame:

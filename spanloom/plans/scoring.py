@@ -93,6 +93,12 @@ def match_greedy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match(M.match_best(truths(spark, sf_dir), preds(spark, sf_dir)))
 
 
+@query(f"{BEST} SELECT video_id, gt_ord, pred_ord, round(iou, 9) AS iou FROM m")
+def match_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """match_greedy_best by the way of large clusters, in blocks of 4 candidates."""
+    return _match(M.match_best(truths(spark, sf_dir), preds(spark, sf_dir), rounds=True, fold=0, block=4))
+
+
 @query(f"{FIRST} SELECT video_id, gt_ord, pred_ord, round(iou, 9) AS iou FROM m")
 def match_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match(M.match_first(truths(spark, sf_dir), preds(spark, sf_dir)))
