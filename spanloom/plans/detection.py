@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..config import CLASSES, EXPLANATIONS, LETTERS, Profile
 from ..functions import class_distribution, letter_class, letter_logs, literal_map, p_anomaly, softmax, temperature, token_letter, top_classes
 from ..operators import detection as D
 from ..operators import segments as G
-from ..sources import reply_tokens, score_chunks, teacher_letter
+from ..sources import frames, reply_tokens, score_chunks, teacher_letter
+from ..tables import shared_folder
 from . import DURATIONS, SETTINGS, SMOOTH, TYPES, WINDOW, chunks, events_sql, final_sql, merged_sql, runs_sql, table, with_probs
 
 S = SETTINGS
@@ -219,6 +222,45 @@ def train_wanted_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.wanted_frames(c.withColumn("frame_idx", at), "user_id")
 
 
+# ------------------------------------------------------------------ frame files
+def frame_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The events as record files in the shared folder: a user is a video of 7 frames a second, an event's id its image."""
+    folder = f"{shared_folder(spark)}/spanloom-frames-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id", "ts", "event_id")
+    placed = G.numbered(e, "user_id", ["ts", "event_id"], "frame")
+    frames.write_frames(placed.select(F.col("user_id").cast("string").alias("video_id"), "frame", F.col("event_id").cast("string").cast("binary").alias("image")), folder, 7.0)
+    return folder
+
+
+PLACED = "placed AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events)"
+
+
+@query("SELECT user_id, 7.0::DOUBLE AS fps, count(*) AS frames, count(*) / 7.0::DOUBLE AS duration_sec FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def frames_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.probe(spark, frame_folder(spark, sf_dir)).select(F.col("video_id").cast("long").alias("user_id"), "fps", "frames", "duration_sec")
+
+
+@query(f"WITH {PLACED} SELECT user_id, frame, event_id FROM placed WHERE user_id IS NOT NULL AND frame BETWEEN 10 AND 29")
+def frames_pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on the frame, which goes to the cursor."""
+    out = spark.read.format("frames").load(frame_folder(spark, sf_dir)).where("frame >= 10 AND frame < 30")
+    return out.select(F.col("video_id").cast("long").alias("user_id"), "frame", F.col("image").cast("string").cast("long").alias("event_id"))
+
+
+@query(
+    f"""WITH {INFER}, {PLACED}, w AS (SELECT DISTINCT user_id, {FRAME.format(a='start_sec', b='end_sec').replace('floor(d * 25.0)', 'round(d * 7.0)').replace('25.0', '7.0')} AS frame FROM c, unnest(range(0, 8)) AS u(j))
+    SELECT user_id, frame, event_id, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) + 1 AS grabbed FROM w JOIN placed USING (user_id, frame)"""
+)
+def frames_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames that the windows want, each video's in one pass; grabbed: the frames stepped over until then."""
+    folder = frame_folder(spark, sf_dir)
+    videos = frames.probe(spark, folder).select("video_id", "frames", "duration_sec", "fps")
+    c = D.sliding_chunks(videos, WINDOW)
+    at = D.frame_indices(F.col("start_sec"), F.col("end_sec"), F.col("fps"), F.col("frames"), 8)
+    out = frames.read_wanted(c.select("video_id", F.explode(at).alias("frame")), folder)
+    return out.select(F.col("video_id").cast("long").alias("user_id"), "frame", F.col("image").cast("string").cast("long").alias("event_id"), "grabbed")
+
+
 @query(
     """WITH i AS (SELECT p_partkey, p_size AS h, (p_partkey % 97 + 1)::INT AS w FROM part),
     t AS (SELECT *, h // 3 AS th, w // 3 AS tw, (h // 3 < 1 OR w // 3 < 1) AS small FROM i),
