@@ -2,7 +2,8 @@
 
 Input rows (INPUT): kind is ``chunk``, ``image`` (a job of one still image) or ``error``; ``total`` chunks and the
 ``duration`` come with every row of a job, ``probs`` by class ordinal (null: missing), ``began_ms`` and ``ms`` from the
-scorer's clock. Output rows: (job, seq, type, body), body as JSON. Chunks wait in state until all before them have come;
+scorer's clock. Two further columns may be there, FURTHER: ``frames``, how many images the job's chunks have, and its
+``windows``; the first message carries them. Output rows: (job, seq, type, body), body as JSON. Chunks wait in state until all before them have come;
 after the last one the job's events are found by the same rules as in batch, once, at the end. A job that says nothing for
 ``expiry_sec`` seconds ends with an error, and its state goes; so does the mark of an ended job.
 """
@@ -21,6 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..config import CLASSES, EXPLANATIONS, Settings
 
 INPUT = "job string, kind string, idx long, total long, duration double, probs array<double>, start_sec double, end_sec double, began_ms double, ms double, message string"
+FURTHER = "frames long, windows array<array<double>>"
 OUTPUT = "job string, seq long, type string, body string"
 
 
@@ -96,12 +98,19 @@ def run_times(calls: list[tuple[float, float]], duration: float | None, image: b
     return out | {"rtf": round(wall / 1000 / duration, 3) if duration and not image else None}
 
 
+def layout(row: Any, image: bool) -> dict:
+    """What a client lays out its time line by: the number of images and, of a video, the windows."""
+    frames, windows = getattr(row, "frames", None), getattr(row, "windows", None)
+    out = {} if frames is None or pd.isna(frames) else {"frames": int(frames)}
+    return out if image or windows is None else out | {"windows": [[round(float(x), 2) for x in w] for w in windows]}
+
+
 class OrderedProgress(StatefulProcessor):
     """State of a job: how many messages have left, chunks by index, whether it has ended."""
 
     settings = Settings()
     classes: tuple[str, ...] = CLASSES
-    expiry_sec = 600.0
+    expiry_sec: float | None = 600.0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -123,7 +132,7 @@ class OrderedProgress(StatefulProcessor):
                     continue
                 image = r.kind == "image"
                 if not seq:
-                    say("meta", {"kind": "image" if image else "video", "chunks": int(r.total), "duration": None if pd.isna(r.duration) else round(float(r.duration), 2)})
+                    say("meta", {"kind": "image" if image else "video", "chunks": int(r.total), "duration": None if pd.isna(r.duration) else round(float(r.duration), 2)} | layout(r, image))
                 if r.kind == "error":
                     say("error", {"message": r.message})
                     say("eof", {})
@@ -151,7 +160,9 @@ class OrderedProgress(StatefulProcessor):
         yield pd.DataFrame(out, columns=["job", "seq", "type", "body"])
 
     def _wait(self, timerValues: Any) -> None:
-        """One timer for each job, from its last row on."""
+        """One timer for each job, from its last row on; none without an expiry."""
+        if self.expiry_sec is None:
+            return
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.expiry_sec * 1000))
@@ -168,15 +179,20 @@ class OrderedProgress(StatefulProcessor):
         pass
 
 
-def processor(settings: Settings, classes: tuple[str, ...] = CLASSES, expiry_sec: float = 600.0) -> StatefulProcessor:
+def processor(settings: Settings, classes: tuple[str, ...] = CLASSES, expiry_sec: float | None = 600.0) -> StatefulProcessor:
     own = OrderedProgress()
     own.settings, own.classes, own.expiry_sec = settings, classes, expiry_sec
     return own
 
 
-def ordered_progress(stream: DataFrame, settings: Settings | None = None, classes: tuple[str, ...] = CLASSES, expiry_sec: float = 600.0) -> DataFrame:
-    """Messages in order for each job of a streaming frame (needs the RocksDB state store)."""
-    return stream.groupBy("job").transformWithStateInPandas(processor(settings or Settings(), classes, expiry_sec), OUTPUT, "append", "processingTime")
+def ordered_progress(stream: DataFrame, settings: Settings | None = None, classes: tuple[str, ...] = CLASSES, expiry_sec: float | None = 600.0) -> DataFrame:
+    """Messages in order for each job of a streaming frame (needs the RocksDB state store).
+
+    With an expiry, a query always has timers to wait for; without one (None) it ends when its input does, if its trigger
+    says so, and unfinished jobs wait for the next run.
+    """
+    mode = "none" if expiry_sec is None else "processingTime"
+    return stream.groupBy("job").transformWithStateInPandas(processor(settings or Settings(), classes, expiry_sec), OUTPUT, "append", mode)
 
 
 def server_sent(messages: DataFrame) -> DataFrame:
