@@ -10,6 +10,8 @@ from ..functions import class_of_path, clock, file_stem, fitted_side, media_kind
 from ..operators import matching as M
 from ..operators import quality as Q
 from ..operators import sampling as B
+from ..sources import teacher
+from ..sources.sheets import raw_violations
 from . import table
 
 QUERIES: dict = {}
@@ -218,22 +220,31 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.first_violations(_violations(spark, sf_dir)).groupBy("video_id", "rule").agg(F.count("*").alias("n"))
 
 
-def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "events")
-    i, u = F.col("event_id"), F.col("user_id")
-    events = t.select(
-        u.alias("video_id"),
+RULE_CLASSES = ("normal", "click", "error", "purchase", "signup", "view")
+
+
+def _answers(events: DataFrame) -> DataFrame:
+    """Events (with a video_id) as answers of which some break rules."""
+    i = F.col("event_id")
+    return events.select(
+        "video_id",
         F.when(i % 11 == 0, "normal").when(i % 13 == 0, "odd").otherwise(F.col("event_type")).alias("class_name"),
         F.when(i % 7 == 0, None).when(i % 17 == 0, -1.0).otherwise(F.col("value")).alias("start_sec"),
         F.when(i % 19 != 0, 50.0).alias("end_sec"),
         F.when(i % 3 == 0, F.col("props")).alias("explanation"),
     )
+
+
+def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "events")
+    u = F.col("user_id")
+    events = _answers(t.withColumn("video_id", u))
     users = t.select(u.alias("video_id")).distinct()
     answers = users.unionByName(users.where("video_id % 4 = 1"))
     manifest = users.where("video_id % 10 != 9").select("video_id", (F.col("video_id") % 3 + 1).cast("int").alias("level"))
     times = t.groupBy(u.alias("video_id")).agg(F.sum("value").alias("total_time_ms"), F.count("*").alias("call_count"))
     times = times.withColumn("average_time_ms", F.col("total_time_ms") / F.col("call_count") * F.when(F.col("video_id") % 6 == 0, 1.5).otherwise(1.0))
-    return Q.violations(events, answers, manifest, times, ("normal", "click", "error", "purchase", "signup", "view"))
+    return Q.violations(events, answers, manifest, times, RULE_CLASSES)
 
 
 @query(
@@ -307,6 +318,53 @@ def sheet_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.passing(users, _violations(spark, sf_dir), "video_id")
 
 
+@query(
+    """WITH one AS (SELECT event_id,
+        CASE WHEN event_id % 11 = 0 THEN 'normal' WHEN event_id % 13 = 0 THEN 'odd' ELSE event_type END AS class_name,
+        CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 17 = 0 THEN -1.0 ELSE value END AS start_sec, CASE WHEN event_id % 19 = 0 THEN NULL ELSE 50.0 END AS end_sec,
+        CASE WHEN event_id % 3 = 0 THEN props END AS explanation, user_id % 3 + 1 AS level FROM events)
+    SELECT event_id AS video_id FROM one WHERE class_name NOT IN ('normal', 'odd') AND NOT (level = 1 AND (start_sec IS NOT NULL OR end_sec IS NOT NULL))
+    AND NOT (level <> 1 AND (start_sec IS NULL OR start_sec < 0)) AND NOT (level <> 1 AND start_sec >= 0 AND (end_sec IS NULL OR end_sec <= start_sec))
+    AND (explanation IS NULL OR length(explanation) BETWEEN 20 AND 500)"""
+)
+def sheet_gate_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a sheet of its own: those without a breach are written."""
+    e = table(spark, sf_dir, "events").withColumn("video_id", F.col("event_id"))
+    found = Q.violations(_answers(e), e.select("video_id"), e.select("video_id", (F.col("user_id") % 3 + 1).cast("int").alias("level")), None, RULE_CLASSES)
+    return Q.passing(e.select("video_id"), found, "video_id")
+
+
+#: Raw sheets made of orders: what is left out, null or miscounted goes by the key.
+RAW = """concat('{"note": 1', CASE WHEN o_orderkey % 17 = 0 THEN '' WHEN o_orderkey % 17 = 1 THEN ', "predictions": null' WHEN o_orderkey % 17 = 2 THEN ', "predictions": {}' ELSE concat(', "predictions": [{"x": 0',
+    CASE o_orderkey % 3 WHEN 0 THEN concat(', "video_id": "', CAST(o_custkey AS STRING), '"') WHEN 1 THEN ', "video_id": null' ELSE '' END, CASE o_orderkey % 5 WHEN 0 THEN ', "events": null' WHEN 1 THEN '' ELSE ', "events": []' END,
+    CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN ', "runtime_metadata": null' ELSE concat(', "runtime_metadata": {"model_runtimes": [{"model_name": "m", "call_count": ', CAST(o_orderkey % 4 AS STRING), ', "call_times_ms": [1.5, 2]}, {"model_name": "n", "call_count": 9}]}') END, '}]') END,
+    CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE '}' END)"""
+
+
+@query(
+    f"""WITH s AS (SELECT o_orderkey, {RAW.replace('STRING', 'VARCHAR')} AS value FROM orders),
+    t AS (SELECT *, octet_length(encode(value)) > 150 AS large, o_orderkey % 17 AS m FROM s),
+    a AS (SELECT o_orderkey FROM t WHERE NOT large AND o_orderkey % 13 <> 0 AND m > 2)
+    SELECT o_orderkey, NULL::INT AS answer, CASE WHEN large THEN 'too_large' WHEN o_orderkey % 13 = 0 THEN 'not_json' WHEN m = 0 THEN 'predictions_missing' WHEN m = 1 THEN 'predictions_null' ELSE 'predictions_type' END AS rule, NULL AS detail
+    FROM t WHERE large OR o_orderkey % 13 = 0 OR m <= 2
+    UNION ALL SELECT o_orderkey, 0, CASE o_orderkey % 3 WHEN 1 THEN 'video_id_null' ELSE 'video_id_missing' END, NULL FROM a WHERE o_orderkey % 3 <> 0
+    UNION ALL SELECT o_orderkey, 0, CASE o_orderkey % 5 WHEN 0 THEN 'events_null' ELSE 'events_missing' END, NULL FROM a WHERE o_orderkey % 5 < 2
+    UNION ALL SELECT o_orderkey, 0, CASE o_orderkey % 7 WHEN 1 THEN 'runtime_metadata_null' ELSE 'runtime_metadata_missing' END, NULL FROM a WHERE o_orderkey % 7 < 2
+    UNION ALL SELECT o_orderkey, 0, 'call_times_count', 'm' FROM a WHERE o_orderkey % 7 >= 2 AND o_orderkey % 4 <> 2"""
+)
+def raw_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw JSON sheets of at most 150 bytes: absent and null keys, wrong types, miscounted call times."""
+    return raw_violations(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(RAW).alias("value")), "o_orderkey", limit=150)
+
+
+@query("SELECT conv_id, turn, chr((65 + length(text) % 12)::INT) AS letter FROM conversations WHERE length(text) > 0 AND length(role) > 0 AND length(text) % 12 = length(role) % 12")
+def taught_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that a stand-in model, held by each worker, gives one letter whichever image comes first."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array("text", "role").alias("images"))
+    asked = teacher.ask_twice(c, "letters", lambda: "ABCDEFGHIJKL", lambda model, images: model[len(images[0]) % 12] if images[0] else None)
+    return teacher.taught(asked).drop("images")
+
+
 SHUFFLE = "('0x' || substr(md5('{seed}:' || {key}), 1, 15))::BIGINT"
 
 
