@@ -150,11 +150,11 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     marks = materialize(sketch(base, k))
     classes = marks.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("bands").alias("bands"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
-    cells = classes.select(F.explode("bands").alias("key"), "node", "n")
+    cells = classes.select(F.explode("bands").alias("key"), "node", F.col("least.doc_id").alias("doc"))
     shared = cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(cells.join(shared, "key"))
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    centre = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("o"))).alias("c")).select("key", (-F.col("c.o")).alias("u"))
+    centre = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("o"), "node")).alias("c")).select("key", F.col("c.node").alias("u"))
     pairs = members.join(centre, "key").where("u != node").select("u", F.col("node").alias("v")).distinct()
     # one row stands for each class; only rows that repeat id and text come more than once
     stand = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "least.doc_id", "least.text_hash")
