@@ -156,9 +156,14 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     centre = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("o"), "node")).alias("c")).select("key", F.col("c.node").alias("u"))
     pairs = members.join(centre, "key").where("u != node").select("u", F.col("node").alias("v")).distinct()
-    # one row stands for each class; only rows that repeat id and text come more than once
+    # one row stands for each class; rows that repeat both id and text, if there are any, are reduced to one
     stand = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "least.doc_id", "least.text_hash")
-    texts = base.join(stand, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    twice = materialize(marks.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    texts = base.join(stand, ["doc_id", "text_hash"])
+    if not twice.isEmpty():
+        own = ["doc_id", "text_hash"]
+        again = base.join(stand.join(twice, own, "left_semi"), own).dropDuplicates(own)
+        texts = base.join(stand.join(twice, own, "left_anti"), own).unionByName(again)
     sets = materialize(shingle_sets(texts.select(F.col("node").alias("doc_id"), "text"), k))
     stars = materialize(_compared(pairs, sets))
     first = labels = connected_components(stars.where(_linked(percent)).select("u", "v"))
@@ -167,7 +172,7 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     name = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
     more = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_c", "u").alias("u"), F.coalesce("v_c", "v").alias("v"))
     over = connected_components(more)
-    discard(members, sets, stars, *tables)
+    discard(members, sets, stars, twice, *tables)
     joined = labels.join(over.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     labels = joined.unionByName(over.join(labels.select("node"), "node", "left_anti"))
     named = materialize(classes.drop("bands").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
