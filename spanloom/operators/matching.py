@@ -91,8 +91,8 @@ def _fold(pairs: DataFrame) -> DataFrame:
         more = F.struct(c["g"].alias("g"), F.concat(acc["used"], F.array(c["p"])).alias("used"), F.concat(acc["taken"], F.array(one)).alias("taken")).cast(kind)
         return F.when(free, more).otherwise(acc)
 
-    taken = rows.select("video_id", F.explode(F.aggregate("c", zero, take, lambda acc: acc["taken"])).alias("t"))
-    return taken.select("video_id", F.col("t.g").alias("gt_ord"), F.col("t.p").alias("pred_ord"), F.col("t.iou").alias("iou"))
+    taken = rows.select("video_id", "class_name", F.explode(F.aggregate("c", zero, take, lambda acc: acc["taken"])).alias("t"))
+    return taken.select("video_id", "class_name", F.col("t.g").alias("gt_ord"), F.col("t.p").alias("pred_ord"), F.col("t.iou").alias("iou"))
 
 
 def _pass(block: pd.DataFrame) -> pd.DataFrame:
@@ -121,7 +121,8 @@ def _pass(block: pd.DataFrame) -> pd.DataFrame:
             out.append((truths[at], preds[best], ious[best]))
         at = end
     made = pd.DataFrame(out, columns=["gt_ord", "pred_ord", "iou"])
-    made.insert(0, "video_id", block["video_id"].iloc[0])
+    for k, name in enumerate(("video_id", "class_name")):
+        made.insert(k, name, block[name].iloc[0])
     return made
 
 
@@ -146,7 +147,7 @@ def _rounds(pairs: DataFrame, block: int) -> DataFrame:
         far = F.lit(2**31 - 1)
         asked = rows.join(rival, pred).withColumn("rival", F.coalesce(F.when(F.col("a._block") != F.col("_block"), F.col("a.w")).otherwise(F.col("b")), far)).drop("a", "b")
         kind = rows.schema["video_id"].dataType.simpleString()
-        done = materialize(asked.groupBy(*own, "_block").applyInPandas(_pass, f"video_id {kind}, gt_ord int, pred_ord int, iou double"))
+        done = materialize(asked.groupBy(*own, "_block").applyInPandas(_pass, f"video_id {kind}, class_name string, gt_ord int, pred_ord int, iou double"))
         settled.append(done)
         left = missing(missing(rows, done, ["video_id", "gt_ord"]), done.where("pred_ord >= 0"), pred)
         rows, before = materialize(left), rows
@@ -186,7 +187,7 @@ def match_first(truths: DataFrame, preds: DataFrame, gate: float = GATE, timed:
         own = ["video_id", "class_name"]
         g = truths.select(*own, F.col("gt_ord").cast("int").alias("gt_ord"), F.row_number().over(Window.partitionBy(*own).orderBy("gt_ord")).alias("_turn"))
         p = preds.select(*own, F.col("pred_ord").cast("int").alias("pred_ord"), F.row_number().over(Window.partitionBy(*own).orderBy("pred_ord")).alias("_turn"))
-        return g.join(p, [*own, "_turn"]).select("video_id", "gt_ord", "pred_ord", F.lit(None).cast("double").alias("iou"))
+        return g.join(p, [*own, "_turn"]).select("video_id", "class_name", "gt_ord", "pred_ord", F.lit(None).cast("double").alias("iou"))
     return _greedy(overlaps(truths, preds, gate), False, rounds, fold, block)
 
 
@@ -279,8 +280,10 @@ def precision_recall(truths: DataFrame, preds: DataFrame, matches: DataFrame) ->
 
 
 def per_class(truths: DataFrame, preds: DataFrame, matches: DataFrame) -> DataFrame:
-    """class_name, found, total, false: from truths, matches and unmatched predictions."""
-    found = matches.join(truths, ["video_id", "gt_ord"]).select("class_name", F.lit(1).alias("found"), F.lit(0).alias("total"), F.lit(0).alias("false"))
-    total = truths.select("class_name", F.lit(0).alias("found"), F.lit(1).alias("total"), F.lit(0).alias("false"))
-    false = unmatched(preds, matches).select("class_name", F.lit(0).alias("found"), F.lit(0).alias("total"), F.lit(1).alias("false"))
-    return found.unionByName(total).unionByName(false).groupBy("class_name").agg(*[F.sum(c).alias(c) for c in ("found", "total", "false")])
+    """class_name, found, total, false: matches, truths, and predictions that nothing matched.
+
+    A match has one class and uses up one truth and one prediction, so counts by class say it all, without a join of rows.
+    """
+    count = lambda df, *own: df.groupBy("class_name").agg(F.count("*").alias("_n")).select("class_name", *[(F.lit(x) * F.col("_n")).alias(n) for n, x in zip(("found", "total", "false"), own, strict=True)])
+    every = count(matches, 1, 0, -1).unionByName(count(truths, 0, 1, 0)).unionByName(count(preds, 0, 0, 1))
+    return every.groupBy("class_name").agg(*[F.sum(c).alias(c) for c in ("found", "total", "false")])

@@ -53,7 +53,12 @@ def balance_plan(rows: DataFrame, label: str, share: float, normal: str = "norma
     Enough normals: keep that many. Too few: keep all and shrink the other classes alike, each to one row at least; no
     normals at all: keep every other row.
     """
-    n = rows.groupBy(label).agg(F.count("*").alias("n"))
+    return _plan(rows.groupBy(label).agg(F.count("*").alias("n")), label, share, normal)
+
+
+def _plan(n: DataFrame, label: str, share: float, normal: str) -> DataFrame:
+    """balance_plan() of the labels' counts ``n``, with their further columns."""
+    more = [c for c in n.columns if c not in (label, "n")]
     every = W.partitionBy(F.lit(1))  # one row for each class
     n = n.withColumns({"_normal": F.sum(F.when(F.col(label) == normal, F.col("n")).otherwise(0)).over(every), "_other": F.sum(F.when(F.col(label) != normal, F.col("n")).otherwise(0)).over(every)})
     wanted = F.floor(F.col("_other") * F.lit(share) / F.lit(max(1 - share, 1e-6)))
@@ -61,7 +66,7 @@ def balance_plan(rows: DataFrame, label: str, share: float, normal: str = "norma
     shrunk = F.greatest(F.lit(1), F.rint(F.col("n") * (most / F.col("_other"))).cast("long"))
     other = F.when((F.col("_normal") < wanted) & (most > 0) & (most < F.col("_other")), F.least(shrunk, "n")).otherwise(F.col("n"))
     keep = F.when(F.col(label) == normal, F.least("n", wanted)).otherwise(other)
-    return n.select(label, "n", keep.cast("long").alias("keep"))
+    return n.select(label, "n", keep.cast("long").alias("keep"), *more)
 
 
 #: Precision of the percentiles that bound a label's cut-off: about n / ACCURACY rows of a label are sorted.
@@ -78,12 +83,11 @@ def balance(rows: DataFrame, label: str, share: float, order: list, normal: str
     first, *ties = order
     first = first if isinstance(first, Column) else F.col(first)
     marked = rows.withColumn("_at", F.coalesce(first.cast("double"), F.lit(float("inf"))))
-    plan = balance_plan(rows, label, share, normal)
     place = lambda d: F.least(F.greatest((F.col("keep") + d) / F.col("n"), F.lit(0.0)), F.lit(1.0))
     slack = F.ceil(2 * F.col("n") / ACCURACY) + 1
-    sketch = marked.groupBy(label).agg(F.percentile_approx("_at", [i / ACCURACY for i in range(0, ACCURACY + 1, 10)], ACCURACY).alias("_q"), F.min("_at").alias("_min"), F.max("_at").alias("_max"))
+    sketch = marked.groupBy(label).agg(F.count("*").alias("n"), F.percentile_approx("_at", [i / ACCURACY for i in range(0, ACCURACY + 1, 10)], ACCURACY).alias("_q"), F.min("_at").alias("_min"), F.max("_at").alias("_max"))
     step = ACCURACY // 10
-    own = plan.join(sketch, label).withColumns({"_a": F.element_at("_q", (F.floor(place(-slack) * step) + 1).cast("int")), "_b": F.element_at("_q", (F.ceil(place(slack) * step) + 1).cast("int"))})
+    own = _plan(sketch, label, share, normal).withColumns({"_a": F.element_at("_q", (F.floor(place(-slack) * step) + 1).cast("int")), "_b": F.element_at("_q", (F.ceil(place(slack) * step) + 1).cast("int"))})
     own = own.select(label, "keep", "_a", "_b", "_min", "_max")  # one row for each class
     n = marked.join(F.broadcast(own.select(label, "_a", "_b")), label).groupBy(label).agg(F.sum((F.col("_at") < F.col("_a")).cast("long")).alias("_under"), F.sum((F.col("_at") <= F.col("_b")).cast("long")).alias("_upto"))
     own = own.join(n, label).withColumn("_good", (F.col("_under") <= F.col("keep")) & (F.col("_upto") >= F.col("keep")))
