@@ -229,22 +229,30 @@ def _descent(counts: np.ndarray, capacity: int, most: int, slack: int | None = N
     return found
 
 
-def solve(histogram: dict[int, int], capacity: int, nodes: int = 20_000) -> Packing:
+#: Descents of solve(): (most lengths of a filling, slack), the most useful ones first.
+DESCENTS = [(0, None), (5, None), (7, 7), (4, None), (7, 1), (3, None), (6, None), *((7, s) for s in range(2, 17) if s != 7), (2, None), (1, None)]
+
+
+def solve(histogram: dict[int, int], capacity: int, nodes: int = 4000, effort: int = 8000) -> Packing:
     """Patterns that use every length exactly as often as the histogram says, by bin completion.
 
     The incumbent is the best of some descents: that by best fit, those that take for the largest length left the filling of
     least waste by up to 1, 2, ... lengths, and those that allow a little waste for fewer lengths. If it needs more sequences
     than the bound, the search branches: over all undominated fillings of the largest length, each used as often as it lasts
     or once, so that a leaf is only as many steps away as there are patterns; a branch is cut when what it has wasted leaves
-    no packing below the incumbent. ``nodes`` limits this search, for which no bounded method is known; ``optimal`` says
-    whether the result is proven.
+    no packing below the incumbent. ``effort`` limits the patterns made by descents (the one begun is finished) and ``nodes``
+    the steps of the search, for which no bounded method is known; ``optimal`` says whether the result is proven.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
     bound, best, used = least_sequences(histogram, capacity), [], None
-    for most, slack in [(m, None) for m in range(7)] + [(7, s) for s in range(1, 17)]:
+    made = 0
+    for most, slack in DESCENTS:
+        if made > effort:
+            break
         found = _descent(counts, capacity, most, slack)
+        made += len(found)
         n = sum(p.times for p in found)
         if used is None or n < used:
             best, used = found, n
