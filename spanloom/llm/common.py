@@ -2,39 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, ``spark.checkpoint.dir``; a session without one is refused, not given a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage on storage that outlives executors, and makes every later reader see the same rows.
-    """
-    path = f"{shared_folder(df.sparkSession)}/spanloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that nothing reads any more."""
-    for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if folder.rsplit("/", 1)[-1].startswith("spanloom-"):
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+from ..tables import discard, materialize, shared_folder  # noqa: F401  the operators take them from here
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,8 @@ def _settled(base: DataFrame, keep: str) -> DataFrame:
     salted = neighbours(salted.repartitionByRange(F.col("order"), F.col("hash"), F.col("salt")), ["order", "hash", "salt", "text"])
     one = salted.select("text_sha256", "salt", F.col("keep_id").alias("best"), F.col("group_size").alias("size")).distinct()  # of a text and salt, combined in each task
     winners = one.groupBy("text_sha256").agg(best("best").alias("keep_id"), F.sum("size").alias("group_size"))
-    warm = salted.drop("keep_id", "group_size", "salt").join(winners, "text_sha256")
+    # a row for each hot text, so as few as ``hot`` has
+    warm = salted.drop("keep_id", "group_size", "salt").join(F.broadcast(winners), "text_sha256")
     return cold.unionByName(warm)
 
 
