@@ -196,14 +196,27 @@ def unmatched(preds: DataFrame, matches: DataFrame) -> DataFrame:
     return missing(preds, matches, ["video_id", "pred_ord"])
 
 
+#: Cells that an event may spread over before it goes to cells SPREAD times as long, and how many such levels there are.
+SPREAD, LEVELS = 64, 5
+
+
 def at_time(points: DataFrame, events: DataFrame, cell: float = 60.0) -> DataFrame:
     """points (video_id, t) with the first event (by event_ord) active at t, ends included; points without one stay.
 
-    Both sides meet in cells of ``cell`` seconds, so that a long series is no quadratic join.
+    Both sides meet in cells of ``cell`` seconds, so that a long series is no quadratic join. An event over more than SPREAD
+    of them goes to longer cells, level by level, and for those events alone each point goes to one cell of every level.
     """
-    spread = F.explode(F.sequence(F.floor(F.col("start_sec") / cell).cast("long"), F.floor(F.col("end_sec") / cell).cast("long")))
-    e = events.where("start_sec <= end_sec").select("video_id", "event_ord", "class_name", "start_sec", "end_sec", spread.alias("_cell"))
-    hits = points.withColumn("_cell", F.floor(F.col("t") / cell).cast("long")).join(e, ["video_id", "_cell"]).where(F.col("t").between(F.col("start_sec"), F.col("end_sec")))
+    size = lambda level: F.lit(cell) * F.pow(F.lit(float(SPREAD)), level)
+    at = lambda c, level: F.floor(F.col(c) / size(level)).cast("long")
+    over = F.log(F.greatest(F.col("end_sec") - F.col("start_sec"), F.lit(cell)) / F.lit(cell * SPREAD)) / F.log(F.lit(float(SPREAD)))
+    level = F.least(F.greatest(F.ceil(over), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+    e = events.where("start_sec <= end_sec").select("video_id", "event_ord", "class_name", "start_sec", "end_sec", level.alias("_level"))
+    e = e.withColumn("_cell", F.explode(F.sequence(at("start_sec", F.col("_level")), at("end_sec", F.col("_level")))))
+    active = F.col("t").between(F.col("start_sec"), F.col("end_sec"))
+    near = points.withColumn("_cell", at("t", F.lit(0))).join(e.where("_level = 0").drop("_level"), ["video_id", "_cell"]).where(active)
+    levels = points.withColumn("_level", F.explode(F.array(*map(F.lit, range(1, LEVELS)))))
+    far = levels.withColumn("_cell", at("t", F.col("_level"))).join(e.where("_level > 0"), ["video_id", "_level", "_cell"]).where(active)
+    hits = near.select("video_id", "t", "class_name", "event_ord").unionByName(far.select("video_id", "t", "class_name", "event_ord"))
     first = hits.groupBy("video_id", "t").agg(F.min_by("class_name", "event_ord").alias("class_name"), F.min("event_ord").alias("event_ord"))
     return points.join(first, ["video_id", "t"], "left")
 

@@ -89,3 +89,24 @@ def test_cells_lose_no_pair(spark, gate):
 def test_empty(spark):
     g, p = frames(spark, [("v", 0, "c", 0.0, 1.0)], [("v", 0, "c", 0.0, 1.0)])
     assert M.match_best(g.limit(0), p, rounds=True).count() == 0 and M.match_first(g, p.limit(0)).count() == 0
+
+
+def test_points_in_events_of_any_length(spark):
+    """Events from nothing to years, against loops; none spreads over more than SPREAD + 2 cells, whatever its length."""
+    rng = random.Random(9)
+    lengths = [0.0, 0.5, 3.0, 60.0, 64 * 2.0, 64 * 2.0 + 1, 5e3, 4e5, 3e7, 2e9]
+    events = []
+    for v in "ab":
+        for i in range(60):
+            n = rng.choice(lengths)
+            s = rng.uniform(-n, 2000)
+            events.append((v, i, f"c{i}", s, s + n))
+    events.append(("a", 99, "inverted", 5.0, 1.0))
+    points = [(v, float(t)) for v in "abc" for t in (*range(0, 2000, 13), *(e[3] for e in events[:10]), *(e[4] for e in events[:10] if e[4] < 1e6))]
+    points = sorted(set(points))
+    got = M.at_time(spark.createDataFrame(points, "video_id string, t double"), spark.createDataFrame(events, "video_id string, event_ord int, class_name string, start_sec double, end_sec double"), 2.0)
+    want = {}
+    for v, t in points:
+        own = [e for e in events if e[0] == v and e[3] <= t <= e[4]]
+        want[v, t] = min(own, key=lambda e: e[1])[2] if own else None
+    assert {(r["video_id"], r["t"]): r["class_name"] for r in got.collect()} == want
