@@ -110,3 +110,15 @@ def test_mixing_is_optimal_and_says_so(spark):
             for _ in range(3000):
                 better = np.clip(better - 0.9 * n * (p @ (((better * n) @ p - fit.targets) / ((n * n) @ p))), 0, high)
             assert objective(rate) <= 1.05 * objective(better)
+
+
+def test_mixing_query_meets_its_targets(spark):
+    """The registered query: expected tokens by domain are four fifths high and one fifth low, and it says so."""
+    from spanloom.llm import queries
+
+    rows = queries.op1_mixing(spark, SF).toPandas()
+    tokens = rows.rate * rows.n_tokens
+    high, low = (tokens * rows.p_high).sum(), (tokens * rows.p_low).sum()
+    assert rows.reached.all() and len(rows) == 1000 and abs(high / (high + low) - 0.8) < 1e-3
+    assert abs((high + low) / rows.n_tokens.sum() - 1) < 1e-3 and (rows.rate >= 0).all()
+    assert abs((rows.copies * rows.n_tokens).sum() / tokens.sum() - 1) < 0.1
