@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import iou
+from ..functions import iou, let
 from ..tables import discard, materialize
 from .segments import numbered
 
@@ -75,14 +75,12 @@ def overlaps(truths: DataFrame, preds: DataFrame, gate: float | None = GATE) ->
 FOLD, BLOCK = 200, 50_000
 
 
-def _fold(pairs: DataFrame) -> DataFrame:
-    """Pairs taken in order (truth, ``_o``, prediction) if neither side is taken yet, cluster by cluster in one row each.
+def _taken(candidates: Column) -> Column:
+    """Sorted candidates (g, o, p, iou) taken one after the other if neither side is taken yet.
 
     The order begins with the truth, so of the truths only the last one taken is kept in mind.
     """
     kind = "struct<g:int,used:array<int>,taken:array<struct<g:int,p:int,iou:double>>>"
-    order = F.struct(F.col("gt_ord").alias("g"), F.col("_o").alias("o"), F.col("pred_ord").alias("p"), F.col("iou").alias("iou"))
-    rows = pairs.groupBy("video_id", "class_name", "cluster").agg(F.sort_array(F.collect_list(order)).alias("c"))
     zero = F.struct(F.lit(-1).alias("g"), F.array().alias("used"), F.array().alias("taken")).cast(kind)
 
     def take(acc: Column, c: Column) -> Column:
@@ -91,10 +89,35 @@ def _fold(pairs: DataFrame) -> DataFrame:
         more = F.struct(c["g"].alias("g"), F.concat(acc["used"], F.array(c["p"])).alias("used"), F.concat(acc["taken"], F.array(one)).alias("taken")).cast(kind)
         return F.when(free, more).otherwise(acc)
 
-    taken = rows.select("video_id", "class_name", F.explode(F.aggregate("c", zero, take, lambda acc: acc["taken"])).alias("t"))
+    return F.aggregate(candidates, zero, take, lambda acc: acc["taken"])
+
+
+def _unfolded(rows: DataFrame) -> DataFrame:
+    taken = rows.select("video_id", "class_name", F.explode(_taken(F.col("c"))).alias("t"))
     return taken.select("video_id", "class_name", F.col("t.g").alias("gt_ord"), F.col("t.p").alias("pred_ord"), F.col("t.iou").alias("iou"))
 
 
+def _fold(pairs: DataFrame) -> DataFrame:
+    """Pairs taken in order (truth, ``_o``, prediction), cluster by cluster in one row each."""
+    order = F.struct(F.col("gt_ord").alias("g"), F.col("_o").alias("o"), F.col("pred_ord").alias("p"), F.col("iou").alias("iou"))
+    return _unfolded(pairs.groupBy("video_id", "class_name", "cluster").agg(F.sort_array(F.collect_list(order)).alias("c")))
+
+
+def _fold_clusters(truths: DataFrame, preds: DataFrame, gate: float, best: bool) -> DataFrame:
+    """The same from the intervals themselves: a cluster's two sides are gathered once and paired within their row, so
+    neither side is computed again for a join."""
+    side = lambda truth: F.collect_list(F.when(F.col("is_truth") == truth, F.struct("ord", "start_sec", "end_sec")))
+    rows = _clusters(truths, preds).groupBy("video_id", "class_name", "cluster").agg(side(True).alias("g"), side(False).alias("p"))
+
+    def pair(g: Column, p: Column) -> Column:
+        own = iou(g["start_sec"], g["end_sec"], p["start_sec"], p["end_sec"])
+        return let(own, lambda x: F.struct(g["ord"].alias("g"), (-x if best else F.lit(0.0)).alias("o"), p["ord"].alias("p"), x.alias("iou")))
+
+    near = lambda g: F.filter("p", lambda p: (p["start_sec"] < g["end_sec"]) & (p["end_sec"] > g["start_sec"]))
+    every = F.flatten(F.transform("g", lambda g: F.filter(F.transform(near(g), lambda p: pair(g, p)), lambda c: c["iou"] >= gate)))
+    return _unfolded(rows.where((F.size("g") > 0) & (F.size("p") > 0)).select("video_id", "class_name", F.sort_array(every).alias("c")))
+
+
 def _pass(block: pd.DataFrame) -> pd.DataFrame:
     """What is sure in a block: truths in order, each with its best free prediction, unless an earlier truth may want that.
 
@@ -157,17 +180,17 @@ def _rounds(pairs: DataFrame, block: int) -> DataFrame:
             return reduce(DataFrame.unionByName, settled).where("pred_ord >= 0")
 
 
-def _greedy(pairs: DataFrame, best: bool, rounds: bool, fold: int, block: int) -> DataFrame:
+def _greedy(truths: DataFrame, preds: DataFrame, gate: float, best: bool, rounds: bool, fold: int, block: int) -> DataFrame:
     """Truths in order take a free prediction: the one of greatest IoU (``best``), else the first; ties: the first.
 
-    Each cluster's candidates are folded in a row, and nothing runs until the result is read. With ``rounds``, the candidates
-    are written once, clusters of up to ``fold`` of them are folded, and larger ones go by rounds.
+    Each cluster is folded in a row, and nothing runs until the result is read. With ``rounds``, the candidates are written
+    once, clusters of up to ``fold`` of them are folded, and larger ones go by rounds.
     """
+    if not rounds:
+        return _fold_clusters(truths, preds, gate, best)
     own = ["video_id", "class_name", "cluster"]
     columns = [F.col("gt_ord").cast("int").alias("gt_ord"), F.col("pred_ord").cast("int").alias("pred_ord"), "iou", (-F.col("iou") if best else F.lit(0.0)).alias("_o"), "g0"]
-    if not rounds:
-        return _fold(pairs.select(*own, *columns))
-    pairs = materialize(pairs.select(*own, *columns))
+    pairs = materialize(overlaps(truths, preds, gate).select(*own, *columns))
     large = pairs.groupBy(*own).agg(F.count("*").alias("n")).where(F.col("n") > fold).select(*own)
     if large.isEmpty():
         return _fold(pairs)
@@ -177,7 +200,7 @@ def _greedy(pairs: DataFrame, best: bool, rounds: bool, fold: int, block: int) -
 def match_best(truths: DataFrame, preds: DataFrame, gate: float = GATE, rounds: bool = False, fold: int = FOLD, block: int = BLOCK) -> DataFrame:
     """Truths in order take their unused prediction of greatest IoU (ties: the first). rounds: for series in which thousands of
     intervals overlap each other in one cluster, so that none is a row."""
-    return _greedy(overlaps(truths, preds, gate), True, rounds, fold, block)
+    return _greedy(truths, preds, gate, True, rounds, fold, block)
 
 
 def match_first(truths: DataFrame, preds: DataFrame, gate: float = GATE, timed: bool = True, rounds: bool = False, fold: int = FOLD, block: int = BLOCK) -> DataFrame:
@@ -188,7 +211,7 @@ def match_first(truths: DataFrame, preds: DataFrame, gate: float = GATE, timed:
         g = truths.select(*own, F.col("gt_ord").cast("int").alias("gt_ord"), F.row_number().over(Window.partitionBy(*own).orderBy("gt_ord")).alias("_turn"))
         p = preds.select(*own, F.col("pred_ord").cast("int").alias("pred_ord"), F.row_number().over(Window.partitionBy(*own).orderBy("pred_ord")).alias("_turn"))
         return g.join(p, [*own, "_turn"]).select("video_id", "class_name", "gt_ord", "pred_ord", F.lit(None).cast("double").alias("iou"))
-    return _greedy(overlaps(truths, preds, gate), False, rounds, fold, block)
+    return _greedy(truths, preds, gate, False, rounds, fold, block)
 
 
 def unmatched(preds: DataFrame, matches: DataFrame) -> DataFrame:
