@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -47,16 +48,43 @@ TEMPLATES: dict[str, str] = {
     "Proprietary-line": "All rights reserved. No part of this work may be reproduced without permission.",
     "Proprietary-short-line": "All rights reserved.",
 }
+#: Whole texts, without the lines that differ from copy to copy (holder, year).
+_MIT_GRANT = TEMPLATES["MIT"]
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_NOTICE = "provided that the above copyright notice and this permission notice appear in all copies"
+_ISC_DISCLAIMER = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE"
+_NO_CLAIM = "OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+TEMPLATES |= {
+    "MIT-full": f"{_MIT_GRANT} {_AS_IS} AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES {_NO_CLAIM}",
+    "BSD-2-Clause-full": f"{_BSD_GRANT} {_BSD_DISCLAIMER}",
+    "BSD-3-Clause-full": f"{_BSD_GRANT} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "ISC-full": f"{_ISC_GRANT}, {_ISC_NOTICE}. {_ISC_DISCLAIMER}",
+    "0BSD-full": f"{_ISC_GRANT}. {_ISC_DISCLAIMER}",
+    "Zlib-full": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0-full": f"Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. {_AS_IS}, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Unlicense-full": f"This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. {_AS_IS} AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES {_NO_CLAIM}",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+}
 #: What tells a licence from its neighbours, as it must stand in the words of a block (joined by blanks).
 DECIDING: dict[str, str] = {
     "Apache-2.0": r"apache license (?:version )?2\.0",
     "Apache-1.1": r"apache license (?:version )?1\.1",
     "MIT": r"mit license|deal in the \S+ without restriction",
     "BSD": r"bsd license",
+    "BSD-3-Clause-full": r"endorse or promote products derived",
+    "ISC": r"appear in all copies",
+    "MPL-2.0": r"mozilla public license (?:version |v )?2\.0",
+    "LGPL-2.1": r"gnu lesser general public license as published by (?:\S+ ){0,6}either version 2\.1",
     "GPL-3.0": r"gnu general public license (?:version |v)?3(?:\.0)?|gnu general public license as published by (?:\S+ ){0,6}either version 3(?:\.0)?",
     "GPL-2.0": r"gnu general public license (?:version |v)?2(?:\.0)?|gnu general public license as published by (?:\S+ ){0,6}either version 2(?:\.0)?",
     "LGPL-3.0": r"gnu lesser general public license (?:version |v)?3(?:\.0)?",
-    "AGPL-3.0": r"gnu affero general public license (?:version |v)?3(?:\.0)?",
+    "AGPL-3.0": r"gnu affero general public license (?:version |v)?3(?:\.0)?|gnu affero general public license as published by (?:\S+ ){0,6}either version 3(?:\.0)?",
     "CC-BY-4.0": r"(?:cc by|attribution) 4\.0",
     "CC-BY-NC-4.0": r"(?:by-nc|attribution-noncommercial) 4\.0",
     "CC-BY-SA-4.0": r"(?:by-sa|attribution-sharealike) 4\.0",
@@ -82,25 +110,25 @@ def align(block: list[str], template: list[str]) -> tuple[int, int, int, int]:
     Words of the block before the first and after the last one found cost nothing.
     """
     width = len(block)
-    cost, origin = [0] * (width + 1), list(range(width + 1))
+    ids = {w: i for i, w in enumerate(dict.fromkeys(block))}
+    words = np.array([ids[w] for w in block], np.int64)
+    unit = width + 1  # a cost, and below it how far from the block's end the alignment begins
+    step = np.arange(unit) * unit
+    state = np.arange(width, -1, -1, dtype=np.int64)
     for word in template:
-        above, begun = cost, origin
-        cost, origin = [above[0] + MISS] + [0] * width, [begun[0]] + [0] * width
-        for i in range(width):
-            best, at = above[i + 1] + MISS, begun[i + 1]
-            if cost[i] + 1 < best:
-                best, at = cost[i] + 1, origin[i]
-            if block[i] == word and above[i] <= best:
-                best, at = above[i], begun[i]
-            cost[i + 1], origin[i + 1] = best, at
-    end = min(range(width + 1), key=cost.__getitem__)
-    first = origin[end]
-    missing = (cost[end] + len(template) - (end - first)) // (MISS + 1)
+        above = state + MISS * unit
+        if word in ids:
+            above[1:] = np.where(words == ids[word], np.minimum(above[1:], state[:-1]), above[1:])
+        state = np.minimum.accumulate(above - step) + step
+    cost = state // unit
+    end = int(cost.argmin())
+    first = width - int(state[end] % unit)
+    missing = (int(cost[end]) + len(template) - (end - first)) // (MISS + 1)
     return missing, end - first - len(template) + missing, first, end
 
 
 def license_of(template: str) -> str:
-    return template.removesuffix("-line").removesuffix("-long").removesuffix("-short")
+    return template.removesuffix("-line").removesuffix("-long").removesuffix("-short").removesuffix("-full")
 
 
 class Scanner:
@@ -115,13 +143,14 @@ class Scanner:
         made = [zstandard.ZstdCompressionDict(" ".join(w).encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for w in self.words]
         self.conditional = [zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False) for d in made]
         self.own = [len(self.plain.compress(" ".join(w).encode())) - self.frame for w in self.words]
-        self.deciding = [re.compile(rf"(?:^| )(?:{DECIDING[x]})(?: |$)") if x in DECIDING else None for x in self.names]
-        self.pairs: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        rules = [DECIDING.get(t, DECIDING.get(x)) for t, x in zip(templates, self.names, strict=True)]
+        self.deciding = [re.compile(rf"(?:^| )(?:{r})(?: |$)") if r else None for r in rules]
+        self.pairs: dict[tuple[str, ...], dict[int, list[int]]] = {}
         self.single = any(len(w) == 1 for w in self.words)
         self.needed = []
         for k, w in enumerate(self.words):
             for b in range(max(1, len(w) - 1)):
-                self.pairs.setdefault(tuple(w[b : b + 2]), []).append((k, b))
+                self.pairs.setdefault(tuple(w[b : b + 2]), {}).setdefault(k, []).append(b)
             self.needed.append(max(1, (len(w) - 1 - 2 * int((1 - LEAST_WORDS) * len(w))) // 2))
         self.seen: dict[tuple[int, tuple[str, ...]], tuple | None] = {}
 
@@ -143,15 +172,15 @@ class Scanner:
 
     def match(self, words: list[str]) -> list[tuple[int, int, str, float, int, int]]:
         """(first, end, license, saved, missing words, added words) of each licence; of overlapping ones the longest."""
-        hits: dict[int, list[tuple[int, int]]] = {}
+        hits: dict[int, list[tuple[int, list[int]]]] = {}  # a place counts once, however often its pair stands in the template
         known = self.pairs
         for i, pair in enumerate(zip(words, words[1:])):
             if pair in known:
-                for k, b in known[pair]:
-                    hits.setdefault(k, []).append((i, b))
+                for k, spots in known[pair].items():
+                    hits.setdefault(k, []).append((i, spots))
         for i in range(len(words)) if self.single else ():
-            for k, b in known.get((words[i],), ()):
-                hits.setdefault(k, []).append((i, b))
+            for k, spots in known.get((words[i],), {}).items():
+                hits.setdefault(k, []).append((i, spots))
         found: list[tuple[int, int, int, tuple]] = []
         for k, own in hits.items():
             n = len(self.words[k])
@@ -163,7 +192,7 @@ class Scanner:
                 while e < len(own) and own[e][0] < at + n + slack:
                     e += 1
                 after = at + 1
-                if e - s >= self.needed[k] and len({b for _, b in own[s:e]}) >= self.needed[k]:
+                if e - s >= self.needed[k] and len({b for _, spots in own[s:e] for b in spots}) >= self.needed[k]:
                     low, high = max(0, at - slack), at + n + 2 * slack
                     after = at + max(1, n // 4)
                     while high > low and (hit := self.confirm(k, words[low:high])):
