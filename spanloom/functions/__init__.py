@@ -113,3 +113,22 @@ def clock(seconds: Column) -> Column:
     """m:ss"""
     whole = F.floor(seconds).cast("long")
     return F.concat((F.floor(whole / 60)).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+
+
+def fourcc(code: Column) -> Column:
+    """The codec name in a whole number's four lowest bytes, lowest first, without white space at its ends."""
+    number = code.cast("long")
+    name = F.concat(*[F.char(F.shiftright(number, 8 * i).bitwiseAND(0xFF)) for i in range(4)])
+    blank = r"[\s\x1c-\x1f\x85\xa0]+"
+    return F.regexp_replace(name, f"^{blank}|{blank}$", "")
+
+
+def encoded_image(data: Column) -> Column:
+    """Bytes of an image as one line of base64; null where it could not be encoded (null or no bytes)."""
+    return F.when(F.octet_length(data) > 0, F.regexp_replace(F.base64(data), r"\s", ""))
+
+
+def decoded_image(text: Column) -> Column:
+    """Bytes of a base64 text, with or without a data URL's head; null where it is none."""
+    body = F.regexp_replace(text, r"^data:[^,]*;base64,", "")
+    return F.when(F.length(body) > 0, F.try_to_binary(body, F.lit("base64")))

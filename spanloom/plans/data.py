@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sources as S
-from ..functions import class_of_path, clock, file_stem, fitted_side, media_kind
+from ..functions import class_of_path, clock, decoded_image, encoded_image, file_stem, fitted_side, fourcc, media_kind
 from ..operators import matching as M
 from ..operators import quality as Q
 from ..operators import sampling as B
@@ -142,6 +142,28 @@ def probe_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", fps.alias("fps"), frames.alias("frames"), F.round(dur, 9).alias("dur"))
 
 
+# ------------------------------------------------------------------ binary values
+@query(
+    """WITH b AS (SELECT event_id, 9 + event_id % 247 AS b0, 9 + (event_id * 7) % 247 AS b1, 9 + (event_id * 31) % 247 AS b2, 9 + (event_id * 101) % 247 AS b3 FROM events)
+    SELECT event_id, regexp_replace(chr(b0::INTEGER) || chr(b1::INTEGER) || chr(b2::INTEGER) || chr(b3::INTEGER),
+                                    '^[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}]+|[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}]+$', '', 'g') AS codec FROM b"""
+)
+def codec_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stand in for probed videos: four bytes made from the event's number are its codec."""
+    code = sum((9 + (F.col("event_id") * m) % 247) * 256**i for i, m in enumerate((1, 7, 31, 101)))
+    return table(spark, sf_dir, "events").select("event_id", fourcc(code).alias("codec"))
+
+
+@query(
+    """SELECT page_id, nullif(base64(encode(coalesce(html, ''))), '') AS image, octet_length(encode(html))::BIGINT AS n_bytes, md5(html) AS decoded_md5 FROM pages"""
+)
+def images_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stand in for image files: written as base64 for a request, and read back from a data URL."""
+    p = table(spark, sf_dir, "pages").select("page_id", encoded_image(F.encode("html", "utf-8")).alias("image"))
+    back = decoded_image(F.concat(F.lit("data:image/jpeg;base64,"), "image"))
+    return p.select("page_id", "image", F.octet_length(back).cast("long").alias("n_bytes"), F.md5(back).alias("decoded_md5"))
+
+
 # ------------------------------------------------------------------ manifests, sheets
 #: Most entries of one document: longer manifests and sheets are written in parts.
 PART = 1000

@@ -1,11 +1,13 @@
 """Raw sheets, uploads that land once, a teacher held by its worker."""
 
+import base64
 import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import decoded_image, encoded_image, fourcc
 from spanloom.sources import landing, teacher
 from spanloom.sources.sheets import raw_violations
 from spanloom.streaming import delivery
@@ -88,3 +90,19 @@ def test_a_worker_loads_its_model_once(spark, tmp_path):
     kept = teacher.taught(asked).select("id", "letter").collect()
     assert {r["id"]: r["letter"] for r in kept} == {i: "ABCDEFG"[i % 7] for i in range(400) if i % 7 == i % 3}
     assert "images" in df.columns and df.columns == ["id", "images"]
+
+
+def test_codec_names_equal_plain_bits(spark):
+    codes = [None, 0, 0x31637661, 0x34363248, 0x20202020, 0x20204649, 0xFFA08541, 0x0A1C4120, 2**31 + 5, -1]
+    got = [r["c"] for r in spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, code long").orderBy("i").select(fourcc(F.col("code")).alias("c")).collect()]
+    assert got == [None if c is None else "".join(chr((c >> 8 * i) & 0xFF) for i in range(4)).strip() for c in codes]
+
+
+def test_images_as_text_and_back(spark):
+    images = [None, b"", b"\xff\xd8\xff", bytes(range(256)) * 40]
+    df = spark.createDataFrame(list(enumerate(images)), "i int, data binary").select("i", encoded_image(F.col("data")).alias("text"))
+    assert [r["text"] for r in df.orderBy("i").collect()] == [base64.b64encode(x).decode() if x else None for x in images]
+    back = df.select("i", decoded_image(F.col("text")).alias("a"), decoded_image(F.concat(F.lit("data:image/png;base64,"), "text")).alias("b"))
+    assert [(r["a"], r["b"]) for r in back.orderBy("i").collect()] == [(x or None, x or None) for x in images]
+    bad = spark.createDataFrame([("no base64!",), ("data:image/png;base64,",), ("",), (None,)], "t string")
+    assert [r["x"] for r in bad.select(decoded_image(F.col("t")).alias("x")).collect()] == [None] * 4
