@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import materialize
+
 
 def shuffled(seed: int, *keys: str) -> Column:
     """A repeatable random order of rows by their keys: 60 bits of a digest, as a whole number."""
@@ -78,7 +80,8 @@ def balance(rows: DataFrame, label: str, share: float, order: list, normal: str
 
     No label is sorted as a whole: approximate percentiles around the place of the last row kept bound it on both sides
     (counts confirm the bounds, else they are the label's least and greatest number), rows outside need no rank, and only
-    the rows between are numbered. Rows whose number is null are never kept while others are there.
+    the rows between are numbered. A sketch says something else whenever its rows come in another order, so bounds and counts
+    are written once, a row for each class. Rows whose number is null are never kept while others are there.
     """
     first, *ties = order
     first = first if isinstance(first, Column) else F.col(first)
@@ -88,13 +91,14 @@ def balance(rows: DataFrame, label: str, share: float, order: list, normal: str
     sketch = marked.groupBy(label).agg(F.count("*").alias("n"), F.percentile_approx("_at", [i / ACCURACY for i in range(0, ACCURACY + 1, 10)], ACCURACY).alias("_q"), F.min("_at").alias("_min"), F.max("_at").alias("_max"))
     step = ACCURACY // 10
     own = _plan(sketch, label, share, normal).withColumns({"_a": F.element_at("_q", (F.floor(place(-slack) * step) + 1).cast("int")), "_b": F.element_at("_q", (F.ceil(place(slack) * step) + 1).cast("int"))})
-    own = own.select(label, "keep", "_a", "_b", "_min", "_max")  # one row for each class
+    own = materialize(own.select(label, "keep", "_a", "_b", "_min", "_max"))  # one row for each class
     n = marked.join(F.broadcast(own.select(label, "_a", "_b")), label).groupBy(label).agg(F.sum((F.col("_at") < F.col("_a")).cast("long")).alias("_under"), F.sum((F.col("_at") <= F.col("_b")).cast("long")).alias("_upto"))
     own = own.join(n, label).withColumn("_good", (F.col("_under") <= F.col("keep")) & (F.col("_upto") >= F.col("keep")))
     own = own.select(label, "keep", F.when(F.col("_good"), F.col("_a")).otherwise(F.col("_min")).alias("_a"), F.when(F.col("_good"), F.col("_b")).otherwise(F.col("_max")).alias("_b"), F.when(F.col("_good"), F.col("_under")).otherwise(0).alias("_under"))
+    own = materialize(own)
     near = marked.join(F.broadcast(own), label).where(F.col("_at") <= F.col("_b"))
     low, between = F.col("_at") < F.col("_a"), F.col("_at") >= F.col("_a")
-    ranked = near.where(between).withColumn("_rank", F.row_number().over(W.partitionBy(label).orderBy("_at", *ties)) + F.col("_under")).where(F.col("_rank") <= F.col("keep"))
+    ranked = near.where(between).withColumn("_rank", F.row_number().over(W.partitionBy(label).orderBy("_at", first.asc_nulls_last(), *ties)) + F.col("_under")).where(F.col("_rank") <= F.col("keep"))
     return near.where(low).select(*rows.columns).unionByName(ranked.select(*rows.columns))
 
 
