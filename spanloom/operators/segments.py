@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import bisect
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..tables import materialize
+from ..tables import map_groups, materialize
 from .detection import long_enough, top_events
 
 
@@ -72,21 +73,27 @@ def running_percentiles(calls: DataFrame, key: str, order: list[str], ms: str, q
     candidates = candidates.select("_key", F.col("_for").alias("_seg"), "which", F.lit(None).cast("long").alias("_pos"), "_rank", "_value", "under")
     own = rows.select("_key", "_seg", F.lit(-1).alias("which"), "_pos", "_rank", F.col(ms).cast("double").alias("_value"), F.lit(0).cast("long").alias("under"))
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        mine = group[group.which < 0].sort_values("_pos")
-        out = {"_key": mine["_key"].tolist(), "_pos": mine["_pos"].to_numpy()}
-        for i, share in enumerate(shares):
-            near = group[group.which == i]
-            value = dict(zip(group["_rank"], group["_value"], strict=True))
-            line, base, answers = sorted(near["_rank"].tolist()), int(near["under"].min()) if len(near) else 0, []
-            for pos, rank in zip(mine["_pos"].tolist(), mine["_rank"].tolist(), strict=True):
-                bisect.insort(line, rank)
-                answers.append(value[line[int((pos + 1) * share) - base]])
-            out[f"v{i}"] = answers
-        return pd.DataFrame(out)
+    def settle(table: pa.Table, edges: np.ndarray) -> pa.Table:
+        which, ranks, values, under, place = (table[c].to_numpy() for c in ("which", "_rank", "_value", "under", "_pos"))
+        kept = which < 0
+        answers: list[list[float]] = [[] for _ in shares]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            at = a + np.searchsorted(which[a:b], range(len(shares) + 1))  # the segment's own rows, then candidates of each share
+            value = dict(zip(ranks[a:b].tolist(), values[a:b].tolist(), strict=True))
+            mine = list(zip(place[a : at[0]].astype(np.int64).tolist(), ranks[a : at[0]].tolist(), strict=True))
+            for i, share in enumerate(shares):
+                line = ranks[at[i] : at[i + 1]].tolist()
+                base = int(under[at[i] : at[i + 1]].min()) if line else 0
+                for pos, rank in mine:
+                    bisect.insort(line, rank)
+                    answers[i].append(value[line[int((pos + 1) * share) - base]])
+        own = table.filter(pa.array(kept)).select(["_key", "_pos"])
+        for i, found in enumerate(answers):
+            own = own.append_column(f"v{i}", pa.array(found, pa.float64()))
+        return own
 
     kind = rows.schema["_key"].dataType.simpleString()
-    done = own.unionByName(candidates).groupBy("_key", "_seg").applyInPandas(settle, f"_key {kind}, _pos long, " + ", ".join(f"v{i} double" for i in range(len(shares))))
+    done = map_groups(own.unionByName(candidates), ["_key", "_seg"], ["which", "_pos", "_rank"], settle, f"_key {kind}, _pos long, " + ", ".join(f"v{i} double" for i in range(len(shares))))
     done = done.select(F.col("_key"), "_pos", *[F.col(f"v{i}").alias(n) for i, n in enumerate(quantiles)])
     timed = rows.select(*names, "_key", "_pos").join(done, ["_key", "_pos"]).select(*names, *quantiles)
     untimed = calls.where(F.col(ms).isNull()).select(*names, *[F.lit(None).cast("double").alias(n) for n in quantiles])

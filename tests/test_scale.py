@@ -1,6 +1,10 @@
 """What goes wrong only in large tables: sketches computed twice, whole numbers over 2^53."""
 
+import pyarrow as pa
+
 from spanloom.operators import sampling as B
+from spanloom.operators import segments as G
+from spanloom.tables import map_groups
 
 
 def test_balance_computes_its_sketch_once(spark):
@@ -17,3 +21,28 @@ def test_balance_by_large_numbers(spark):
     out = B.balance(df, "cls", 0.2, ["n"])
     got = sorted(r["n"] - base for r in out.where("cls = 'normal'").collect())
     assert got == list(range(25))
+
+
+def test_percentiles_are_settled_many_segments_at_a_time(spark):
+    """No call into Python for each of a table's many short keys."""
+    df = spark.range(400).selectExpr("id % 40 AS k", "id AS i", "cast(id % 7 AS double) AS ms")
+    plan = G.running_percentiles(df, "k", ["i"], "ms", {"p50": 0.5}, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_groups_come_whole(spark):
+    """Groups of one row, of a whole batch and of several batches; null and NaN are keys like others."""
+    rows = [(k, None if k == 3 else float("nan") if k == 4 else 1.0, i) for k, n in ((0, 1), (1, 25), (2, 10), (3, 9), (4, 31), (5, 10), (6, 1)) for i in range(n)]
+
+    def settle(table, edges):
+        x = table["i"].to_pylist()
+        own = [x[a:b] for a, b in zip(edges[:-1], edges[1:])]
+        return table.select(["k"]).take(pa.array(edges[:-1])).append_column("ok", pa.array([o == list(range(len(o))) for o in own])).append_column("n", pa.array([len(o) for o in own], pa.int64()))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        df = spark.createDataFrame(rows, "k int, x double, i int")
+        got = sorted(tuple(r) for r in map_groups(df, ["k", "x"], ["i"], settle, "k int, ok boolean, n long").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(k, True, n) for k, n in enumerate((1, 25, 10, 9, 31, 10, 1))]
