@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import iou, let
-from ..tables import discard, materialize
+from ..tables import discard, map_groups, materialize
 from .segments import numbered
 
 GATE = 0.5
@@ -118,35 +119,35 @@ def _fold_clusters(truths: DataFrame, preds: DataFrame, gate: float, best: bool)
     return _unfolded(rows.where((F.size("g") > 0) & (F.size("p") > 0)).select("video_id", "class_name", F.sort_array(every).alias("c")))
 
 
-def _pass(block: pd.DataFrame) -> pd.DataFrame:
-    """What is sure in a block: truths in order, each with its best free prediction, unless an earlier truth may want that.
+def _pass(table: pa.Table, edges: np.ndarray) -> pa.Table:
+    """What is sure in each block: truths in order, each with its best free prediction, unless an earlier truth may want that.
 
     ``rival``: the earliest open truth of other blocks that the prediction is a candidate of. A truth that must wait may
     take any of its candidates later, so later truths wait for those, too. Settled truths come out, -1 for no prediction.
     """
-    block = block.sort_values(["gt_ord", "_o", "pred_ord"], kind="stable")
-    truths, preds, rivals, ious = (block[c].tolist() for c in ("gt_ord", "pred_ord", "rival", "iou"))
-    used: set[int] = set()
-    awaited: set[int] = set()
-    out: list[tuple[int, int, float]] = []
-    at = 0
-    while at < len(truths):
-        end = at
-        while end < len(truths) and truths[end] == truths[at]:
-            end += 1
-        best = next((k for k in range(at, end) if preds[k] not in used), None)
-        if best is None:
-            out.append((truths[at], -1, 0.0))
-        elif preds[best] in awaited or rivals[best] < truths[at]:
-            awaited.update(preds[k] for k in range(at, end) if preds[k] not in used)
-        else:
-            used.add(preds[best])
-            out.append((truths[at], preds[best], ious[best]))
-        at = end
-    made = pd.DataFrame(out, columns=["gt_ord", "pred_ord", "iou"])
-    for k, name in enumerate(("video_id", "class_name")):
-        made.insert(k, name, block[name].iloc[0])
-    return made
+    truths, preds, rivals, ious = (table[c].to_pylist() for c in ("gt_ord", "pred_ord", "rival", "iou"))
+    rows: list[int] = []
+    out: list[tuple[int, float]] = []
+    for at, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        used: set[int] = set()
+        awaited: set[int] = set()
+        while at < stop:
+            end = at
+            while end < stop and truths[end] == truths[at]:
+                end += 1
+            best = next((k for k in range(at, end) if preds[k] not in used), None)
+            if best is None:
+                rows.append(at)
+                out.append((-1, 0.0))
+            elif preds[best] in awaited or rivals[best] < truths[at]:
+                awaited.update(preds[k] for k in range(at, end) if preds[k] not in used)
+            else:
+                used.add(preds[best])
+                rows.append(at)
+                out.append((preds[best], ious[best]))
+            at = end
+    made = table.select(["video_id", "class_name", "gt_ord"]).take(pa.array(rows, pa.int64()))
+    return made.append_column("pred_ord", pa.array([p for p, _ in out], pa.int32())).append_column("iou", pa.array([x for _, x in out], pa.float64()))
 
 
 def _rounds(pairs: DataFrame, block: int) -> DataFrame:
@@ -170,7 +171,7 @@ def _rounds(pairs: DataFrame, block: int) -> DataFrame:
         far = F.lit(2**31 - 1)
         asked = rows.join(rival, pred).withColumn("rival", F.coalesce(F.when(F.col("a._block") != F.col("_block"), F.col("a.w")).otherwise(F.col("b")), far)).drop("a", "b")
         kind = rows.schema["video_id"].dataType.simpleString()
-        done = materialize(asked.groupBy(*own, "_block").applyInPandas(_pass, f"video_id {kind}, class_name string, gt_ord int, pred_ord int, iou double"))
+        done = materialize(map_groups(asked, [*own, "_block"], ["gt_ord", "_o", "pred_ord"], _pass, f"video_id {kind}, class_name string, gt_ord int, pred_ord int, iou double"))
         settled.append(done)
         left = missing(missing(rows, done, ["video_id", "gt_ord"]), done.where("pred_ord >= 0"), pred)
         rows, before = materialize(left), rows

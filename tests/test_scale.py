@@ -1,7 +1,9 @@
 """What goes wrong only in large tables: sketches computed twice, whole numbers over 2^53."""
 
+import numpy as np
 import pyarrow as pa
 
+from spanloom.operators import matching as M
 from spanloom.operators import sampling as B
 from spanloom.operators import segments as G
 from spanloom.tables import map_groups
@@ -46,3 +48,13 @@ def test_groups_come_whole(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == [(k, True, n) for k, n in enumerate((1, 25, 10, 9, 31, 10, 1))]
+
+
+def test_a_pass_settles_many_blocks():
+    """What one block has used or awaits says nothing about the next."""
+    far = 2**31 - 1
+    rows = [(0, 0, 1, far, 0.9), (0, 0, 2, far, 0.8), (0, 1, 1, far, 0.7), (1, 2, 1, far, 0.6), (1, 3, 5, 0, 0.9), (1, 4, 5, far, 0.8), (2, 5, 5, far, 0.5)]
+    names = ("block", "gt_ord", "pred_ord", "rival", "iou")
+    table = pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)}).append_column("video_id", pa.array(["v"] * 7)).append_column("class_name", pa.array(["c"] * 7))
+    got = M._pass(table, np.array([0, 3, 6, 7])).to_pylist()
+    assert [(r["gt_ord"], r["pred_ord"]) for r in got] == [(0, 1), (1, -1), (2, 1), (5, 5)]
