@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Profile, Settings
+from ..tables import spread
 
 #: Classes of the stand-in, in ordinal order, and their least durations.
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -31,8 +32,8 @@ def with_probs(events: DataFrame) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as chunks, numbered in time order."""
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    """The events as chunks, numbered in time order, in as many tasks as their number asks for."""
+    e = spread(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id")
     return with_probs(e.withColumn("chunk_idx", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1))
 
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from spanloom.operators import matching as M
 from spanloom.operators import sampling as B
 from spanloom.operators import segments as G
-from spanloom.tables import map_groups
+from spanloom.tables import map_groups, spread
 
 
 def test_balance_computes_its_sketch_once(spark):
@@ -58,3 +58,10 @@ def test_a_pass_settles_many_blocks():
     table = pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)}).append_column("video_id", pa.array(["v"] * 7)).append_column("class_name", pa.array(["c"] * 7))
     got = M._pass(table, np.array([0, 3, 6, 7])).to_pylist()
     assert [(r["gt_ord"], r["pred_ord"]) for r in got] == [(0, 1), (1, -1), (2, 1), (5, 5)]
+
+
+def test_tasks_go_by_the_number_of_rows(spark):
+    df = spark.range(1000)
+    assert spread(df, "id", rows=100).rdd.getNumPartitions() == 10 and spread(df, "id", rows=1000) is df
+    plan = spread(df, "id", rows=100).groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # what follows by this key takes the same one
