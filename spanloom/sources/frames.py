@@ -4,7 +4,7 @@ A record file stands for a decoded video: one file for each video, ``<video_id>.
 frames) and the frames one after the other, each with its length before it. There is no index: as with a video, a reader
 steps over the frames it does not want and stops behind the last one it does.
 
-``spark.read.format("frames").load(folder)`` gives (video_id, frame, image) with a partition for each file; filters on video_id
+``spark.read.format("frames").load(folder)`` gives (video_id, frame, image) with a partition for a few files; filters on video_id
 choose files, filters on frame go to the cursor. Files are opened by pyarrow's file systems, so the folder may be a local path
 or the URI of a store that they know.
 """
@@ -91,9 +91,27 @@ def _numbers(low: int, high: int | None, chosen: list[int] | None, frames: int)
     return iter(range(max(low, 0), frames if high is None else min(frames, high + 1)))
 
 
+#: A partition of a folder: at least so many where there are files enough, and bounds of each.
+PARTITIONS, FILES, BYTES = 64, 1000, 1 << 26
+
+
 @dataclass
 class FilePartition(InputPartition):
-    path: str
+    paths: list[str]
+
+
+def _dealt(files: list[tuple[str, int]]) -> list[FilePartition]:
+    """Files (path, bytes) in their order, those of a partition together: a task for each short video would cost more than it reads."""
+    most = min(FILES, -(-len(files) // PARTITIONS))
+    out: list[FilePartition] = []
+    held = 0
+    for path, size in files:
+        if not out or len(out[-1].paths) >= most or held + size > BYTES:
+            out.append(FilePartition([]))
+            held = 0
+        out[-1].paths.append(path)
+        held += size
+    return out
 
 
 class FramesReader(DataSourceReader):
@@ -117,19 +135,25 @@ class FramesReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[InputPartition]:
+    def files(self) -> list[tuple[str, int]]:
+        """(path, bytes) of the files that the filters leave."""
         from pyarrow import fs
 
         store, folder = _store(self.folder)
-        names = sorted(i.path for i in store.get_file_info(fs.FileSelector(folder)) if i.is_file and i.path.endswith(SUFFIX))
-        return [FilePartition(p) for p in names if self.videos is None or video_of(p) in self.videos]
+        found = sorted((i.path, i.size) for i in store.get_file_info(fs.FileSelector(folder)) if i.is_file and i.path.endswith(SUFFIX))
+        return [(p, n) for p, n in found if self.videos is None or video_of(p) in self.videos]
+
+    def partitions(self) -> list[InputPartition]:
+        return _dealt(self.files())
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         store, _ = _store(self.folder)
-        with store.open_input_file(partition.path) as file:
-            cursor = Cursor(file)
-            for number, image in cursor.wanted(_numbers(self.low, self.high, self.chosen, cursor.frames)):
-                yield video_of(partition.path), number, image
+        for path in partition.paths:
+            video = video_of(path)
+            with store.open_input_file(path) as file:
+                cursor = Cursor(file)
+                for number, image in cursor.wanted(_numbers(self.low, self.high, self.chosen, cursor.frames)):
+                    yield video, number, image
 
 
 @dataclass
@@ -231,7 +255,7 @@ def write_frames(frames: DataFrame, folder: str, fps: float = 25.0) -> None:
 
 def probe(spark: SparkSession, folder: str) -> DataFrame:
     """(video_id, fps, frames, duration_sec) of each file, from its head alone; a rate of 0 is the default rate."""
-    heads = spark.createDataFrame([(p.path,) for p in FramesReader(folder).partitions()], "path string")  # names, a row for each file
+    heads = spark.createDataFrame([(p,) for p, _ in FramesReader(folder).files()], "path string")  # names, a row for each file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _store(folder)

@@ -6,6 +6,7 @@ import pyarrow as pa
 from spanloom.operators import matching as M
 from spanloom.operators import sampling as B
 from spanloom.operators import segments as G
+from spanloom.sources import frames
 from spanloom.tables import map_groups, spread
 
 
@@ -65,3 +66,13 @@ def test_tasks_go_by_the_number_of_rows(spark):
     assert spread(df, "id", rows=100).rdd.getNumPartitions() == 10 and spread(df, "id", rows=1000) is df
     plan = spread(df, "id", rows=100).groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # what follows by this key takes the same one
+
+
+def test_short_videos_share_a_task(spark, tmp_path):
+    files = [(f"{i:04}.rec", 10) for i in range(9000)]
+    parts = frames._dealt(files)
+    assert [p for x in parts for p in x.paths] == [f for f, _ in files] and len(parts) == 64
+    assert [len(x.paths) for x in frames._dealt([("a", 1 << 25), ("b", 1 << 25), ("c", 1), ("d", 1 << 40)] * 100)][:2] == [2, 1]
+    frames.write_frames(spark.range(600).selectExpr("cast(id % 200 AS string) AS video_id", "id div 200 AS frame", "cast('x' AS binary) AS image"), f"file://{tmp_path}/v")
+    out = spark.read.format("frames").load(f"file://{tmp_path}/v")
+    assert out.rdd.getNumPartitions() == 50 and out.count() == 600
