@@ -105,8 +105,45 @@ def layout(row: Any, image: bool) -> dict:
     return out if image or windows is None else out | {"windows": [[round(float(x), 2) for x in w] for w in windows]}
 
 
+#: Chunks of a job that are one value of its state.
+BLOCK = 64
+Chunk = tuple[list, float, float, float, float]  # probs, start, end, began, ms
+
+
+class Blocks:
+    """A job's chunks during one call: blocks are read when they are first asked for, and changed ones written at the end."""
+
+    def __init__(self, state: Any, stored: bool) -> None:
+        self.state, self.stored = state, stored
+        self.read: dict[int, dict[int, Chunk]] = {}
+        self.changed: set[int] = set()
+
+    def _block(self, number: int) -> dict[int, Chunk]:
+        if number not in self.read:
+            value = self.state.getValue((number,)) if self.stored and self.state.containsKey((number,)) else None
+            self.read[number] = {int(i): (plain(p), *map(float, t)) for i, p, t in zip(*value, strict=True)} if value else {}
+        return self.read[number]
+
+    def put(self, idx: int, chunk: Chunk) -> None:
+        self._block(idx // BLOCK)[idx] = chunk
+        self.changed.add(idx // BLOCK)
+
+    def get(self, idx: int) -> Chunk | None:
+        return self._block(idx // BLOCK).get(idx)
+
+    def write(self) -> None:
+        for number in self.changed:
+            own = self.read[number]
+            self.state.updateValue((number,), (list(own), [c[0] for c in own.values()], [list(c[1:]) for c in own.values()]))
+
+
+def plain(probs: Any) -> list[float | None]:
+    return [None if pd.isna(p) else float(p) for p in probs]
+
+
 class OrderedProgress(StatefulProcessor):
-    """State of a job: how many messages have left, chunks by index, whether it has ended."""
+    """State of a job: how many messages have left, whether it has ended, and its chunks in blocks of BLOCK places, so that the
+    store is asked once for a block that a batch touches, not once for each chunk."""
 
     settings = Settings()
     classes: tuple[str, ...] = CLASSES
@@ -115,10 +152,12 @@ class OrderedProgress(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.place = handle.getValueState("place", "seq long, next long, ended boolean")
-        self.chunks = handle.getMapState("chunks", "idx long", "probs array<double>, start_sec double, end_sec double, began_ms double, ms double")
+        self.chunks = handle.getMapState("blocks", "block long", "idx array<long>, probs array<array<double>>, times array<array<double>>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        seq, after, ended = self.place.get() if self.place.exists() else (0, 0, False)
+        known = self.place.exists()
+        seq, after, ended = self.place.get() if known else (0, 0, False)
+        chunks = Blocks(self.chunks, known and not ended)
         out: list[tuple] = []
 
         def say(kind: str, body: dict) -> None:
@@ -138,22 +177,21 @@ class OrderedProgress(StatefulProcessor):
                     say("eof", {})
                     ended = True
                     continue
-                probs = [None if pd.isna(p) else float(p) for p in r.probs]
-                self.chunks.updateValue((int(r.idx),), (probs, float(r.start_sec), float(r.end_sec), float(r.began_ms), float(r.ms)))
-                while after < r.total and self.chunks.containsKey((after,)):
-                    probs, a, b, _, ms = self.chunks.getValue((after,))
-                    probs = [None if pd.isna(p) else float(p) for p in probs]
+                chunks.put(int(r.idx), (plain(r.probs), float(r.start_sec), float(r.end_sec), float(r.began_ms), float(r.ms)))
+                while after < r.total and (one := chunks.get(after)) is not None:
+                    probs, a, b, _, ms = one
                     say("chunk", {"idx": after, "start": round(a, 2), "end": round(b, 2), "p_anom": round(1 - (probs[0] or 0.0), 4), "top": top_classes(probs, classes=self.classes), "ms": round(ms, 1)})
                     after += 1
                 if after >= r.total:
-                    every = [tuple(self.chunks.getValue((i,))) for i in range(after)]
-                    every = [([None if pd.isna(p) else float(p) for p in c[0]], *c[1:]) for c in every]
+                    every = [chunks.get(i) for i in range(after)]
                     found = image_events(every[0][0], self.settings, self.classes) if image else job_events([c[:3] for c in every], self.settings, self.classes)
                     say("events", {"events": answer(found)})
                     say("done", {"runtime": run_times([c[3:] for c in every], None if pd.isna(r.duration) else float(r.duration), image)})
                     say("eof", {})
                     ended = True
-        if ended and self.chunks.exists():
+        if not ended:
+            chunks.write()
+        elif chunks.stored:
             self.chunks.clear()
         self.place.update((seq, after, ended))
         self._wait(timerValues)

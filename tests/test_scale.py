@@ -1,12 +1,15 @@
 """What goes wrong only in large tables: sketches computed twice, whole numbers over 2^53."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
+from spanloom.config import Settings
 from spanloom.operators import matching as M
 from spanloom.operators import sampling as B
 from spanloom.operators import segments as G
 from spanloom.sources import frames
+from spanloom.streaming import processor
 from spanloom.tables import map_groups, spread
 
 
@@ -76,3 +79,36 @@ def test_short_videos_share_a_task(spark, tmp_path):
     frames.write_frames(spark.range(600).selectExpr("cast(id % 200 AS string) AS video_id", "id div 200 AS frame", "cast('x' AS binary) AS image"), f"file://{tmp_path}/v")
     out = spark.read.format("frames").load(f"file://{tmp_path}/v")
     assert out.rdd.getNumPartitions() == 50 and out.count() == 600
+
+
+def test_the_store_is_asked_for_blocks():
+    """200 chunks in two calls, odd places first, touch four blocks; one call that ends a job leaves nothing in the store."""
+    asked = []
+
+    class Store:
+        def __init__(self):
+            self.rows = {}
+
+        def __getattr__(self, name):
+            def call(*args):
+                asked.append(name)
+                if name == "updateValue":
+                    self.rows[args[0]] = args[1]
+                elif name == "update":
+                    self.rows[None] = args[0]
+                elif name == "clear":
+                    self.rows.clear()
+                return {"exists": bool(self.rows), "containsKey": bool(args) and args[0] in self.rows, "getValue": self.rows.get(args[0]) if args else None, "get": self.rows.get(None)}.get(name)
+
+            return call
+
+    def frame(order):
+        return pd.DataFrame([{"job": "a", "kind": "chunk", "idx": i, "total": 200, "duration": 201.0, "probs": [0.1, 0.9], "start_sec": float(i), "end_sec": i + 2.0, "began_ms": 0.0, "ms": 1.0, "message": None} for i in order])
+
+    own = processor(Settings(), ("normal", "fire"), None)
+    own.place, own.chunks, said = Store(), Store(), []
+    for order in (range(1, 200, 2), range(0, 200, 2)):
+        asked.clear()
+        said += [b for f in own.handleInputRows(("a",), iter([frame(order)]), None) for b in f["type"]]
+        assert len(asked) <= 16
+    assert said == ["meta", *["chunk"] * 200, "events", "done", "eof"] and not own.chunks.rows
