@@ -11,10 +11,11 @@ spans of one occurrence all hold its anchor, so their union is one span.
 Occurrences with the same bytes around the anchor, as far as strings with it reach, are one class with a representative:
 a class of two or more is repeated as a whole, and only representatives are compared with other classes. Texts that are
 equal as a whole are one text with a number of copies, named by a digest of 128 bits. A group of more than ``CROWD`` classes, which a task should not
-hold, is settled without gathering it, by narrowing: the places where its strings may begin form a range, and for each
-quarter of the range two hashes of 128 bits are counted, with map-side combination. If the bytes that all strings of the quarter
-share occur once, none of them is repeated; if the bytes that they cover together occur again, all are; else the quarter
-is quartered.
+hold, is narrowed without gathering it: the places where its strings may begin form a range, which is cut into quarters, and
+the classes whose strings of a quarter share the same bytes (by a hash of 128 bits, counted with map-side combination) are a
+group again. A class alone has no repeat there; up to ``CROWD`` classes are compared by the tree, as bytes. Of more, those
+whose bytes that the strings cover together occur again are settled by a second hash, and the rest is quartered again. So a
+class is narrowed on only at the ends of what more than ``CROWD`` classes share, and the rows of all steps are a bounded number for each class.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, id_text, join_unique, materialize
+from .common import discard, id_text, join_unique, materialize, partitions
 from .textkit import CHUNK, Prefix, chunks, mix, text_bytes
 
 LENGTH, GRAM = 200, 50
 WIDTH = LENGTH - GRAM + 1
-#: Classes that one task compares at once; larger groups are narrowed.
+#: Classes that one task compares at once; larger groups are narrowed until their parts are not.
 CROWD = 1024
+#: Parts of a range at each step of narrowing.
+PARTS = 4
 #: Bytes of a text whose anchors are gathered together, so at most as many.
 SPAN = 1 << 16
 
@@ -223,14 +226,16 @@ def _settle(h: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple[np.
     return left, right
 
 
-def tree_extents(rows: DataFrame) -> DataFrame:
-    """(h, hull, left, right) from contexts of groups of up to CROWD classes, partitioned and sorted by h."""
+def tree_extents(rows: DataFrame, group: str) -> DataFrame:
+    """(h, hull, left, right) from contexts (group, h, hull, before, after) of groups of up to CROWD classes.
+
+    Two groups under one hash are compared as one: bytes decide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            h = table["h"].to_numpy()
+            h = table[group].to_numpy()
             cut = int(np.searchsorted(h, h[-1])) if len(h) else 0  # the last group may go on
             held = table.slice(cut)
             if cut:
@@ -239,21 +244,22 @@ def tree_extents(rows: DataFrame) -> DataFrame:
             yield from settled(held)
 
     def settled(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        h = table["h"].to_numpy()
+        h = table[group].to_numpy()
         at = 0
         while at < len(h):  # whole groups, about 20,000 rows at a time
             stop = len(h) if len(h) - at <= 20_000 else int(np.searchsorted(h, h[at + 20_000], "right"))
             part = table.slice(at, stop - at)
-            left, right = _settle(part["h"].to_numpy(), part["before"].to_pylist(), part["after"].to_pylist())
+            left, right = _settle(part[group].to_numpy(), part["before"].to_pylist(), part["after"].to_pylist())
             hit = np.flatnonzero(right)
             yield pa.record_batch([pa.array(part["h"].to_numpy()[hit]), pa.array(part["hull"].to_numpy()[hit]), pa.array(left[hit]), pa.array(right[hit])], ["h", "hull", "left", "right"])
             at = stop
 
+    rows = rows.select(*{group: 0, "h": 0}, "hull", "before", "after").repartition(group).sortWithinPartitions(group)
     return rows.mapInArrow(run, "h long, hull long, left long, right long")
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
-    """(h, hull, k, pos, lo, hi, core, core2, whole, whole2) for each part lo..hi of the rows' ``parts``, strings counted by
+    """(h, hull, lo, hi, core, core2, whole, whole2) for each part lo..hi of the rows' ``parts``, strings counted by
     their bytes before the anchor: two hashes each of what the part's strings share and of what they cover (null if some
     are not there)."""
 
@@ -278,39 +284,50 @@ def _hashed(rows: DataFrame) -> DataFrame:
                     whole[full] = mix(prefix(anchor[row][full] - hi[full], anchor[row][full] - lo[full] + LENGTH) + salt[full])
                     core = mix(prefix(anchor[row] - lo, anchor[row] - hi + LENGTH) + salt)
                     hashes += [pa.array(core.view(np.int64)), pa.array(whole.view(np.int64), mask=~full)]
-                names = ["h", "hull", "k", "pos"]
+                names = ["h", "hull"]
                 kept = [part.column(c).take(pa.array(row)) for c in names]
                 yield pa.record_batch([*kept, pa.array(lo), pa.array(hi), *hashes], [*names, "lo", "hi", "core", "whole", "core2", "whole2"])
 
-    return rows.mapInArrow(run, "h long, hull long, k binary, pos long, lo long, hi long, core long, whole long, core2 long, whole2 long")
+    return rows.mapInArrow(run, "h long, hull long, lo long, hi long, core long, whole long, core2 long, whole2 long")
 
 
-def _quarters(lo: Column, hi: Column) -> Column:
-    step = F.ceil((hi - lo + 1) / 4).cast("long")
+def _parts(lo: Column, hi: Column) -> Column:
+    step = F.ceil((hi - lo + 1) / PARTS).cast("long")
     return F.transform(F.sequence(lo, hi, step), lambda x: F.struct(x.alias("lo"), F.least(x + step - 1, hi).alias("hi")))
 
 
+def _with_sizes(rows: DataFrame, keys: list[str], name: str, how: str = "inner") -> DataFrame:
+    """rows with ``name``: how many of them hold their keys, null (or no row) where it is one or a key is null.
+
+    A key's rows are dealt by hull to as many slots as there are partitions, so that no task counts or meets all rows of a
+    frequent one; each row meets one count."""
+    dealt = rows.withColumn("slot", F.pmod("hull", F.lit(partitions(rows.sparkSession))).cast("int"))
+    shares = dealt.dropna(subset=keys).groupBy(*keys, "slot").agg(F.count("*").alias(name))
+    sizes = shares.groupBy(*keys).agg(F.sum(name).alias(name), F.collect_list("slot").alias("slots")).where(F.col(name) > 1)
+    return dealt.join(sizes.select(*keys, name, F.explode("slots").alias("slot")), [*keys, "slot"], how).drop("slot")
+
+
 def crowd_extents(near: DataFrame) -> DataFrame:
     """(h, hull, left, right) of the classes of crowded groups, several rows for some."""
     found = []
     core, whole = ["core", "core2"], ["whole", "whole2"]
-    parts = near.select("h", "hull", _quarters(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long")).alias("parts"))
+    parts = near.select("h", "hull", _parts(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long")).alias("parts"))
     while True:
         nodes = materialize(_hashed(near.join(parts, ["h", "hull"])))
-        again, all_ = (materialize(_repeated(nodes.where(F.col(x[0]).isNotNull()), x, "k", "pos")) for x in (core, whole))
-        rows = nodes.count()
-        live = join_unique(nodes, again.select(*core), core, rows, again)
-        live = join_unique(live, all_.select(*whole, F.lit(True).alias("every")), whole, rows, all_, "left")
-        live = materialize(live.select("h", "hull", "lo", "hi", *core, *whole, "every"))
-        discard(nodes, again, all_)
-        found.append(live.where("every").select("h", "hull", F.col("hi").alias("left"), (LENGTH - F.col("lo")).alias("right")))
-        rest = live.where("every IS NULL AND lo < hi")
+        live = materialize(_with_sizes(nodes, core, "n"))
+        few = live.where(F.col("n") <= CROWD).select("h", "hull", "core")
+        found.append(tree_extents(near.join(few, ["h", "hull"]), "core"))
+        many = materialize(_with_sizes(live.where(F.col("n") > CROWD), whole, "every", "left"))
+        discard(nodes)
+        found.append(many.where("every > 1").select("h", "hull", F.col("hi").alias("left"), (LENGTH - F.col("lo")).alias("right")))
+        rest = many.where("every IS NULL AND lo < hi")
         if rest.isEmpty():
             return reduce(DataFrame.unionByName, found)
         # what is settled may still be what an open part agrees with: one witness for all of the same bytes goes on
-        witness = live.where("every").join(rest.select(*core).distinct(), core, "left_semi").groupBy("lo", "hi", *whole).agg(F.min(F.struct("h", "hull")).alias("one"))
+        witness = many.where("every > 1").groupBy("lo", "hi", *core, *whole).agg(F.min(F.struct("h", "hull")).alias("one"))
+        witness = witness.join(rest.select(*core).distinct(), core, "left_semi")
         rest = rest.select("h", "hull", "lo", "hi").unionByName(witness.select("one.*", "lo", "hi"))
-        parts = rest.groupBy("h", "hull").agg(F.flatten(F.collect_list(_quarters(F.col("lo"), F.col("hi")))).alias("parts"))  # WIDTH at most
+        parts = rest.groupBy("h", "hull").agg(F.flatten(F.collect_list(_parts(F.col("lo"), F.col("hi")))).alias("parts"))  # WIDTH at most
 
 
 def _repeated(df: DataFrame, keys: list[str], *place: str) -> DataFrame:
@@ -348,8 +365,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Bytes that a string of LENGTH bytes covers which also starts elsewhere, in any row or at another place of the same
     one, are removed; spans are the maximal removed runs of bytes. Null texts are empty; null and repeated ids are rows
     like others; other columns are ignored, whatever their names; an empty table gives an empty result. Very long texts are
-    searched in parts and put together again whole, in one task. Strings are compared as bytes (in crowded groups, by two
-    hashes of 64 bits).
+    searched in parts and put together again whole, in one task. Strings are compared as bytes (what more than
+    CROWD classes share, by two hashes of 64 bits).
     """
     base = id_text(docs, id_col, text_col).withColumn("k", F.unhex(F.md5(F.encode("text", "utf-8"))))
     found = materialize(occurrences(base.select("k", "text")))
@@ -368,8 +385,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts = cuts.select("k", "part", begin.alias("begin"), F.substr("bytes", (begin + 1).cast("int"), ((F.col("part") + 1) * SPAN + LENGTH - begin).cast("int")).alias("text"))
     cuts = cuts.groupBy("k", "part").agg(F.first("begin").alias("begin"), F.first("text").alias("text"))
     near = materialize(contexts(cuts.join(places, ["k", "part"]).select("k", "begin", "text", "anchors")))
-    extents = tree_extents(near.where("NOT crowd").drop("crowd", "k", "pos").repartition("h").sortWithinPartitions("h"))
-    crowd = crowd_extents(near.where("crowd").drop("crowd"))
+    extents = tree_extents(near.where("NOT crowd"), "h")
+    crowd = crowd_extents(near.where("crowd").drop("crowd", "k", "pos"))
     before = F.least("pos", F.lit(WIDTH - 1))
     whole = classes.where("many").select("h", "hull", before.alias("left"), F.col("room").cast("long").alias("right")).where(F.col("left") + F.col("right") >= LENGTH)
     extents = extents.unionByName(crowd).unionByName(whole).groupBy("h", "hull").agg(F.max("left").alias("left"), F.max("right").alias("right"))

@@ -495,6 +495,32 @@ def test_repeats_shapes(spark, monkeypatch, crowd):
     check_repeats(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string"))
 
 
+def test_repeats_narrowing_ends_where_a_task_can_compare(spark, monkeypatch):
+    """A crowded group of four families goes apart in one step; the families are compared whole, not narrowed again."""
+    steps, hashed = [], repeats._hashed
+    monkeypatch.setattr(repeats, "CROWD", 16)
+    monkeypatch.setattr(repeats, "_hashed", lambda rows: steps.append(1) or hashed(rows))
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    phrase = word(150)
+    texts = [word(150) + before + phrase + after + word(150) for before, after in [(word(100), word(100)) for _ in range(4)] for _ in range(10)]
+    check_repeats(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string"))
+    assert len(steps) == 1
+
+
+def test_repeats_sizes_of_frequent_keys(spark):
+    """Every row of a frequent key gets the key's size, by joins whose keys hold a share of its rows each."""
+    rows = [(1, i, 7, 7) for i in range(1000)] + [(2, i, 8, i // 2) for i in range(4)] + [(3, 0, 9, 9), (4, 0, None, 9), (4, 1, None, 9)]
+    df = spark.createDataFrame(rows, "h long, hull long, a long, b long")
+    want = {1: 1000, 2: 2}
+    got = repeats._with_sizes(df, ["a", "b"], "n")
+    assert sorted((r["h"], r["hull"], r["n"]) for r in got.collect()) == sorted((h, u, want[h]) for h, u, _, _ in rows if h in want)
+    left = repeats._with_sizes(df, ["a", "b"], "n", "left")
+    assert sorted((r["h"], r["hull"], r["n"] or 0) for r in left.collect()) == sorted((h, u, want.get(h, 0)) for h, u, _, _ in rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "slot" in plan
+
+
 def test_repeats_long_texts_and_runs_of_one_byte(spark):
     """Texts over several chunks, with repeats over the chunks' and parts' borders, and a long run of one byte."""
     rng = np.random.default_rng(6)
